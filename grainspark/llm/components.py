@@ -1,0 +1,44 @@
+"""Connected components of an edge table by random-priority contraction, all in joins and aggregations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from grainspark.llm.common import durable
+
+
+def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """(node, root) for every node of ``edges`` (u long, v long); all nodes of a component share one root.
+
+    Each round every node points to that one of itself and its neighbours whose hash in this round is least, and
+    edges are moved to the pointed-at nodes. The priorities are fresh in each round, so a path shrinks by a constant
+    factor as a star does, whatever the order of ids. Rounds end when no edge is left; pointers are then followed
+    back. A node with very many neighbours only takes part in aggregations that combine before the shuffle and in
+    joins whose large side can be split.
+    """
+    edges = durable(edges.where(F.col("u") != F.col("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    pointers: list[DataFrame] = []
+    for step in range(max_rounds):
+        if edges.isEmpty():
+            break
+
+        def rank(node, step=step):
+            return F.struct(F.xxhash64(F.lit(step), F.col(node)).alias("h"), F.col(node).alias("node"))
+
+        both = edges.select("u", rank("v").alias("r")).union(edges.select(F.col("v").alias("u"), rank("u").alias("r")))
+        best = both.groupBy("u").agg(F.min("r").alias("r"))
+        point = durable(best.select(F.col("u").alias("node"), F.least("r", rank("u"))["node"].alias("to")))
+        pointers.append(point)
+        moved = edges.join(point.select(F.col("node").alias("u"), F.col("to").alias("tu")), "u").join(point.select(F.col("node").alias("v"), F.col("to").alias("tv")), "v")
+        edges = durable(moved.where(F.col("tu") != F.col("tv")).select(F.least("tu", "tv").alias("u"), F.greatest("tu", "tv").alias("v")).distinct())
+    else:
+        if not edges.isEmpty():
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    if not pointers:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    final = pointers[-1].select("node", F.col("to").alias("root"))
+    for earlier in reversed(pointers[:-1]):
+        later = final.select(F.col("node").alias("to"), F.col("root").alias("end"))
+        final = durable(earlier.join(later, "to", "left").select("node", F.coalesce("end", "to").alias("root")))
+    return final
