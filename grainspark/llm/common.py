@@ -112,10 +112,10 @@ class WordHasher:
         return owner, hashes(starts, ends)
 
 
-def distinct_pairs(owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct (owner, value) pairs, sorted; owners come sorted already."""
-    order = np.lexsort((value, owner))
-    owner, value = owner[order], value[order]
-    first = np.ones(len(owner), bool)
-    first[1:] = (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])
-    return owner[first], value[first]
+def distinct_pairs(owner: np.ndarray, value: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (owner, value) pairs, sorted, for values below 2**bits; both fit into one sortable word."""
+    word = np.sort((owner.astype(np.uint64) << np.uint64(bits)) | value.astype(np.uint64))
+    first = np.ones(len(word), bool)
+    first[1:] = word[1:] != word[:-1]
+    word = word[first]
+    return (word >> np.uint64(bits)).astype(np.int64), word & np.uint64((1 << bits) - 1)

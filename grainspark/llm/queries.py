@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainspark.llm import langid, simhash, tiff, toxicity
+from grainspark.llm import htmlmain, imatch, langid, linededup, mixing, packing, pii, simhash, tiff, toxicity
 from grainspark.llm.common import documents, fold
 
 
@@ -45,9 +46,88 @@ def op4_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return htmlmain.extract(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op6_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(documents(spark, sf_dir))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = imatch.compare_with_next(docs, imatch.lexicon(docs))
+    return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return linededup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op9_packing_gga(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+#: Shares of the mixture by domain, a domain being a row of quality and toxicity labels.
+TARGETS = {"quality1_toxic0": 0.90, "quality0_toxic0": 0.07, "quality1_toxic1": 0.02, "quality0_toxic1": 0.01}
+
+
+def domain_of_labels() -> Column:
+    return F.concat(F.lit("quality"), F.col("quality").cast("string"), F.lit("_toxic"), F.col("toxic").cast("string"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = mixing.train(docs, labels, domain_of_labels())
+    mixed = mixing.mix(docs.select("doc_id", "text"), model, TARGETS)
+    return mixed.select("doc_id", "tokens", "domain", *(F.col("posterior")[k].alias(f"p_{d}") for k, d in enumerate(model.domains)), "rate", "copies")
+
+
+#: The SQL of op8: the one operator of this folder whose whole result SQL can express.
+OP8_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents
+), keyed AS (
+  SELECT doc_id, line, pos,
+         translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines
+), owners AS (
+  SELECT key, min(doc_id) AS owner FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1
+)
+SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE o.owner <> k.doc_id) AS n_dropped,
+       sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.pos) FILTER (WHERE o.owner IS NULL OR o.owner = k.doc_id), '')) AS kept_sha256
+FROM keyed k LEFT JOIN owners o ON o.key = k.key
+GROUP BY k.doc_id
+"""
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_simhash_pivots, op3_toxicity_fm, op4_tiff_pages)}
+    numbered = (op1_language_id, op2_simhash_pivots, op3_toxicity_fm, op4_tiff_pages, op5_html_main_text, op6_pii_anchors, op7_imatch, op8_line_dedup, op9_packing_gga, op10_mixing)
+    return {f.__name__: f for f in (*numbered, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_line_dedup": OP8_SQL}

@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from grainspark.llm.common import WordHasher, distinct_pairs, in_sample, small_batches
 
-CELLS = 1 << 21
+CELL_BITS = 21
+CELLS = 1 << CELL_BITS
 BEGINNINGS = (4, 5, 6, 7)
 
 
@@ -34,7 +35,8 @@ def term_cells(hasher: WordHasher, texts) -> tuple[np.ndarray, np.ndarray]:
         longer = ends - starts > n
         owners.append(owner[longer])
         values.append(hashes(starts[longer], starts[longer] + n) ^ np.uint64(0xA5A5A5A5A5A5 + n))
-    return distinct_pairs(np.concatenate(owners), (np.concatenate(values) % np.uint64(CELLS)).astype(np.int64))
+    owner, cells = distinct_pairs(np.concatenate(owners), np.concatenate(values) % np.uint64(CELLS), CELL_BITS)
+    return owner, cells.astype(np.int64)
 
 
 @dataclass
