@@ -1,6 +1,6 @@
 """Mixing documents to target weights with soft domain membership.
 
-A labelled table teaches a multinomial classifier (hashed words and marks, calibrated) that gives each document a
+A labelled table teaches a multinomial classifier (chosen hashed words and marks, calibrated) that gives each document a
 posterior over domains, rounded to thousandths. With t tokens and posterior p, a document at rate r adds r*t*p to the
 domain totals. Nonnegative rates are fitted by accelerated projected gradient steps on the squared relative distance
 of expected totals from targets, in the metric that weighs a document by its tokens, so that documents of one
@@ -22,47 +22,36 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainspark.llm.common import WordHasher, distinct_pairs, durable, in_sample, small_batches
+from grainspark.llm.common import WordHasher, durable, in_sample, small_batches
 from grainspark.llm.langid import fit_ftrl, fit_temperature, softmax
+from grainspark.llm.selected import among, choose, chosen_rows, term_cells
 
-CELL_BITS = 16
 GRID = 1000
 
 
-def term_values(hasher: WordHasher, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(index of the text, cell, weight) of the distinct cells, and the number of tokens of each text."""
-    owner, value = hasher(texts)
-    cell = value >> np.uint64(64 - CELL_BITS)
-    at, cells = distinct_pairs(owner, cell, CELL_BITS)
-    word = np.sort((owner.astype(np.uint64) << np.uint64(CELL_BITS)) | cell)
-    edges = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, int)
-    counts = np.diff(np.append(edges, len(word)))
-    x = np.log1p(counts)
-    norm = np.sqrt(np.bincount(at, x * x, len(texts)))
-    return at, cells.astype(np.int64), x / norm[at], np.bincount(owner, minlength=len(texts))
-
-
 @dataclass
 class DomainModel:
     domains: list[str]
-    weights: np.ndarray = field(default_factory=lambda: np.zeros((1, 1 << CELL_BITS)))
+    cells: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros((1, 1)))  # the last column belongs to a constant
     temperature: float = 1.0
     prior: np.ndarray | float = 0.0  # log odds of the labelled table against the even sample
 
     def posteriors(self, hasher: WordHasher, texts) -> tuple[np.ndarray, np.ndarray]:
         """(posterior in whole thousandths, tokens) for each text."""
-        at, cells, x, tokens = term_values(hasher, texts)
-        logits = np.stack([np.bincount(at, w[cells] * x, len(texts)) for w in self.weights], 1)
+        owner, found, tokens = term_cells(hasher, texts)
+        owner, at = among(self.cells, owner, found)
+        logits = np.stack([w[-1] + np.bincount(owner, w[at], len(texts)) for w in self.weights], 1)
         p = softmax(logits / self.temperature + self.prior)
         grid = np.floor(p * GRID).astype(np.int64)
         grid[np.arange(len(grid)), p.argmax(1)] += GRID - grid.sum(1)
         return grid, tokens
 
 
-def train(docs: DataFrame, labels: DataFrame, domain: Column, text: str = "text", id_col: str = "doc_id", max_rows: int = 12_000, epochs: int = 3) -> DomainModel:
+def train(docs: DataFrame, labels: DataFrame, domain: Column, text: str = "text", id_col: str = "doc_id", max_rows: int = 16_000, epochs: int = 4) -> DomainModel:
     """Learn domains from a labelled table; ``domain`` is a string column of it, null for rows without one.
 
-    ``max_rows`` bounds the labelled rows that are fitted on, dealt evenly over the domains by a hash of the id; it
+    ``max_rows`` bounds the labelled rows that are learned from, dealt evenly over the domains by a hash of the id; it
     also bounds the broadcast of (id, domain) that picks their texts.
     """
     small_batches(docs.sparkSession)
@@ -71,29 +60,20 @@ def train(docs: DataFrame, labels: DataFrame, domain: Column, text: str = "text"
     domains = sorted(sizes)
     if len(domains) < 2:
         return DomainModel(domains or ["all"])
-    chosen = F.lit(False)
-    for k in domains:
-        chosen = chosen | ((F.col("domain") == k) & in_sample("id", max_rows / len(domains) / sizes[k]))
-
-    def features(batches):
-        hasher = WordHasher(marks=True)
-        for pdf in batches:
-            at, cells, x, _ = term_values(hasher, pdf["text"].tolist())
-            edges = np.searchsorted(at, np.arange(len(pdf) + 1))
-            cells, x = cells.astype(np.uint16), x.astype(np.float32)
-            spans = list(zip(edges, edges[1:], strict=False))
-            yield pd.DataFrame({"id": pdf["id"], "domain": pdf["domain"], "cells": [cells[a:b].tobytes() for a, b in spans], "x": [x[a:b].tobytes() for a, b in spans]})
-
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(known.where(chosen)), "id").select("id", "domain", "text")
-    got = picked.mapInPandas(features, "id long, domain string, cells binary, x binary").toPandas().sort_values("id", kind="stable")
-    rows = [(np.frombuffer(c, np.uint16).astype(np.int64), np.frombuffer(v, np.float32).astype(float)) for c, v in zip(got["cells"], got["x"], strict=True)]
-    y = np.array([domains.index(d) for d in got["domain"]], np.int64)
+    chosen, number = F.lit(False), F.lit(0)
+    for k, d in enumerate(domains):
+        chosen = chosen | ((F.col("domain") == d) & in_sample("id", max_rows / len(domains) / sizes[d]))
+        number = F.when(F.col("domain") == d, k).otherwise(number)
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(known.where(chosen).select("id", number.alias("label"))), "id")
+    cells = choose(picked, [min(sizes[d], max_rows / len(domains)) for d in domains], marks=True)
+    found, y = chosen_rows(picked, cells, marks=True)
+    rows = [(np.append(at, len(cells)), np.ones(len(at) + 1)) for at in found]
     held = np.arange(len(rows)) % 5 == 4
     fitted, tested = np.flatnonzero(~held), np.flatnonzero(held)
-    weights = fit_ftrl([rows[i] for i in fitted], y[fitted], len(domains), 1 << CELL_BITS, epochs)
+    weights = fit_ftrl([rows[i] for i in fitted], y[fitted], len(domains), len(cells) + 1, epochs, alpha=0.1, l1=0.3, l2=0.05)
     logits = np.array([weights[:, rows[i][0]] @ rows[i][1] for i in tested]) if len(tested) else np.zeros((0, len(domains)))
-    prior = np.log(np.array([sizes[d] for d in domains]) / np.bincount(y, minlength=len(domains)))
-    return DomainModel(domains, weights, fit_temperature(logits, y[tested]), prior - prior.max())
+    prior = np.log(np.array([sizes[d] for d in domains]) / np.maximum(np.bincount(y, minlength=len(domains)), 1))
+    return DomainModel(domains, cells, weights, fit_temperature(logits, y[tested]), prior - prior.max())
 
 
 @dataclass

@@ -1,8 +1,7 @@
 """Toxicity: a factorisation machine over hashed terms.
 
-A text's terms are its distinct lower-cased words and their beginnings of 4 to 7 bytes (which carry inflected and
-compounded forms), hashed into cells. The cells most associated with the label, by the log-likelihood ratio, are
-selected from a count over the labelled sample on the executors. The machine then learns a bias, a weight for each
+A text's terms are its distinct lower-cased words and their beginnings, hashed into cells; the cells most associated
+with the label are chosen from a count over the labelled sample (selected.py). The machine then learns a bias, a weight for each
 selected cell and a short factor vector for each, so that pairs (an insult beside a mention of a group) weigh more
 than their sum. Scoring is one pass over whole texts without a shuffle.
 
@@ -20,23 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainspark.llm.common import WordHasher, distinct_pairs, in_sample, small_batches
-
-CELL_BITS = 21
-CELLS = 1 << CELL_BITS
-BEGINNINGS = (4, 5, 6, 7)
-
-
-def term_cells(hasher: WordHasher, texts) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (index of the text, cell) pairs, sorted."""
-    owner, starts, ends, hashes = hasher.spans(texts)
-    owners, values = [owner], [hashes(starts, ends)]
-    for n in BEGINNINGS:
-        longer = ends - starts > n
-        owners.append(owner[longer])
-        values.append(hashes(starts[longer], starts[longer] + n) ^ np.uint64(0xA5A5A5A5A5A5 + n))
-    owner, cells = distinct_pairs(np.concatenate(owners), np.concatenate(values) % np.uint64(CELLS), CELL_BITS)
-    return owner, cells.astype(np.int64)
+from grainspark.llm.common import WordHasher, in_sample, small_batches
+from grainspark.llm.selected import among, choose, chosen_rows, term_cells
 
 
 @dataclass
@@ -58,15 +42,11 @@ class FactorisationMachine:
         return 1 / (1 + np.exp(-np.clip(self.bias + linear + pairs / 2, -30, 30)))
 
     def predict(self, hasher: WordHasher, texts) -> np.ndarray:
-        owner, cells = term_cells(hasher, texts)
-        if not len(self.cells):
-            return np.full(len(texts), 1 / (1 + np.exp(-np.clip(self.bias, -30, 30))))
-        at = np.minimum(np.searchsorted(self.cells, cells), len(self.cells) - 1)
-        known = self.cells[at] == cells
-        return self.score(owner[known], at[known], len(texts))
+        owner, found, _ = term_cells(hasher, texts)
+        return self.score(*among(self.cells, owner, found), len(texts))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, cells: np.ndarray, factors: int = 4, epochs: int = 6, rate: float = 0.15, l2: float = 1e-4, seed: int = 11) -> FactorisationMachine:
+def fit(rows: list[np.ndarray], y: np.ndarray, cells: np.ndarray, factors: int = 4, epochs: int = 5, rate: float = 0.15, l2: float = 1e-4, seed: int = 11) -> FactorisationMachine:
     """Adaptive-gradient steps on the logistic loss; rows hold positions of selected cells."""
     random = np.random.default_rng(seed)
     w, v = np.zeros(len(cells)), random.normal(0, 0.03, (len(cells), factors))
@@ -92,17 +72,6 @@ def fit(rows: list[np.ndarray], y: np.ndarray, cells: np.ndarray, factors: int =
     return FactorisationMachine(bias, cells, w, v)
 
 
-def _counts(batches):
-    hasher, total = WordHasher(), np.zeros((2, CELLS), np.int32)
-    for pdf in batches:
-        owner, cells = term_cells(hasher, pdf["text"].tolist())
-        label = pdf["label"].to_numpy()[owner]
-        for k in (0, 1):
-            total[k] += np.bincount(cells[label == k], minlength=CELLS).astype(np.int32)
-    at = np.flatnonzero(total.any(0))
-    yield pd.DataFrame({"cell": at.astype(np.int32), "n0": total[0, at].astype(np.int64), "n1": total[1, at].astype(np.int64)})
-
-
 def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", id_col: str = "doc_id", label: str = "toxic", max_rows: int = 40_000, fit_rows: int = 16_000, max_cells: int = 6000) -> FactorisationMachine:
     """Learn from the labelled rows where ``learn`` (over the labels' id) holds.
 
@@ -121,31 +90,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text",
             chosen = chosen | ((F.col("label") == k) & in_sample("id", rows / 2 / n))
         return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(known.where(chosen)), "id").select("id", "text", "label")
 
-    n = {k: F.lit(float(min(v, max_rows / 2))) for k, v in sizes.items()}
-    counted = sampled(max_rows).select("text", "label").mapInPandas(_counts, "cell int, n0 long, n1 long").groupBy("cell").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-
-    def part(observed, expected):
-        return F.when(observed > 0, observed * F.log(observed / expected)).otherwise(0.0)
-
-    both = F.col("n0") + F.col("n1")
-    p0, p1 = n[0] / (n[0] + n[1]), n[1] / (n[0] + n[1])
-    ratio = part(F.col("n0"), both * p0) + part(F.col("n1"), both * p1)
-    best = counted.where(both >= 3).select("cell", ratio.alias("ratio")).orderBy(F.desc("ratio"), "cell").limit(max_cells)
-    cells = np.sort(np.array([r["cell"] for r in best.collect()], np.int64))
-
-    def selected(batches):
-        hasher = WordHasher()
-        for pdf in batches:
-            owner, found = term_cells(hasher, pdf["text"].tolist())
-            at = np.minimum(np.searchsorted(cells, found), max(0, len(cells) - 1))
-            keep = cells[at] == found if len(cells) else np.zeros(len(found), bool)
-            edges = np.searchsorted(owner[keep], np.arange(len(pdf) + 1))
-            at = at[keep].astype(np.uint16)
-            yield pd.DataFrame({"id": pdf["id"], "label": pdf["label"], "at": [at[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)]})
-
-    got = sampled(fit_rows).mapInPandas(selected, "id long, label int, at binary").toPandas().sort_values("id", kind="stable")
-    rows = [np.frombuffer(x, np.uint16).astype(np.int64) for x in got["at"]]
-    return fit(rows, got["label"].to_numpy(float), cells)
+    cells = choose(sampled(max_rows), [min(sizes[k], max_rows / 2) for k in (0, 1)], most=max_cells)
+    rows, y = chosen_rows(sampled(fit_rows), cells)
+    return fit(rows, y.astype(float), cells, epochs=int(np.clip(60_000 / max(1, len(rows)), 5, 30)))
 
 
 def score(docs: DataFrame, model: FactorisationMachine, text: str = "text", carry: tuple[str, ...] | None = None) -> DataFrame:
