@@ -9,6 +9,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grainspark.functions.durable import durable
+
 
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
@@ -77,18 +79,13 @@ def epsilon_pairs(df: DataFrame, key: str, vector: str, eps: float, axis: int =
 
 def min_label_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, label): the least node reachable, by label propagation with pointer jumping; lineage is cut each round."""
-    spark = nodes.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    both = edges.select("u", "v").union(edges.select("v", "u")).distinct().checkpoint()
-    labels = nodes.select("node", F.col("node").alias("label")).checkpoint()
+    both = durable(edges.select("u", "v").union(edges.select("v", "u")).distinct())
+    labels = durable(nodes.select("node", F.col("node").alias("label")))
     for _ in range(max_rounds):
         near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
         stepped = labels.join(near, "node", "left").select("node", F.least("label", F.coalesce("near", "label")).alias("new"), F.col("label").alias("old"))
         jump = stepped.select(F.col("node").alias("new"), F.col("new").alias("further"))
-        moved = stepped.join(jump, "new", "left").select("node", F.least("new", F.coalesce("further", "new")).alias("label"), "old").checkpoint()
+        moved = durable(stepped.join(jump, "new", "left").select("node", F.least("new", F.coalesce("further", "new")).alias("label"), "old"))
         changed = moved.where("label <> old").limit(1).count()
         labels = moved.select("node", "label")
         if not changed:

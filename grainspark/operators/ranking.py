@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grainspark.functions.durable import durable
+
 
 def rank_predictions(df: DataFrame, confidence: str, key: str, by: str) -> DataFrame:
     """``confidence_rank`` within ``by``: greatest confidence first, ties by key."""
@@ -19,10 +21,10 @@ def top_predictions(df: DataFrame, confidence: str, key: str, n: int) -> DataFra
 def global_rank(df: DataFrame, order: list[Column], parts: int) -> DataFrame:
     """``rank`` over all rows from 1, without a window over everything: ranges are sorted, and each range's rank starts after the rows before it.
 
-    The table is dealt by range twice (to count and to rank) from a deterministic sample; the offsets are one row for
-    each range.
+    The dealt table is stored once, so that counting and ranking see the same ranges; the offsets are one row for each
+    range.
     """
-    dealt = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    dealt = durable(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
     sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(1)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))

@@ -180,7 +180,7 @@ def true_vs_pred(df: DataFrame, true: str, predicted: str, by: list[str] | None
 
 def scoreboard(df: DataFrame, true: str, predicted: str, confidence: str, experiment: str = "experiment", split: str = "split", splits: tuple[str, ...] = ("test", "val")) -> DataFrame:
     """Accuracy, mean confidence and rows of each experiment, a column for each split, and test minus validation accuracy."""
-    out = df.withColumn("__ok", right(true, predicted)).groupBy(experiment).pivot(split, list(splits)).agg(F.avg("__ok").alias("accuracy"), F.avg(confidence).alias("confidence"), F.count("*").alias("n"))
+    out = df.withColumn("__ok", right(true, predicted)).groupBy(experiment).pivot(split, list(splits)).agg(F.avg("__ok").alias("accuracy"), F.avg(confidence).alias("confidence"), F.count(F.lit(1)).alias("n"))
     return out.withColumn("gap", F.col(f"{splits[0]}_accuracy") - F.col(f"{splits[1]}_accuracy"))
 
 
