@@ -100,13 +100,21 @@ class Bundle:
 
 
 def fit_matrix(train: DataFrame, label: str, cols: list[str], k: int = 15) -> Bundle:
-    """Statistics of the model matrix: medians, extremes, scaling and the k features of greatest F, all from training rows."""
+    """Statistics of the model matrix: medians, extremes, scaling and the k features of greatest F, all from training rows.
+
+    Each statistic is one row, or one row for each feature; it is fetched once, so that scoring does not fit it anew.
+    """
     extremes = shape_extremes(train)
     full = engineer_features(normalise_schema(train), stats=extremes)
     every = [*cols, *NEW]
+    spark = train.sparkSession
     middle = medians(full, every)
+    middle = spark.createDataFrame(middle.collect(), middle.schema)
+    extremes = spark.createDataFrame(extremes.collect(), extremes.schema)
+    full = engineer_features(normalise_schema(train), stats=extremes)
     filled = impute_median(full, every, middle)
     scaler = fit_scaler(filled, every)
+    scaler = spark.createDataFrame(scaler.collect(), scaler.schema)
     ranked = select_k_best(anova_f(filled, label, every), k)
     selected = [r["feature"] for r in ranked.where("selected").orderBy("rank").collect()]
     classes = [r[0] for r in train.select(label).where(F.col(label).isNotNull()).distinct().orderBy(label).collect()]
@@ -132,9 +140,12 @@ def predict(df: DataFrame, bundle: Bundle) -> DataFrame:
 
 def train_bundle(train: DataFrame, label: str, cols: list[str], kinds: dict[str, dict], k: int = 15) -> Bundle:
     """Fit the matrix and each kind of model (boosted, forest, logistic: parameters) with balanced weights."""
+    train = train.persist()
     bundle = fit_matrix(train, label, cols, k)
-    ready = with_row_weights(prepare_matrix(train, bundle), label)
+    ready = with_row_weights(prepare_matrix(train, bundle), label).select(label, "features", "weight").persist()
     bundle.models = {name: KINDS[name](ready, label, bundle.classes, weight="weight", **params) for name, params in kinds.items()}
+    ready.unpersist()
+    train.unpersist()
     return bundle
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from grainspark.operators.ranking import top_n
 from grainspark.operators.relational import join_predictions
 from grainspark.operators.stats import right
-from grainspark.plans import tables
+from grainspark.plans import imaging, learning, tables
 from grainspark.plans.base import Query
 from grainspark.plans.sqlviews import PREDICTIONS, with_views
 from grainspark.sources import fixtures as fx
@@ -29,7 +29,7 @@ FLAGSHIP = Query(
       SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY experiment ORDER BY accuracy, type) AS rank FROM s) WHERE rank <= 2""", PREDICTIONS),
 )
 
-MODULES = (tables,)
+MODULES = (tables, learning, imaging)
 
 
 def _all() -> dict[str, Query]:
