@@ -1,15 +1,24 @@
-"""Cutting lineage through the cluster's shared checkpoint folder."""
+"""Cutting lineage through the cluster's shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's checkpoint folder; only where none is set (one machine) a temporary one is made."""
+    """``df`` written as a table in the session's checkpoint folder and read back.
+
+    Neither its plan nor the constraints that the optimiser had derived from it come back, so loops may do this in
+    every round. Only where no folder is set (one machine) a temporary one is made.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainspark.operators.neighbours import min_label_components
+from grainspark.operators.graph import least_labels
 
 METHODS = ("histogram_matching", "min_max", "z_score", "peak_align", "peak_spread_align")
 THRESHOLDS = {"low": 3.0, "medium": 2.0, "high": 1.5}
@@ -293,7 +293,7 @@ def _objects(mask: DataFrame, key: str) -> DataFrame:
     pixels = mask.select(key, "y", "x", node.alias("node"))
     step = pixels.select(key, F.explode(F.array(F.struct("y", (F.col("x") + 1).alias("x")), F.struct((F.col("y") + 1).alias("y"), "x"))).alias("p"), F.col("node").alias("u"))
     edges = step.select(key, "p.y", "p.x", "u").join(pixels.withColumnRenamed("node", "v"), [key, "y", "x"]).select("u", "v")
-    return pixels.join(min_label_components(pixels.select("node"), edges).withColumnRenamed("label", "object"), "node").drop("node")
+    return pixels.join(least_labels(pixels.select("node"), edges).withColumnRenamed("label", "object"), "node").drop("node")
 
 
 def largest_object(mask: DataFrame, height: int, width: int, key: str = "crop", fill_below: int = 64) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainspark.llm.common import durable
+from grainspark.functions.durable import durable
 
 
 def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """(node, root) for every node of ``edges`` (u long, v long); all nodes of a component share one root.
+    """(node, root) for every node of ``edges`` (u, v); all nodes of a component share one root, which is one of them.
 
     Each round every node points to that one of itself and its neighbours whose hash in this round is least, and
     edges are moved to the pointed-at nodes. The priorities are fresh in each round, so a path shrinks by a constant
@@ -42,3 +42,10 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         later = final.select(F.col("node").alias("to"), F.col("root").alias("end"))
         final = durable(earlier.join(later, "to", "left").select("node", F.coalesce("end", "to").alias("root")))
     return final
+
+
+def least_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, label): the least node of each node's component; ``nodes`` has those without edges too."""
+    roots = components(edges)
+    rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    return rooted.join(rooted.groupBy("root").agg(F.min("node").alias("label")), "root").select("node", "label")

@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainspark.functions.durable import durable
+from grainspark.operators.graph import least_labels
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -77,22 +77,6 @@ def epsilon_pairs(df: DataFrame, key: str, vector: str, eps: float, axis: int =
     return a.join(b, "slab").where("u < w").select("u", F.col("w").alias("v"), d.alias("distance")).where(F.col("distance") <= eps)
 
 
-def min_label_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(node, label): the least node reachable, by label propagation with pointer jumping; lineage is cut each round."""
-    both = durable(edges.select("u", "v").union(edges.select("v", "u")).distinct())
-    labels = durable(nodes.select("node", F.col("node").alias("label")))
-    for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        stepped = labels.join(near, "node", "left").select("node", F.least("label", F.coalesce("near", "label")).alias("new"), F.col("label").alias("old"))
-        jump = stepped.select(F.col("node").alias("new"), F.col("new").alias("further"))
-        moved = durable(stepped.join(jump, "new", "left").select("node", F.least("new", F.coalesce("further", "new")).alias("label"), "old"))
-        changed = moved.where("label <> old").limit(1).count()
-        labels = moved.select("node", "label")
-        if not changed:
-            return labels
-    raise RuntimeError(f"labels did not settle in {max_rounds} rounds")
-
-
 def dbscan(df: DataFrame, key: str, vector: str, eps: float, min_points: int) -> DataFrame:
     """(key, core, cluster): cores have min_points rows within eps, themselves included; clusters are named by their least core.
 
@@ -104,7 +88,7 @@ def dbscan(df: DataFrame, key: str, vector: str, eps: float, min_points: int) ->
     marked = df.select(F.col(key).alias("u")).join(degree, "u", "left").select("u", (F.coalesce("n", F.lit(1)) >= min_points).alias("core"))
     cores = marked.where("core").select(F.col("u").alias("node"))
     links = pairs.join(cores.withColumnRenamed("node", "u"), "u", "left_semi").join(cores.withColumnRenamed("node", "v"), "v", "left_semi").select("u", "v")
-    labels = min_label_components(cores, links)
+    labels = least_labels(cores, links)
     touching = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min_by("label", F.struct("distance", "v")).alias("border"))
     out = marked.join(labels.select(F.col("node").alias("u"), "label"), "u", "left").join(touching, "u", "left")
     return out.select(F.col("u").alias(key), "core", F.coalesce("label", "border").alias("cluster"))
