@@ -10,7 +10,7 @@ Two fingerprints within 2 bits agree in at least six of the eight blocks, so the
 the 28 choices of six blocks: those distances are the search key. Members of one key differ in at most 16 bits, so a
 key never holds more than 65,536 fingerprints, whatever the input. Inside a key, pairs whose distances differ by more
 than the radius at any pivot are discarded, survivors are verified bit by bit, and only a spanning forest of the links
-leaves the task. Components come from repeated contraction (components.py).
+leaves the task. Components come from repeated contraction.
 
 Edge cases: a null, empty or white-space text has fingerprint zero and is linked like any other; fewer words than a
 shingle give one shingle of all words; equal fingerprints are one node, so thousands of copies cost one row; a null id
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainspark.llm.common import durable, mixed, small_batches
-from grainspark.llm.components import components
+from grainspark.operators.graph import components
 
 BLOCKS = 8
 _NATIVE = np.dtype(">u8")
