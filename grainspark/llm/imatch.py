@@ -54,9 +54,12 @@ def lexicon(docs: DataFrame, text: str = "text", min_df: int = 2, max_share: flo
 
     most = max_share * docs.count()
     sums = docs.select(F.col(text).alias("text")).mapInPandas(count, "cell int, df long").groupBy("cell").agg(F.sum("df").alias("df"))
-    mask = np.zeros(1 << CELL_BITS, bool)
-    mask[sums.where((F.col("df") >= min_df) & (F.col("df") <= most)).select("cell").toPandas()["cell"].to_numpy()] = True
-    return mask
+    inside = sums.where((F.col("df") >= min_df) & (F.col("df") <= most))
+    bits = inside.groupBy(F.expr("cell div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cell % 64))").alias("bits"))
+    words = np.zeros(1 << (CELL_BITS - 6), np.int64)
+    for r in bits.collect():
+        words[r["word"]] = r["bits"]
+    return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
 
 
 def fingerprints(hasher: WordHasher, texts, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
