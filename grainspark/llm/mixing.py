@@ -27,6 +27,7 @@ from grainspark.llm.langid import fit_ftrl, fit_temperature, softmax
 from grainspark.llm.selected import among, choose, chosen_rows, term_cells
 
 GRID = 1000
+TYPES_A_TASK = 20_000
 
 
 @dataclass
@@ -101,7 +102,11 @@ class Steps:
 
 
 def fit_rates(types: DataFrame, domains: int, targets: np.ndarray, max_steps: int = 60, tolerance: float = 1e-4) -> Steps:
-    """Rates for posteriors: ``types`` is a stored table of (p array<int> in thousandths, tokens double)."""
+    """Rates for posteriors: ``types`` is a stored table of (p array<int> in thousandths, tokens double).
+
+    A step is one stage over the table in tasks of about ``TYPES_A_TASK`` posteriors.
+    """
+    types = types.coalesce(1 + types.count() // TYPES_A_TASK)
 
     def sums(f):
         def run(batches):
@@ -113,8 +118,8 @@ def fit_rates(types: DataFrame, domains: int, targets: np.ndarray, max_steps: in
             yield pd.DataFrame({"k": np.arange(len(total)), "v": total})
 
         out = np.zeros(domains * domains)
-        for r in types.mapInPandas(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
-            out[r["k"]] = r["v"]
+        for r in types.mapInPandas(run, "k int, v double").collect():  # a few sums from each of few tasks
+            out[r["k"]] += r["v"]
         return out
 
     scale = 1 / np.maximum(targets, 1e-9)
