@@ -15,7 +15,6 @@ from __future__ import annotations
 import re
 from html import unescape
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from grainspark.llm.common import small_batches

@@ -16,8 +16,6 @@ own next one; extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
