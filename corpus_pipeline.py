@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainspark.llm import langid, linededup, mixing, packing, simhash
+from grainspark.llm import langid, linededup, mixing, nearcopies, packing
 from grainspark.llm.common import documents
 from grainspark.llm.queries import TARGETS, domain_of_labels
 
@@ -31,8 +31,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near-duplicates stays."""
-    groups = simhash.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    """The document of the smallest id of each group of near copies stays: five-word shingles, similarity of at least 0.8."""
+    groups = nearcopies.near_copies(docs).groupBy("__group").agg(F.min("doc_id").alias("kept_id")).select("kept_id")
     return docs.join(groups, F.col("doc_id") == F.col("kept_id"), "left_semi")
 
 
