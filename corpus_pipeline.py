@@ -31,9 +31,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies stays: five-word shingles, similarity of at least 0.8."""
-    groups = nearcopies.near_copies(docs).groupBy("__group").agg(F.min("doc_id").alias("kept_id")).select("kept_id")
-    return docs.join(groups, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    """One document of each group of near copies stays: five-word shingles, similarity of at least 0.8.
+
+    It is the one of the smallest id, null ids last, then of the smallest text hash, then the first stored row; so of
+    rows that repeat an id or have none one stays for each group too.
+    """
+    rows = nearcopies.near_copies(docs)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.col("__row").alias("row"))
+    kept = rows.groupBy("__group").agg(F.min(order).alias("first")).select(F.col("first.row").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,3 +67,10 @@ def test_one_word_of_sixty_goes(spark):
     base = [f"w{k}" for k in range(60)] if len(base) != 60 else base
     rows = [(5, " ".join(base)), (102, " ".join([*base[:30], "other", *base[31:]])), (7, "a wholly different text of its own words")]
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, frame(spark, rows), "").collect()) == [5, 7]
+
+
+def test_null_ids_and_repeated_rows(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, b), (3, c), (3, c), (3, d), (None, c), (9, d + " x")]
+    out = corpus_pipeline.near_dedup(spark, frame(spark, rows), "").collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in out) == sorted([(True, 0, a), (True, 0, b), (False, 3, c), (False, 3, d)])
