@@ -43,9 +43,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in as many copies as their rate asks for."""
+    """Documents in as many copies as their rate asks for; the mixture has as many tokens as came in."""
     model = mixing.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), domain_of_labels())
-    mixed = mixing.mix(docs, model, TARGETS).where("copies > 0")
+    mixed = mixing.mix(docs, model, TARGETS, mixing.INPUT).where("copies > 0")
     return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 

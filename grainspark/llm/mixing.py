@@ -1,12 +1,16 @@
 """Mixing documents to target weights with soft domain membership.
 
 A labelled table teaches a multinomial classifier (chosen hashed words and marks, calibrated) that gives each document a
-posterior over domains, rounded to thousandths. With t tokens and posterior p, a document at rate r adds r*t*p to the
+posterior over domains, shown in thousandths. With t tokens and posterior p, a document at rate r adds r*t*p to the
 domain totals. Nonnegative rates are fitted by accelerated projected gradient steps on the squared relative distance
 of expected totals from targets, in the metric that weighs a document by its tokens, so that documents of one
-posterior share one rate. Totals are therefore summed once for each distinct posterior before the iteration; each step
-is one small aggregation on the executors, and only the vector of domain residuals comes to the driver. The residuals
-of all steps are then replayed over the documents to give every one its rate.
+posterior share one rate. Totals of tokens and of unrounded domain mass are therefore summed once for each rounded
+posterior before the iteration; each step is one small aggregation on the executors, and only the vector of domain
+residuals comes to the driver. The residuals of all steps are then replayed over the documents' unrounded posteriors.
+
+Steps end when every posterior meets the optimality test: with rates in units of the start rate and g the sum of p times
+the relative residuals, |min(rate, g)| is at most the tolerance (so g is about 0 where the rate is positive, and not
+below 0 where it is 0). Where ``max_steps`` comes first, a warning gives the value reached, which ``Steps.gap`` keeps.
 
 Edge cases: null and empty texts have no tokens and take rate 1; without labels there is one domain and every rate is
 the share asked for; a target for a domain that was never learned is ignored and the others are rescaled; repeated
@@ -15,6 +19,7 @@ rows are separate documents; extra columns are carried along untouched.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,6 +33,8 @@ from grainspark.llm.selected import among, choose, chosen_rows, term_cells
 
 GRID = 1000
 TYPES_A_TASK = 20_000
+#: As ``total_tokens``: the mixture has as many tokens as the documents have; scarce domains get rates above 1.
+INPUT = "input"
 
 
 @dataclass
@@ -38,15 +45,15 @@ class DomainModel:
     temperature: float = 1.0
     prior: np.ndarray | float = 0.0  # log odds of the labelled table against the even sample
 
-    def posteriors(self, hasher: WordHasher, texts) -> tuple[np.ndarray, np.ndarray]:
-        """(posterior in whole thousandths, tokens) for each text."""
+    def posteriors(self, hasher: WordHasher, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(posterior in whole thousandths, tokens, unrounded posterior) for each text."""
         owner, found, tokens = term_cells(hasher, texts)
         owner, at = among(self.cells, owner, found)
         logits = np.stack([w[-1] + np.bincount(owner, w[at], len(texts)) for w in self.weights], 1)
         p = softmax(logits / self.temperature + self.prior)
         grid = np.floor(p * GRID).astype(np.int64)
         grid[np.arange(len(grid)), p.argmax(1)] += GRID - grid.sum(1)
-        return grid, tokens
+        return grid, tokens, p
 
 
 def train(docs: DataFrame, labels: DataFrame, domain: Column, text: str = "text", id_col: str = "doc_id", max_rows: int = 16_000, epochs: int = 4) -> DomainModel:
@@ -85,60 +92,93 @@ class Steps:
     step: float
     residuals: list[np.ndarray]
     shift: float = 1.0
+    restarts: set[int] = field(default_factory=set)  # residuals before which the momentum was dropped
+    gap: float = np.inf  # the optimality test at the last residual
 
     def rates(self, p: np.ndarray) -> np.ndarray:
         return self.replay(p)[0]
 
-    def replay(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rates after the last step, the point where the next residual is taken)."""
+    def replay(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """(rates after the last step, the point where the next residual is taken, optimality test of the last residual)."""
         r = np.full(len(p), self.shift)
-        look, t = r.copy(), 1.0
-        for e in self.residuals:
-            new = np.maximum(0.0, look - self.step * (p @ (self.scale * e)))
+        look, t, gap = r.copy(), 1.0, np.inf
+        for k, e in enumerate(self.residuals):
+            if k in self.restarts:
+                t = 1.0
+            down = p @ (self.scale * e)
+            if k == len(self.residuals) - 1:
+                gap = float(np.abs(np.minimum(look / max(self.shift, 1e-300), down)).max(initial=0.0))
+            new = np.maximum(0.0, look - self.step * down)
             t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
             look = new + (t - 1) / t_new * (new - r)
             r, t = new, t_new
-        return r, look
+        return r, look, gap
 
 
-def fit_rates(types: DataFrame, domains: int, targets: np.ndarray, max_steps: int = 60, tolerance: float = 1e-4) -> Steps:
-    """Rates for posteriors: ``types`` is a stored table of (p array<int> in thousandths, tokens double).
+def fit_rates(types: DataFrame, domains: int, targets: np.ndarray, max_steps: int = 400, tolerance: float = 1e-4) -> Steps:
+    """Rates for posteriors: ``types`` is a stored table of (p array<int> in thousandths, tokens double) and, if the
+    posteriors were rounded, mass array<double>: the tokens times unrounded posteriors.
 
     A step is one stage over the table in tasks of about ``TYPES_A_TASK`` posteriors.
     """
     types = types.coalesce(1 + types.count() // TYPES_A_TASK)
 
     def sums(f):
+        """Sums of f's vectors over the table, and the greatest of its numbers."""
+
         def run(batches):
-            total = np.zeros(domains * domains)
+            total, most = np.zeros(domains * domains), 0.0
             for pdf in batches:
-                p = np.array(pdf["p"].tolist(), float).reshape(-1, domains) / GRID
-                part = f(p, pdf["tokens"].to_numpy())
+                tokens = pdf["tokens"].to_numpy()
+                if "mass" in pdf:
+                    p = np.array(pdf["mass"].tolist(), float).reshape(-1, domains) / tokens[:, None]
+                else:
+                    p = np.array(pdf["p"].tolist(), float).reshape(-1, domains) / GRID
+                part, number = f(p, tokens)
                 total[: len(part)] += part
-            yield pd.DataFrame({"k": np.arange(len(total)), "v": total})
+                most = max(most, number)
+            yield pd.DataFrame({"k": np.arange(-1, len(total)), "v": np.append(most, total)})
 
-        out = np.zeros(domains * domains)
+        out, most = np.zeros(domains * domains), 0.0
         for r in types.mapInPandas(run, "k int, v double").collect():  # a few sums from each of few tasks
-            out[r["k"]] += r["v"]
-        return out
+            if r["k"] < 0:
+                most = max(most, r["v"])
+            else:
+                out[r["k"]] += r["v"]
+        return out, most
+
+    def totals(p, t):
+        look, gap = steps.replay(p)[1:]
+        return (look * t) @ p, gap
 
     scale = 1 / np.maximum(targets, 1e-9)
-    curvature = sums(lambda p, t: (p.T @ (p * t[:, None])).ravel()).reshape(domains, domains)
+    curvature = sums(lambda p, t: ((p.T @ (p * t[:, None])).ravel(), 0.0))[0].reshape(domains, domains)
     greatest = np.linalg.eigvalsh(np.sqrt(scale)[:, None] * curvature * np.sqrt(scale)[None, :])[-1]
     now = curvature.sum(1).sum()
     steps = Steps(scale, 1 / max(greatest, 1e-12), [], float(targets.sum() / max(now, 1e-9)))
-    for _ in range(max_steps):
-        e = sums(lambda p, t: (steps.replay(p)[1] * t) @ p)[:domains] - targets
+    before = np.inf
+    for k in range(max_steps + 1):
+        total, steps.gap = sums(totals)
+        e = total[:domains] - targets
         if np.abs(e * scale).max() < tolerance:
+            steps.gap = float(np.abs(e * scale).max())
+        if now <= 0 or k and steps.gap <= tolerance or k == max_steps:
             break
+        worth = float((e * e * scale).sum())
+        if worth > before:
+            steps.restarts.add(k)
+        before = worth
         steps.residuals.append(e)
+    if now > 0 and steps.gap > tolerance:
+        warnings.warn(f"mixture rates: optimality test at {steps.gap:.2g} after {max_steps} steps, wanted {tolerance:.2g}", stacklevel=2)
     return steps
 
 
-def mix(docs: DataFrame, model: DomainModel, weights: dict[str, float], total_tokens: float | None = None, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, model: DomainModel, weights: dict[str, float], total_tokens: float | str | None = None, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Add tokens, domain (the likeliest), posterior (thousandths by domain), rate and copies to the documents.
 
-    ``total_tokens`` is the size of the mixture; by default it is the greatest at which no domain must be repeated.
+    ``total_tokens`` is the size of the mixture; by default it is the greatest at which no domain must be repeated,
+    so a scarce domain makes it small; with ``INPUT`` it is the documents' own size.
     ``copies`` is the rate rounded down or up by a hash of the id, so that its expectation is the rate.
     """
     small_batches(docs.sparkSession)
@@ -151,26 +191,31 @@ def mix(docs: DataFrame, model: DomainModel, weights: dict[str, float], total_to
     def posteriors(batches):
         hasher = WordHasher(marks=True)
         for pdf in batches:
-            grid, tokens = model.posteriors(hasher, pdf["text"].tolist())
-            yield pd.DataFrame({"p": grid.tolist(), "tokens": tokens.astype(float)}).assign(p=lambda d: d["p"].map(tuple)).groupby("p", as_index=False).sum().assign(p=lambda d: d["p"].map(list))
+            grid, tokens, p = model.posteriors(hasher, pdf["text"].tolist())
+            mass = pd.DataFrame(p * tokens[:, None])
+            mass["p"], mass["tokens"] = [tuple(g) for g in grid.tolist()], tokens.astype(float)
+            one = mass.groupby("p", as_index=False).sum()
+            yield pd.DataFrame({"p": one["p"].map(list), "tokens": one["tokens"], "mass": one[list(range(len(domains)))].to_numpy().tolist()})
 
-    found = base.select(F.col(text).alias("text")).mapInPandas(posteriors, "p array<int>, tokens double").groupBy("p").agg(F.sum("tokens").alias("tokens"))
+    found = base.select(F.col(text).alias("text")).mapInPandas(posteriors, "p array<int>, tokens double, mass array<double>").groupBy("p").agg(F.sum("tokens").alias("tokens"), F.array(*(F.sum(F.col("mass")[k]) for k in range(len(domains)))).alias("mass"))
     types = durable(found.where("tokens > 0"))
     share = np.array([max(0.0, weights.get(d, 0.0)) for d in domains])
     share = share / share.sum() if share.sum() > 0 else np.full(len(domains), 1 / len(domains))
     natural = np.zeros(len(domains))
-    for r in types.select(F.posexplode("p").alias("d", "v"), "tokens").groupBy("d").agg(F.sum(F.col("v") * F.col("tokens") / GRID).alias("v")).collect():
+    for r in types.select(F.posexplode("mass").alias("d", "v")).groupBy("d").agg(F.sum("v").alias("v")).collect():
         natural[r["d"]] = r["v"]
     if total_tokens is None:
-        wanted = share > 0
-        total_tokens = float((natural[wanted] / share[wanted]).min())
+        wanted = (share > 0) & (natural > 0)
+        total_tokens = float((natural[wanted] / share[wanted]).min(initial=np.inf)) if wanted.any() else float(natural.sum())
+    elif total_tokens == INPUT:
+        total_tokens = float(natural.sum())
     steps = fit_rates(types, len(domains), share * total_tokens)
 
     def rated(batches):
         hasher = WordHasher(marks=True)
         for pdf in batches:
-            grid, tokens = model.posteriors(hasher, pdf["__text"].tolist())
-            rate = np.where(tokens > 0, steps.rates(grid / GRID), 1.0)
+            grid, tokens, p = model.posteriors(hasher, pdf["__text"].tolist())
+            rate = np.where(tokens > 0, steps.rates(p), 1.0)
             part = np.modf(rate)[0]
             copies = np.floor(rate).astype(np.int32) + (pdf["__u"].to_numpy() < part)
             yield pdf[kept].assign(tokens=tokens.astype(np.int64), domain=[domains[k] for k in grid.argmax(1)], posterior=grid.tolist(), rate=rate, copies=copies.astype(np.int32))
