@@ -3,7 +3,9 @@
 A page is cut into tags and text, and its text into blocks (runs between block-level tags). Each block passes points
 for its length and commas to its ancestors, less with distance; an ancestor's points are discounted by its link
 density. The best container is kept with those siblings that score well or read like prose; menus, headers, footers,
-sidebars, notices, adverts, forms, comments and the like never take part. Blocks come out in page order.
+sidebars, notices, adverts, forms, comments and the like never take part. Names of states (has-sidebar, nav-open) and
+names beside one that names content (post comments-open) cut nothing, and where no text is left the page is read again
+without the words that always cut. Headings just before kept siblings stay. Blocks come out in page order.
 
 Edge cases: null or empty pages and pages without any text outside such parts give an empty text; unclosed or stray
 tags, unclosed comments and scripts are read as browsers do in outline; nesting may be any depth (nothing recurses).
@@ -34,13 +36,21 @@ OUTSIDE_ROLES = set("navigation banner contentinfo complementary search dialog a
 #: Words of class and id that mark parts which are never main text, whatever else they say, or unless they also name content.
 NEVER = set("ad ads advert adverts advertisement sponsor sponsored promo comment comments commentlist disqus respond reply replies cookie cookies consent gdpr sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs footer popup modal newsletter subscribe signup paywall skyscraper pagination pager masthead".split())
 OFTEN = set("banner notice notices alert widget widgets related recommended share sharing social toolbar header topbar tags promoted teaser outbrain taboola shoutbox login disclaimer".split())
+#: Names of a state of the page or its content, not of a part.
+STATE = re.compile(r"(?:has|no|with|without|is|not)[-_]\S*|\S*[-_](?:open|opened|closed)", re.I)
+HEADINGS = {f"h{k}" for k in range(1, 7)}
 CONTENT = set("article content entry post story body main text hentry page blog".split())
 
 
+def _words(name: str) -> set[str]:
+    return {w.lower() for w in _WORDS.findall(name)}
+
+
 class Page:
     """The elements of a page (parents before children) and its text blocks."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, strict: bool = True):
+        self.strict = strict  # whether words of NEVER cut an element
         self.parent, self.tag, self.out, self.link, self.weight = [-1], [""], [False], [False], [0.0]
         self.blocks: list[list] = []  # [element, text parts, characters in links]
         self._read(html)
@@ -53,7 +63,10 @@ class Page:
             seen = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
             words = {w.lower() for k in ("class", "id") if k in seen for w in _WORDS.findall(seen[k])}
             if tag not in ("body", "html"):
-                out = bool(words & NEVER) or bool(words & OFTEN and not words & CONTENT) or seen.get("role", "").lower() in OUTSIDE_ROLES
+                names = [x for k in ("class", "id") if k in seen for x in seen[k].split() if not STATE.fullmatch(x)]
+                content = tag == "main" or any(_words(x) <= CONTENT for x in names if _words(x))
+                never = any(_words(x) & NEVER for x in names) and not content
+                out = self.strict and never or bool(words & OFTEN and not words & CONTENT) or seen.get("role", "").lower() in OUTSIDE_ROLES
                 out = out or "hidden" in seen or seen.get("aria-hidden") == "true" or "display:none" in seen.get("style", "").replace(" ", "").lower()
             weight += 25.0 * bool(words & CONTENT) + 25.0 * (seen.get("role") == "main" or seen.get("itemprop") == "articleBody")
         self.parent.append(up)
@@ -143,9 +156,11 @@ class Page:
 
 def main_blocks(html: str | None) -> list[str]:
     """The main text's blocks, white space inside each made one space."""
-    if not html:
-        return []
-    page = Page(html)
+    return (_main_blocks(html, True) or _main_blocks(html, False)) if html else []
+
+
+def _main_blocks(html: str, strict: bool) -> list[str]:
+    page = Page(html, strict)
     blocks = [(node, text, min(linked, len(text))) for node, parts, linked in page.blocks if (text := " ".join("".join(parts).split()))]
     if not blocks:
         return []
@@ -174,11 +189,16 @@ def main_blocks(html: str | None) -> list[str]:
     kept = [False] * n
     kept[best] = True
     if best:
-        least = max(10.0, 0.2 * rate[best])
+        least = 0.2 * rate[best]
         for i in range(1, n):
             if page.parent[i] == page.parent[best] and size[i] and not page.out[i]:
                 density = linked[i] / size[i]
-                kept[i] = kept[i] or rate[i] >= least or page.tag[i] == "p" and size[i] > 80 and density < 0.25
+                kept[i] = kept[i] or rate[i] >= least and rate[i] > 0 or page.tag[i] == "p" and size[i] > 80 and density < 0.25
+        following = False
+        for i in range(n - 1, 0, -1):
+            if page.parent[i] == page.parent[best] and size[i]:
+                kept[i] = kept[i] or following and page.tag[i] in HEADINGS
+                following = kept[i]
     dropped = [False] * n
     links_in = [0] * n
     for i in range(n - 1, 0, -1):
