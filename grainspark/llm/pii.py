@@ -77,7 +77,7 @@ def spans(text: str | None, automaton: ahocorasick.Automaton) -> list[tuple[int,
             if at >= ip_end:
                 if m := _IP.match(text, at):
                     ip_end = m.end()
-                    if all(len(g.lstrip("0")) <= 3 and int(g) <= 255 for g in m.groups()):
+                    if all(len(g.lstrip("0")) <= 3 and int(g.lstrip("0") or "0") <= 255 for g in m.groups()):
                         out.append((at, m.end(), "ip"))
                 else:
                     ip_end = _DIGITS.match(text, at).end()
