@@ -2,23 +2,44 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_NAME = re.compile(r"^(.*/table-[0-9a-f]{32})/")
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written as a table in the session's checkpoint folder and read back.
 
-    Neither its plan nor the constraints that the optimiser had derived from it come back, so loops may do this in
-    every round. Only where no folder is set (one machine) a temporary one is made.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder. Only on one machine (master local) a temporary one is made where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared folder and read back.
+
+    Neither its plan nor the constraints that the optimiser had derived from it come back, so loops may do this in
+    every round. ``release`` deletes such a table; what a result still reads stays in the folder.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``durable`` has made and nothing reads any more; other tables are left alone."""
+    for df in tables:
+        for folder in {m[1] for f in df.inputFiles() if (m := _NAME.match(f))}:
+            delete_folder(df.sparkSession, folder)

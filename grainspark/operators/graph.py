@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainspark.functions.durable import durable
+from grainspark.functions.durable import durable, release
 
 
 def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
@@ -31,16 +31,19 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         point = durable(best.select(F.col("u").alias("node"), F.least("r", rank("u"))["node"].alias("to")))
         pointers.append(point)
         moved = edges.join(point.select(F.col("node").alias("u"), F.col("to").alias("tu")), "u").join(point.select(F.col("node").alias("v"), F.col("to").alias("tv")), "v")
-        edges = durable(moved.where(F.col("tu") != F.col("tv")).select(F.least("tu", "tv").alias("u"), F.greatest("tu", "tv").alias("v")).distinct())
+        before, edges = edges, durable(moved.where(F.col("tu") != F.col("tv")).select(F.least("tu", "tv").alias("u"), F.greatest("tu", "tv").alias("v")).distinct())
+        release(before)
     else:
         if not edges.isEmpty():
             raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     if not pointers:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    release(edges)
     final = pointers[-1].select("node", F.col("to").alias("root"))
     for earlier in reversed(pointers[:-1]):
         later = final.select(F.col("node").alias("to"), F.col("root").alias("end"))
-        final = durable(earlier.join(later, "to", "left").select("node", F.coalesce("end", "to").alias("root")))
+        before, final = final, durable(earlier.join(later, "to", "left").select("node", F.coalesce("end", "to").alias("root")))
+        release(before, earlier)
     return final
 
 
