@@ -1,38 +1,78 @@
-"""What several operators of this folder need: durable intermediate tables, folds, samples and vectorised hashing."""
+"""What several operators of this folder need: batches of texts, folds, samples and vectorised hashing."""
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows that one Arrow batch holds; with texts of some kilobytes a batch stays at a few megabytes.
-BATCH_ROWS = 256
+#: Rows and bytes that one Arrow batch holds at most (a batch has one row at least, however long its text is).
+BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
+#: Bytes of text that are hashed at once; the arrays of that step take some twenty times as much.
+CHUNK_BYTES = 1 << 20
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches small, so that very long texts do not meet by the thousand in a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Keep Arrow batches small in rows and bytes, so that very long texts do not meet by the hundred in a Python worker.
+
+    The session keeps these limits, as what is built here runs later.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores put before them until they clash neither with the columns nor with each other."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def named(name: str) -> Column:
+    return F.col(f"`{name.replace('`', '``')}`")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder and return it with its lineage cut.
+def map_texts(docs: DataFrame, text: str, keep: list[str], new: str, start: Callable, extra: tuple[Column, ...] = ()) -> DataFrame:
+    """The ``keep`` columns, as they are, beside the columns ``new`` (a schema string) that Python makes from texts.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one machine)
-    a temporary one is used.
+    ``start()`` runs once in a task and gives a function of (texts, *extra), ``extra`` being Arrow arrays. It returns
+    (rows, columns): values for each of the new columns, and the positions of the rows they belong to (None: one for
+    each row, in order). Kept columns never leave Arrow, so ids stay exact beside nulls.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+    small_batches(docs.sparkSession)
+    own = T.StructType([docs.schema[c] for c in keep])
+    out = T.StructType(own.fields + T._parse_datatype_string(new).fields)
+    arrow, n, more = to_arrow_schema(out), len(keep), len(extra)
+    names = fresh(keep, "text", *(f"extra{k}" for k in range(more)))
+    source = docs.select(*(named(c) for c in keep), *(c.alias(name) for c, name in zip((named(text).cast("string"), *extra), names, strict=True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = None
+        for batch in batches:
+            work = work or start()
+            rows, columns = work(batch.column(n).to_pylist(), *(batch.column(n + 1 + k) for k in range(more)))
+            kept = [batch.column(k) for k in range(n)]
+            if rows is not None:
+                at = pa.array(np.asarray(rows, np.int64))
+                kept = [c.take(at) for c in kept]
+            made = [c if isinstance(c, pa.Array) else pa.array(c, field.type) for c, field in zip(columns, list(arrow)[n:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*kept, *made], schema=pa.schema([pa.field(f.name, a.type) for f, a in zip(arrow, [*kept, *made], strict=True)]))
+
+    return source.mapInArrow(run, out)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,11 +124,33 @@ class WordHasher:
         self.kind = kind
         self.up, self.down = powers(1 << 12)
 
-    def spans(self, texts):
-        """(index of the text, start, end, hash of byte ranges as a function) for every word, in order."""
-        blobs = [(t or "").lower().encode("utf-8", "replace") for t in texts]
-        lengths = np.array([len(b) + 1 for b in blobs], np.int64)
-        raw = np.frombuffer(b" ".join(blobs) + b" ", np.uint8)
+    def chunks(self, texts):
+        """(index of the text, start, end, hash of byte ranges as a function) for the words of stretches of the texts, in order.
+
+        A stretch has about ``CHUNK_BYTES`` of whole texts or of whole words of a longer text.
+        """
+        group, size = [], 0
+        for i, t in enumerate(texts):
+            blob = (t or "").lower().encode("utf-8", "replace")
+            at = 0
+            while len(blob) - at > CHUNK_BYTES:
+                end = at + CHUNK_BYTES
+                while end < len(blob) and self.kind[blob[end]] and self.kind[blob[end]] == self.kind[blob[end - 1]]:
+                    end += 1
+                yield self._words([(i, blob[at:end])])
+                at = end
+            blob = blob[at:]
+            if size + len(blob) > CHUNK_BYTES and group:
+                yield self._words(group)
+                group, size = [], 0
+            group.append((i, blob))
+            size += len(blob)
+        yield self._words(group)
+
+    def _words(self, group):
+        which = np.array([i for i, _ in group], np.int64)
+        lengths = np.array([len(b) + 1 for _, b in group], np.int64)
+        raw = np.frombuffer(b" ".join([b for _, b in group]) + b" ", np.uint8)
         if len(raw) > len(self.up):
             self.up, self.down = powers(2 * len(raw))
         kind = self.kind[raw]
@@ -104,12 +166,13 @@ class WordHasher:
             with np.errstate(over="ignore"):
                 return mixed((total[last] - total[first]) * self.down[first])
 
-        return np.searchsorted(np.cumsum(lengths), starts, side="right"), starts, ends, hashes
+        owner = np.searchsorted(np.cumsum(lengths), starts, side="right")
+        return (which[owner] if len(which) else owner), starts, ends, hashes
 
     def __call__(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """(index of the text, hash) for every word, in order."""
-        owner, starts, ends, hashes = self.spans(texts)
-        return owner, hashes(starts, ends)
+        found = [(owner, hashes(starts, ends)) for owner, starts, ends, hashes in self.chunks(texts)]
+        return np.concatenate([o for o, _ in found]), np.concatenate([h for _, h in found])
 
 
 def distinct_pairs(owner: np.ndarray, value: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,9 @@ for its length and commas to its ancestors, less with distance; an ancestor's po
 density. The best container is kept with those siblings that score well or read like prose; menus, headers, footers,
 sidebars, notices, adverts, forms, comments and the like never take part. Names of states (has-sidebar, nav-open) and
 names beside one that names content (post comments-open) cut nothing, and where no text is left the page is read again
-without the words that always cut. Headings just before kept siblings stay. Blocks come out in page order.
+without the words that always cut. Headings just before kept siblings stay. Lists of links are dropped as menus, but
+not inside a part marked as content (article, main, a class such as content), where they are references. Blocks come
+out in page order.
 
 Edge cases: null or empty pages and pages without any text outside such parts give an empty text; unclosed or stray
 tags, unclosed comments and scripts are read as browsers do in outline; nesting may be any depth (nothing recurses).
@@ -19,7 +21,7 @@ from html import unescape
 
 from pyspark.sql import DataFrame
 
-from grainspark.llm.common import small_batches
+from grainspark.llm.common import map_texts
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -27,8 +29,8 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 #: Element names, as HTML has them.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript iframe template svg math object select canvas audio video noembed noframes xmp".split())
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = set("script style textarea title noscript iframe template svg object select canvas audio video noembed noframes xmp".split())
+INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()) | set("math mfrac mi mn mo mover mpadded mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics annotation".split())
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl dt dd fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul".split())
 CLOSES_SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 OUTSIDE = set("nav footer aside form button dialog menu head fieldset".split())
@@ -40,6 +42,8 @@ OFTEN = set("banner notice notices alert widget widgets related recommended shar
 STATE = re.compile(r"(?:has|no|with|without|is|not)[-_]\S*|\S*[-_](?:open|opened|closed)", re.I)
 HEADINGS = {f"h{k}" for k in range(1, 7)}
 CONTENT = set("article content entry post story body main text hentry page blog".split())
+#: Those of them that also name what is round the whole page.
+WHOLE = set("body main page blog".split())
 
 
 def _words(name: str) -> set[str]:
@@ -52,13 +56,15 @@ class Page:
     def __init__(self, html: str, strict: bool = True):
         self.strict = strict  # whether words of NEVER cut an element
         self.parent, self.tag, self.out, self.link, self.weight = [-1], [""], [False], [False], [0.0]
+        self.article, self.content = [False], [False]  # inside an article or main element; so, or inside one named as content
         self.blocks: list[list] = []  # [element, text parts, characters in links]
         self._read(html)
 
     def _open(self, stack: list[int], tag: str, attributes: str) -> None:
         up = stack[-1]
         weight = {"article": 30.0, "main": 25.0, "section": 3.0, "div": 5.0, "blockquote": 3.0, "pre": 3.0, "td": 3.0}.get(tag, -5.0 if tag in ("ul", "ol", "dl", "form", "address") else 0.0)
-        out = self.out[up] or tag in OUTSIDE or tag == "header" and not any(self.tag[i] in ("article", "main") for i in stack[-12:])
+        out = self.out[up] or tag in OUTSIDE or tag == "header" and not self.article[up]
+        content_name = False
         if attributes and not out:
             seen = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
             words = {w.lower() for k in ("class", "id") if k in seen for w in _WORDS.findall(seen[k])}
@@ -68,12 +74,15 @@ class Page:
                 never = any(_words(x) & NEVER for x in names) and not content
                 out = self.strict and never or bool(words & OFTEN and not words & CONTENT) or seen.get("role", "").lower() in OUTSIDE_ROLES
                 out = out or "hidden" in seen or seen.get("aria-hidden") == "true" or "display:none" in seen.get("style", "").replace(" ", "").lower()
+            content_name = bool(words & CONTENT - WHOLE) and not out and tag not in ("body", "html") or seen.get("role") == "main" or seen.get("itemprop") == "articleBody"
             weight += 25.0 * bool(words & CONTENT) + 25.0 * (seen.get("role") == "main" or seen.get("itemprop") == "articleBody")
         self.parent.append(up)
         self.tag.append(tag)
         self.out.append(out)
         self.link.append(self.link[up] or tag == "a")
         self.weight.append(weight)
+        self.article.append(self.article[up] or tag in ("article", "main"))
+        self.content.append(self.content[up] or self.article[-1] or content_name)
 
     @staticmethod
     def _pop_to(stack: list[int], at: int) -> None:
@@ -207,19 +216,16 @@ def _main_blocks(html: str, strict: bool) -> list[str]:
     for i in range(1, n):
         up = page.parent[i]
         kept[i] = kept[i] or kept[up]
-        dense = page.tag[i] in ("ul", "ol", "div", "table", "section", "dl") and links_in[i] >= 3 and linked[i] > 0.6 * size[i]
+        # Lists of links beside the text are menus; inside a part that is marked as content they are references.
+        dense = page.tag[i] in ("ul", "ol", "div", "table", "section", "dl") and links_in[i] >= 3 and linked[i] > 0.6 * size[i] and not page.content[up]
         dropped[i] = dropped[up] or dense and i != best
     return [text for node, text, _ in blocks if kept[node] and not dropped[node]]
 
 
 def extract(pages: DataFrame, html: str = "html", carry: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The carried columns and ``text``: the main text, blocks joined by an empty line."""
-    small_batches(pages.sparkSession)
-    types = dict(pages.dtypes)
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in carry), "text string"])
 
-    def run(batches):
-        for pdf in batches:
-            yield pdf[list(carry)].assign(text=["\n\n".join(main_blocks(h)) for h in pdf["__html"]])
+    def run(texts):
+        return None, [["\n\n".join(main_blocks(h)) for h in texts]]
 
-    return pages.select(*carry, pages[html].alias("__html")).mapInPandas(run, schema)
+    return map_texts(pages, html, [c for c in carry if c != "text"], "text string", lambda: run)

@@ -1,29 +1,34 @@
 """I-Match document fingerprints over randomised lexicon subsets.
 
-The lexicon holds the terms whose inverse document frequency lies in a chosen band; document frequencies are counted
-over all documents, in hash cells, so that lexicon and counts have a fixed size. A document's distinct lexicon terms
-are sorted and hashed as a whole, and once more for each of several random subsets of the lexicon, from dense ones
-(few changed words change them) to sparse ones (whose agreement estimates the shared part of the terms). A document
-without a term in the band is fingerprinted by all its terms.
+The lexicon holds the terms whose inverse document frequency lies in a chosen band: in at least ``min_df`` documents
+and a share ``min_share`` of them, and in a share ``max_share`` at most. Document frequencies are exact counts of 52-bit
+term hashes over all documents. As shares of all terms add up to the mean number of distinct terms of a document, the
+lexicon holds at most that number divided by ``min_share``, however large the corpus: with 200 terms a document and the
+default of 2e-5 that is 10 million terms or 80 MB, the proven bound of what is sent to the tasks.
+
+A document's distinct lexicon terms are sorted and hashed as a whole, and once more for each of several random subsets
+of the lexicon, from dense ones (few changed words change them) to sparse ones (whose agreement estimates the shared
+part of the terms). A document without a term in the band is fingerprinted by all its terms.
 
 Likeness of two fingerprints: 1 if the hashes of the whole agree; else the greatest share of agreeing subsets on one
 level of sparseness, among the subsets that hold a term of either.
 
 Edge cases: null is an empty text, and all texts without terms agree with each other; repeated equal rows are one
-document in the order of documents and all get its result; a null id sorts after all others; a lone document is its
-own next one; extra columns are ignored.
+document in the order of documents and all get its result; null ids sort after all others, by a hash of the text; a
+lone document is its own next one; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainspark.llm.common import WordHasher, distinct_pairs, mixed, small_batches
+from grainspark.llm.common import WordHasher, distinct_pairs, map_texts, mixed, named, small_batches
 
-CELL_BITS = 20
 HASH_BITS = 52
 #: (subsets that partition the lexicon, how many of them are used, partitions): one line for each level.
 LEVELS = ((4, 4, 6), (16, 16, 2), (64, 32, 1), (256, 32, 1), (1024, 32, 1))
@@ -35,36 +40,42 @@ def _terms(hasher: WordHasher, texts) -> tuple[np.ndarray, np.ndarray]:
     return distinct_pairs(owner, value >> np.uint64(64 - HASH_BITS), HASH_BITS)
 
 
-def _cells(value: np.ndarray) -> np.ndarray:
-    return (value & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64)
-
-
-def lexicon(docs: DataFrame, text: str = "text", min_df: int = 2, max_share: float = 0.2) -> np.ndarray:
-    """Which hash cells lie in the band: in at least ``min_df`` documents and at most ``max_share`` of them."""
+def lexicon(docs: DataFrame, text: str = "text", min_df: int = 2, min_share: float = 2e-5, max_share: float = 0.2, flush: int = 1 << 20) -> np.ndarray:
+    """The sorted term hashes in the band. A task counts ``flush`` terms at a time before Spark adds up the counts."""
     small_batches(docs.sparkSession)
 
     def count(batches):
-        hasher, total = WordHasher(), np.zeros(1 << CELL_BITS, np.int32)
-        for pdf in batches:
-            total += np.bincount(_cells(_terms(hasher, pdf["text"].tolist())[1]), minlength=1 << CELL_BITS).astype(np.int32)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"cell": at.astype(np.int32), "df": total[at].astype(np.int64)})
-
-    most = max_share * docs.count()
-    sums = docs.select(F.col(text).alias("text")).mapInPandas(count, "cell int, df long").groupBy("cell").agg(F.sum("df").alias("df"))
-    inside = sums.where((F.col("df") >= min_df) & (F.col("df") <= most))
-    bits = inside.groupBy(F.expr("cell div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cell % 64))").alias("bits"))
-    words = np.zeros(1 << (CELL_BITS - 6), np.int64)
-    for r in bits.collect():
-        words[r["word"]] = r["bits"]
-    return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
-
-
-def fingerprints(hasher: WordHasher, texts, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        hasher, held, size = WordHasher(), [], 0
+        for batch in batches:
+            held.append(_terms(hasher, batch.column(0).to_pylist())[1])
+            size += len(held[-1])
+            if size >= flush:
+                yield counted(held)
+                held, size = [], 0
+        if size:
+            yield counted(held)
+
+    def counted(held):
+        terms, df = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_pydict({"term": terms.astype(np.int64), "df": df.astype(np.int64)})
+
+    n = docs.count()
+    sums = docs.select(named(text).cast("string").alias("text")).mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    inside = sums.where((F.col("df") >= max(min_df, min_share * n)) & (F.col("df") <= max_share * n))
+    return np.sort(inside.select("term").toArrow().column(0).to_numpy().astype(np.uint64))
+
+
+def in_band(terms: np.ndarray, value: np.ndarray) -> np.ndarray:
+    if not len(terms):
+        return np.zeros(len(value), bool)
+    return terms[np.minimum(np.searchsorted(terms, value), len(terms) - 1)] == value
+
+
+def fingerprints(hasher: WordHasher, texts, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of all kept terms, 16-bit hashes of the subsets) for each text; 0 marks a subset without a term."""
     n = len(texts)
     owner, value = _terms(hasher, texts)
-    inside = mask[_cells(value)]
+    inside = in_band(terms, value)
     lacking = np.bincount(owner[inside], minlength=n) == 0
     keep = inside | lacking[owner]
     owner, value = owner[keep], value[keep]
@@ -101,16 +112,14 @@ def as_text(fp: tuple[np.ndarray, np.ndarray]) -> list[str]:
     return [f"{w:016x}" + s.astype(">u2").tobytes().hex() for w, s in zip(fp[0].tolist(), fp[1], strict=True)]
 
 
-def fingerprint(docs: DataFrame, mask: np.ndarray, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def fingerprint(docs: DataFrame, terms: np.ndarray, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, fingerprint) for every row."""
-    small_batches(docs.sparkSession)
 
-    def run(batches):
+    def start():
         hasher = WordHasher()
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fingerprint": as_text(fingerprints(hasher, pdf["text"].tolist(), mask))})
+        return lambda texts: (None, [as_text(fingerprints(hasher, texts, terms))])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, fingerprint string")
+    return map_texts(docs.select(named(id_col).cast("long").alias("doc_id"), named(text).alias("text")), "text", ["doc_id"], "fingerprint string", start)
 
 
 def edited(text: str, following: str) -> str:
@@ -120,81 +129,105 @@ def edited(text: str, following: str) -> str:
 
 
 _LAST = -(1 << 63)
+#: Text that one range of ids holds about, and the greatest number of ranges.
+RANGE_BYTES, MOST_RANGES = 64 << 20, 20_000
+
+
+@dataclass
+class Waiting:
+    """A document whose next one has not come yet, and how many equal rows there are of it."""
 
+    doc_id: int | None
+    key: tuple
+    text: str
+    whole: np.uint64
+    slots: np.ndarray
+    rows: int = 1
 
-def compare_with_next(docs: DataFrame, mask: np.ndarray, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+
+def compare_with_next(docs: DataFrame, terms: np.ndarray, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness; see ``edited``.
 
     The next document is that of the next lower id; after the last comes the first. Ids are cut into ranges (from
-    quantiles of the ids alone); texts move once, to their range; the head of a range is also sent to the range
-    before it. Inside a range rows stream by in order, so a task holds one batch and the row before it.
+    quantiles of the ids alone, their number from the size of the texts), null ids into ranges of a text hash; texts
+    move once, to their range; the head of a range is also sent to the range before it. Inside a range rows stream by
+    in order, so a task holds one batch and the row before it.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    order = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
-    ids = docs.select(order.alias("order"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
-    cuts = ids.agg(F.percentile_approx("order", [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
-    edges = np.unique(np.array(cuts, np.int64))
-
-    def bucket(values: np.ndarray) -> np.ndarray:
-        return (len(edges) - np.searchsorted(edges, values, side="left")).astype(np.int32)
+    base = docs.select(named(id_col).cast("long").alias("doc_id"), F.coalesce(named(text).cast("string"), F.lit("")).alias("text"))
+    base = base.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("order"), "text").withColumn("h", F.xxhash64("text"))
+    size = base.agg(F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nulls"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    parts = int(min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 4, (size["bytes"] or 0) // RANGE_BYTES)))
+    null_parts = -(-parts * size["nulls"] // max(1, size["n"]))
+    cuts = base.where("doc_id IS NOT NULL").agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], max(10_000, 4 * parts))).first()[0] if parts > 1 else None
+    edges = np.unique(np.array(cuts or [], np.int64))
+
+    def bucket(order: np.ndarray, h: np.ndarray, null: np.ndarray) -> np.ndarray:
+        spread = ((h.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)) * np.uint64(null_parts) >> np.uint64(32)
+        return np.where(null, len(edges) + 1 + spread.astype(np.int64), len(edges) - np.searchsorted(edges, order, side="left")).astype(np.int32)
+
+    def placed(batch):
+        order, h = batch.column("order").to_numpy(), batch.column("h").to_numpy()
+        return order, h, bucket(order, h, np.asarray(batch.column("doc_id").is_null()))
 
     def heads_of(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"bucket": bucket(pdf["order"].to_numpy()), "order": pdf["order"]}).groupby("bucket", as_index=False).max()
-
-    heads = sorted((r["bucket"], r["head"]) for r in ids.mapInPandas(heads_of, "bucket int, order long").groupBy("bucket").agg(F.max("order").alias("head")).collect())
+        for batch in batches:
+            order, h, at = placed(batch)
+            first = np.lexsort((h, -(order + 1), at))  # order + 1: the least long has no negative
+            first = first[np.concatenate([[True], at[first][1:] != at[first][:-1]])] if len(at) else first
+            yield pa.RecordBatch.from_pydict({"bucket": at[first], "order": order[first], "back": ~h[first]})
+
+    found = base.select("doc_id", "order", "h").mapInArrow(heads_of, "bucket int, order long, back long").groupBy("bucket").agg(F.max(F.struct("order", "back")).alias("head")).collect()
+    heads = sorted((r["bucket"], (r["head"]["order"], ~r["head"]["back"])) for r in found)  # one for each range
     before = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads)}
+    head_orders = np.array(sorted({order for order, _ in before}), np.int64)
 
     def deal(batches):
-        for pdf in batches:
-            pdf = pdf.assign(bucket=bucket(pdf["order"].to_numpy()), guest=False)
-            guests = pdf[pdf["order"].isin(list(before))]
-            yield pdf
-            if len(guests):
-                yield guests.assign(bucket=guests["order"].map(before).astype(np.int32), guest=True)
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), order.alias("order"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.mapInPandas(deal, "doc_id long, order long, text string, bucket int, guest boolean").withColumn("h", F.xxhash64("text"))
+        for batch in batches:
+            order, h, at = placed(batch)
+            maybe = np.flatnonzero(np.isin(order, head_orders)).tolist()
+            guests = [k for k in maybe if (int(order[k]), int(h[k])) in before]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at), pa.array(np.zeros(len(at), bool))], names=names)
+            if guests:
+                there = np.array([before[int(order[k]), int(h[k])] for k in guests], np.int32)
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(guests)) for c in batch.columns), pa.array(there), pa.array(np.ones(len(guests), bool))], names=names)
+
+    names = ["doc_id", "order", "text", "h", "bucket", "guest"]
+    rows = base.select(*names[:4]).mapInArrow(deal, "doc_id long, order long, text string, h long, bucket int, guest boolean")
     rows = rows.repartition("bucket").sortWithinPartitions("bucket", "guest", F.desc("order"), "h")
 
     def run(batches):
-        hasher = WordHasher()
-        wait: list[dict] = []  # equal rows whose next document has not come yet, and their fingerprint
-
-        def settle(pairs):
-            """pairs: (row, its fingerprint, next text, next fingerprint)."""
-            if not pairs:
-                return
-            changed = [edited(r["text"], nxt) for r, _, nxt, _ in pairs]
-            own = (np.array([f[0] for _, f, _, _ in pairs], np.uint64), np.array([f[1] for _, f, _, _ in pairs]))
-            following = (np.array([f[0] for *_, f in pairs], np.uint64), np.array([f[1] for *_, f in pairs]))
-            new = fingerprints(hasher, changed, mask)
-            yield pd.DataFrame({
-                "doc_id": pd.array([None if r["order"] == _LAST else r["order"] for r, *_ in pairs], dtype="Int64"),
-                "n_chars": [len(r["text"]) for r, *_ in pairs],
-                "edited_text": changed,
-                "fingerprint": as_text(own),
-                "edited_fingerprint": as_text(new),
-                "near_edited": likeness(own, new),
-                "near_next": likeness(own, following),
-            })
-
-        for pdf in batches:
-            fps = fingerprints(hasher, pdf["text"].tolist(), mask)
+        hasher, wait = WordHasher(), None
+
+        def settled(pairs):
+            """pairs: (waiting document, next text, its whole hash, its subset hashes)."""
+            changed = [edited(w.text, following) for w, following, *_ in pairs]
+            own = (np.array([w.whole for w, *_ in pairs], np.uint64), np.array([w.slots for w, *_ in pairs]))
+            after = (np.array([p[2] for p in pairs], np.uint64), np.array([p[3] for p in pairs]))
+            new = fingerprints(hasher, changed, terms)
+            columns = [[w.doc_id for w, *_ in pairs], [len(w.text) for w, *_ in pairs], changed, as_text(own), as_text(new), likeness(own, new), likeness(own, after)]
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=made)
+            at = np.repeat(np.arange(len(pairs)), [w.rows for w, *_ in pairs])
+            for k in range(0, len(at), 256):
+                yield out if len(at) == len(pairs) and len(at) <= 256 else out.take(pa.array(at[k : k + 256]))
+
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            whole, slots = fingerprints(hasher, texts, terms)
+            ids, keys = batch.column("doc_id").to_pylist(), list(zip(*(batch.column(c).to_pylist() for c in ("bucket", "order", "h")), strict=True))
             pairs = []
-            for i, (order_, text_, bucket_, guest, h) in enumerate(zip(pdf["order"], pdf["text"], pdf["bucket"], pdf["guest"], pdf["h"], strict=True)):
-                row, fp = {"order": order_, "text": text_, "bucket": bucket_, "h": h}, (fps[0][i], fps[1][i])
-                if wait and wait[0][0]["bucket"] == bucket_:
-                    first = wait[0][0]
-                    if guest or (first["order"], first["h"]) != (order_, h):
-                        pairs += [(r, f, text_, fp) for r, f in wait]
-                        wait = []
-                if not guest:
-                    wait.append((row, fp))
-                    if len(wait) > 1:  # an equal row: it needs no text of its own
-                        wait[-1] = (wait[0][0], wait[0][1])
-            yield from settle(pairs)
-
-    return rows.mapInPandas(run, "doc_id long, n_chars long, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+            for i, guest in enumerate(batch.column("guest").to_pylist()):
+                if wait and (guest or wait.key != keys[i]):
+                    pairs.append((wait, texts[i], whole[i], slots[i]))
+                    wait = None
+                if wait:
+                    wait.rows += 1
+                elif not guest:
+                    wait = Waiting(ids[i], keys[i], texts[i], whole[i], slots[i])
+            if pairs:
+                yield from settled(pairs)
+
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    made = ["doc_id", "n_chars", "edited_text", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    return rows.mapInArrow(run, "doc_id long, n_chars long, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -15,12 +15,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainspark.llm.common import in_sample, small_batches
+from grainspark.llm.common import in_sample, map_texts, small_batches
 
 CELL_BITS = 13
 UNKNOWN = "und"
@@ -28,14 +28,17 @@ _LETTER = regex.compile(r"\p{L}")
 _IS_LETTER = np.array([chr(c).isalpha() for c in range(0x3000)] + [True])
 
 
-def gram_cells(text: str) -> np.ndarray:
-    """The cell of every 1-, 2- and 3-gram of a text."""
+def letters(text: str) -> np.ndarray:
+    """The lower-cased text's code points, every run of non-letters made one blank."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
     letter = _IS_LETTER[np.minimum(points, 0x3000)]
-    points = np.where(letter, points, np.uint32(32))
     keep = letter.copy()
     keep[1:] |= letter[:-1]
-    points = points[keep]
+    return np.where(letter, points, np.uint32(32))[keep]
+
+
+def gram_cells(points: np.ndarray) -> np.ndarray:
+    """The cell of every 1-, 2- and 3-gram that ends in ``points`` (all of them for the whole of a text)."""
     shift = np.uint32(32 - CELL_BITS)
     with np.errstate(over="ignore"):
         one = points * np.uint32(0x9E3779B1)
@@ -44,12 +47,17 @@ def gram_cells(text: str) -> np.ndarray:
         return np.concatenate([x * np.uint32(0x27D4EB2F) >> shift for x in (one, two, three)]).astype(np.int64)
 
 
-def gram_counts(texts) -> np.ndarray:
-    """Counts of the n-gram cells, one row per text; null counts as empty."""
+def gram_counts(texts, stretch: int = 1 << 18) -> np.ndarray:
+    """Counts of the n-gram cells, one row per text; null counts as empty. Long texts are counted stretch by stretch."""
     out = np.zeros((len(texts), 1 << CELL_BITS), np.float32)
     for i, text in enumerate(texts):
-        if text:
-            out[i] = np.bincount(gram_cells(text), minlength=1 << CELL_BITS)
+        if not text:
+            continue
+        points = letters(text)
+        for at in range(0, len(points), stretch):
+            out[i] += np.bincount(gram_cells(points[max(0, at - 2) : at + stretch]), minlength=1 << CELL_BITS)
+            if at:  # the two points before the stretch were counted with the last one
+                out[i] -= np.bincount(gram_cells(points[at - 2 : at]), minlength=1 << CELL_BITS)
     return out
 
 
@@ -128,18 +136,20 @@ class LanguageModel:
 
 def _frequencies(batches):
     total = np.zeros(1 << CELL_BITS, np.int64)
-    for pdf in batches:
-        total += (gram_counts(pdf["text"].tolist()) > 0).sum(0)
+    for batch in batches:
+        total += (gram_counts(batch.column(0).to_pylist()) > 0).sum(0)
     at = np.flatnonzero(total)
-    yield pd.DataFrame({"cell": at.astype(np.int32), "df": total[at]})
+    yield pa.RecordBatch.from_pydict({"cell": at.astype(np.int32), "df": total[at]})
 
 
-def _sparse(batches):
-    for pdf in batches:
-        counts = gram_counts(pdf["text"].tolist())
+def _sparse():
+    def run(texts):
+        counts = gram_counts(texts)
         cells = [np.flatnonzero(row).astype(np.uint16) for row in counts]
         values = [np.minimum(row[c], 65535).astype(np.uint16) for row, c in zip(counts, cells, strict=True)]
-        yield pd.DataFrame({"id": pdf["id"], "label": pdf["label"], "cells": [c.tobytes() for c in cells], "counts": [v.tobytes() for v in values]})
+        return None, [[c.tobytes() for c in cells], [v.tobytes() for v in values]]
+
+    return run
 
 
 def train(docs: DataFrame, learn: Column, text: str = "text", label: str = "lang", id_col: str = "doc_id", max_rows: int = 6000, epochs: int = 3) -> LanguageModel:
@@ -149,20 +159,20 @@ def train(docs: DataFrame, learn: Column, text: str = "text", label: str = "lang
     id); the idf covers every learning row.
     """
     small_batches(docs.sparkSession)
-    base = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(label).alias("label")).where(learn & F.col("label").isNotNull() & F.col("id").isNotNull() & F.col("text").isNotNull())
+    base = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"), F.col(label).cast("string").alias("label")).where(learn & F.col("label").isNotNull() & F.col("id").isNotNull() & F.col("text").isNotNull())
     sizes = {r["label"]: r["n"] for r in base.groupBy("label").agg(F.count("*").alias("n")).collect()}
     labels = sorted(sizes)
     if not labels:
         return LanguageModel([], np.zeros(1 << CELL_BITS), np.zeros((0, 1 << CELL_BITS)), 1.0)
     frequency = np.zeros(1 << CELL_BITS)
-    for r in base.select("text").mapInPandas(_frequencies, "cell int, df long").groupBy("cell").agg(F.sum("df").alias("df")).collect():
+    for r in base.select("text").mapInArrow(_frequencies, "cell int, df long").groupBy("cell").agg(F.sum("df").alias("df")).collect():
         frequency[r["cell"]] = r["df"]
     idf = np.log((1 + sum(sizes.values())) / (1 + frequency)) + 1
     each = max_rows / len(labels)
     chosen = F.lit(False)
     for k in labels:
         chosen = chosen | ((F.col("label") == k) & in_sample("id", each / sizes[k]))
-    picked = base.where(chosen).mapInPandas(_sparse, "id long, label string, cells binary, counts binary").toPandas().sort_values("id", kind="stable")
+    picked = map_texts(base.where(chosen), "text", ["id", "label"], "cells binary, counts binary", _sparse).toPandas().sort_values("id", kind="stable")
     rows = []
     for c, v in zip(picked["cells"], picked["counts"], strict=True):
         at = np.frombuffer(c, np.uint16).astype(np.int64)
@@ -177,18 +187,11 @@ def train(docs: DataFrame, learn: Column, text: str = "text", label: str = "lang
     return LanguageModel(labels, idf.astype(np.float32), weights.astype(np.float32), fit_temperature(logits, y[tested]))
 
 
-def predict(docs: DataFrame, model: LanguageModel, text: str = "text", carry: tuple[str, ...] | None = None) -> DataFrame:
-    """Add ``lang_pred`` and ``score`` to the carried columns (all of them by default)."""
-    small_batches(docs.sparkSession)
-    kept = list(docs.columns) if carry is None else list(dict.fromkeys([*carry]))
-    kept = [c for c in kept if c not in ("lang_pred", "score")]
-    types = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), "lang_pred string", "score double"])
-    source = docs.select(*kept, F.col(text).alias("__text"))
-
-    def run(batches):
-        for pdf in batches:
-            names, score = model.predict(pdf.pop("__text").tolist())
-            yield pdf.assign(lang_pred=names, score=score)
-
-    return source.mapInPandas(run, schema)
+def predict(docs: DataFrame, model: LanguageModel, text: str = "text", carry: tuple[str, ...] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The carried columns (all of them by default) and two new ones: the language and its score; these replace columns of their names."""
+    kept = [c for c in (docs.columns if carry is None else carry) if c not in names]
+
+    def run(texts):
+        return None, list(model.predict(texts))
+
+    return map_texts(docs, text, kept, f"`{names[0]}` string, `{names[1]}` double", lambda: run)

@@ -5,27 +5,34 @@ points that two documents hold lose their lines everywhere except in the documen
 to 128 bits. Keys held by two or more documents are found by one aggregation that combines before the shuffle. They
 are dealt over shards by their hash, and each shard becomes a minimal perfect hash (a cascade of bit arrays) that
 indexes compact arrays of fingerprints, counts and owners. Lines of documents probe the arrays of their shard; no line
-text and no line table is joined. Keys so frequent that a few thousand of them could make up all repeats (so there are
-at most that many) are resolved where the document is, which keeps the probes of the shards even.
+text and no line table is joined. A shard that holds very frequent keys is probed in several places: its arrays are
+sent to as many slots as its share of the probes asks for, and documents are dealt over those slots. So every line is
+decided by a perfect hash, at any size.
 
 Edge cases: a null or empty text is one empty line; lines are cut at \\n only and kept lines are returned unchanged;
-copies of a line inside its owner all stay; rows that share an id are one document; a null id counts as the largest;
-extra columns are carried along untouched.
+copies of a line inside its owner all stay; rows that share an id are one document; null ids come after all others,
+and rows with a null id are one document if their texts are equal (among such documents the one of the least text
+hash owns a line); extra columns are carried along untouched.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainspark.llm.common import durable, mixed, small_batches
+from grainspark.functions.durable import durable
+from grainspark.llm.common import fresh, map_texts, mixed, named, small_batches
 
 STRIPPED = " \t\n\x0b\x0c\r"
 _LAST = (1 << 63) - 1
-FREQUENT_KEYS = 4096
+#: Repeated keys that one shard holds about.
+SHARD_KEYS = 100_000
 
 
 def line_keys(text: str | None, min_chars: int = 10) -> list[bytes | None]:
@@ -81,85 +88,101 @@ class PerfectHash:
         return out
 
 
-def build_shards(keys: DataFrame, shards: int) -> DataFrame:
-    """(shard, sizes, bits, fingerprints, counts, owners) from distinct keys (h1, h2, owner, n)."""
+def build_shards(keys: DataFrame, slots: DataFrame) -> DataFrame:
+    """(slot, sizes, bits, fingerprints, owners, ties) from distinct keys (shard, h1, h2, owner, tie) and ``slots`` (shard, slot).
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        h1 = pdf["h1"].to_numpy().view(np.uint64)
-        perfect = PerfectHash.build(h1)
-        at = perfect.index(h1)
-        arrays = []
-        for column in ("h2", "n", "owner"):
-            slots = np.zeros(len(pdf), np.int64)
-            slots[at] = pdf[column].to_numpy()
-            arrays.append(slots.tobytes())
-        return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "sizes": [perfect.sizes], "bits": [perfect.bits.tobytes()], "fingerprints": arrays[:1], "counts": arrays[1:2], "owners": arrays[2:]})
+    Keys of one shard that agree in h1 go to arrays of their own, so a slot may get several rows.
+    """
 
-    dealt = keys.withColumn("shard", F.pmod(F.col("h1"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInPandas(build, "shard int, sizes array<long>, bits binary, fingerprints binary, counts binary, owners binary")
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        while len(pdf):
+            again = pdf["h1"].duplicated()
+            one, pdf = pdf[~again], pdf[again]
+            h1 = one["h1"].to_numpy().view(np.uint64)
+            perfect = PerfectHash.build(h1)
+            at, arrays = perfect.index(h1), []
+            for column in ("h2", "owner", "tie"):
+                values = np.zeros(len(one), np.int64)
+                values[at] = one[column].to_numpy()
+                arrays.append(values.tobytes())
+            rows.append((int(one["shard"].iloc[0]), perfect.sizes, perfect.bits.tobytes(), *arrays))
+        return pd.DataFrame(rows, columns=["shard", "sizes", "bits", "fingerprints", "owners", "ties"])
+
+    made = keys.groupBy("shard").applyInPandas(build, "shard int, sizes array<long>, bits binary, fingerprints binary, owners binary, ties binary")
+    return made.join(slots, "shard").drop("shard")
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", min_chars: int = 10) -> DataFrame:
     """The input with ``text`` reduced to its kept lines, and ``n_lines``, ``n_dropped``."""
     spark = docs.sparkSession
     small_batches(spark)
-    owner = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
-    base = docs.select(owner.alias("owner"), F.col(text).alias("text"))
-
-    def read(skip: frozenset[bytes] = frozenset()):
-        def run(batches):
-            for pdf in batches:
-                owners, halves = [], []
-                for who, t in zip(pdf["owner"], pdf["text"], strict=True):
-                    keys = set(line_keys(t, min_chars)) - {None} - skip
-                    halves += keys
-                    owners.append(np.full(len(keys), who, np.int64))
-                h = np.frombuffer(b"".join(halves), np.int64).reshape(-1, 2)
-                yield pd.DataFrame({"h1": h[:, 0], "h2": h[:, 1], "owner": np.concatenate(owners) if owners else np.zeros(0, np.int64)})
-
-        return run
-
-    schema = "h1 long, h2 long, owner long"
-    grouped = base.mapInPandas(read(), schema).groupBy("h1", "h2").agg(F.min("owner").alias("owner"), F.max("owner").alias("other"), F.count("*").alias("n"))
-    repeated = durable(grouped.where("owner < other").drop("other"))
-    total = repeated.agg(F.sum("n")).first()[0] or 0
-    often = repeated.where(F.col("n") > total / FREQUENT_KEYS).collect()
-    frequent = {np.array([r["h1"], r["h2"]], np.int64).tobytes(): r["owner"] for r in often}
-
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    arrays = build_shards(repeated, parts)
-    probes = base.mapInPandas(read(frozenset(frequent)), schema).withColumn("shard", F.pmod(F.col("h1"), F.lit(parts)).cast("int"))
-
-    def probe(lines: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"owner": np.zeros(0, np.int64), "h1": np.zeros(0, np.int64)})
-        if not len(shard) or not len(lines):
-            return none
-        row = shard.iloc[0]
-        perfect = PerfectHash([int(s) for s in row["sizes"]], np.frombuffer(row["bits"], np.uint8))
-        at = perfect.index(lines["h1"].to_numpy().view(np.uint64))
-        known = np.flatnonzero(at >= 0)
-        at = at[known]
-        same = np.frombuffer(row["fingerprints"], np.int64)[at] == lines["h2"].to_numpy()[known]
-        lost = same & (np.frombuffer(row["counts"], np.int64)[at] > 1) & (np.frombuffer(row["owners"], np.int64)[at] != lines["owner"].to_numpy()[known])
-        return lines.iloc[known[lost]][["owner", "h1"]]
-
-    lost = probes.groupBy("shard").cogroup(arrays.groupBy("shard")).applyInPandas(probe, "owner long, h1 long").distinct()
-    by_document = lost.groupBy("owner").agg(F.collect_list("h1").alias("__lost")).withColumnRenamed("owner", "__owner")
-    rest = [c for c in docs.columns if c not in (text, "n_lines", "n_dropped")]
-    joined = docs.withColumn("__owner", owner).join(by_document, "__owner", "left")
-    types = dict(docs.dtypes)
-    out_schema = ", ".join([*(f"`{c}` {types[c]}" for c in rest), f"`{text}` string", "n_lines long", "n_dropped long"])
-
-    def keep(batches):
-        for pdf in batches:
-            kept, n_lines, n_dropped = [], [], []
-            for who, t, lost_keys in zip(pdf.pop("__owner"), pdf.pop("__text"), pdf.pop("__lost"), strict=True):
-                gone = set() if lost_keys is None else set(np.asarray(lost_keys, np.int64).tolist())
-                lines, keys = (t or "").split("\n"), line_keys(t, min_chars)
-                stay = [k is None or frequent.get(k, who) == who and int.from_bytes(k[:8], "little", signed=True) not in gone for k in keys]
-                kept.append("\n".join([x for x, s in zip(lines, stay, strict=True) if s]))
-                n_lines.append(len(lines))
-                n_dropped.append(len(lines) - sum(stay))
-            yield pdf.assign(**{text: kept, "n_lines": n_lines, "n_dropped": n_dropped})[[*rest, text, "n_lines", "n_dropped"]]
-
-    return joined.select(*rest, "__owner", F.col(text).alias("__text"), "__lost").mapInPandas(keep, out_schema)
+    owner = F.coalesce(named(id_col).cast("long"), F.lit(_LAST))
+    tie = F.when(named(id_col).cast("long").isNull(), F.xxhash64(named(text).cast("string"))).otherwise(F.lit(0).cast("long"))
+    base = docs.select(owner.alias("owner"), tie.alias("tie"), named(text).alias("text"))
+
+    def read(texts):
+        rows, halves = [], []
+        for i, t in enumerate(texts):
+            keys = set(line_keys(t, min_chars)) - {None}
+            halves += keys
+            rows.append(np.full(len(keys), i, np.int64))
+        h = np.frombuffer(b"".join(halves), np.int64).reshape(-1, 2)
+        return np.concatenate(rows) if rows else np.zeros(0, np.int64), [np.ascontiguousarray(h[:, 0]), np.ascontiguousarray(h[:, 1])]
+
+    lines = map_texts(base, "text", ["owner", "tie"], "h1 long, h2 long", lambda: read)
+    ends = [f("owner").alias(n) for f, n in ((F.min, "owner"), (F.max, "other"))] + [f("tie").alias(n) for f, n in ((F.min, "tie"), (F.max, "far_tie"))]
+    # Only keys that null ids alone hold have ties of two kinds or an owner that is one.
+    grouped = lines.groupBy("h1", "h2").agg(*ends, F.count("*").alias("n"))
+    repeated = durable(grouped.where("owner < other OR tie < far_tie").select("h1", "h2", "owner", F.when(F.col("owner") == _LAST, F.col("tie")).otherwise(0).alias("tie"), "n"))
+
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + repeated.count() // SHARD_KEYS)
+    shard = F.pmod(F.col("h1"), F.lit(shards)).cast("int")
+    hits = {r["shard"]: r["n"] for r in repeated.groupBy(shard.alias("shard")).agg(F.sum("n").alias("n")).collect()}  # one row for each shard
+    even = max(1.0, sum(hits.values()) / shards)
+    copies = [math.ceil(hits.get(k, 0) / even) or 1 for k in range(shards)]
+    first = np.concatenate([[0], np.cumsum(copies)]).tolist()
+    slots = spark.createDataFrame([(k, first[k] + j) for k in range(shards) for j in range(copies[k])], "shard int, slot int")
+    arrays = build_shards(repeated.withColumn("shard", shard), slots)
+
+    def deal(batches):
+        start, width = np.array(first[:-1]), np.array(copies)
+        for batch in batches:
+            who, h = batch.column(0).to_numpy().view(np.uint64), batch.column(2).to_numpy()
+            at = np.mod(h, shards)
+            slot = start[at] + (mixed(who ^ batch.column(1).to_numpy().view(np.uint64)) % width[at].astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(slot.astype(np.int32))], names=["owner", "tie", "h1", "h2", "slot"])
+
+    def probe(asked: pd.DataFrame, layers: pd.DataFrame) -> pd.DataFrame:
+        lost = np.zeros(len(asked), bool)
+        h1, h2, who, own = (asked[c].to_numpy() for c in ("h1", "h2", "owner", "tie"))
+        for row in layers.itertuples() if len(asked) else ():
+            at = PerfectHash([int(s) for s in row.sizes], np.frombuffer(row.bits, np.uint8)).index(h1.view(np.uint64))
+            known = np.flatnonzero(at >= 0)
+            at = at[known]
+            same = np.frombuffer(row.fingerprints, np.int64)[at] == h2[known]
+            other = (np.frombuffer(row.owners, np.int64)[at] != who[known]) | (np.frombuffer(row.ties, np.int64)[at] != own[known])
+            lost[known] |= same & other
+        return asked.loc[lost, ["owner", "tie", "h1"]]
+
+    probes = lines.select("owner", "tie", "h1", "h2").mapInArrow(deal, "owner long, tie long, h1 long, h2 long, slot int")
+    lost = probes.groupBy("slot").cogroup(arrays.groupBy("slot")).applyInPandas(probe, "owner long, tie long, h1 long").distinct()
+    new = [text, "n_lines", "n_dropped"]
+    rest = [c for c in docs.columns if c not in new]
+    who, own, body, gone = fresh(docs.columns, "owner", "tie", "body", "gone")
+    by_document = lost.groupBy(F.col("owner").alias(who), F.col("tie").alias(own)).agg(F.collect_list("h1").alias(gone))
+    joined = docs.select(*(named(c) for c in rest), named(text).alias(body), owner.alias(who), tie.alias(own)).join(by_document, [who, own], "left")
+
+    def keep(texts, lost_keys):
+        kept, n_lines, n_dropped = [], [], []
+        for t, keys_gone in zip(texts, lost_keys.to_pylist(), strict=True):
+            lines = (t or "").split("\n")
+            n_lines.append(len(lines))
+            if keys_gone:
+                keys_gone = set(keys_gone)
+                lines = [x for x, k in zip(lines, line_keys(t, min_chars), strict=True) if k is None or int.from_bytes(k[:8], "little", signed=True) not in keys_gone]
+            kept.append("\n".join(lines))
+            n_dropped.append(n_lines[-1] - len(lines))
+        return None, [kept, n_lines, n_dropped]
+
+    return map_texts(joined, body, rest, f"`{text}` string, n_lines long, n_dropped long", lambda: keep, (named(gone),))

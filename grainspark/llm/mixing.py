@@ -27,7 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainspark.llm.common import WordHasher, durable, in_sample, small_batches
+from grainspark.functions.durable import durable, release
+from grainspark.llm.common import WordHasher, in_sample, map_texts, named, small_batches
 from grainspark.llm.langid import fit_ftrl, fit_temperature, softmax
 from grainspark.llm.selected import among, choose, chosen_rows, term_cells
 
@@ -181,23 +182,24 @@ def mix(docs: DataFrame, model: DomainModel, weights: dict[str, float], total_to
     so a scarce domain makes it small; with ``INPUT`` it is the documents' own size.
     ``copies`` is the rate rounded down or up by a hash of the id, so that its expectation is the rate.
     """
-    small_batches(docs.sparkSession)
     new = ("tokens", "domain", "posterior", "rate", "copies")
     kept = [c for c in docs.columns if c not in new]
-    types_of = dict(docs.dtypes)
-    base = docs.select(*kept)
     domains = model.domains
 
-    def posteriors(batches):
+    def masses():
         hasher = WordHasher(marks=True)
-        for pdf in batches:
-            grid, tokens, p = model.posteriors(hasher, pdf["text"].tolist())
+
+        def run(texts):
+            grid, tokens, p = model.posteriors(hasher, texts)
             mass = pd.DataFrame(p * tokens[:, None])
             mass["p"], mass["tokens"] = [tuple(g) for g in grid.tolist()], tokens.astype(float)
             one = mass.groupby("p", as_index=False).sum()
-            yield pd.DataFrame({"p": one["p"].map(list), "tokens": one["tokens"], "mass": one[list(range(len(domains)))].to_numpy().tolist()})
+            return np.zeros(len(one), np.int64), [one["p"].map(list).tolist(), one["tokens"].to_numpy(), one[list(range(len(domains)))].to_numpy().tolist()]
+
+        return run
 
-    found = base.select(F.col(text).alias("text")).mapInPandas(posteriors, "p array<int>, tokens double, mass array<double>").groupBy("p").agg(F.sum("tokens").alias("tokens"), F.array(*(F.sum(F.col("mass")[k]) for k in range(len(domains)))).alias("mass"))
+    found = map_texts(docs.select(named(text).alias("text")), "text", [], "p array<int>, tokens double, mass array<double>", masses)
+    found = found.groupBy("p").agg(F.sum("tokens").alias("tokens"), F.array(*(F.sum(F.col("mass")[k]) for k in range(len(domains)))).alias("mass"))
     types = durable(found.where("tokens > 0"))
     share = np.array([max(0.0, weights.get(d, 0.0)) for d in domains])
     share = share / share.sum() if share.sum() > 0 else np.full(len(domains), 1 / len(domains))
@@ -211,15 +213,18 @@ def mix(docs: DataFrame, model: DomainModel, weights: dict[str, float], total_to
         total_tokens = float(natural.sum())
     steps = fit_rates(types, len(domains), share * total_tokens)
 
-    def rated(batches):
+    release(types)
+
+    def rated():
         hasher = WordHasher(marks=True)
-        for pdf in batches:
-            grid, tokens, p = model.posteriors(hasher, pdf["__text"].tolist())
+
+        def run(texts, u):
+            grid, tokens, p = model.posteriors(hasher, texts)
             rate = np.where(tokens > 0, steps.rates(p), 1.0)
-            part = np.modf(rate)[0]
-            copies = np.floor(rate).astype(np.int32) + (pdf["__u"].to_numpy() < part)
-            yield pdf[kept].assign(tokens=tokens.astype(np.int64), domain=[domains[k] for k in grid.argmax(1)], posterior=grid.tolist(), rate=rate, copies=copies.astype(np.int32))
+            copies = np.floor(rate).astype(np.int32) + (u.to_numpy() < np.modf(rate)[0])
+            return None, [tokens.astype(np.int64), [domains[k] for k in grid.argmax(1)], grid.tolist(), rate, copies.astype(np.int32)]
+
+        return run
 
-    schema = ", ".join([*(f"`{c}` {types_of[c]}" for c in kept), "tokens long, domain string, posterior array<int>, rate double, copies int"])
-    u = F.pmod(F.xxhash64(F.lit("copies"), F.col(id_col)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    return base.select(*kept, F.col(text).alias("__text"), u.alias("__u")).mapInPandas(rated, schema)
+    u = F.pmod(F.xxhash64(F.lit("copies"), named(id_col)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return map_texts(docs, text, kept, "tokens long, domain string, posterior array<int>, rate double, copies int", rated, (u,))

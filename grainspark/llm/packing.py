@@ -1,31 +1,44 @@
 """Packing of tokenised documents into sequences by a grouping genetic algorithm on islands.
 
-Documents are tokenised, closed by id 0 and cut into pieces of at most one sequence. Pieces are dealt by a hash into
-blocks of a few thousand; each block is packed on its own, by several islands. An island keeps a few packings as
-groupings of pieces into bins. Crossover injects whole well-filled bins of one parent into the other, removes the bins
-that hold duplicates, and puts the displaced pieces back best-fit; mutation empties the worst bins. Between rounds the
-best packing of each island migrates to the next island of its block. The best packing of a block gives its sequences.
-Rounds are Spark stages over one small row per island (piece lengths and bin numbers), so neither a task nor the driver
-holds more than a block.
+Documents are tokenised, closed by id 0 and cut into pieces of at most one sequence. Pieces that fill a sequence are
+one; the others are dealt by a hash into blocks of a few thousand, and each block is packed by several islands. An
+island keeps a few packings as groupings of pieces into bins. Crossover injects whole well-filled bins of one parent
+into the other, removes the bins that hold duplicates, and puts the displaced pieces back: first in place of shorter
+ones that they push out, then best-fit; mutation empties the worst bins. Between rounds the best packing of each
+island migrates to the next island of its block; an island rests once it meets a lower bound. Of every block's best
+packing the well-filled bins are closed; the worst-filled ones of some thirty blocks make a block of the next level,
+until one block is left. So the room that blocks waste is packed again, and the whole is as tight as one block.
+
+Levels and rounds are Spark stages over one row for each island (items, lengths and bin numbers), so neither a task
+nor the driver holds more than a few blocks.
 
 Edge cases: a null or empty text is the single id 0; repeated rows are packed as separate pieces; an empty table gives
-no pieces; extra columns are ignored; equal lengths are told apart by id, piece and position in their task.
+no pieces; extra columns are ignored; ids may be null and repeat, as every piece has a number of its own.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_right
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from grainspark.llm.common import durable, small_batches
+from grainspark.functions.durable import durable, release
+from grainspark.llm.common import map_texts, named, small_batches
 
 SEQUENCE = 2048
 BLOCK_PIECES = 4096
+#: Blocks whose worst-filled bins meet in one block of the next level.
+FAN = 32
 
 
 class TokenIds:
@@ -87,6 +100,12 @@ class TokenIds:
         return out
 
 
+@lru_cache(maxsize=2)
+def tokeniser(path: str) -> TokenIds:
+    """One for each Python worker; workers outlive tasks, so the file is read and words are learned once a worker."""
+    return TokenIds(path)
+
+
 def cut(n: int, size: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document of ``n`` ids; only the first may be shorter than ``size``."""
     if n <= size:
@@ -96,24 +115,44 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", id_col: str = "doc_id", size: int = SEQUENCE, end_id: int = 0, with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, lane[, ids]): the pieces of every document; lane counts them per task."""
-    small_batches(docs.sparkSession)
+    """(doc_id, piece, start, length, ids_crc32, item[, ids]): the pieces of every document.
+
+    ``item`` numbers them over all tasks; it is stable once the result is stored.
+    """
     closing = np.array([end_id], "<u4").tobytes()
 
-    def run(batches):
-        tokens, lane = TokenIds(tokenizer_path), 0
-        for pdf in batches:
-            rows = []
-            for i, raw in zip(pdf["doc_id"], tokens([t or "" for t in pdf["text"]]), strict=True):
+    def start():
+        tokens, item = tokeniser(tokenizer_path), TaskContext.get().partitionId() << 33
+
+        def run(texts):
+            nonlocal item
+            rows, out = [], []
+            for i, raw in enumerate(tokens([t or "" for t in texts])):
                 raw += closing
-                for k, (start, length) in enumerate(cut(len(raw) // 4, size)):
-                    part = raw[4 * start : 4 * (start + length)]
-                    rows.append((i, k, start, length, zlib.crc32(part), lane, *([part] if with_ids else [])))
-                    lane += 1
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "lane", *(["ids"] if with_ids else [])])
+                for k, (at, length) in enumerate(cut(len(raw) // 4, size)):
+                    part = raw[4 * at : 4 * (at + length)]
+                    rows.append(i)
+                    out.append((k, at, length, zlib.crc32(part), item, *([part] if with_ids else [])))
+                    item += 1
+            return rows, list(zip(*out, strict=True)) if out else [[]] * (5 + with_ids)
+
+        return run
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, lane long" + ", ids binary" * with_ids
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, schema)
+    new = "piece int, start long, length long, ids_crc32 long, item long" + ", ids binary" * with_ids
+    return map_texts(docs.select(named(id_col).cast("long").alias("doc_id"), named(text).alias("text")), "text", ["doc_id"], new, start)
+
+
+def least_bins(lengths, size: int) -> int:
+    """A lower bound: the total, or for some length the pieces that cannot share a bin and what is too much for their room."""
+    n = np.bincount(np.asarray(lengths, np.int64), minlength=size + 1)
+    count, total = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(n * np.arange(size + 1))])
+    half, best = size // 2, -(-int(total[-1]) // size)
+    for small in range(half + 1):
+        alone = count[-1] - count[size - small + 1]  # longer than size - small: nothing of length small fits beside them
+        large, inside = count[size - small + 1] - count[half + 1], total[size - small + 1] - total[half + 1]
+        rest = total[half + 1] - total[small] - (large * size - inside)
+        best = max(best, int(alone + large + max(0, -(-rest // size))))
+    return best
 
 
 class Packing:
@@ -165,6 +204,32 @@ class Packing:
             mask |= 1 << left
         return self
 
+    def replace(self, loose: list[int]) -> list[int]:
+        """Put loose items in place of one shorter item of a bin, or of two that are shorter together; return the items then loose."""
+        at = [self.lengths[i] for i in loose]
+        order = sorted(range(len(loose)), key=at.__getitem__)
+        sizes, items = [at[k] for k in order], [loose[k] for k in order]
+        for b, group in enumerate(self.bins):
+            room = self.size - self.fill[b]
+            if not room or not sizes:
+                continue
+            best = None
+            for out in (*combinations(group, 1), *(combinations(group, 2) if len(group) < 7 else ())):
+                freed = sum(self.lengths[i] for i in out)
+                k = bisect_right(sizes, freed + room) - 1
+                if k >= 0 and sizes[k] > freed and (best is None or sizes[k] - freed > best[0]):
+                    best = (sizes[k] - freed, k, out)
+            if best:
+                gain, k, out = best
+                self.bins[b] = [i for i in group if i not in out] + [items[k]]
+                self.fill[b] += gain
+                del sizes[k], items[k]
+                for i in out:
+                    k = bisect_right(sizes, self.lengths[i])
+                    sizes.insert(k, self.lengths[i])
+                    items.insert(k, i)
+        return items[::-1]
+
     def cost(self) -> tuple[int, float]:
         """Fewer bins first; among equals, fuller full bins (the rest is then easier to save)."""
         return len(self.bins), -float(np.square(np.array(self.fill, float) / self.size).sum())
@@ -178,7 +243,7 @@ class Packing:
 
 
 def crossover(a: Packing, b: Packing, random: np.random.Generator) -> Packing:
-    """Inject well-filled bins of ``b`` into ``a``; the displaced pieces go back best-fit, longest first."""
+    """Inject well-filled bins of ``b`` into ``a``; the displaced pieces replace shorter ones or go back best-fit, longest first."""
     fills = np.array(b.fill)
     good = np.flatnonzero(fills >= np.quantile(fills, 0.3))
     chosen = good[random.random(len(good)) < random.uniform(0.2, 0.6)]
@@ -196,33 +261,30 @@ def crossover(a: Packing, b: Packing, random: np.random.Generator) -> Packing:
         else:
             child.bins.append(list(group))
             child.fill.append(fill)
-    displaced.sort(key=a.lengths.__getitem__, reverse=True)
-    return child.best_fit(displaced)
+    return child.best_fit(child.replace(displaced))
 
 
 def mutate(a: Packing, random: np.random.Generator) -> Packing:
-    """Empty the worst-filled bins and some random ones, and put their pieces back in a slightly shaken order."""
+    """Empty the worst-filled bins and some random ones, and put their pieces back as after a crossover."""
     n = len(a.bins)
     worst = set(np.argsort(a.fill)[: max(2, n // 50)].tolist()) | set(random.integers(0, n, max(2, n // 25)).tolist())
     child, loose = Packing(a.lengths, a.size), []
-    for k in range(n):
+    for k in random.permutation(n).tolist():
         if k in worst:
             loose += a.bins[k]
         else:
             child.bins.append(list(a.bins[k]))
             child.fill.append(a.fill[k])
-    shaken = np.array([a.lengths[i] for i in loose]) * random.uniform(0.85, 1.0, len(loose))
-    return child.best_fit([loose[k] for k in np.argsort(-shaken)])
+    return child.best_fit(child.replace(loose))
 
 
 def evolve(lengths: list[int], population: list[list[int]], seed: int, size: int, generations: int, people: int) -> list[list[int]]:
-    """The population after some generations, best first; a short one is filled with shaken best-fit-decreasing packings."""
-    random = np.random.default_rng(seed)
+    """The population after some generations, best first; a short one is filled with best-fit-decreasing packings, the later ones shaken."""
+    random, floor = np.random.default_rng(seed), least_bins(lengths, size)
     pool = [Packing.of(lengths, size, p) for p in population]
-    while len(pool) < people:
+    while len(pool) < people and not any(len(p.bins) <= floor for p in pool):
         order = np.argsort(-np.array(lengths) * (random.uniform(0.9, 1.0, len(lengths)) if pool else 1.0), kind="stable")
         pool.append(Packing(lengths, size).best_fit(order.tolist()))
-    floor = -(-sum(lengths) // size)
     ranked = sorted(((p.cost(), k, p) for k, p in enumerate(pool)), key=lambda x: x[:2])
     count = len(pool)
     for _ in range(generations):
@@ -238,46 +300,90 @@ def evolve(lengths: list[int], population: list[list[int]], seed: int, size: int
     return [p.numbered() for _, _, p in ranked[:people]]
 
 
-def pack(parts: DataFrame, size: int = SEQUENCE, block_pieces: int = BLOCK_PIECES, islands: int = 2, rounds: int = 2, generations: int = 5, people: int = 3, seed: int = 1) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to pieces (as of ``pieces``; it must be a stored table, read more than once)."""
-    blocks = max(1, -(-parts.count() // block_pieces))
-    block = F.pmod(F.xxhash64("doc_id", "piece", "lane", "ids_crc32"), F.lit(blocks)).cast("int")
-    dealt = parts.withColumn("block", block)
-    order = Window.partitionBy("block").orderBy(F.desc("length"), "doc_id", "piece", "lane", "ids_crc32")
-    ranked = dealt.withColumn("item", F.row_number().over(order) - 1)
-    tasks = min(blocks * islands, int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def _worked(frame: DataFrame, schema: str, work) -> DataFrame:
+    """Rows made by ``work`` (a row as a dict to some rows), block by block."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                made = work(row)
+                if made:
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, m, strict=True)) for m in made], schema=pa.schema(types))
+
+    types = list(to_arrow_schema(T._parse_datatype_string(schema)))
+    return frame.mapInArrow(run, schema)
+
+
+STATE = "block long, items array<long>, lengths array<int>, island int, population array<array<int>>, n_bins int"
+
+
+def pack_blocks(dealt: DataFrame, blocks: int, size: int, islands: int, rounds: int, generations: int, people: int, seed: int) -> DataFrame:
+    """(block, items, lengths, bins): the best packing of each block of (block, item, length), as a stored table."""
+    tasks = max(1, min(blocks * islands, int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    gathered = dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("length", "item")), asc=False).alias("all"))
     state = (
-        dealt.groupBy("block")
-        .agg(F.sort_array(F.collect_list("length"), asc=False).alias("lengths"))
+        gathered.select("block", F.col("all.item").alias("items"), F.col("all.length").cast("array<int>").alias("lengths"))
         .withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
         .withColumn("population", F.array().cast("array<array<int>>"))
-        .repartition(max(1, tasks), "block", "island")
+        .repartition(tasks, "block", "island")
     )
+    for number in range(rounds):
 
-    def round_of(number: int):
-        def run(batches):
-            for pdf in batches:
-                for row in pdf.itertuples():
-                    lengths = [int(x) for x in row.lengths]
-                    population = [[int(x) for x in p] for p in row.population]
-                    found = evolve(lengths, population, hash((seed, int(row.block), int(row.island), number)) & 0xFFFFFFFF, size, generations, people)
-                    yield pd.DataFrame({"block": [row.block], "lengths": [lengths], "island": [row.island], "population": [found], "n_bins": [max(found[0]) + 1]})
-
-        return run
+        def grow(row, number=number):
+            mix = np.random.SeedSequence([seed, row["block"], row["island"], number]).generate_state(1)[0]
+            found = evolve(row["lengths"], row["population"], int(mix), size, generations, people)
+            return [(row["block"], row["items"], row["lengths"], row["island"], found, max(found[0]) + 1)]
 
-    schema = "block int, lengths array<long>, island int, population array<array<int>>, n_bins int"
-    for number in range(rounds):
-        state = state.mapInPandas(round_of(number), schema)
+        state = _worked(state, STATE, grow)
         if number + 1 < rounds:
             ring = Window.partitionBy("block").orderBy("island")
-            whole = Window.partitionBy("block").orderBy("island").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-            guest = F.coalesce(F.lead(F.col("population")[0]).over(ring), F.first(F.col("population")[0]).over(whole))
-            state = state.select("block", "lengths", "island", F.concat(F.array(guest), F.slice("population", 1, people - 1)).alias("population")).repartition(max(1, tasks), "block", "island")
-    best = state.groupBy("block").agg(F.min_by(F.col("population")[0], F.struct("n_bins", "island")).alias("bins"))
-    placed = best.select("block", F.posexplode("bins").alias("item", "bin"))
-    spot = Window.partitionBy("block", "bin").orderBy("item").rowsBetween(Window.unboundedPreceding, -1)
-    joined = ranked.join(placed, ["block", "item"])
-    return joined.select(*parts.columns, (F.col("block").cast("long") * F.lit(1 << 20) + F.col("bin")).alias("sequence_id"), F.coalesce(F.sum("length").over(spot), F.lit(0)).cast("long").alias("offset"))
+            guest = F.coalesce(F.lead(F.col("population")[0]).over(ring), F.first(F.col("population")[0]).over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+            state = state.select("block", "items", "lengths", "island", F.concat(F.array(guest), F.slice("population", 1, people - 1)).alias("population")).repartition(tasks, "block", "island")
+    # Islands of a block hold the same items in the same order.
+    one = F.struct("n_bins", "island")
+    return durable(state.groupBy("block").agg(F.min_by("items", one).alias("items"), F.min_by("lengths", one).alias("lengths"), F.min_by(F.col("population")[0], one).alias("bins")))
+
+
+def split_bins(row: dict, carry: bool, fan: int) -> list[tuple]:
+    """(item, length, sequence_id, offset) of a packed block's pieces; the worst-filled bins are carried: their last two are null.
+
+    A bin is named by the least item in it.
+    """
+    groups: dict[int, list[int]] = {}
+    for k, b in enumerate(row["bins"]):
+        groups.setdefault(b, []).append(k)
+    fill = {b: sum(row["lengths"][k] for k in g) for b, g in groups.items()}
+    left = set(sorted(fill, key=lambda b: (fill[b], b))[: -(-len(fill) // fan)] if carry else ())
+    out = []
+    for b, group in groups.items():
+        name, at = min(row["items"][k] for k in group), 0
+        for k in group:
+            out.append((row["items"][k], row["lengths"][k], None, None) if b in left else (row["items"][k], row["lengths"][k], name, at))
+            at += row["lengths"][k]
+    return out
+
+
+def pack(parts: DataFrame, size: int = SEQUENCE, block_pieces: int = BLOCK_PIECES, islands: int = 2, rounds: int = 2, generations: int = 10, people: int = 3, fan: int = FAN, seed: int = 1) -> DataFrame:
+    """Add ``sequence_id`` and ``offset`` to pieces (as of ``pieces``; it must be a stored table, read more than once)."""
+    small_batches(parts.sparkSession)
+    todo = parts.where(F.col("length") < size).select("item", "length")
+    spots = parts.where(F.col("length") >= size).select("item", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    while True:
+        n = todo.count()
+        if not n:
+            break
+        blocks = -(-n // block_pieces)
+        dealt = todo.withColumn("block", F.pmod(F.xxhash64("item", F.lit(seed)), F.lit(blocks)))
+        best = pack_blocks(dealt, blocks, size, islands, rounds, generations, people, seed)
+        carry = blocks > 1
+        done = durable(_worked(best, "item long, length int, sequence_id long, offset long", lambda row, carry=carry: split_bins(row, carry, fan)))
+        release(best)
+        spots = spots.unionByName(done.where("sequence_id IS NOT NULL").select("item", "sequence_id", "offset"))
+        if not carry:
+            break
+        todo = done.where("sequence_id IS NULL").select("item", F.col("length").cast("long").alias("length"))
+    return parts.join(spots, "item").select(*parts.columns, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:

@@ -17,11 +17,9 @@ from __future__ import annotations
 import re
 
 import ahocorasick
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from grainspark.llm.common import small_batches
+from grainspark.llm.common import map_texts, named
 
 KINDS = ("email", "ip", "card", "phone", "secret", "login")
 BASE = KINDS[:4]
@@ -110,12 +108,14 @@ def spans(text: str | None, automaton: ahocorasick.Automaton) -> list[tuple[int,
 
 def find_spans(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, spans): spans is an array of (kind, start, end, value), by start and kind."""
-    small_batches(docs.sparkSession)
 
-    def run(batches):
+    def start():
         automaton = anchors()
-        for pdf in batches:
-            found = [[{"kind": k, "start": a, "end": b, "value": t[a:b]} for a, b, k in spans(t, automaton)] for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "spans": found})
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, spans array<struct<kind string, start long, end long, value string>>")
+        def run(texts):
+            return None, [[[{"kind": k, "start": a, "end": b, "value": t[a:b]} for a, b, k in spans(t, automaton)] for t in texts]]
+
+        return run
+
+    base = docs.select(named(id_col).cast("long").alias("doc_id"), named(text).alias("text"))
+    return map_texts(base, "text", ["doc_id"], "spans array<struct<kind string, start long, end long, value string>>", start)

@@ -8,11 +8,11 @@ log-likelihood ratio of cell and label; what reaches the driver is bounded by th
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainspark.llm.common import WordHasher, distinct_pairs
+from grainspark.llm.common import WordHasher, distinct_pairs, map_texts
 
 CELL_BITS = 21
 CELLS = 1 << CELL_BITS
@@ -21,14 +21,18 @@ BEGINNINGS = (4, 5, 6, 7)
 
 def term_cells(hasher: WordHasher, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (index of the text, cell) pairs, sorted, and the number of words of each text."""
-    owner, starts, ends, hashes = hasher.spans(texts)
-    owners, values = [owner], [hashes(starts, ends)]
-    for n in BEGINNINGS:
-        longer = ends - starts > n
-        owners.append(owner[longer])
-        values.append(hashes(starts[longer], starts[longer] + n) ^ np.uint64(0xA5A5A5A5A5A5 + n))
-    at, cells = distinct_pairs(np.concatenate(owners), np.concatenate(values) % np.uint64(CELLS), CELL_BITS)
-    return at, cells.astype(np.int64), np.bincount(owner, minlength=len(texts))
+    owners, values, words = [], [], np.zeros(len(texts), np.int64)
+    for owner, starts, ends, hashes in hasher.chunks(texts):
+        words += np.bincount(owner, minlength=len(texts))
+        found = [(owner, hashes(starts, ends))]
+        for n in BEGINNINGS:
+            longer = ends - starts > n
+            found.append((owner[longer], hashes(starts[longer], starts[longer] + n) ^ np.uint64(0xA5A5A5A5A5A5 + n)))
+        at, cells = distinct_pairs(np.concatenate([o for o, _ in found]), np.concatenate([v for _, v in found]) % np.uint64(CELLS), CELL_BITS)
+        owners.append(at)
+        values.append(cells)
+    at, cells = distinct_pairs(np.concatenate(owners), np.concatenate(values), CELL_BITS)
+    return at, cells.astype(np.int64), words
 
 
 def among(cells: np.ndarray, owner: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,16 +50,16 @@ def choose(rows: DataFrame, sizes: list[int], marks: bool = False, least_ratio:
 
     def count(batches):
         hasher, total = WordHasher(marks), np.zeros((len(sizes), CELLS), np.int32)
-        for pdf in batches:
-            owner, cells, _ = term_cells(hasher, pdf["text"].tolist())
-            label = pdf["label"].to_numpy()[owner]
+        for batch in batches:
+            owner, cells, _ = term_cells(hasher, batch.column(0).to_pylist())
+            label = batch.column(1).to_numpy()[owner]
             for k in range(len(sizes)):
                 total[k] += np.bincount(cells[label == k], minlength=CELLS).astype(np.int32)
         at = np.flatnonzero(total.any(0))
-        yield pd.DataFrame({"cell": at.astype(np.int32)} | {n: total[k, at].astype(np.int64) for k, n in enumerate(names)})
+        yield pa.RecordBatch.from_pydict({"cell": at.astype(np.int32)} | {n: total[k, at].astype(np.int64) for k, n in enumerate(names)})
 
     schema = "cell int, " + ", ".join(f"{n} long" for n in names)
-    counted = rows.select("text", "label").mapInPandas(count, schema).groupBy("cell").agg(*(F.sum(n).alias(n) for n in names))
+    counted = rows.select("text", F.col("label").cast("int")).mapInArrow(count, schema).groupBy("cell").agg(*(F.sum(n).alias(n) for n in names))
     both = sum((F.col(n) for n in names[1:]), F.col(names[0]))
     ratio = F.lit(0.0)
     for n, size in zip(names, sizes, strict=True):
@@ -67,14 +71,16 @@ def choose(rows: DataFrame, sizes: list[int], marks: bool = False, least_ratio:
 def chosen_rows(rows: DataFrame, cells: np.ndarray, marks: bool = False) -> tuple[list[np.ndarray], np.ndarray]:
     """For a bounded table of (id, text, label): the positions of chosen cells of each row, and the labels, by id."""
 
-    def run(batches):
+    def start():
         hasher = WordHasher(marks)
-        for pdf in batches:
-            found = term_cells(hasher, pdf["text"].tolist())
-            owner, at = among(cells, found[0], found[1])
-            edges = np.searchsorted(owner, np.arange(len(pdf) + 1))
+
+        def run(texts):
+            owner, at = among(cells, *term_cells(hasher, texts)[:2])
+            edges = np.searchsorted(owner, np.arange(len(texts) + 1))
             at = at.astype(np.uint16)
-            yield pd.DataFrame({"id": pdf["id"], "label": pdf["label"], "at": [at[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)]})
+            return None, [[at[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)]]
+
+        return run
 
-    got = rows.select("id", "text", "label").mapInPandas(run, "id long, label int, at binary").toPandas().sort_values("id", kind="stable")
+    got = map_texts(rows, "text", ["id", "label"], "at binary", start).toPandas().sort_values("id", kind="stable")
     return [np.frombuffer(x, np.uint16).astype(np.int64) for x in got["at"]], got["label"].to_numpy(np.int64)

@@ -8,9 +8,9 @@ Links are found from a table of Hamming distances between each distinct fingerpr
 The block's pivots are a resolving set of the 8-cube, so a block's distances (relative to the base) tell its value.
 Two fingerprints within 2 bits agree in at least six of the eight blocks, so they agree in all distances of one of
 the 28 choices of six blocks: those distances are the search key. Members of one key differ in at most 16 bits, so a
-key never holds more than 65,536 fingerprints, whatever the input. Inside a key, pairs whose distances differ by more
-than the radius at any pivot are discarded, survivors are verified bit by bit, and only a spanning forest of the links
-leaves the task. Components come from repeated contraction.
+key never holds more than 65,536 fingerprints, whatever the input. Inside every key, pairs whose distances differ by
+more than the radius at any pivot are discarded, survivors are verified bit by bit, and only a spanning forest of the
+links leaves the task. Components come from repeated contraction.
 
 Edge cases: a null, empty or white-space text has fingerprint zero and is linked like any other; fewer words than a
 shingle give one shingle of all words; equal fingerprints are one node, so thousands of copies cost one row; a null id
@@ -22,12 +22,13 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainspark.llm.common import durable, mixed, small_batches
+from grainspark.functions.durable import durable
+from grainspark.llm.common import map_texts, mixed, named
 from grainspark.operators.graph import components
 
 BLOCKS = 8
@@ -45,28 +46,36 @@ def shingles(text: str | None, width: int) -> list[bytes]:
     return list(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)))
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
+def shingle_hashes(text: str | None, width: int, seed: int) -> np.ndarray:
+    """The XXH64 values of all shingles, repeats included, as rows of eight bytes, most significant first."""
     parts = shingles(text, width)
-    if not parts:
+    digest, blocks = xxhash.xxh64_digest, []
+    for at in range(0, len(parts), 1 << 16):
+        blocks.append(b"".join([digest(p, seed) for p in parts[at : at + (1 << 16)]]))
+    return np.frombuffer(b"".join(blocks), np.uint8).reshape(-1, 8)
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of rows of hash bytes: a bit is 1 if it is set in over half the rows; zero without rows."""
+    if not len(h):
         return 0
-    digest = xxhash.xxh64_digest
-    h = np.frombuffer(b"".join([digest(p, seed) for p in parts]), np.uint8).reshape(-1, 8)
     votes = np.zeros(64, np.int64)
     for at in range(0, len(h), 255):
         votes += np.add.reduce(np.unpackbits(h[at : at + 255], axis=1), 0, dtype=np.uint8)
     return int(np.packbits(votes * 2 > len(h)).view(_NATIVE)[0])
 
 
+def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
+    return majority(shingle_hashes(text, width, seed))
+
+
 def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long."""
-    small_batches(docs.sparkSession)
 
-    def run(batches):
-        for pdf in batches:
-            values = np.array([fingerprint(t, width, seed) for t in pdf["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": values.view(np.int64)})
+    def run(texts):
+        return None, [np.array([fingerprint(t, width, seed) for t in texts], np.uint64).view(np.int64)]
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, fp long")
+    return map_texts(docs.select(named(id_col).cast("long").alias("doc_id"), named(text).alias("text")), "text", ["doc_id"], "fp long", lambda: run)
 
 
 def resolving_codes(seed: int = 5) -> np.ndarray:
@@ -136,38 +145,52 @@ def forest(fp: np.ndarray, radius: int, block: int = 512) -> tuple[np.ndarray, n
     return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, int), np.zeros(0, int))
 
 
-def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints that connect exactly what links of ``radius`` connect."""
+def close_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Which of the pairs are within ``radius`` bits: those whose pivot distances differ more are discarded, the rest verified."""
+    maybe = np.abs(distance_table(a) - distance_table(b)).max(1) <= radius if len(a) else np.zeros(0, bool)
+    maybe[maybe] = np.bitwise_count(a[maybe] ^ b[maybe]) <= radius
+    return maybe
+
+
+def links(distinct: DataFrame, radius: int = 2, rows_a_task: int = 20_000) -> DataFrame:
+    """Edges (u, v) between distinct fingerprints (a stored table) that connect exactly what links of ``radius`` connect."""
 
     def keys(batches):
-        for pdf in batches:
-            k = search_keys(pdf["fp"].to_numpy().view(np.uint64), radius)
-            yield pd.DataFrame({"key": k.view(np.int64).ravel(), "fp": np.repeat(pdf["fp"].to_numpy(), k.shape[1])})
+        for batch in batches:
+            fp = batch.column(0).to_numpy()
+            k = search_keys(fp.view(np.uint64), radius)
+            yield pa.RecordBatch.from_pydict({"key": k.view(np.int64).ravel(), "fp": np.repeat(fp, k.shape[1])})
 
     def connect(batches):
-        for pdf in batches:
-            us, vs = [], []
-            for members in pdf["members"]:
-                fp = np.asarray(members, np.int64)
-                if len(fp) == 2:
-                    if (int(fp[0] ^ fp[1]) & (1 << 64) - 1).bit_count() <= radius:
-                        us.append(fp[:1])
-                        vs.append(fp[1:])
-                    continue
-                u, v = forest(fp.view(np.uint64), radius)
+        for batch in batches:
+            members = batch.column(0)
+            flat, cuts = members.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(np.asarray(members.value_lengths()))])
+            two = np.flatnonzero(np.diff(cuts) == 2)
+            a, b = flat[cuts[two]], flat[cuts[two] + 1]
+            near = close_pairs(a, b, radius)
+            us, vs = [a[near]], [b[near]]
+            for k in np.flatnonzero(np.diff(cuts) > 2):
+                fp = flat[cuts[k] : cuts[k + 1]]
+                u, v = forest(fp, radius)
                 us.append(fp[u])
                 vs.append(fp[v])
-            yield pd.DataFrame({"u": np.concatenate(us) if us else np.zeros(0, np.int64), "v": np.concatenate(vs) if vs else np.zeros(0, np.int64)})
+            yield pa.RecordBatch.from_pydict({"u": np.concatenate(us).view(np.int64), "v": np.concatenate(vs).view(np.int64)})
 
-    grouped = distinct.select("fp").mapInPandas(keys, "key long, fp long").groupBy("key").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
-    return grouped.select("members").mapInPandas(connect, "u long, v long")
+    # A row becomes 28 (for radius 2), so the few tasks of a small table are not enough.
+    spread = distinct.select("fp").repartition(1 + distinct.count() // rows_a_task)
+    grouped = spread.mapInArrow(keys, "key long, fp long").groupBy("key").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
+    return grouped.select("members").mapInArrow(connect, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id) for every row: the smallest id among all fingerprints reachable by links."""
-    rows = durable(fingerprints(docs, text, id_col, width, seed))
+def grouped(rows: DataFrame, radius: int = 2) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of a stored table (doc_id, fp): the smallest id among all fingerprints reachable by links."""
     distinct = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(distinct, radius))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rows.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
+    """(doc_id, fp, component_id) for every document; see ``grouped``."""
+    return grouped(durable(fingerprints(docs, text, id_col, width, seed)), radius)

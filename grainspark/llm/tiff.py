@@ -1,12 +1,12 @@
 """TIFF media columns: bytes to TIFF files and TIFF files to one row per page.
 
 The reader walks the chain of image directories in either byte order, decodes uncompressed, PackBits, LZW and deflate
-strips and tiles, undoes the horizontal (2) and floating-point (3) predictors and returns the samples of each page.
-The writer makes baseline grey files of 8-bit samples, one page or more, in any of these forms.
+strips and tiles, undoes the horizontal (2) and floating-point (3) predictors and returns the samples of each page,
+whether of 1, 2, 4, 8, 16, 32 or 64 bits, side by side or in planes. The writer makes baseline grey files of 8-bit samples, one page or more, in any of these forms.
 
 Edge cases: a null text is an empty one; an empty payload is 64 zero bytes; a file that is cut short or has a
-compression not named above gives one row with ``error`` set and no samples, as does null content; extra columns are
-ignored; equal texts make equal bytes.
+compression not named above, a size of zero or a header that promises more than the file can hold gives one row with
+``error`` set and no samples, as does null content; extra columns are ignored; equal texts make equal bytes.
 """
 
 from __future__ import annotations
@@ -16,11 +16,10 @@ import struct
 import zlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainspark.llm.common import small_batches
+from grainspark.llm.common import fresh, map_texts, named
 
 #: Fixed values of the format: tag numbers, compression schemes and the bytes in one value of each field type.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, STRIP_ROWS, STRIP_BYTES, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
@@ -190,47 +189,62 @@ def _directories(data: bytes):
     at, seen = struct.unpack_from(order + "I", data, 4)[0], set()
     while at and at not in seen:
         seen.add(at)
-        tags = {}
-        for i in range(struct.unpack_from(order + "H", data, at)[0]):
+        tags, entries = {}, struct.unpack_from(order + "H", data, at)[0]
+        for i in range(entries):
             tag, kind, n = struct.unpack_from(order + "HHI", data, spot := at + 2 + 12 * i)
             size = FIELD_BYTES.get(kind, 1) * n
             where = spot + 8 if size <= 4 else struct.unpack_from(order + "I", data, spot + 8)[0]
             if kind in (1, 3, 4):
                 tags[tag] = list(struct.unpack_from(f"{order}{n}{ {1: 'B', 3: 'H', 4: 'I'}[kind]}", data, where))
         yield order, tags
-        at = struct.unpack_from(order + "I", data, at + 2 + 12 * (i + 1))[0]
+        at = struct.unpack_from(order + "I", data, at + 2 + 12 * entries)[0]
 
 
 def _page(data: bytes, order: str, tags: dict) -> np.ndarray:
     def one(tag, default=None):
-        return tags[tag][0] if tag in tags else default
+        return tags[tag][0] if tags.get(tag) else default
 
-    width, height, samples, bits = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(BITS, 1)
-    kind, predictor, planes = one(SAMPLE_FORMAT, 1), one(PREDICTOR, 1), one(PLANAR, 1)
-    if bits not in (8, 16, 32, 64) or planes != 1:
-        raise ValueError(f"{bits} bits in {planes} planar form are not read")
-    number = np.dtype(f"{order}{'f' if kind == 3 else 'i' if kind == 2 else 'u'}{bits // 8}")
+    width, height, samples, bits = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1), one(BITS, 1)
+    kind, predictor, apart = one(SAMPLE_FORMAT, 1), one(PREDICTOR, 1), one(PLANAR, 1) == 2
+    if bits not in (1, 2, 4, 8, 16, 32, 64) or any(b != bits for b in tags.get(BITS, [])) or bits < 8 and predictor != 1:
+        raise ValueError(f"samples of {tags.get(BITS)} bits with predictor {predictor} are not read")
+    number = np.dtype(f"{order}{'f' if kind == 3 and bits >= 16 else 'i' if kind == 2 and bits >= 8 else 'u'}{max(bits // 8, 1)}")
     tiled = TILE_AT in tags
-    wide, high = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (width, min(one(STRIP_ROWS, height), height))
+    wide, high = (one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0)) if tiled else (width, min(one(STRIP_ROWS, height), height))
+    if min(width, height, samples, wide, high) < 1:
+        raise ValueError("a size is zero")
+    # No compression read here makes more than 4,096 bytes of one, so a larger page is a broken header.
+    if width * height * samples * bits > 8 * 4096 * len(data) or wide * high * samples * bits > 8 * 4096 * max(len(data), 1 << 16):
+        raise ValueError("the page is larger than its file can hold")
     out = np.zeros((height, width, samples), number)
-    across = -(-width // wide)
-    for k, (at, n) in enumerate(zip(tags[TILE_AT if tiled else STRIP_AT], tags[TILE_BYTES if tiled else STRIP_BYTES], strict=True)):
-        if at + n > len(data):
-            raise ValueError("the file is cut short")
-        y, x = k // across * high, k % across * wide
+    across, down, each = -(-width // wide), -(-height // high), 1 if apart else samples
+    places, sizes = tags[TILE_AT if tiled else STRIP_AT], tags[TILE_BYTES if tiled else STRIP_BYTES]
+    if len(places) < across * down * (samples if apart else 1):
+        raise ValueError("parts of the page are missing")
+    for k, (at, n) in enumerate(zip(places, sizes, strict=True)):
+        plane, spot = divmod(k, across * down) if apart else (0, k)
+        y, x = spot // across * high, spot % across * wide
+        if at + n > len(data) or y >= height or plane >= samples:
+            raise ValueError("the file is cut short or has parts beyond the page")
         rows = high if tiled else min(high, height - y)
-        raw = _decoded(data[at : at + n], one(COMPRESSION, 1))[: rows * wide * samples * number.itemsize]
-        if predictor == 3:
-            planes_of = np.frombuffer(raw, np.uint8).reshape(rows, -1).copy()
-            for s in range(samples):
-                np.cumsum(planes_of[:, s::samples], 1, dtype=np.uint8, out=planes_of[:, s::samples])
-            part = np.ascontiguousarray(planes_of.reshape(rows, number.itemsize, wide * samples).transpose(0, 2, 1)).view(number.newbyteorder(">"))
-            part = part.reshape(rows, wide, samples)
+        raw = _decoded(data[at : at + n], one(COMPRESSION, 1))
+        if bits < 8:
+            line = -(-wide * each * bits // 8)
+            fields = np.unpackbits(np.frombuffer(raw, np.uint8)[: rows * line].reshape(rows, line), axis=1)[:, : wide * each * bits]
+            part = np.zeros((rows, wide, each), number)
+            for b in range(bits):
+                part = part * 2 + fields[:, b::bits].reshape(rows, wide, each)
+        elif predictor == 3:
+            spread = np.frombuffer(raw, np.uint8)[: rows * wide * each * number.itemsize].reshape(rows, -1).copy()
+            for s in range(each):
+                np.cumsum(spread[:, s::each], 1, dtype=np.uint8, out=spread[:, s::each])
+            part = np.ascontiguousarray(spread.reshape(rows, number.itemsize, wide * each).transpose(0, 2, 1)).view(number.newbyteorder(">"))
+            part = part.reshape(rows, wide, each)
         else:
-            part = np.frombuffer(raw, number).reshape(rows, wide, samples)
+            part = np.frombuffer(raw[: rows * wide * each * number.itemsize], number).reshape(rows, wide, each)
             if predictor == 2:
                 part = np.cumsum(part, 1, dtype=number.newbyteorder("="))
-        out[y : y + rows, x : x + wide] = part[: height - y, : width - x]
+        out[y : y + rows, x : x + wide, plane : plane + each] = part[: height - y, : width - x]
     return out
 
 
@@ -257,36 +271,34 @@ def payload(text: str | None) -> tuple[bytes, int]:
 
 def store_texts(docs: DataFrame, text: str = "text", id_col: str = "doc_id", compression: int = DEFLATE, predictor: int = 2) -> DataFrame:
     """(doc_id, n_bytes, media): each text as a one-page TIFF, 64 samples wide."""
-    small_batches(docs.sparkSession)
 
-    def run(batches):
-        for pdf in batches:
-            made = [payload(t) for t in pdf["text"]]
-            media = [encode([np.frombuffer(p, np.uint8).reshape(-1, ROW)], compression, predictor) for p, _ in made]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": [n for _, n in made], "media": media})
+    def run(texts):
+        made = [payload(t) for t in texts]
+        return None, [[n for _, n in made], [encode([np.frombuffer(p, np.uint8).reshape(-1, ROW)], compression, predictor) for p, _ in made]]
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, n_bytes long, media binary")
+    base = docs.select(named(id_col).cast("long").alias("doc_id"), named(text).alias("text"))
+    return map_texts(base, "text", ["doc_id"], "n_bytes long, media binary", lambda: run)
 
 
 def read_pages(media: DataFrame, content: str = "media", id_col: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per page: id, the carried columns, page, width, height, samples (bytes, row by row), feature, media_bytes, media_sha256, error."""
-    small_batches(media.sparkSession)
-    types = dict(media.dtypes)
-    kept = ", ".join(f"`{c}` {types[c]}, " for c in carry)
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for i, data in enumerate(pdf["__content"]):
-                head = [pdf[c].iloc[i] for c in ("__id", *carry)]
-                size, digest = (None, None) if data is None else (len(data), hashlib.sha256(data).hexdigest())
-                try:
-                    pages = decode(data)
-                except (ValueError, KeyError, TypeError, struct.error, zlib.error, IndexError) as e:
-                    rows.append([*head, 0, None, None, None, None, size, digest, f"{type(e).__name__}: {e}"])
-                    continue
-                rows += [[*head, k, p.shape[1], p.shape[0], p.tobytes(), feature(p.view(np.uint8)), size, digest, None] for k, p in enumerate(pages)]
-            yield pd.DataFrame(rows, columns=["doc_id", *carry, "page", "width", "height", "samples", "feature", "media_bytes", "media_sha256", "error"])
-
-    schema = f"doc_id long, {kept}page int, width int, height int, samples binary, feature string, media_bytes long, media_sha256 string, error string"
-    return media.select(F.col(id_col).alias("__id"), F.col(content).alias("__content"), *carry).mapInPandas(run, schema)
+    new = ["page", "width", "height", "samples", "feature", "media_bytes", "media_sha256", "error"]
+    kept = [c for c in carry if c not in (*new, "doc_id")]
+
+    def run(_, contents):
+        at, rows = [], []
+        for i, data in enumerate(contents.to_pylist()):
+            size, digest = (None, None) if data is None else (len(data), hashlib.sha256(data).hexdigest())
+            try:
+                pages = decode(data)
+            except (ValueError, KeyError, TypeError, ArithmeticError, struct.error, zlib.error, IndexError, MemoryError) as e:
+                at.append(i)
+                rows.append((0, None, None, None, None, size, digest, f"{type(e).__name__}: {e}"))
+                continue
+            at += [i] * len(pages)
+            rows += [(k, p.shape[1], p.shape[0], p.tobytes(), feature(np.ascontiguousarray(p).view(np.uint8)), size, digest, None) for k, p in enumerate(pages)]
+        return at, list(zip(*rows, strict=True)) if rows else [[]] * len(new)
+
+    none, data = fresh(media.columns, "none", "data")
+    base = media.select(named(id_col).cast("long").alias("doc_id"), *(named(c) for c in kept), F.lit(None).cast("string").alias(none), named(content).alias(data))
+    return map_texts(base, none, ["doc_id", *kept], "page int, width int, height int, samples binary, feature string, media_bytes long, media_sha256 string, error string", lambda: run, (named(data),))

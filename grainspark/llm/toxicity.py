@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainspark.llm.common import WordHasher, in_sample, small_batches
+from grainspark.llm.common import WordHasher, in_sample, map_texts, small_batches
 from grainspark.llm.selected import among, choose, chosen_rows, term_cells
 
 
@@ -71,11 +71,17 @@ def fit(rows: list[np.ndarray], y: np.ndarray, cells: np.ndarray, factors: int =
     return FactorisationMachine(bias, cells, w, v)
 
 
+def prior_shift(sizes: dict[int, int], taken_0: float, taken_1: float) -> float:
+    """Log odds of the labelled table against those of a sample with ``taken_0`` and ``taken_1`` rows of the labels."""
+    return float(np.log(sizes[1] / sizes[0]) - np.log(taken_1 / taken_0))
+
+
 def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", id_col: str = "doc_id", label: str = "toxic", max_rows: int = 40_000, fit_rows: int = 16_000, max_cells: int = 6000) -> FactorisationMachine:
     """Learn from the labelled rows where ``learn`` (over the labels' id) holds.
 
     ``max_rows`` bounds the labelled rows whose terms are counted, half for each label; it also bounds the broadcast
-    of (id, label) that picks their texts. ``fit_rows`` bounds the rows that the weights are fitted on.
+    of (id, label) that picks their texts. ``fit_rows`` bounds the rows that the weights are fitted on;
+    where it cuts one label more than the other, the bias is moved back to the odds of the whole labelled table.
     """
     small_batches(docs.sparkSession)
     known = labels.where(F.col(id_col).isNotNull() & learn & F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label).cast("int")).alias("label"))
@@ -91,20 +97,22 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text",
 
     cells = choose(sampled(max_rows), [min(sizes[k], max_rows / 2) for k in (0, 1)], most=max_cells)
     rows, y = chosen_rows(sampled(fit_rows), cells)
-    return fit(rows, y.astype(float), cells, epochs=int(np.clip(60_000 / max(1, len(rows)), 5, 30)))
+    model = fit(rows, y.astype(float), cells, epochs=int(np.clip(60_000 / max(1, len(rows)), 5, 30)))
+    model.bias += prior_shift(sizes, min(sizes[0], fit_rows / 2), min(sizes[1], fit_rows / 2))
+    return model
 
 
 def score(docs: DataFrame, model: FactorisationMachine, text: str = "text", carry: tuple[str, ...] | None = None) -> DataFrame:
     """Add ``score`` and ``predicted`` to the carried columns (all by default)."""
-    small_batches(docs.sparkSession)
     kept = [c for c in (docs.columns if carry is None else carry) if c not in ("score", "predicted")]
-    types = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), "score double, predicted int"])
 
-    def run(batches):
+    def start():
         hasher = WordHasher()
-        for pdf in batches:
-            s = model.predict(hasher, pdf.pop("__text").tolist())
-            yield pdf.assign(score=s, predicted=(s >= 0.5).astype(np.int32))
 
-    return docs.select(*kept, F.col(text).alias("__text")).mapInPandas(run, schema)
+        def run(texts):
+            s = model.predict(hasher, texts)
+            return None, [s, (s >= 0.5).astype(np.int32)]
+
+        return run
+
+    return map_texts(docs, text, kept, "score double, predicted int", start)

@@ -24,3 +24,29 @@ def test_side_parts_still_go():
 def test_short_sections_and_headings_before_the_best_part():
     html = f"<body><div><h1>The title</h1><div>{PROSE}</div><h2>More</h2><div><p>A short section, of one line only.</p></div></div></body>"
     assert htmlmain.main_blocks(html)[0] == "The title" and "A short section, of one line only." in htmlmain.main_blocks(html) and "More" in htmlmain.main_blocks(html)
+
+
+def test_a_header_deep_inside_an_article_stays():
+    html = "<article>" + "<div>" * 14 + "<header><h1>The title</h1></header>" + PROSE + "</div>" * 14 + "</article><header><h1>Site</h1></header>"
+    assert htmlmain.main_blocks(html)[0] == "The title" and "Site" not in htmlmain.main_blocks(html)
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div class='entry-content'"])
+def test_references_stay_and_menus_go(tag):
+    links = "<ul>" + "".join(f"<li><a href=x>Reference number {k}</a></li>" for k in range(5)) + "</ul>"
+    html = f"<body>{links.replace('Reference', 'Menu')}<{tag}>{PROSE}<h2>References</h2>{links}</{tag.split()[0]}></body>"
+    found = htmlmain.main_blocks(html)
+    assert found[-6:] == ["References", *(f"Reference number {k}" for k in range(5))] and not any("Menu" in x for x in found)
+
+
+def test_formulas_stay_in_their_block():
+    assert "where x equals y holds" in " ".join(htmlmain.main_blocks(f"<article>{PROSE}<p>where <math><mi>x</mi> equals <mi>y</mi></math> holds</p></article>"))
+
+
+def test_pages_without_article_elements(sf_dir):
+    import re
+
+    import duckdb
+
+    for (html,) in duckdb.sql(f"SELECT html FROM '{sf_dir}/pages.parquet'").fetchall():
+        assert htmlmain.main_blocks(re.sub(r"(</?)(article|main)\b", r"\1div", html)) == htmlmain.main_blocks(html)

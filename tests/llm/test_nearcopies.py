@@ -45,7 +45,7 @@ def test_groups_equal_brute_force(spark):
     for (i, _), g in zip(rows, group, strict=True):
         want[g].add(i)
     for r in nearcopies.near_copies(frame(spark, rows)).collect():
-        got[r["__group"]].add(r.doc_id)
+        got[r["group"]].add(r.doc_id)
     assert sets_of(got.values()) == sets_of(want.values()) and 25 < len(want) < len(rows)
     kept = corpus_pipeline.near_dedup(spark, frame(spark, rows), "")
     assert sorted(r.doc_id for r in kept.collect()) == sorted(min(g) for g in want.values())
@@ -62,6 +62,26 @@ def test_a_candidate_group_needs_more_than_its_first_hub(spark):
     assert corpus_pipeline.near_dedup(spark, frame(spark, rows), "").count() == 1
 
 
+def test_groups_larger_than_a_block(spark, monkeypatch):
+    """Variants of one text that are mostly not alike: blocks of 16 must find the links that all pairs find."""
+    monkeypatch.setattr(nearcopies, "BLOCK", 16)
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(80)]
+    rows = [(k, " ".join(edited(rng, base, rng.choice([1, 2, 3])))) for k in range(90)]
+    parts = [set(simhash.shingles(t, 5)) for _, t in rows]
+    group = list(range(len(rows)))
+    for a, b in combinations(range(len(rows)), 2):
+        if len(parts[a] & parts[b]) >= 0.8 * len(parts[a] | parts[b]) and group[a] != group[b]:
+            old, new = group[a], group[b]
+            group = [new if g == old else g for g in group]
+    want, got = defaultdict(set), defaultdict(set)
+    for (i, _), g in zip(rows, group, strict=True):
+        want[g].add(i)
+    for r in nearcopies.near_copies(frame(spark, rows)).collect():
+        got[r["group"]].add(r.doc_id)
+    assert sets_of(got.values()) == sets_of(want.values())
+
+
 def test_one_word_of_sixty_goes(spark):
     base = family(11)[0].split()
     base = [f"w{k}" for k in range(60)] if len(base) != 60 else base

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from grainspark.llm import htmlmain, imatch, langid, linededup, mixing, packing, pii, queries, selected, simhash, tiff, toxicity
 from grainspark.llm.common import WordHasher, distinct_pairs
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, owner long, tokens string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, owner long, tokens string, __text string, gone long, body string, copies string, id long, row string"
+BIG = (1 << 53) + 1
 LONG = "lorem ipsum dolor " * 4000
 
 
@@ -30,10 +31,10 @@ def awkward(spark, partitions=3):
         (4, "", None, "s", 0, 0.1, 7, "x"),
         (None, "THE SAME LINE OF TEXT HERE ", "en", "s", 1, 0.5, 7, "x"),
         (5, LONG, "en", "s", 1, 0.5, 7, "x"),
-        (6, "123 456 !!!", "fr", "s", 1, 0.5, 7, "x"),
+        (BIG, "123 456 !!!", "fr", "s", 1, 0.5, 7, "x"),
         (7, "Ünïcode 文字 \U0001f600 mail a.b@c.example.org", "de", "s", 1, 0.5, 7, "x"),
     ]
-    return spark.createDataFrame(rows, SCHEMA).repartition(partitions)
+    return spark.createDataFrame([(*r, "mine", 1, "mine", "mine", 2, "mine") for r in rows], SCHEMA).repartition(partitions)
 
 
 def empty(spark):
@@ -60,6 +61,13 @@ def roots(n, links):
     return [find(x) for x in range(n)]
 
 
+@pytest.fixture(scope="module")
+def tokenizer_path():
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 # Shared kernels
 def test_word_hashes_are_those_of_words():
     hasher = WordHasher()
@@ -86,12 +94,17 @@ def test_language_of_awkward_rows(spark):
     by = defaultdict(list)
     for r in found.collect():
         by[r.doc_id].append((r.lang_pred, r.score))
-    assert by[3] == by[4] == by[6] == [("und", 0.0)] and len(by[1]) == 2 and by[1][0] == by[1][1]
+    assert by[3] == by[4] == by[BIG] == [("und", 0.0)] and len(by[1]) == 2 and by[1][0] == by[1][1]
     none = langid.predict(docs, langid.train(empty(spark), F.lit(True))).select("lang_pred").distinct().collect()
     assert [r[0] for r in none] == ["und"]
     assert langid.predict(empty(spark), langid.train(docs, F.lit(True))).count() == 0
 
 
+def test_long_texts_are_counted_by_stretches():
+    text = "".join(random.Random(1).choices("abcdef  .é", k=5000))
+    assert (langid.gram_counts([text], stretch=64) == langid.gram_counts([text])).all()
+
+
 def test_penalties_make_weights_sparse():
     rows = [(np.array([i % 2, 2 + i % 3]), np.ones(2)) for i in range(200)]
     w = langid.fit_ftrl(rows, np.array([i % 2 for i in range(200)]), 2, 5, 3, l1=2.0)
@@ -147,6 +160,39 @@ def test_pivots_discard_only_far_pairs():
     assert (gap <= 2).all()
 
 
+def test_ids_beyond_doubles_stay_beside_nulls(spark, tokenizer_path):
+    docs = awkward(spark, 1)
+    found = [
+        simhash.near_duplicates(docs), tiff.read_pages(tiff.store_texts(docs)), pii.find_spans(docs), linededup.dedup_lines(docs), packing.pack_documents(docs, tokenizer_path),
+        langid.predict(docs, langid.train(docs, F.lit(True))), imatch.fingerprint(docs, np.zeros(0, np.uint64)), mixing.mix(docs, mixing.DomainModel(["all"]), {"all": 1.0}),
+        toxicity.score(docs, toxicity.FactorisationMachine(-1.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 1)))),
+    ]
+    for out in found:
+        ids = [r.doc_id for r in out.select("doc_id").collect()]
+        assert ids.count(BIG) == 1 and ids.count(None) == 1 and len(set(ids)) == 8
+
+
+def test_columns_of_the_input_stay_as_they_are(spark):
+    docs = awkward(spark)
+    for out, gone in ((langid.predict(docs, langid.train(docs, F.lit(True))), {"score"}), (linededup.dedup_lines(docs), set()), (mixing.mix(docs, mixing.DomainModel(["all"]), {"all": 1.0}), {"tokens", "copies"})):
+        rows = out.where(f"doc_id = {BIG}").collect()
+        assert [(r["__text"], r["gone"], r["body"], r["id"], r["row"], r["owner"]) for r in rows] == [("mine", 1, "mine", 2, "mine", 7)]
+        assert set(docs.columns) - gone <= set(out.columns)
+
+
+def test_a_text_of_ten_megabytes(spark, tokenizer_path):
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(2000)]
+    long = " ".join(rng.choices(words, k=1_700_000)) + "\na last line here"
+    docs = spark.createDataFrame([(1, long), (2, "a short one\na last line here")], "doc_id long, text string")
+    assert {r.n_dropped for r in linededup.dedup_lines(docs).select("n_dropped").collect()} == {0, 1}
+    assert simhash.near_duplicates(docs).count() == 2 and imatch.compare_with_next(docs, imatch.lexicon(docs)).select("n_chars").collect()
+    assert sum(r.length for r in packing.pack_documents(docs, tokenizer_path).select("length").collect()) > 1_700_000
+    hasher = WordHasher()
+    assert len(hasher([long])[0]) == 1_700_004 and (hasher([long])[1][:50] == hasher([long[:2000]])[1][:50]).all() and (hasher([long])[1][-4:] == hasher(["a last line here"])[1]).all()
+    assert langid.predict(docs, langid.LanguageModel(["x"], np.ones(8192, np.float32), np.ones((1, 8192), np.float32), 1.0)).count() == 2
+
+
 def test_near_duplicates_of_awkward_rows(spark):
     got = simhash.near_duplicates(awkward(spark)).collect()
     assert len(got) == 9
@@ -176,6 +222,33 @@ def test_toxicity_of_rows_it_has_not_learned(spark):
     assert all(r.predicted == r.toxic for r in got)
 
 
+def test_toxicity_query_on_held_out_rows(spark):
+    import duckdb
+
+    folder = "/root/testdata/sf0.01"
+    labels = dict(duckdb.sql(f"SELECT doc_id, toxic FROM '{folder}/labels.parquet' WHERE toxic IS NOT NULL").fetchall())
+    got = queries.op3_toxicity_fm(spark, folder).toPandas()
+    assert len(got) == duckdb.sql(f"SELECT count(*) FROM '{folder}/documents.parquet'").fetchone()[0]
+    assert (got.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got.doc_id]).all()
+    assert got.score.between(0, 1).all() and (got.predicted == (got.score >= 0.5)).all()
+    held = got[got.held_out & got.doc_id.isin(list(labels))]
+    truth = held.doc_id.map(labels)
+    good, bad = held.score[truth == 1].to_numpy(), held.score[truth == 0].to_numpy()
+    area = ((good[:, None] > bad[None, :]) + 0.5 * (good[:, None] == bad[None, :])).mean()
+    assert len(good) >= 5 and area > 0.85
+
+
+def test_scores_keep_the_odds_of_the_whole_table(spark):
+    """Label 0 is cut to a tenth of its rows; the mean score must still be near the share of label 1."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=8)), int(i % 11 == 0)) for i in range(2200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), F.lit(True), fit_rows=400)
+    assert toxicity.prior_shift({0: 2000, 1: 200}, 200, 200) == pytest.approx(np.log(0.1))
+    mean = toxicity.score(docs.select("doc_id", "text"), model).agg(F.avg("score")).first()[0]
+    assert 0.02 < mean < 0.25
+
+
 def test_toxicity_of_awkward_rows(spark):
     docs = awkward(spark)
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (5, 0), (None, 1), (7, None)], "doc_id long, toxic int")
@@ -208,6 +281,66 @@ def test_big_endian_and_float_predictor():
     assert tiff.decode(file)[0][0, :, 0].tolist() == [1.5, 2.25, -3.0, 1e6]
 
 
+def test_planes_and_small_bits():
+    import struct
+
+    def file(fields, data, extra=b""):
+        body = b"".join(struct.pack("<HHI", t, k, n) + (v if isinstance(v, bytes) else struct.pack("<I", v)) for t, k, n, v in fields)
+        return b"II*\0" + struct.pack("<I", 8 + len(data) + len(extra)) + data + extra + struct.pack("<H", len(fields)) + body + b"\0\0\0\0"
+
+    red, green = np.arange(12, dtype=np.uint8).reshape(3, 4), np.arange(100, 112, dtype=np.uint8).reshape(3, 4)
+    data = red.tobytes() + green.tobytes()
+    at = struct.pack("<II", 8, 20) + struct.pack("<II", 12, 12)
+    two = file([(256, 3, 1, 4), (257, 3, 1, 3), (258, 3, 2, struct.pack("<HH", 8, 8)), (259, 3, 1, 1), (273, 4, 2, 32), (277, 3, 1, 2), (278, 3, 1, 3), (279, 4, 2, 40), (284, 3, 1, 2)], data, at)
+    page = tiff.decode(two)[0]
+    assert (page[..., 0] == red).all() and (page[..., 1] == green).all()
+    for bits in (1, 2, 4):
+        values = np.random.default_rng(bits).integers(0, 1 << bits, (3, 5))
+        spread = np.zeros((3, -(-5 * bits // 8) * 8), np.uint8)
+        for b in range(bits):
+            spread[:, b : 5 * bits : bits] = values >> (bits - 1 - b) & 1
+        data = np.packbits(spread, axis=1).tobytes()
+        one = file([(256, 3, 1, 5), (257, 3, 1, 3), (258, 3, 1, bits), (259, 3, 1, 1), (273, 4, 1, 8), (278, 3, 1, 3), (279, 4, 1, len(data))], data)
+        assert (tiff.decode(one)[0][..., 0] == values).all()
+
+
+def test_broken_headers_are_rows(spark):
+    good = bytearray(tiff.encode([np.zeros((20, 20), np.uint8)], tile=16))
+    at = int.from_bytes(good[4:8], "little")
+
+    def changed(tag, value):
+        out = bytearray(good)
+        for k in range(int.from_bytes(out[at : at + 2], "little")):
+            spot = at + 2 + 12 * k
+            if int.from_bytes(out[spot : spot + 2], "little") == tag:
+                out[spot + 8 : spot + 12] = value.to_bytes(4, "little")
+        return out
+
+    files = [good, changed(322, 0), changed(323, 0), changed(256, 0), changed(256, 1 << 31), changed(257, 1 << 31), changed(258, 7), changed(259, 9), changed(324, 1 << 31)]
+    got = {r.doc_id: r for r in tiff.read_pages(spark.createDataFrame([(i, f) for i, f in enumerate(files)], "doc_id long, media binary")).collect()}
+    assert got[0].error is None and all(got[i].error and got[i].samples is None for i in range(1, len(files)))
+
+
+def test_the_stored_form_by_hand(spark):
+    """A reader of its own: one strip, deflate, horizontal differences."""
+    docs = spark.createDataFrame([(1, "héllo " * 30), (2, None)], "doc_id long, text string")
+    media = {r.doc_id: bytes(r.media) for r in tiff.store_texts(docs).collect()}
+    pages = {r.doc_id: r for r in tiff.read_pages(tiff.store_texts(docs)).collect()}
+    for i, t in ((1, "héllo " * 30), (2, "")):
+        data, raw = media[i], t.encode()
+        at, tags = int.from_bytes(data[4:8], "little"), {}
+        for k in range(int.from_bytes(data[at : at + 2], "little")):
+            e = data[at + 2 + 12 * k :][:12]
+            tags[int.from_bytes(e[:2], "little")] = int.from_bytes(e[8:12], "little")
+        want = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        steps = np.frombuffer(zlib.decompress(data[tags[273] : tags[273] + tags[279]]), np.uint8).reshape(-1, 64)
+        assert np.cumsum(steps, 1, dtype=np.uint8).tobytes() == want and (tags[256], tags[257]) == (64, len(want) // 64)
+        assert pages[i].media_sha256 == hashlib.sha256(data).hexdigest() and pages[i].media_bytes == len(data)
+        x = np.frombuffer(want, np.uint8).astype(float)
+        numbers = [x.mean(), x.std(), np.abs(np.diff(x)).mean(), *(((x // 16) == k).mean() for k in range(16))]
+        assert pages[i].feature == ",".join(f"{v:.4f}" for v in numbers)
+
+
 def test_texts_come_back_from_their_pages(spark, sf_dir):
     got = {r.doc_id: r for r in queries.op4_tiff_pages(spark, sf_dir).collect()}
     for i, t, _ in texts(sf_dir, 10_000):
@@ -297,42 +430,110 @@ def test_added_spans_and_awkward_rows(spark):
 
 
 # 7
-def test_imatch_against_neighbours(spark, sf_dir):
+WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+MASK = (1 << 64) - 1
+
+
+def scrambled(x):
+    x = (x ^ x >> 31) * 0xBF58476D1CE4E5B9 & MASK
+    x = (x ^ x >> 29) * 0x94D049BB133111EB & MASK
+    return x ^ x >> 32
+
+
+def brute_terms(text):
+    out = set()
+    for w in WORD.findall((text or "").lower().encode("utf-8", "replace")):
+        h = 0
+        for c in reversed(w):
+            h = (h * 0x9E3779B97F4A7C15 + c + 1) & MASK
+        out.add(scrambled(h) >> 12)
+    return out
+
+
+def brute_imatch(text, band):
+    every = brute_terms(text)
+    terms = every & band or every
+    whole, slots = 0, []
+    for t in terms:
+        whole = (whole + scrambled(t + 1)) & MASK
+    for level, (parts, kept, times) in enumerate(imatch.LEVELS):
+        for k in range(times):
+            sums = [0] * kept
+            for t in terms:
+                drawn = scrambled(t ^ ((level * 64 + k + 1) << 53))
+                if drawn % parts < kept:
+                    sums[drawn % parts] = (sums[drawn % parts] + (scrambled(drawn) | 1 << 63)) & MASK
+            slots += [1 + scrambled(x) % 65535 if x else 0 for x in sums]
+    return whole, slots
+
+
+def brute_likeness(a, b):
+    if a[0] == b[0]:
+        return 1.0
+    best, at, pooled = 0.0, 0, False
+    for _, kept, times in imatch.LEVELS:
+        pairs = [(x, y) for x, y in zip(a[1][at : at + kept * times], b[1][at : at + kept * times], strict=True) if x or y]
+        at += kept * times
+        if len(pairs) >= 6:
+            best, pooled = max(best, sum(x == y for x, y in pairs) / len(pairs)), True
+    pairs = [(x, y) for x, y in zip(a[1], b[1], strict=True) if x or y]
+    return best if pooled else sum(x == y for x, y in pairs) / max(1, len(pairs))
+
+
+def test_imatch_by_brute_force(spark, sf_dir):
     docs = sorted(texts(sf_dir, 10_000), reverse=True)
     got = {r.doc_id: r for r in queries.op7_imatch(spark, sf_dir).collect()}
-    frame = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    mask, hasher = imatch.lexicon(frame), WordHasher()
+    df = defaultdict(int)
+    for _, t, _ in docs:
+        for term in brute_terms(t):
+            df[term] += 1
+    band = {t for t, n in df.items() if 2 <= n <= 0.2 * len(docs)}
+    assert set(imatch.lexicon(spark.read.parquet(f"{sf_dir}/documents.parquet")).tolist()) == band
+    text_of = lambda fp: f"{fp[0]:016x}" + "".join(f"{x:04x}" for x in fp[1])
+    assert len(got) == len(docs)
     for k, (i, t, _) in enumerate(docs):
         nxt = docs[(k + 1) % len(docs)][1] or ""
         t = t or ""
         changed = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
-        own, new, following = (imatch.fingerprints(hasher, [x], mask) for x in (t, changed, nxt))
         r = got[i]
         assert r.edited_sha256 == hashlib.sha256(changed.encode()).hexdigest() and r.n_chars == len(t)
-        assert (r.fingerprint, r.edited_fingerprint) == (imatch.as_text(own)[0], imatch.as_text(new)[0])
-        assert r.near_edited == pytest.approx(imatch.likeness(own, new)[0]) and r.near_next == pytest.approx(imatch.likeness(own, following)[0])
+        if k % 4 == 0 or k > len(docs) - 3:
+            own, new, following = (brute_imatch(x, band) for x in (t, changed, nxt))
+            assert (r.fingerprint, r.edited_fingerprint) == (text_of(own), text_of(new))
+            assert r.near_edited == pytest.approx(brute_likeness(own, new)) and r.near_next == pytest.approx(brute_likeness(own, following))
     assert np.mean([r.near_edited for r in got.values()]) > np.mean([r.near_next for r in got.values()]) + 0.1
 
 
 def test_lexicon_counts_documents(spark):
     rows = [(i, f"common word{i} word{i} pair{i // 2}") for i in range(20)]
-    mask, hasher = imatch.lexicon(spark.createDataFrame(rows, "doc_id long, text string"), max_share=0.5), WordHasher()
-    inside = lambda w: bool(mask[imatch._cells(imatch._terms(hasher, [w])[1])][0])
+    terms = imatch.lexicon(spark.createDataFrame(rows, "doc_id long, text string"), max_share=0.5)
+    inside = lambda w: brute_terms(w) <= set(terms.tolist())
     assert inside("pair3") and not inside("common") and not inside("word3")
+    few = imatch.lexicon(spark.createDataFrame(rows, "doc_id long, text string"), min_share=0.15, max_share=1.0)
+    assert set(few.tolist()) == brute_terms("common")
 
 
 def test_imatch_of_awkward_rows(spark):
-    mask = np.ones(1 << imatch.CELL_BITS, bool)
-    got = imatch.compare_with_next(awkward(spark), mask).collect()
+    terms = np.zeros(0, np.uint64)
+    got = imatch.compare_with_next(awkward(spark), terms).collect()
     by = defaultdict(list)
     for r in got:
         by[r.doc_id].append(r)
-    assert len(got) == 9 and len({r.fingerprint for r in by[1]}) == 1 and by[3][0].near_edited == 1.0
+    assert len(got) == 9 and BIG in by and len({r.fingerprint for r in by[1]}) == 1 and by[3][0].near_edited == 1.0
     assert by[2][0].edited_text == "The same line" + "The same line"
-    alone = imatch.compare_with_next(awkward(spark).where("doc_id = 2"), mask).collect()
+    alone = imatch.compare_with_next(awkward(spark).where("doc_id = 2"), terms).collect()
     assert len(alone) == 1 and alone[0].near_next == 1.0
-    assert imatch.compare_with_next(empty(spark), mask).count() == 0
-    assert len({r.fingerprint for r in imatch.fingerprint(awkward(spark), mask).where("doc_id = 1").collect()}) == 1
+    assert imatch.compare_with_next(empty(spark), terms).count() == 0
+    assert len({r.fingerprint for r in imatch.fingerprint(awkward(spark), terms).where("doc_id = 1").collect()}) == 1
+
+
+def test_order_of_null_ids_and_many_equal_rows(spark):
+    rows = [(None, f"text number {k}") for k in range(300)] + [(5, "the same row")] * 700 + [(k, f"row {k}") for k in range(100, 200)]
+    got = imatch.compare_with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), np.zeros(0, np.uint64)).collect()
+    assert len(got) == len(rows) and sum(r.doc_id == 5 for r in got) == 700 and len({r.edited_text for r in got if r.doc_id == 5}) == 1
+    assert sum(r.doc_id is None for r in got) == 300
+    following = {r.doc_id: r.edited_text for r in got if r.doc_id is not None}
+    assert following[150] == "row" + "row" and following[100] == "row" + "the"
 
 
 # 8
@@ -364,6 +565,31 @@ def test_frequent_lines_and_many_shards(spark):
     assert got == brute_lines(rows)
 
 
+def test_a_hundred_thousand_repeats_and_a_hot_line(spark):
+    """Every repeated line is decided by a shard, the hot one in several places."""
+    rows = spark.range(50_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the hottest line of all\n"), F.concat(F.lit("line shared by two "), (F.col("id") / 2).cast("long")), F.lit("\nonly here "), F.col("id")).alias("text"))
+    got = linededup.dedup_lines(rows).agg(F.sum("n_dropped"), F.sum("n_lines"), F.sum(F.length("text"))).first()
+    assert got[0] == 49_999 + 25_000 and got[1] == 150_000
+    kept = linededup.dedup_lines(rows).where("doc_id IN (0, 1, 7)").orderBy("doc_id").collect()
+    assert [r.text for r in kept] == ["the hottest line of all\nline shared by two 0\nonly here 0", "only here 1", "only here 7"]
+
+
+def test_keys_that_agree_in_half_their_hash(spark):
+    keys = spark.createDataFrame([(0, 5, 1, 10, 0), (0, 5, 2, 11, 0), (0, 6, 3, 12, 0)], "shard int, h1 long, h2 long, owner long, tie long")
+    rows = linededup.build_shards(keys, spark.createDataFrame([(0, 0), (0, 1)], "shard int, slot int")).collect()
+    assert sorted(r.slot for r in rows) == [0, 0, 1, 1]
+    found = {(h2, owner) for r in rows for h2, owner in zip(np.frombuffer(r.fingerprints, np.int64), np.frombuffer(r.owners, np.int64), strict=True)}
+    assert found == {(1, 10), (2, 11), (3, 12)}
+
+
+def test_lines_of_null_ids(spark):
+    rows = [(None, "a line that is shared"), (None, "a line that is shared\nmore"), (None, "a line that is shared\nmore"), (None, "alone and no copy"), (3, "one more shared line"), (None, "one more shared line")]
+    got = [(r.doc_id, r.text) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    shared = [t for _, t in got if "a line that" in t]
+    assert shared in (["a line that is shared"], ["a line that is shared\nmore"] * 2) and (None, "alone and no copy") in got
+    assert (3, "one more shared line") in got and (None, "") in got
+
+
 def test_perfect_hash_is_minimal():
     keys = np.unique(np.random.default_rng(8).integers(0, 1 << 63, 5000, dtype=np.uint64))
     perfect = linededup.PerfectHash.build(keys)
@@ -381,13 +607,6 @@ def test_lines_of_awkward_rows(spark):
 
 
 # 9
-@pytest.fixture(scope="module")
-def tokenizer_path():
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 def test_ids_are_those_of_the_tokenizer(sf_dir, tokenizer_path):
     from tokenizers import Tokenizer
 
@@ -433,6 +652,31 @@ def test_packing_is_valid_and_tight(spark, sf_dir, tokenizer_path):
         assert [p.ids_crc32 for p in parts] == [zlib.crc32(ids[p.start : p.start + p.length].tobytes()) for p in parts]
 
 
+def test_evolution_beats_best_fit_decreasing():
+    for seed in range(3):
+        lengths = sorted(np.random.default_rng(seed).integers(600, 900, 300).tolist(), reverse=True)
+        plain = len(packing.Packing(lengths, 2048).best_fit(range(300)).bins)
+        found = packing.evolve(lengths, [], 1, 2048, 20, 4)
+        assert max(found[0]) + 1 <= plain - 4 and max(found[0]) + 1 >= packing.least_bins(lengths, 2048)
+
+
+def test_lower_bound_of_bins():
+    assert packing.least_bins([600] * 4, 1000) == 4 and packing.least_bins([500] * 4, 1000) == 2 and packing.least_bins([700, 300, 300], 1000) == 2
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        lengths = rng.integers(1, 60, 12).tolist()
+        assert packing.least_bins(lengths, 60) <= len(packing.Packing(lengths, 60).best_fit(np.argsort(-np.array(lengths)).tolist()).bins)
+
+
+def test_blocks_together_are_as_tight_as_one(spark):
+    """Levels: many small blocks waste room that the next levels pack again."""
+    lengths = np.random.default_rng(11).integers(50, 900, 6000).tolist()
+    parts = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "item long, length long")
+    rows = packing.pack(parts, 1000, block_pieces=200, fan=4).collect()
+    plain = len(packing.Packing(lengths, 1000).best_fit(np.argsort(-np.array(lengths)).tolist()).bins)
+    assert sorted(r.item for r in rows) == list(range(6000)) and check_packing(rows, 1000) <= plain + 1
+
+
 def test_generations_do_not_worsen_a_packing():
     rng = np.random.default_rng(9)
     lengths = sorted(rng.integers(200, 700, 300).tolist(), reverse=True)
