@@ -354,7 +354,7 @@ def split_bins(row: dict, carry: bool, fan: int) -> list[tuple]:
     for k, b in enumerate(row["bins"]):
         groups.setdefault(b, []).append(k)
     fill = {b: sum(row["lengths"][k] for k in g) for b, g in groups.items()}
-    left = set(sorted(fill, key=lambda b: (fill[b], b))[: -(-len(fill) // fan)] if carry else ())
+    left = set(sorted(fill, key=lambda b: (fill[b], b))[: min(-(-len(fill) // fan), len(fill) // 2)] if carry else ())  # at most half, so levels end
     out = []
     for b, group in groups.items():
         name, at = min(row["items"][k] for k in group), 0
