@@ -74,7 +74,7 @@ def label_codes(df: DataFrame, label: str) -> DataFrame:
 
 def encode_labels(df: DataFrame, codes: DataFrame, label: str, unknown: int | None = None) -> DataFrame:
     """Add ``<label>_code``; labels not in ``codes`` get ``unknown``."""
-    known = F.broadcast(codes.select(F.col(label).alias("__label"), F.col("code")))
+    known = codes.select(F.col(label).alias("__label"), F.col("code"))
     out = df.join(known, F.col(label) == F.col("__label"), "left").drop("__label")
     return out.withColumn(f"{label}_code", F.coalesce("code", F.lit(unknown)) if unknown is not None else F.col("code")).drop("code")
 

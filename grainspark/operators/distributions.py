@@ -1,8 +1,9 @@
 """Two-sample tests and the explanation of errors by feature distributions.
 
-Rank statistics come from counts of distinct values. Running sums over the values of a feature are taken inside equal
-cells between its least and greatest value, and a cell starts after the sums of the cells before it, so that a feature
-is never in one task. P-values are series in column expressions.
+Rank statistics, moments and medians come from counts of distinct values, which are stored once. Running sums over the
+values of a feature are taken inside cells of about equally many distinct values (marks of a sketch), and a cell starts
+after the sums of the cells before it, so that a feature is never in one task, however its values are spread. P-values
+are series in column expressions.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grainspark.functions.durable import durable
 from grainspark.operators.stats import unpivot
 
 
@@ -36,18 +38,19 @@ def value_counts(long: DataFrame, keys: list[str], side: Column) -> DataFrame:
     return long.where("value IS NOT NULL").groupBy(*keys, "value").agg(F.count_if(side).alias("na"), F.count_if(~side).alias("nb")).where("na + nb > 0")
 
 
-def below(counts: DataFrame, keys: list[str], cells: int = 64) -> DataFrame:
-    """Add ``ba`` and ``bb`` (rows of each side at smaller values) and the totals ``ta`` and ``tb``."""
-    by = Window.partitionBy(*keys)
-    ends = counts.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
-    at = F.least(F.coalesce(F.floor(F.try_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo")) * cells), F.lit(0)), F.lit(cells - 1)).cast("int")
-    placed = counts.join(F.broadcast(ends), keys).withColumn("cell", at)
+def below(counts: DataFrame, keys: list[str], cells: int = 32) -> DataFrame:
+    """Add ``ba`` and ``bb`` (rows of each side at smaller values) and the totals ``ta`` and ``tb``; ``counts`` is stored first."""
+    counts = durable(counts)
+    marks = F.percentile_approx("value", [i / cells for i in range(1, cells)], 1000)
+    ends = counts.groupBy(*keys).agg(marks.alias("marks"), F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
+    at = F.size(F.filter("marks", lambda m: m < F.col("value")))
+    placed = counts.join(ends, keys).withColumn("cell", at).drop("marks")
     totals = placed.groupBy(*keys, "cell").agg(F.sum("na").alias("ca"), F.sum("nb").alias("cb"))
-    earlier = by.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "cell", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"o{c[1]}") for c in ("ca", "cb")))
     inside = Window.partitionBy(*keys, "cell").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    out = placed.join(F.broadcast(offsets), [*keys, "cell"])
-    return out.withColumns({f"b{s}": F.col(f"o{s}") + F.coalesce(F.sum(f"n{s}").over(inside), F.lit(0)) for s in "ab"}).drop("lo", "hi", "cell", "oa", "ob")
+    out = placed.join(offsets, [*keys, "cell"])
+    return out.withColumns({f"b{s}": F.col(f"o{s}") + F.coalesce(F.sum(f"n{s}").over(inside), F.lit(0)) for s in "ab"}).drop("cell", "oa", "ob")
 
 
 def pairs_long(df: DataFrame, cols: list[str], dataset: str, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -76,34 +79,48 @@ def mann_whitney_from(ranked: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def ks_2samp(df: DataFrame, cols: list[str], dataset: str, pairs: list[tuple[str, str]]) -> DataFrame:
-    keys = ["pair", "feature"]
-    return ks_from(below(value_counts(pairs_long(df, cols, dataset, pairs), keys, F.col("a")), keys), keys)
+    return ks_from(ranked_pairs(df, cols, dataset, pairs), ["pair", "feature"])
 
 
 def mann_whitney(df: DataFrame, cols: list[str], dataset: str, pairs: list[tuple[str, str]]) -> DataFrame:
-    keys = ["pair", "feature"]
-    return mann_whitney_from(below(value_counts(pairs_long(df, cols, dataset, pairs), keys, F.col("a")), keys), keys)
+    return mann_whitney_from(ranked_pairs(df, cols, dataset, pairs), ["pair", "feature"])
 
 
-def effect_sizes(df: DataFrame, cols: list[str], dataset: str, pairs: list[tuple[str, str]]) -> DataFrame:
+def effects_from(ranked: DataFrame, keys: list[str]) -> DataFrame:
     """Cohen's d (population variances weighted by n - 1; 0 where they vanish) and differences of mean and median."""
-    long, v = pairs_long(df, cols, dataset, pairs), {True: "a", False: "b"}
+    means = ranked.groupBy(*keys).agg(*(F.try_divide(F.sum(F.col(f"n{s}") * F.col("value")), F.sum(f"n{s}")).alias(f"m{s}") for s in "ab"))
+    near = ranked.join(means, keys)
 
-    def side(f, flag: bool, name: str) -> Column:
-        return f(F.when(F.col("a") == flag, F.col("value"))).alias(f"{name}{v[flag]}")
+    def of(side: str) -> list[Column]:
+        n, before, total, off = (F.col(f"{x}{side}") for x in "nbtm")
+        place = (total - 1) / 2
 
-    parts = [side(f, flag, name) for flag in (True, False) for name, f in (("n", F.count), ("m", F.avg), ("v", F.var_pop), ("q", lambda c: F.percentile(c, 0.5)))]
-    s = long.groupBy("pair", "feature").agg(*parts)
-    pooled = F.sqrt(((F.col("na") - 1) * F.col("va") + (F.col("nb") - 1) * F.col("vb")) / (F.col("na") + F.col("nb") - 2))
+        def at(rank):
+            return F.max(F.when((before <= rank) & (rank < before + n), F.col("value")))
+
+        middle = (at(F.floor(place)) + at(F.ceil(place))) / 2
+        return [F.max(total).alias(f"t{side}"), F.max(off).alias(f"m{side}"), F.try_divide(F.sum(n * (F.col("value") - off) * (F.col("value") - off)), F.sum(n)).alias(f"v{side}"), middle.alias(f"q{side}")]
+
+    s = near.groupBy(*keys).agg(*of("a"), *of("b"))
+    pooled = F.sqrt(F.try_divide((F.col("ta") - 1) * F.col("va") + (F.col("tb") - 1) * F.col("vb"), F.col("ta") + F.col("tb") - 2))
     d = F.coalesce(F.try_divide(F.col("ma") - F.col("mb"), pooled), F.lit(0.0))
-    return s.select("pair", "feature", d.alias("cohens_d"), (F.col("ma") - F.col("mb")).alias("mean_difference"), (F.col("qa") - F.col("qb")).alias("median_difference"))
+    return s.select(*keys, d.alias("cohens_d"), (F.col("ma") - F.col("mb")).alias("mean_difference"), (F.col("qa") - F.col("qb")).alias("median_difference"))
+
+
+def ranked_pairs(df: DataFrame, cols: list[str], dataset: str, pairs: list[tuple[str, str]]) -> DataFrame:
+    keys = ["pair", "feature"]
+    return below(value_counts(pairs_long(df, cols, dataset, pairs), keys, F.col("a")), keys)
+
+
+def effect_sizes(df: DataFrame, cols: list[str], dataset: str, pairs: list[tuple[str, str]]) -> DataFrame:
+    return effects_from(ranked_pairs(df, cols, dataset, pairs), ["pair", "feature"])
 
 
 def drift_report(df: DataFrame, cols: list[str], dataset: str, pairs: list[tuple[str, str]]) -> DataFrame:
     """All tests and effects of each feature and pair, with flags at 0.05 and 0.001 (by the lesser p)."""
     keys = ["pair", "feature"]
-    ranked = below(value_counts(pairs_long(df, cols, dataset, pairs), keys, F.col("a")), keys)
-    out = effect_sizes(df, cols, dataset, pairs).join(ks_from(ranked, keys), keys).join(mann_whitney_from(ranked, keys), keys)
+    ranked = durable(ranked_pairs(df, cols, dataset, pairs))
+    out = effects_from(ranked, keys).join(ks_from(ranked, keys), keys).join(mann_whitney_from(ranked, keys), keys)
     least = F.least("ks_p", "mw_p")
     return out.withColumns({"significant_05": least < 0.05, "significant_001": least < 0.001})
 
@@ -133,7 +150,7 @@ def confusion_feature_effects(df: DataFrame, cols: list[str], true: str, predict
     means = long.groupBy("true_class", "predicted_class", "feature").agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
     good = means.where("true_class = predicted_class").select("true_class", "feature", F.col("mean").alias("mean_right"))
     wrong = means.where("true_class <> predicted_class").withColumnRenamed("mean", "mean_confused")
-    return wrong.join(F.broadcast(good), ["true_class", "feature"]).withColumn("effect", F.abs(F.col("mean_confused") - F.col("mean_right")))
+    return wrong.join(good, ["true_class", "feature"]).withColumn("effect", F.abs(F.col("mean_confused") - F.col("mean_right")))
 
 
 def effect_pivot(effects: DataFrame, classes: list[int], value: str, fill: float) -> DataFrame:

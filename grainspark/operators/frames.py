@@ -272,8 +272,10 @@ def segment_phases(crops: DataFrame, key: str = "crop", phases: int = 3, ring: i
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         v, n = pdf["v"].to_numpy(float), pdf["n"].to_numpy(float)
         k = min(phases, len(v))
-        order = np.sort(np.repeat(v, np.minimum(n, 1000).astype(int)))
-        means = np.unique(np.quantile(order, (np.arange(k) + 0.5) / k))
+        order = np.argsort(v)
+        ends = np.cumsum(n[order])
+        # Starting means: the values that hold evenly spaced ranks of all pixels.
+        means = np.unique(v[order][np.searchsorted(ends, (np.arange(k) + 0.5) / k * ends[-1])])
         for _ in range(100):
             at = np.abs(v[:, None] - means[None, :]).argmin(1)
             new = np.array([np.average(v[at == j], weights=n[at == j]) if (at == j).any() else means[j] for j in range(len(means))])

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainspark.operators.neighbours import knn_join
+from grainspark.operators.quantiles import quantiles
 from grainspark.operators.stats import profile, unpivot
 
 
@@ -133,7 +134,7 @@ def isolation_forest(train: DataFrame, test: DataFrame, cols: list[str], key: st
 
         return df.mapInPandas(run, schema)
 
-    offset = score(train.select(*cols)).agg(F.percentile("iforest_raw", contamination)).first()[0]
+    offset = quantiles(score(train.select(*cols)), [], [contamination], "iforest_raw").first()["q"][0]
     out = score(test).withColumn("iforest_score", F.col("iforest_raw") - F.lit(offset)).drop("iforest_raw")
     return out.withColumn("iforest_outlier", F.col("iforest_score") < 0)
 
@@ -148,14 +149,14 @@ def robust_envelope(train: DataFrame, test: DataFrame, cols: list[str], contamin
     for _ in range(steps):
         d2 = squared_mahalanobis(cols, mean, np.linalg.inv(cov))
         half = clean.withColumn("__d", d2)
-        limit = half.agg(F.percentile("__d", 0.5)).first()[0]
+        limit = quantiles(half, [], [0.5], "__d").first()["q"][0]
         new_mean, new_cov = mean_and_covariance(half.where(F.col("__d") <= limit), cols)
         still = np.allclose(new_mean, mean, rtol=1e-9) and np.allclose(new_cov, cov, rtol=1e-9)
         mean, cov = new_mean, new_cov
         if still:
             break
     d2 = squared_mahalanobis(cols, mean, np.linalg.inv(cov))
-    offset = clean.agg(F.percentile(d2, 1 - contamination)).first()[0]
+    offset = quantiles(clean.select(d2.alias("__d")), [], [1 - contamination], "__d").first()["q"][0]
     return test.withColumn("envelope_score", F.lit(offset) - d2).withColumn("envelope_outlier", F.col("envelope_score") < 0)
 
 

@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 from grainspark.functions.durable import durable
 
 
-def rank_predictions(df: DataFrame, confidence: str, key: str, by: str) -> DataFrame:
-    """``confidence_rank`` within ``by``: greatest confidence first, ties by key."""
-    return df.withColumn("confidence_rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(confidence), key)))
-
-
 def top_predictions(df: DataFrame, confidence: str, key: str, n: int) -> DataFrame:
     """The ``n`` most confident rows, ties by key; each task keeps n rows at most."""
     return df.orderBy(F.desc(confidence), key).limit(n)
@@ -31,6 +26,19 @@ def global_rank(df: DataFrame, order: list[Column], parts: int) -> DataFrame:
     return dealt.withColumn("__in", inside).join(F.broadcast(before), "__part").withColumn("rank", F.col("__in") + F.col("__before")).drop("__in", "__part", "__before")
 
 
+def rank_predictions(df: DataFrame, confidence: str, key: str, by: str, parts: int = 64) -> DataFrame:
+    """``confidence_rank`` within ``by``: greatest confidence first, ties by key.
+
+    All rows are ranked by (by, confidence, key) in ranges, and a data set starts after the rows of those before it, so
+    no data set is sorted in one task.
+    """
+    sizes = df.groupBy(by).agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(F.lit(1)).orderBy(F.asc_nulls_first("__by")).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = sizes.withColumnRenamed(by, "__by").withColumn("__earlier", F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__n")
+    ranked = global_rank(df, [F.asc_nulls_first(by), F.desc(confidence), F.col(key)], parts)
+    return ranked.join(earlier, F.col(by).eqNullSafe(F.col("__by"))).withColumn("confidence_rank", F.col("rank") - F.col("__earlier")).drop("rank", "__by", "__earlier")
+
+
 def top_n(df: DataFrame, keys: list[str], by: list[Column], n: int) -> DataFrame:
     """The first ``n`` rows of each key in the order ``by`` (make it total)."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).where(F.col("rank") <= n)

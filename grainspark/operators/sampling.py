@@ -15,17 +15,25 @@ def hash_order(key: str, seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
 
 
-def class_rank(key: str, label: list[str], seed: int) -> Column:
-    return F.row_number().over(Window.partitionBy(*label).orderBy(hash_order(key, seed), key))
+def with_class_rank(df: DataFrame, label: list[str], key: str, seed: int, rank: str = "__r", size: str = "__n") -> DataFrame:
+    """Add the place of each row in the hash order of its class, from 1, and the rows of the class; null classes are classes.
 
-
-def class_size(label: list[str]) -> Column:
-    return F.count("*").over(Window.partitionBy(*label))
+    Rows are ranked inside the 4,096 beginnings of a hash, and each beginning starts after the rows before it, so no
+    class is sorted in one task.
+    """
+    marked = df.withColumn("__h", hash_order(key, seed)).withColumn("__b", F.substring("__h", 1, 3))
+    counts = marked.groupBy(*label, "__b").agg(F.count("*").alias("__c"))
+    w = Window.partitionBy(*label)
+    before = F.coalesce(F.sum("__c").over(w.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(label)), F.col("__b").alias("__o"), before.alias("__before"), F.sum("__c").over(w).alias(size))
+    joined = marked.join(offsets, [*(F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(label)), F.col("__b") == F.col("__o")])
+    inside = F.row_number().over(Window.partitionBy(*label, "__b").orderBy("__h", key))
+    return joined.withColumn(rank, inside + F.col("__before")).drop("__h", "__b", "__o", "__before", *(f"__k{i}" for i in range(len(label))))
 
 
 def stratified_split(df: DataFrame, label: str, key: str, fraction: float = 0.2, seed: int = 42) -> DataFrame:
     """``part``: test for round(fraction x rows) of each class, else train."""
-    ranked = df.withColumn("__r", class_rank(key, [label], seed)).withColumn("__n", class_size([label]))
+    ranked = with_class_rank(df, [label], key, seed)
     return ranked.withColumn("part", F.when(F.col("__r") <= F.round(F.col("__n") * fraction), "test").otherwise("train")).drop("__r", "__n")
 
 
@@ -36,14 +44,14 @@ def stratified_split_approx(df: DataFrame, label: str, key: str, fraction: float
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
-    return df.withColumn("fold", ((class_rank(key, [label], seed) - 1) % k).cast("int"))
+    return with_class_rank(df, [label], key, seed).withColumn("fold", ((F.col("__r") - 1) % k).cast("int")).drop("__r", "__n")
 
 
 def undersample(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
     """As many rows of each class as the smallest one has."""
     least = df.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n").alias("__least"))
-    ranked = df.withColumn("__r", class_rank(key, [label], seed))
-    return ranked.crossJoin(F.broadcast(least)).where("__r <= __least").drop("__r", "__least")
+    ranked = with_class_rank(df, [label], key, seed)
+    return ranked.crossJoin(F.broadcast(least)).where("__r <= __least").drop("__r", "__n", "__least")
 
 
 def balance_experiments(df: DataFrame, experiment: str, label: str, key: str, seed: int = 42) -> DataFrame:
@@ -54,16 +62,14 @@ def balance_experiments(df: DataFrame, experiment: str, label: str, key: str, se
     """
     sizes = df.groupBy(experiment).agg(F.count("*").alias("__size"))
     target = sizes.agg(F.floor(F.percentile("__size", 0.5)).cast("long").alias("__target"))
-    marked = df.join(F.broadcast(sizes.crossJoin(target)), experiment)
-    marked = marked.withColumn("__r", class_rank(key, [experiment, label], seed)).withColumn("__n", class_size([experiment, label]))
+    marked = df.join(sizes.crossJoin(target), experiment)
+    marked = with_class_rank(marked, [experiment, label], key, seed)
     quota = F.least(F.col("__n"), F.greatest(F.lit(1), F.floor(F.col("__target") * F.col("__n") / F.col("__size"))))
-    taken = (F.col("__size") <= F.col("__target")) | (F.col("__r") <= quota)
-    marked = marked.withColumn("__taken", taken)
-    w = Window.partitionBy(experiment)
-    order = F.row_number().over(w.orderBy(F.desc("__taken"), hash_order(key, seed), key))
-    marked = marked.withColumn("__order", order).withColumn("__have", F.count_if("__taken").over(w))
-    keep = F.col("__taken") | (F.col("__order") <= F.col("__target"))
-    return marked.where(keep).drop("__size", "__target", "__r", "__n", "__taken", "__order", "__have")
+    marked = marked.withColumn("__taken", (F.col("__size") <= F.col("__target")) | (F.col("__r") <= quota))
+    # Among rows not taken the place in the experiment's hash order decides; what the taken ones leave is open.
+    ranked = with_class_rank(marked.drop("__r", "__n"), [experiment, "__taken"], key, seed)
+    have = F.when(F.col("__taken"), F.col("__n")).otherwise(F.col("__size") - F.col("__n"))
+    return ranked.where(F.col("__taken") | (have + F.col("__r") <= F.col("__target"))).drop("__size", "__target", "__r", "__n", "__taken")
 
 
 def smote(df: DataFrame, label: str, key: str, vector: str, k: int = 3, seed: int = 42) -> DataFrame:
@@ -78,12 +84,12 @@ def smote(df: DataFrame, label: str, key: str, vector: str, k: int = 3, seed: in
         raise ValueError(f"class {small[0][0]} has no {k} neighbours")
     top = sizes.agg(F.max("n").alias("top"))
     lacking = sizes.crossJoin(top).select(label, "n", (F.col("top") - F.col("n")).alias("lack"))
-    base = df.select(key, label, vector).withColumn("__r", class_rank(key, [label], seed)).join(F.broadcast(lacking), label)
+    base = with_class_rank(df.select(key, label, vector), [label], key, seed, size="__size").drop("__size").join(lacking, label)
     copies = F.expr("lack div n") + (F.col("__r") <= F.col("lack") % F.col("n")).cast("int")
     seeds = base.where(copies > 0).withColumn("__j", F.explode(F.sequence(F.lit(1), copies)))
     near = knn_join(df, df, k, key, vector, within=label).groupBy("a_key").agg(F.collect_list(F.struct("rank", "b_key")).alias("near"))
     u = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("__j"), F.lit(seed))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    pick = F.pmod(F.xxhash64(F.col(key), F.col("__j"), F.lit(seed)), F.lit(k)).cast("int")
+    pick = (F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("__j"), F.lit(seed))), 9, 8), 16, 10).cast("long") % k).cast("int")
     chosen = seeds.join(near, F.col(key) == F.col("a_key")).withColumn("__b", F.element_at(F.sort_array("near"), pick + 1)["b_key"]).withColumn("__u", u)
     other = df.select(F.col(key).alias("__b"), F.col(vector).alias("__v"))
     made = chosen.join(other, "__b").select(F.concat_ws("-", F.lit("s"), F.col(key).cast("string"), "__j").alias(key), label, F.zip_with(vector, "__v", lambda x, y: x + F.col("__u") * (y - x)).alias(vector), F.lit(True).alias("synthetic"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grainspark.operators.quantiles import join_groups, quantiles
+
 
 def unpivot(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     """(keys, feature, value): long form with NaN as null."""
@@ -24,13 +26,17 @@ def class_distribution(df: DataFrame, label: str, by: list[str] | None = None) -
 
 def missing_report(df: DataFrame, cols: list[str]) -> DataFrame:
     """(feature, n_missing, median): of the values that are there, the exact median."""
-    return unpivot(df, [], cols).groupBy("feature").agg(F.count_if(F.col("value").isNull()).alias("n_missing"), F.percentile("value", 0.5).alias("median"))
+    long = unpivot(df, [], cols)
+    middle = quantiles(long, ["feature"], [0.5]).select("feature", F.col("q")[0].alias("median"))
+    return long.groupBy("feature").agg(F.count_if(F.col("value").isNull()).alias("n_missing")).join(middle, "feature")
 
 
 def medians(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
-    """One row with the median of each column; exact, or approximate where values are too many for one buffer."""
-    f = (lambda c: F.percentile_approx(c, 0.5, 100_000)) if approx else (lambda c: F.percentile(c, 0.5))
-    return df.agg(*(f(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))).alias(c) for c in cols))
+    """One row with the median of each column; exact, or by one pass with a sketch."""
+    if approx:
+        return df.agg(*(F.percentile_approx(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), 0.5, 100_000).alias(c) for c in cols))
+    found = quantiles(unpivot(df, [], cols), ["feature"], [0.5])
+    return found.agg(*(F.max(F.when(F.col("feature") == c, F.col("q")[0])).alias(c) for c in cols))
 
 
 def impute_median(df: DataFrame, cols: list[str], stats: DataFrame | None = None) -> DataFrame:
@@ -78,12 +84,21 @@ def select_k_best(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).withColumn("selected", F.col("rank") <= k)
 
 
+def compare_top(scores: DataFrame, known: list[str], ks: tuple[int, ...] = (15, 20, 25)) -> DataFrame:
+    """(k, rank, feature, f, status): the k best features for each k there are enough features for; NEW where not among ``known``."""
+    ranked = select_k_best(scores, max(ks)).withColumn("__n", F.count("*").over(Window.partitionBy(F.lit(1))))
+    each = ranked.withColumn("k", F.explode(F.array(*(F.lit(k) for k in ks)))).where("k <= __n AND rank <= k")
+    return each.select("k", "rank", "feature", "f", F.when(F.col("feature").isin(*known), "orig").otherwise("NEW").alias("status"))
+
+
 def profile(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
     """min, max, mean, std (pop) and the 1st, 5th, 95th and 99th percentile of each feature."""
     by = by or []
-    q = F.percentile("value", F.array(*(F.lit(x) for x in (0.01, 0.05, 0.95, 0.99))))
-    out = unpivot(df, by, cols).groupBy(*by, "feature").agg(F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), q.alias("q"))
-    return out.select(*by, "feature", "min", "max", "mean", "std", *(F.col("q")[k].alias(f"q{n}") for k, n in enumerate(("01", "05", "95", "99"))))
+    long = unpivot(df, by, cols)
+    marks = quantiles(long, [*by, "feature"], [0.01, 0.05, 0.95, 0.99])
+    out = long.groupBy(*by, "feature").agg(F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    joined = join_groups(out, marks.drop("n"), [*by, "feature"])
+    return joined.select(*by, "feature", "min", "max", "mean", "std", *(F.col("q")[k].alias(f"q{n}") for k, n in enumerate(("01", "05", "95", "99"))))
 
 
 def confusion_matrix(df: DataFrame, true: str, predicted: str, labels: list[int], by: list[str] | None = None) -> DataFrame:
@@ -128,11 +143,13 @@ def confidence_stats(df: DataFrame, true: str, predicted: str, confidence: str,
     """Mean, median, deviation (pop), least and greatest confidence; mean and rows of right and of wrong ones (0 if none)."""
     ok = F.col(true) == F.col(predicted)
     c = F.col(confidence)
-    return df.groupBy(*by).agg(
-        F.avg(c).alias("mean"), F.percentile(c, 0.5).alias("median"), F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"),
+    middle = quantiles(df, by, [0.5], confidence).select(*by, F.col("q")[0].alias("median"))
+    main = df.groupBy(*by).agg(
+        F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"),
         F.coalesce(F.avg(F.when(ok, c)), F.lit(0.0)).alias("mean_right"), F.coalesce(F.avg(F.when(~ok, c)), F.lit(0.0)).alias("mean_wrong"),
         F.count_if(ok).alias("n_right"), F.count_if(~ok).alias("n_wrong"),
     )
+    return join_groups(main, middle, by)
 
 
 def calibration(df: DataFrame, true: str, predicted: str, confidence: str, by: list[str], high: float = 0.9, share_above: float = 0.8) -> DataFrame:
@@ -211,7 +228,7 @@ def histogram(df: DataFrame, column: str, bins: int, by: list[str] | None = None
     by = by or []
     x = F.col(column).cast("double")
     ranges = df.groupBy(*by).agg(F.min(x).alias("__lo"), F.max(x).alias("__hi"), F.count(x).alias("__n"))
-    joined = df.where(x.isNotNull()).join(F.broadcast(ranges), by) if by else df.where(x.isNotNull()).crossJoin(F.broadcast(ranges))
+    joined = df.where(x.isNotNull()).join(ranges, by) if by else df.where(x.isNotNull()).crossJoin(F.broadcast(ranges))
     width = (F.col("__hi") - F.col("__lo")) / bins
     b = F.coalesce(F.least(F.floor(F.try_divide(x - F.col("__lo"), width)).cast("int"), F.lit(bins - 1)), F.lit(0))
     out = joined.groupBy(*by, b.alias("bin"), "__lo", "__hi", "__n").agg(F.count("*").alias("n"))
@@ -224,11 +241,10 @@ def histogram(df: DataFrame, column: str, bins: int, by: list[str] | None = None
 def box_stats(df: DataFrame, column: str, by: list[str]) -> DataFrame:
     """Quartiles, whiskers (the farthest values within 1.5 interquartile ranges) and the number of outliers."""
     x = F.col(column).cast("double")
-    q = df.groupBy(*by).agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select(*by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    q = quantiles(df, by, [0.25, 0.5, 0.75], column).select(*by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = x.between(F.col("q1") - reach, F.col("q3") + reach)
-    joined = df.join(F.broadcast(q), by)
+    joined = join_groups(df, q, by)
     return joined.groupBy(*by, "q1", "median", "q3").agg(F.min(F.when(inside, x)).alias("whisker_low"), F.max(F.when(inside, x)).alias("whisker_high"), F.count_if(~inside).alias("n_outliers"))
 
 
@@ -240,7 +256,7 @@ def kde(df: DataFrame, column: str, by: list[str], points: int = 100, cells: int
     """
     x = F.col(column).cast("double")
     stats = df.groupBy(*by).agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.stddev_samp(x).alias("sd")).where("n > 5 AND sd > 0")
-    values = df.where(x.isNotNull()).join(F.broadcast(stats), by)
+    values = df.where(x.isNotNull()).join(stats, by)
     cell = F.col("lo") + (F.floor((x - F.col("lo")) / (F.col("hi") - F.col("lo")) * cells)) * (F.col("hi") - F.col("lo")) / cells
     counted = values.groupBy(*by, "n", "lo", "hi", "sd", cell.alias("v")).agg(F.count("*").alias("c"))
     k = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k")
