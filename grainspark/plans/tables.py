@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from grainspark.functions import parse
+from grainspark.functions.durable import shared_folder
 from grainspark.operators import ranking, relational, stats
 from grainspark.plans.base import Query
 from grainspark.plans.sqlviews import BOXES, FILES, FRAMES, PARTICLES, PIXELS, PREDICTIONS, SERIES, with_views
-from grainspark.sources import catalog
+from grainspark.sources import catalog, tables
 from grainspark.sources import fixtures as fx
 
 LONG_COLS = ["Area", "Circularity", "Gray_kur", "dis"]
@@ -34,6 +37,42 @@ def labelled(spark, sf_dir):
 LABELLED = PARTICLES + ", labelled AS (SELECT * EXCLUDE (type), CASE WHEN l_suppkey % 41 <> 0 THEN type END AS type FROM particles)"
 
 
+def folder_of(spark) -> str:
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+def a4(spark, sf_dir):
+    """The files of a written table, one folder for each experiment, found again by their paths."""
+    root = folder_of(spark)
+    tables.write_table(fx.particles(spark, sf_dir).select("experiment", "row_id"), root, partition_by=("experiment",))
+    found = tables.list_frames(spark, root, "*.parquet", "PART-")
+    none = tables.list_frames(spark, root, "*.parquet", "PART-", ignore_case=False)
+    by = found.groupBy(F.regexp_extract("path", "experiment=([^/]+)/", 1).alias("experiment")).agg((F.count("*") > 0).alias("found"), (F.min("length") > 0).alias("has_bytes"))
+    return by.crossJoin(none.agg(F.count("*").alias("n_case_sensitive")))
+
+
+def a10(spark, sf_dir):
+    """A table written in two formats and read back."""
+    df, out = fx.predictions(spark, sf_dir).select("row_id", "split", "enhanced", "confidence"), None
+    for fmt in ("parquet", "csv"):
+        root = folder_of(spark)
+        tables.write_table(df, root, fmt, ("split",), **({"header": "true"} if fmt == "csv" else {}))
+        back = spark.read.format(fmt).options(header="true", inferSchema="true").load(root)
+        one = back.groupBy("split").agg(F.count("*").alias("n"), F.sum("enhanced").alias("enhanced"), F.avg("confidence").alias("confidence")).withColumn("format", F.lit(fmt))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def b4(spark, sf_dir):
+    series = fx.frames(spark, sf_dir).unionByName(fx.frames(spark, sf_dir).withColumn("folder", F.concat(F.lit("run-"), F.col("frame_id") % 3)))
+    return catalog.attach_chemistry(series).groupBy("folder", "Na2CO3_mM", "CaCl_mM", "replicate", "status").agg(F.count("*").alias("n"))
+
+
+def d5_top(spark, sf_dir):
+    scores = stats.anova_f(fx.particles(spark, sf_dir), "experiment", LONG_COLS + ["MeanIntensity", "Perimeter"]).withColumn("f", F.round("f", 4))
+    return stats.compare_top(scores, ["Area", "Circularity", "dis", "Perimeter"], (2, 4, 9))
+
+
 def a5(spark, sf_dir):
     return catalog.work_counts(catalog.pending_work(fx.files(spark, sf_dir), done_files(spark, sf_dir)))
 
@@ -128,7 +167,7 @@ def predictions_with_split(spark, sf_dir):
 
 
 def e1(spark, sf_dir):
-    return ranking.rank_predictions(fx.predictions(spark, sf_dir), "confidence", "row_id", "experiment").where("confidence_rank <= 20")
+    return ranking.rank_predictions(fx.predictions(spark, sf_dir), "confidence", "row_id", "experiment")
 
 
 def d16(spark, sf_dir):
@@ -177,6 +216,15 @@ QUERIES = {
         "source_file samples# has_target classes n_columns#",
         with_views("SELECT source_file, count(*) AS samples, count(type) > 0 AS has_target, array_to_string(list_sort(list(DISTINCT type) FILTER (WHERE type IS NOT NULL)), ',') AS classes, 3 AS n_columns FROM labelled GROUP BY source_file", LABELLED),
     ),
+    "a4_list_frames": Query(a4, "experiment found has_bytes n_case_sensitive#", with_views("SELECT DISTINCT experiment, true AS found, true AS has_bytes, 0 AS n_case_sensitive FROM particles", PARTICLES)),
+    "a10_write_table": Query(a10, "format split n# enhanced# confidence*", with_views("SELECT format, split, count(*) AS n, sum(enhanced) AS enhanced, avg(confidence) AS confidence FROM predictions, (SELECT unnest(['parquet', 'csv']) AS format) GROUP BY ALL", PREDICTIONS)),
+    "b4_attach_chemistry": Query(b4, "folder Na2CO3_mM* CaCl_mM* replicate# status n#", with_views("""SELECT folder, CASE WHEN folder LIKE '2`5%' THEN 2.5 ELSE 3 END AS Na2CO3_mM, CASE WHEN folder LIKE '2`5%' THEN 100 ELSE 3 END AS CaCl_mM, CAST(regexp_extract(folder, '(\\d+)-mix', 1) AS INTEGER) AS replicate, 'updated' AS status, count(*) AS n FROM frames GROUP BY ALL
+          UNION ALL SELECT concat('run-', frame_id % 3), NULL, NULL, NULL, 'unchanged', count(*) FROM frames GROUP BY ALL""", FRAMES)),
+    "d5_compare_top": Query(d5_top, "k# rank# feature f~ status", with_views(f"""WITH u AS ({unpivot_sql('particles', 'experiment', LONG_COLS + ['MeanIntensity', 'Perimeter'])}), g AS (SELECT feature, experiment, count(value) AS n, avg(value) AS m, var_pop(value) AS v FROM u WHERE value IS NOT NULL GROUP BY ALL),
+          o AS (SELECT feature, sum(n) AS n, count(*) AS k, sum(n * m) / sum(n) AS m FROM g GROUP BY feature),
+          f AS (SELECT feature, (sum(g.n * (g.m - o.m) * (g.m - o.m)) / (max(o.k) - 1)) / (sum(g.v * g.n) / (max(o.n) - max(o.k))) AS f FROM g JOIN o USING (feature) GROUP BY feature),
+          r AS (SELECT *, row_number() OVER (ORDER BY f DESC, feature) AS rank FROM f)
+          SELECT k, rank, feature, f, CASE WHEN feature IN ('Area', 'Circularity', 'dis', 'Perimeter') THEN 'orig' ELSE 'NEW' END AS status FROM r, (SELECT unnest([2, 4]) AS k) WHERE rank <= k""", PARTICLES)),
     "a5_pending_work": Query(a5, "reason n#", with_views(f"""WITH {DONE_SQL} SELECT reason, count(*) AS n FROM (
           SELECT CASE WHEN done_mtime IS NULL THEN 'new' WHEN mtime > done_mtime THEN 'newer' WHEN done_mode <> 'gray' THEN 'mode' ELSE 'skipped' END AS reason FROM files LEFT JOIN done USING (path)) GROUP BY reason""", FILES)),
     "a6_build_series": Query(a6, "folder frame_id ts idx# rel_s*", with_views("SELECT folder, frame_id, ts, row_number() OVER (PARTITION BY folder ORDER BY ts, filename) - 1 AS idx, date_diff('microsecond', min(ts) OVER (PARTITION BY folder), ts) / 1e6 AS rel_s FROM frames", FRAMES)),
@@ -215,6 +263,9 @@ QUERIES = {
     "b6_normalise_schema": Query(b6, "experiment n# area* grey*", with_views("SELECT experiment, count(*) AS n, avg(Area) AS area, avg(MeanIntensity) AS grey FROM particles GROUP BY experiment", PARTICLES)),
     "b7_feature_columns": Query(
         lambda s, d: s.createDataFrame([(g, n) for g, names in parse.feature_groups(parse.feature_columns(fx.particles(s, d), (*parse.NOT_FEATURES, "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))).items() for n in names], "grp string, feature string").crossJoin(fx.particles(s, d).agg(F.count("*").alias("n"))), "grp feature n#",
+        with_views("""WITH f AS (SELECT column_name AS feature FROM (SELECT unnest(['Area', 'Major', 'Minor', 'ConvexArea', 'Circularity', 'Extent', 'Perimeter', 'MeanIntensity', 'Gray_var', 'Gray_skew', 'Gray_skew_abs', 'Gray_kur', 'dis', 'Eccentricity', 'Major_Minor_ratio', 'dis_normal', 'normalized_local_mean_gray']) AS column_name)),
+          g AS (SELECT feature, CASE WHEN feature IN ({shape}) THEN 'shape' WHEN feature IN ({intensity}) THEN 'intensity' ELSE 'other' END AS grp FROM f)
+          SELECT grp, feature, (SELECT count(*) FROM particles) AS n FROM g""".format(shape=", ".join(f"'{x}'" for x in parse.SHAPE), intensity=", ".join(f"'{x}'" for x in parse.INTENSITY)), PARTICLES),
     ),
     "b8_encode_labels": Query(b8, "type type_code# decoded# n#", with_views("SELECT type, c AS type_code, c + 1 AS decoded, count(*) AS n FROM (SELECT type, CASE type WHEN 1 THEN 0 WHEN 3 THEN 1 WHEN 4 THEN 2 ELSE 0 END AS c FROM particles) GROUP BY ALL", PARTICLES)),
     "b9_bbox_window": Query(
@@ -360,7 +411,7 @@ QUERIES = {
         lambda s, d: stats.f1_by_class(fx.predictions(s, d), "type", ["original", "enhanced"], "source_file"), "model class f1*",
         with_views("SELECT 'original' AS model, class, f1 FROM (" + REPORT_SQL.format(by="source_file,", true="type", pred="original") + " SELECT CAST(c AS VARCHAR) AS class, avg(f1) AS f1 FROM s GROUP BY c) UNION ALL SELECT 'enhanced', class, f1 FROM (" + REPORT_SQL.format(by="source_file,", true="type", pred="enhanced") + " SELECT CAST(c AS VARCHAR) AS class, avg(f1) AS f1 FROM s GROUP BY c)", PREDICTIONS),
     ),
-    "e1_rank_predictions": Query(e1, "experiment row_id confidence_rank#", with_views("SELECT experiment, row_id, r AS confidence_rank FROM (SELECT *, row_number() OVER (PARTITION BY experiment ORDER BY confidence DESC, row_id) AS r FROM predictions) WHERE r <= 20", PREDICTIONS)),
+    "e1_rank_predictions": Query(e1, "experiment row_id confidence_rank#", with_views("SELECT experiment, row_id, row_number() OVER (PARTITION BY experiment ORDER BY confidence DESC, row_id) AS confidence_rank FROM predictions", PREDICTIONS)),
     "e1_global_rank": Query(
         lambda s, d: ranking.global_rank(fx.predictions(s, d).select("row_id", "experiment", "confidence"), [F.desc("confidence"), F.col("row_id")], 8).groupBy("experiment").agg(F.sum("rank").alias("ranks"), F.min("rank").alias("best"), F.max("rank").alias("worst")), "experiment ranks# best# worst#",
         with_views("SELECT experiment, sum(r) AS ranks, min(r) AS best, max(r) AS worst FROM (SELECT experiment, row_number() OVER (ORDER BY confidence DESC, row_id) AS r FROM predictions) GROUP BY experiment", PREDICTIONS),
