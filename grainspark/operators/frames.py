@@ -218,38 +218,102 @@ def stitch(tiles: DataFrame) -> DataFrame:
     return tiles.where("core").groupBy("frame_id", "y", "x").agg(F.max_by("v", F.struct("tile_y", "tile_x")).alias("v"))
 
 
-def denoise(pixels: DataFrame, height: int, width: int, h: float = 6.0, template: int = 3, search: int = 10, size: int = 256, sigma: float = 0.0) -> DataFrame:
+def _means(stack: np.ndarray, h: float, t: int, s: int, sigma: float) -> np.ndarray:
+    """Non-local means of frames of one shape (frames x height x width x channels); channels share their weights."""
+    _, hh, ww, channels = stack.shape
+    pad = np.pad(stack, ((0, 0), (t + s, t + s), (t + s, t + s), (0, 0)), mode="symmetric")
+    total, weight, n = np.zeros_like(stack), np.zeros(stack.shape[:3]), 2 * t + 1
+    base = pad[:, s : s + hh + 2 * t, s : s + ww + 2 * t]
+    for dy in range(-s, s + 1):
+        for dx in range(-s, s + 1):
+            other = pad[:, s + dy : s + dy + hh + 2 * t, s + dx : s + dx + ww + 2 * t]
+            d = np.pad(np.cumsum(np.cumsum(((base - other) ** 2).sum(3), 1), 2), ((0, 0), (1, 0), (1, 0)))
+            mean = (d[:, n:, n:] - d[:, :-n, n:] - d[:, n:, :-n] + d[:, :-n, :-n]) / (n * n * channels)
+            w = np.exp(-np.maximum(mean - 2 * sigma * sigma, 0) / (h * h))
+            total += w[..., None] * other[:, t : t + hh, t : t + ww]
+            weight += w
+    return total / weight[..., None]
+
+
+def _denoised_tiles(pixels: DataFrame, columns: list[str], height: int, width: int, template: int, search: int, size: int, work, pixels_a_group: int = 500_000) -> DataFrame:
+    """Tiles whose halo holds search window and template, put through ``work``; small tiles share a group, those of one shape an array."""
+    halo = 2 * (template // 2 + search // 2)
+    groups = 1 + pixels.count() // pixels_a_group
+    tiles = tile(pixels, height, width, max(size, 2 * halo + 2), halo).withColumn("__g", F.pmod(F.xxhash64("frame_id", "tile_y", "tile_x"), F.lit(groups)))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys = ["frame_id", "tile_y", "tile_x"]
+        pdf = pdf.sort_values([*keys, "y", "x"], kind="stable").reset_index(drop=True)
+        by = pdf.groupby(keys, sort=False)
+        y0, x0, y1, x1 = (by[c].transform(f) for f in ("min", "max") for c in ("y", "x"))
+        number = by.ngroup()
+        out = pdf[columns].to_numpy(float).copy()
+        for (hh, ww), at in pdf.groupby([y1 - y0 + 1, x1 - x0 + 1]).indices.items():
+            which, k = np.unique(number.to_numpy()[at], return_inverse=True)
+            stack = np.zeros((len(which), hh, ww, len(columns)))
+            spot = (k, (pdf["y"] - y0).to_numpy()[at], (pdf["x"] - x0).to_numpy()[at])
+            stack[spot] = out[at]
+            out[at] = work(stack)[spot]
+        done = pdf[["frame_id", "y", "x", "tile_y", "tile_x", "core"]].copy()
+        for c, name in enumerate(columns):
+            done[name] = out[:, c]
+        return done
+
+    schema = "frame_id long, y int, x int, tile_y int, tile_x int, core boolean, " + ", ".join(f"`{c}` double" for c in columns)
+    done = tiles.select("__g", "frame_id", "y", "x", "tile_y", "tile_x", "core", *columns).groupBy("__g").applyInPandas(run, schema)
+    best = F.max_by(F.struct(*columns), F.struct("tile_y", "tile_x")).alias("__p")
+    return done.where("core").groupBy("frame_id", "y", "x").agg(best).select("frame_id", "y", "x", *(F.col(f"__p.{c}").alias(c) for c in columns))
+
+
+def denoise(pixels: DataFrame, height: int, width: int, h: float = 6.0, template: int = 3, search: int = 10, size: int = 256, sigma: float = 0.0, rescale: bool = False) -> DataFrame:
     """Non-local means: each value becomes the mean over a search window, weighted by exp(-max(d - 2 sigma^2, 0) / h^2).
 
-    d is the mean squared difference of the templates round the two pixels, edges mirrored. Frames are cut into tiles
-    whose halo holds search window and template, so a task holds one tile.
+    d is the mean squared difference of the templates round the two pixels, edges mirrored. Values are 0 to 255; with
+    ``rescale`` (other depths) each frame is first brought to that range, cut to whole numbers, and brought back after.
     """
     t, s = template // 2, search // 2
-    halo = 2 * (t + s)
-    tiles = tile(pixels, height, width, max(size, 2 * halo + 2), halo)
+    if not rescale:
+        done = _denoised_tiles(pixels.select("frame_id", "y", "x", F.col("v").cast("double").alias("v")), ["v"], height, width, template, search, size, lambda x: np.clip(np.rint(_means(x, h, t, s, sigma)), 0, 255))
+        return done.select("frame_id", "y", "x", F.col("v").cast("int").alias("v"))
+    ends = pixels.groupBy("frame_id").agg(F.min("v").cast("double").alias("__lo"), F.max("v").cast("double").alias("__hi"))
+    unit = F.coalesce(F.floor(F.try_divide((F.col("v") - F.col("__lo")) * 255, F.col("__hi") - F.col("__lo"))), F.lit(0)).cast("int")
+    eight = pixels.join(ends, "frame_id").select("frame_id", "y", "x", unit.alias("v"))
+    back = denoise(eight, height, width, h, template, search, size, sigma).join(ends, "frame_id")
+    kind = dict(pixels.dtypes)["v"]
+    return back.select("frame_id", "y", "x", (F.col("v") / 255 * (F.col("__hi") - F.col("__lo")) + F.col("__lo")).cast(kind).alias("v"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y0, x0 = pdf["y"].min(), pdf["x"].min()
-        img = np.zeros((pdf["y"].max() - y0 + 1, pdf["x"].max() - x0 + 1))
-        img[pdf["y"] - y0, pdf["x"] - x0] = pdf["v"]
-        pad = np.pad(img, t + s, mode="symmetric")
-        total, weight = np.zeros_like(img), np.zeros_like(img)
-        hh, ww = img.shape
-        base = pad[s : s + hh + 2 * t, s : s + ww + 2 * t]
-        for dy in range(-s, s + 1):
-            for dx in range(-s, s + 1):
-                other = pad[s + dy : s + dy + hh + 2 * t, s + dx : s + dx + ww + 2 * t]
-                d = np.pad(np.cumsum(np.cumsum((base - other) ** 2, 0), 1), ((1, 0), (1, 0)))
-                n = 2 * t + 1
-                mean = (d[n:, n:] - d[:-n, n:] - d[n:, :-n] + d[:-n, :-n]) / (n * n)
-                w = np.exp(-np.maximum(mean - 2 * sigma * sigma, 0) / (h * h))
-                total += w * other[t : t + hh, t : t + ww]
-                weight += w
-        out = np.clip(np.rint(total / weight), 0, 255).astype(np.int32)
-        return pdf.assign(v=out[pdf["y"] - y0, pdf["x"] - x0])[["frame_id", "y", "x", "v", "tile_y", "tile_x", "core"]]
-
-    done = tiles.groupBy("frame_id", "tile_y", "tile_x").applyInPandas(run, "frame_id long, y int, x int, v int, tile_y int, tile_x int, core boolean")
-    return stitch(done)
+
+#: RGB to XYZ (D65), rows X, Y, Z, each divided by the white point.
+_XYZ = np.array([[0.412453, 0.357580, 0.180423], [0.212671, 0.715160, 0.072169], [0.019334, 0.119193, 0.950227]]) / np.array([[0.950456], [1.0], [1.088754]])
+
+
+def _to_lab(rgb: np.ndarray) -> np.ndarray:
+    """L, a and b in steps of 255 / 100, 1 and 1, from 8-bit RGB."""
+    u = rgb / 255
+    u = np.where(u > 0.04045, ((u + 0.055) / 1.055) ** 2.4, u / 12.92) @ _XYZ.T
+    f = np.where(u > 0.008856, np.cbrt(u), 7.787 * u + 16 / 116)
+    return np.stack([(116 * f[..., 1] - 16) * 2.55, 500 * (f[..., 0] - f[..., 1]), 200 * (f[..., 1] - f[..., 2])], -1)
+
+
+def _to_rgb(lab: np.ndarray) -> np.ndarray:
+    y = (lab[..., 0] / 2.55 + 16) / 116
+    f = np.stack([y + lab[..., 1] / 500, y, y - lab[..., 2] / 200], -1)
+    u = np.where(f**3 > 0.008856, f**3, (f - 16 / 116) / 7.787) @ np.linalg.inv(_XYZ).T
+    u = np.where(u > 0.0031308, 1.055 * np.maximum(u, 0) ** (1 / 2.4) - 0.055, 12.92 * u)
+    return np.clip(np.rint(u * 255), 0, 255)
+
+
+def denoise_colour(pixels: DataFrame, height: int, width: int, h: float = 6.0, template: int = 3, search: int = 10, size: int = 256) -> DataFrame:
+    """Non-local means of (frame_id, y, x, r, g, b[, a]): lightness by itself, the two colour axes together; alpha stays as it is."""
+    t, s = template // 2, search // 2
+
+    def work(stack: np.ndarray) -> np.ndarray:
+        lab = _to_lab(stack)
+        return _to_rgb(np.concatenate([_means(lab[..., :1], h, t, s, 0.0), _means(lab[..., 1:], h, t, s, 0.0)], -1))
+
+    base = pixels.select("frame_id", "y", "x", *(F.col(c).cast("double").alias(c) for c in "rgb"))
+    done = _denoised_tiles(base, ["r", "g", "b"], height, width, template, search, size, work).select("frame_id", "y", "x", *(F.col(c).cast("int").alias(c) for c in "rgb"))
+    return done.join(pixels.select("frame_id", "y", "x", "a"), ["frame_id", "y", "x"]) if "a" in pixels.columns else done
 
 
 def crop_stats(crops: DataFrame, key: str = "crop", ring: int = 10) -> DataFrame:

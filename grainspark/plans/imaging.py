@@ -71,11 +71,38 @@ def l21(spark, sf_dir):
 
 
 def l18(spark, sf_dir):
-    raw = fx.pixels(spark, sf_dir)
-    done = frames.denoise(raw, 8, 8, h=30.0, template=3, search=4)
-    before = raw.groupBy("frame_id").agg(F.var_pop("v").alias("before"))
-    after = done.groupBy("frame_id").agg(F.count("*").alias("n"), F.var_pop("v").alias("after"))
-    return before.join(after, "frame_id").select("frame_id", "n", (F.col("after") <= F.col("before")).alias("smoother"))
+    done = frames.denoise(fx.pixels(spark, sf_dir), 8, 8, h=30.0, template=3, search=4)
+    return done.groupBy("frame_id").agg(F.count("*").alias("n"), F.sum("v").alias("v"), F.sum(F.col("v") * (F.col("y") * 8 + F.col("x"))).alias("moment"))
+
+
+def l18_colour(spark, sf_dir):
+    """Frames of one grey value in all channels stay grey, and alpha stays as it was."""
+    grey = fx.pixels(spark, sf_dir).select("frame_id", "y", "x", F.col("v").alias("r"), F.col("v").alias("g"), F.col("v").alias("b"), (255 - F.col("v")).alias("a"))
+    done = frames.denoise_colour(grey, 8, 8, h=30.0, search=4)
+    return done.groupBy("frame_id").agg(F.count("*").alias("n"), F.sum("a").alias("a"), F.max(F.greatest("r", "g", "b") - F.least("r", "g", "b")).alias("tint"))
+
+
+#: Every pixel against the pixels of its window, template by template, edges mirrored.
+L18_SQL = with_views("""WITH m AS (SELECT unnest(range(-3, 11)) AS c), mr AS (SELECT c, CASE WHEN c < 0 THEN -1 - c WHEN c > 7 THEN 15 - c ELSE c END AS k FROM m),
+  pd AS (SELECT frame_id, a.c AS y, b.c AS x, v::DOUBLE AS v FROM pixels JOIN mr a ON a.k = y JOIN mr b ON b.k = x),
+  o AS (SELECT dy, dx FROM (SELECT unnest(range(-2, 3)) AS dy), (SELECT unnest(range(-2, 3)) AS dx)),
+  sq AS (SELECT p.frame_id, p.y, p.x, dy, dx, (p.v - q.v) * (p.v - q.v) AS e FROM pd p, o, pd q WHERE p.y BETWEEN -1 AND 8 AND p.x BETWEEN -1 AND 8 AND q.frame_id = p.frame_id AND q.y = p.y + dy AND q.x = p.x + dx),
+  t AS (SELECT i, j FROM (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)),
+  ds AS (SELECT frame_id, sq.y + i AS y, sq.x + j AS x, dy, dx, sum(e) / 9 AS d FROM sq, t WHERE sq.y + i BETWEEN 0 AND 7 AND sq.x + j BETWEEN 0 AND 7 GROUP BY ALL),
+  nw AS (SELECT ds.frame_id, ds.y, ds.x, round_even(sum(exp(-d / 900) * v) / sum(exp(-d / 900)), 0) AS v FROM ds JOIN pd ON pd.frame_id = ds.frame_id AND pd.y = ds.y + dy AND pd.x = ds.x + dx GROUP BY ALL)
+  SELECT frame_id, count(*) AS n, sum(v) AS v, sum(v * (y * 8 + x)) AS moment FROM nw GROUP BY frame_id""", PIXELS)
+
+#: Objects by reachability; holes of fewer than three pixels are filled; the largest object, the one of the least pixel among equals.
+L21_SQL = with_views("""WITH RECURSIVE {views}, b AS (SELECT frame_id AS f, y * 8 + x AS p, v > 128 AS on_ FROM pixels),
+  nb AS (SELECT a.f, a.p, c.p AS q, a.on_ FROM b a JOIN b c ON a.f = c.f AND a.on_ = c.on_ AND ((c.p // 8 = a.p // 8 AND abs(c.p - a.p) = 1) OR abs(c.p - a.p) = 8)),
+  r1 AS (SELECT f, p, p AS q FROM b WHERE NOT on_ UNION SELECT r1.f, r1.p, nb.q FROM r1 JOIN nb ON nb.f = r1.f AND nb.p = r1.q AND NOT nb.on_),
+  h AS (SELECT f, p FROM r1 GROUP BY f, p HAVING count(*) < 3),
+  m AS (SELECT f, p FROM b WHERE on_ UNION SELECT f, p FROM h),
+  n2 AS (SELECT a.f, a.p, c.p AS q FROM m a JOIN m c ON a.f = c.f AND ((c.p // 8 = a.p // 8 AND abs(c.p - a.p) = 1) OR abs(c.p - a.p) = 8)),
+  r2 AS (SELECT f, p, p AS q FROM m UNION SELECT r2.f, r2.p, n2.q FROM r2 JOIN n2 ON n2.f = r2.f AND n2.p = r2.q),
+  ob AS (SELECT f, p, min(q) AS o, count(*) AS n FROM r2 GROUP BY f, p),
+  best AS (SELECT f, arg_min(o, (100 - n) * 1000 + o) AS o FROM ob GROUP BY f)
+  SELECT f AS crop, count(*) AS n, sum(p) AS moment FROM ob JOIN best USING (f, o) GROUP BY f""".replace("WITH RECURSIVE {views}, ", "WITH "), PIXELS).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 def info_files(spark, sf_dir) -> DataFrame:
@@ -99,9 +126,13 @@ QUERIES = {
     "l11_region_differences": Query(lambda s, d: frames.region_differences(fx.pixels(s, d), 8, 8), "frame_id top_left_mean* bottom_right_std* left_median* left_vs_right* top_vs_bottom* corner_std*", with_views("""WITH h AS (SELECT frame_id, avg(v) FILTER (WHERE y < 4 AND x < 4) AS a, avg(v) FILTER (WHERE y < 4 AND x >= 4) AS b, avg(v) FILTER (WHERE y >= 4 AND x < 4) AS c, avg(v) FILTER (WHERE y >= 4 AND x >= 4) AS e, stddev_pop(v) FILTER (WHERE y >= 4 AND x >= 4) AS bottom_right_std,
           quantile_cont(v::DOUBLE, 0.5) FILTER (WHERE x < 4) AS left_median, avg(v) FILTER (WHERE x < 4) - avg(v) FILTER (WHERE x >= 4) AS left_vs_right, avg(v) FILTER (WHERE y < 4) - avg(v) FILTER (WHERE y >= 4) AS top_vs_bottom FROM pixels GROUP BY frame_id)
           SELECT frame_id, a AS top_left_mean, bottom_right_std, left_median, left_vs_right, top_vs_bottom, list_stddev_pop([a, b, c, e]) AS corner_std FROM h""", PIXELS)),
-    "l12_stage_report": Query(lambda s, d: frames.stage_report(staged(s, d), 2, 8, 8, "high").where("stage = 'raw'"), "stage frame_id left_vs_right* mean* std* range# streak_share*", with_views(f"""WITH {REGIONS}, b AS (SELECT frame_id, 2 * count(*) FILTER (WHERE direction = 'vertical') AS c, 2 * count(*) FILTER (WHERE direction = 'horizontal') AS r FROM bd GROUP BY frame_id),
-          s AS (SELECT frame_id, avg(v) FILTER (WHERE x < 4) - avg(v) FILTER (WHERE x >= 4) AS left_vs_right, avg(v) AS mean, stddev_pop(v) AS std, max(v) - min(v) AS range FROM pixels GROUP BY frame_id)
-          SELECT 'raw' AS stage, s.*, (coalesce(c, 0) * 8 + coalesce(r, 0) * 8 - coalesce(c, 0) * coalesce(r, 0)) / 64 AS streak_share FROM s LEFT JOIN b USING (frame_id)""", PIXELS)),
+    "l12_stage_report": Query(lambda s, d: frames.stage_report(staged(s, d), 2, 8, 8, "high"), "stage frame_id left_vs_right* mean* std* range# streak_share*", with_views(f"""WITH {STATS}, t AS (SELECT 'raw' AS stage, frame_id, y, x, v FROM pixels UNION ALL SELECT 'filtered', frame_id, y, x, v FROM filtered UNION ALL SELECT 'normalised', frame_id, y, x, {CUT.format('CASE WHEN r_peak = peak THEN v ELSE greatest(0, least(255, v + (r_peak - peak))) END')} FROM px),
+          rg AS (SELECT stage, frame_id, y // 2 AS ry, x // 2 AS rx, avg(v) AS mean, stddev_pop(v) AS std FROM t GROUP BY ALL), rw AS (SELECT stage, frame_id, avg(mean) AS m, stddev_pop(mean) AS s, avg(std) AS ms, stddev_pop(std) AS ss FROM rg GROUP BY ALL),
+          an AS (SELECT rg.*, abs(mean - m) > 1.5 * s OR std > ms + 1.5 * ss AS anomaly FROM rg JOIN rw USING (stage, frame_id)),
+          bd AS (SELECT stage, frame_id, 'vertical' AS direction, rx AS band, avg(anomaly::INTEGER::DOUBLE) AS share FROM an GROUP BY ALL HAVING share >= 0.3 UNION ALL SELECT stage, frame_id, 'horizontal', ry, avg(anomaly::INTEGER::DOUBLE) AS share FROM an GROUP BY ALL HAVING share >= 0.3),
+          b AS (SELECT stage, frame_id, 2 * count(*) FILTER (WHERE direction = 'vertical') AS c, 2 * count(*) FILTER (WHERE direction = 'horizontal') AS r FROM bd GROUP BY ALL),
+          s AS (SELECT stage, frame_id, avg(v) FILTER (WHERE x < 4) - avg(v) FILTER (WHERE x >= 4) AS left_vs_right, avg(v) AS mean, stddev_pop(v) AS std, max(v) - min(v) AS range FROM t GROUP BY ALL)
+          SELECT s.*, (coalesce(c, 0) * 8 + coalesce(r, 0) * 8 - coalesce(c, 0) * coalesce(r, 0)) / 64 AS streak_share FROM s LEFT JOIN b USING (stage, frame_id)""", PIXELS)),
     "l12_stage_means": Query(lambda s, d: frames.stage_report(staged(s, d), 2, 8, 8).groupBy("stage").agg(F.count("*").alias("n"), F.avg("mean").alias("mean"), F.avg("left_vs_right").alias("left_vs_right")), "stage n# mean* left_vs_right*", with_views(f"""WITH {STATS}, t AS (SELECT 'raw' AS stage, frame_id, x, v FROM pixels UNION ALL SELECT 'filtered', frame_id, x, v FROM filtered UNION ALL SELECT 'normalised', frame_id, x, {CUT.format('CASE WHEN r_peak = peak THEN v ELSE greatest(0, least(255, v + (r_peak - peak))) END')} FROM px),
           s AS (SELECT stage, frame_id, avg(v) AS mean, avg(v) FILTER (WHERE x < 4) - avg(v) FILTER (WHERE x >= 4) AS l FROM t GROUP BY ALL) SELECT stage, count(*) AS n, avg(mean) AS mean, avg(l) AS left_vs_right FROM s GROUP BY stage""", PIXELS)),
     "l13_noise_metrics": Query(lambda s, d: frames.noise_metrics(fx.pixels(s, d), fx.filtered_pixels(s, d).where("frame_id % 10 <> 3 OR x < 7")), "frame_id mean_abs* std_diff* snr* correlation* error", with_views("""WITH j AS (SELECT p.frame_id, p.v AS a, f.v AS b FROM pixels p JOIN filtered f USING (frame_id, y, x)), s AS (SELECT frame_id, avg(abs(a - b)) AS m, stddev_pop(a - b) AS sd, stddev_pop(a) AS sa, corr(a, b) AS r FROM j GROUP BY frame_id)
@@ -113,10 +144,11 @@ QUERIES = {
     "l17_tiles": Query(lambda s, d: frames.tile(fx.pixels(s, d), 8, 8, 4, 2).groupBy("tile_y", "tile_x").agg(F.count("*").alias("n"), F.count_if("core").alias("n_core"), F.sum("v").alias("v")), "tile_y# tile_x# n# n_core# v#", with_views("""WITH t AS (SELECT unnest([0, 1, 2]) AS k), c AS (SELECT p.*, a.k AS tile_y, b.k AS tile_x FROM pixels p JOIN t a ON y >= 2 * a.k AND y < 2 * a.k + 4 JOIN t b ON x >= 2 * b.k AND x < 2 * b.k + 4)
           SELECT tile_y, tile_x, count(*) AS n, count(*) FILTER (WHERE (y >= 2 * tile_y + 1 OR tile_y = 0) AND (y < 2 * tile_y + 3 OR tile_y = 2) AND (x >= 2 * tile_x + 1 OR tile_x = 0) AND (x < 2 * tile_x + 3 OR tile_x = 2)) AS n_core, sum(v) AS v FROM c GROUP BY ALL""", PIXELS)),
     "l17_stitch": Query(lambda s, d: frames.stitch(frames.tile(fx.pixels(s, d), 8, 8, 4, 2)), "frame_id y x v", with_views("SELECT * FROM pixels", PIXELS)),
-    "l18_denoise": Query(l18, "frame_id n# smoother", "SELECT vec_id AS frame_id, 64 AS n, true AS smoother FROM embeddings"),
+    "l18_denoise": Query(l18, "frame_id n# v# moment#", L18_SQL),
+    "l18_denoise_colour": Query(l18_colour, "frame_id n# a# tint#", with_views("SELECT frame_id, count(*) AS n, sum(255 - v) AS a, 0 AS tint FROM pixels GROUP BY frame_id", PIXELS)),
     "l19_crop_stats": Query(lambda s, d: frames.crop_stats(crops(s, d), "crop", 1), "crop# median* border_mean* border_std*", with_views(f"WITH {CROPS}, m AS (SELECT *, max(bx) OVER (PARTITION BY crop) AS w, max(\"by\") OVER (PARTITION BY crop) AS h FROM cr) SELECT crop, quantile_cont(v::DOUBLE, 0.5) AS median, avg(v) FILTER (WHERE bx < 1 OR \"by\" < 1 OR bx > w - 1 OR \"by\" > h - 1) AS border_mean, stddev_pop(v) FILTER (WHERE bx < 1 OR \"by\" < 1 OR bx > w - 1 OR \"by\" > h - 1) AS border_std FROM m GROUP BY crop", PIXELS)),
     "l20_segment_phases": Query(l20, "crop# n_values# phases_ok has_background", with_views(f"WITH {CROPS} SELECT crop, count(DISTINCT v) AS n_values, true AS phases_ok, true AS has_background FROM cr GROUP BY crop", PIXELS)),
-    "l21_largest_object": Query(l21, "crop# n# moment#"),
+    "l21_largest_object": Query(l21, "crop# n# moment#", L21_SQL),
     "l22_histogram_comparison": Query(lambda s, d: frames.histogram_comparison(staged(s, d).where("stage <> 'normalised'")), "stage v n# peak# std*", with_views(f"WITH t AS (SELECT 'raw' AS stage, v FROM pixels UNION ALL SELECT 'filtered', v FROM filtered), b AS (SELECT stage, {EDGE} AS bin, count(*) AS n FROM t GROUP BY ALL), p AS (SELECT stage, floor(arg_max(bin, n * 1000 - bin) * 255 / 256.0::DOUBLE) AS peak FROM b GROUP BY stage), s AS (SELECT stage, stddev_pop(v) AS std FROM t GROUP BY stage) SELECT stage, v, count(*) AS n, max(peak) AS peak, max(std) AS std FROM t JOIN p USING (stage) JOIN s USING (stage) GROUP BY ALL", PIXELS)),
     "l23_frame_info": Query(lambda s, d: frames.frame_info(fx.pixels(s, d), info_files(s, d).where("frame_id % 9 <> 4")), "frame_id width# height# length# error", """WITH f AS (SELECT doc_id AS frame_id, n_chars AS length FROM documents WHERE doc_id % 9 <> 4)
           SELECT coalesce(e.vec_id, f.frame_id) AS frame_id, CASE WHEN e.vec_id IS NOT NULL THEN 8 END AS width, CASE WHEN e.vec_id IS NOT NULL THEN 8 END AS height, length, CASE WHEN e.vec_id IS NULL THEN 'unreadable' WHEN length IS NULL THEN 'no file' END AS error FROM embeddings e FULL JOIN f ON f.frame_id = e.vec_id"""),
