@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grainspark.functions.durable import durable
 from grainspark.operators.graph import least_labels
 
 
@@ -24,14 +26,16 @@ def knn_join(a: DataFrame, b: DataFrame, k: int, key: str, vector: str, within:
     what is shuffled afterwards is k rows for each query and block. The work is quadratic by nature; see
     ``knn_join_approx`` for large classes.
     """
-    na, nb = (max(1, -(-x.count() // block)) for x in (a, b))
+    group = F.col(within).cast("string") if within else F.lit("all")
+    sizes = [df.groupBy(group.alias("__s")).agg(F.ceil(F.count("*") / block).cast("int").alias(n)) for df, n in ((a, "__na"), (b, "__nb"))]
+    blocks = sizes[0].join(sizes[1], "__s")  # groups of one side alone have no pairs
 
-    def dealt(df: DataFrame, n: int, own: str) -> DataFrame:
-        group = F.col(within).cast("string") if within else F.lit("all")
-        return df.select(group.alias("g"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(own), F.col(key).cast("string").alias("key"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v"))
+    def dealt(df: DataFrame, own: str, n: str, other: str, m: str) -> DataFrame:
+        rows = df.select(group.alias("g"), F.col(key).cast("string").alias("key"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v")).join(blocks, F.col("g") == F.col("__s"))
+        placed = rows.withColumn(own, F.pmod(F.xxhash64("key"), F.col(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(m) - 1)))
+        return placed.select("g", "i", "j", "key", "v")
 
-    left = dealt(a, na, "i").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
-    right = dealt(b, nb, "j").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(na - 1))))
+    left, right = dealt(a, "i", "__na", "j", "__nb"), dealt(b, "j", "__nb", "i", "__na")
 
     def nearest(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"a_key": [], "b_key": [], "d2": []}).astype({"a_key": str, "b_key": str, "d2": float})
@@ -67,28 +71,80 @@ def knn_join_approx(a: DataFrame, b: DataFrame, k: int, key: str, vector: str, r
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def epsilon_pairs(df: DataFrame, key: str, vector: str, eps: float, axis: int = 0) -> DataFrame:
-    """(u, v, distance) for u < v within ``eps``: rows meet in slabs of one coordinate, eps wide, joined on the slab."""
+def epsilon_pairs(df: DataFrame, key: str, vector: str, eps: float, axes: tuple[int, ...] = (0, 1)) -> DataFrame:
+    """(u, v, distance) for u < v within ``eps``: rows meet in cells of a grid over some coordinates, eps wide, joined on the cell."""
     base = df.select(F.col(key).alias("k"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v"))
-    slab = F.floor(base["v"][axis] / eps).cast("long")
-    a = base.select(F.col("k").alias("u"), F.col("v").alias("a"), slab.alias("slab"))
-    b = base.select(F.col("k").alias("w"), F.col("v").alias("b"), F.explode(F.array(slab - 1, slab, slab + 1)).alias("slab"))
+
+    def cell(axis: int) -> Column:
+        return F.coalesce(F.floor(F.get(base["v"], F.lit(axis)) / eps).cast("long"), F.lit(0).cast("long"))
+
+    a = base.select(F.col("k").alias("u"), F.col("v").alias("a"), *(cell(c).alias(f"c{c}") for c in axes))
+    b = base.select(F.col("k").alias("w"), F.col("v").alias("b"), *(cell(c).alias(f"c{c}") for c in axes))
+    for c in axes:
+        b = b.withColumn(f"c{c}", F.explode(F.array(F.col(f"c{c}") - 1, F.col(f"c{c}"), F.col(f"c{c}") + 1)))
     d = F.sqrt(squared_distance(F.col("a"), F.col("b")))
-    return a.join(b, "slab").where("u < w").select("u", F.col("w").alias("v"), d.alias("distance")).where(F.col("distance") <= eps)
+    return a.join(b, [f"c{c}" for c in axes]).where("u < w").select("u", F.col("w").alias("v"), d.alias("distance")).where(F.col("distance") <= eps)
 
 
-def dbscan(df: DataFrame, key: str, vector: str, eps: float, min_points: int) -> DataFrame:
-    """(key, core, cluster): cores have min_points rows within eps, themselves included; clusters are named by their least core.
+def both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.select("u", "v", "distance").union(pairs.select("v", "u", "distance"))
 
-    A border row joins the cluster of its nearest core (ties: the least key); others are noise, cluster null.
-    """
-    pairs = epsilon_pairs(df, key, vector, eps)
-    both = pairs.select("u", "v", "distance").union(pairs.select("v", "u", "distance"))
+
+def dbscan_from(nodes: DataFrame, pairs: DataFrame, min_points: int) -> DataFrame:
+    """(u, core, cluster) of ``nodes`` (u) from all their pairs (u, v, distance) within eps; see ``dbscan``."""
+    both = both_ways(pairs)
     degree = both.groupBy("u").agg((F.count("*") + 1).alias("n"))
-    marked = df.select(F.col(key).alias("u")).join(degree, "u", "left").select("u", (F.coalesce("n", F.lit(1)) >= min_points).alias("core"))
+    marked = nodes.join(degree, "u", "left").select("u", (F.coalesce("n", F.lit(1)) >= min_points).alias("core"))
     cores = marked.where("core").select(F.col("u").alias("node"))
     links = pairs.join(cores.withColumnRenamed("node", "u"), "u", "left_semi").join(cores.withColumnRenamed("node", "v"), "v", "left_semi").select("u", "v")
     labels = least_labels(cores, links)
     touching = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min_by("label", F.struct("distance", "v")).alias("border"))
     out = marked.join(labels.select(F.col("node").alias("u"), "label"), "u", "left").join(touching, "u", "left")
-    return out.select(F.col("u").alias(key), "core", F.coalesce("label", "border").alias("cluster"))
+    return out.select("u", "core", F.coalesce("label", "border").alias("cluster"))
+
+
+def dbscan(df: DataFrame, key: str, vector: str, eps: float, min_points: int) -> DataFrame:
+    """(key, core, cluster): cores have min_points rows within eps, themselves included; clusters are named by their least core.
+
+    A border row joins the cluster of its nearest core (ties: the least key); others are noise, cluster null.
+    """
+    pairs = durable(epsilon_pairs(df, key, vector, eps))
+    return dbscan_from(df.select(F.col(key).alias("u")), pairs, min_points).withColumnRenamed("u", key)
+
+
+def noise_counts(nodes: DataFrame, pairs: DataFrame, eps_values: list[float], min_points: int) -> list[int]:
+    """Rows that would be noise for each eps, from the pairs within the greatest one: two aggregations for all of them."""
+    both = both_ways(pairs)
+    core = both.groupBy("u").agg(F.array(*(F.count_if(F.col("distance") <= e) + 1 >= min_points for e in eps_values)).alias("core"))
+    near = both.join(core.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.array(*(F.max((F.col("distance") <= e) & F.col("core")[k]) for k, e in enumerate(eps_values))).alias("near"))
+    marked = nodes.join(core, "u", "left").join(near, "u", "left")
+    alone = min_points <= 1  # then every row is a core
+    row = marked.agg(*(F.count_if(F.lit(not alone) & ~(F.coalesce(F.get("core", F.lit(k)), F.lit(False)) | F.coalesce(F.get("near", F.lit(k)), F.lit(False)))) for k in range(len(eps_values)))).first()
+    return list(row)
+
+
+def dbscan_search(df: DataFrame, key: str, vector: str, eps_values: list[float] | None = None, min_points: int | None = None, default: float = 0.5) -> tuple[DataFrame, float, dict[float, float]]:
+    """(result as of ``dbscan``, eps, scores): the eps of greatest silhouette among those without noise and with several clusters.
+
+    Defaults: 20 values from 0.1 to 2, at least a twentieth of the rows (two at least) for a core. All pairs within the
+    greatest eps are found once, so this is for tables whose neighbourhoods are small, such as wrongly classified rows.
+    The silhouette is the simplified one (squared distances to cluster means). Without a valid eps it is ``default``.
+    """
+    eps_values = eps_values or [round(0.1 + 0.1 * k, 10) for k in range(20)]
+    min_points = min_points or max(2, df.count() // 20)
+    nodes = df.select(F.col(key).alias("u"))
+    pairs = durable(epsilon_pairs(df, key, vector, max(eps_values)))
+    scores: dict[float, float] = {}
+    points = df.select(F.col(key).alias("u"), array_to_vector(F.transform(F.col(vector), lambda x: x.cast("double"))).alias("features"))
+    for eps, noise in zip(eps_values, noise_counts(nodes, pairs, eps_values, min_points), strict=True):
+        if noise:
+            continue
+        found = dbscan_from(nodes, pairs.where(F.col("distance") <= eps), min_points)
+        names = found.select("cluster").distinct()
+        if names.limit(2).count() < 2:
+            continue
+        numbered = found.join(names.withColumn("prediction", (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("cluster")) - 1).cast("double")), "cluster")
+        scores[eps] = ClusteringEvaluator().evaluate(points.join(numbered.select("u", "prediction"), "u"))
+    best = max(scores, key=lambda e: (scores[e], -e), default=default)
+    within = pairs if best <= max(eps_values) else durable(epsilon_pairs(df, key, vector, best))
+    return dbscan_from(nodes, within.where(F.col("distance") <= best), min_points).withColumnRenamed("u", key), best, scores

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grainspark.functions.durable import shared_folder
 from grainspark.operators import clusters, distributions, features, models, neighbours, outliers, ranking, sampling, stats
 from grainspark.plans.base import Query
 from grainspark.plans.sqlviews import PARTICLES, PREDICTIONS, with_views
 from grainspark.plans.tables import LONG_COLS, unpivot_sql
 from grainspark.plans.training import Config, run_pipeline
 from grainspark.sources import fixtures as fx
+from grainspark.sources import tables
 
 PAIRS = [("train", "test"), ("train", "val"), ("test", "val")]
 COLS = ["Area", "Circularity", "dis", "Perimeter"]
@@ -44,13 +49,23 @@ def f3(spark, sf_dir):
 
 
 def f4(spark, sf_dir):
-    made = sampling.smote(few_labels(spark, sf_dir), "label", "id", "embedding")
-    return made.groupBy("label").agg(F.count("*").alias("n"), F.count_if("synthetic").alias("n_synthetic"))
+    return sampling.smote(few_labels(spark, sf_dir), "label", "id", "embedding").select("id", "label", "synthetic", F.col("embedding")[0].alias("first"), F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
 def f5(spark, sf_dir):
-    base = sampling.smote_enn(few_labels(spark, sf_dir), "label", "id", "embedding")
-    return base.groupBy("label").agg(F.count("*").alias("n"), F.count_if("synthetic").alias("n_synthetic"))
+    return sampling.smote_enn(few_labels(spark, sf_dir), "label", "id", "embedding").select("id", "label", "synthetic", F.col("embedding")[0].alias("first"))
+
+
+#: Copy j of a row: a neighbour and a step picked by md5; every class is filled up to the largest.
+SMOTE_SQL = """fl AS (SELECT CAST(vec_id AS VARCHAR) AS id, CASE WHEN label IN (1, 4) THEN 1 ELSE 0 END AS label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+  sz AS (SELECT label, count(*) AS n, max(count(*)) OVER () - count(*) AS lack FROM fl GROUP BY label),
+  rk AS (SELECT fl.*, n, lack, row_number() OVER (PARTITION BY fl.label ORDER BY md5(concat_ws('|', id, '42')), id) AS r FROM fl JOIN sz USING (label)),
+  cp AS (SELECT id, label, e, unnest(range(1, CAST(lack // n + (r <= lack % n)::INTEGER AS BIGINT) + 1)) AS j FROM rk),
+  nn AS (SELECT * FROM (SELECT a.id AS a, b.id AS b, row_number() OVER (PARTITION BY a.id ORDER BY {d}, b.id) AS k FROM fl a JOIN fl b ON a.label = b.label AND a.id <> b.id WHERE a.label IN (SELECT label FROM sz WHERE lack > 0)) WHERE k <= 3),
+  pk AS (SELECT *, md5(concat_ws('|', id, j, 42)) AS m FROM cp),
+  sy AS (SELECT concat('s-', pk.id, '-', j) AS id, pk.label, list_transform(list_zip(pk.e, o.e), lambda z: z[1] + CAST(concat('0x', substr(m, 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE * (z[2] - z[1])) AS e
+    FROM pk JOIN nn ON nn.a = pk.id AND nn.k = CAST(concat('0x', substr(m, 9, 8)) AS BIGINT) % 3 + 1 JOIN fl o ON o.id = nn.b),
+  al AS (SELECT id, label, false AS synthetic, e FROM fl UNION ALL SELECT id, label, true, e FROM sy)""".format(d=DISTANCE)
 
 
 def f6(spark, sf_dir):
@@ -143,19 +158,19 @@ def e3(spark, sf_dir):
 # Clusters
 def i1(spark, sf_dir):
     df = clusters.with_vector(vectors(spark, sf_dir), "embedding")
-    model, scores = clusters.kmeans_best_k(df, range(2, 5))
+    model, scores = clusters.kmeans_best_k(df)
     return model.transform(df).agg(F.count("*").alias("n"), F.count_distinct("prediction").alias("k"), F.lit(max(scores.values()) <= 1.0).alias("silhouette_ok"))
 
 
 def i2(spark, sf_dir):
     df = clusters.with_vector(fx.particles(spark, sf_dir), ["Circularity", "Extent"])
-    model, scores = clusters.gmm_best_k(df, range(2, 4))
+    model, scores = clusters.gmm_best_k(df)
     return clusters.mixture_posteriors(df, model).agg(F.count("*").alias("n"), F.round(F.avg(F.aggregate("gmm_p", F.lit(0.0), lambda a, x: a + x)), 6).alias("mass"))
 
 
 def i3(spark, sf_dir):
     df = clusters.with_vector(vectors(spark, sf_dir), "embedding")
-    model, _ = clusters.hierarchical_best_k(df, range(2, 5))
+    model, _ = clusters.hierarchical_best_k(df)
     return model.transform(df).agg(F.count("*").alias("n"), (F.count_distinct("prediction") >= 2).alias("splits"))
 
 
@@ -164,15 +179,28 @@ def i4(spark, sf_dir):
     return neighbours.dbscan(df, "id", "embedding", 1.1, 3)
 
 
+def i4_search(spark, sf_dir):
+    """Over these three values some row is always noise or all rows are one cluster, so the default is taken, as the SQL does."""
+    found, eps, _ = neighbours.dbscan_search(vectors(spark, sf_dir), "id", "embedding", [0.9, 1.0, 1.1])
+    return found.select("id", "core", F.col("cluster").isNull().alias("noise"), F.lit(eps).alias("eps"))
+
+
 def i5(spark, sf_dir):
     df = vectors(spark, sf_dir)
     return neighbours.knn_join(df, df, 3, "id", "embedding")
 
 
 def i6(spark, sf_dir):
-    df = clusters.with_vector(vectors(spark, sf_dir), "embedding")
+    """Two features, where the axes have a closed form."""
+    df = clusters.with_vector(fx.particles(spark, sf_dir).select("row_id", "Circularity", "Extent"), ["Circularity", "Extent"])
     rows, shares = clusters.pca_2d(df)
-    return rows.agg(F.count("*").alias("n"), F.avg(F.col("pca")[0]).alias("mean_1"), F.avg(F.col("pca")[1]).alias("mean_2"), F.lit(shares[0] >= shares[1] > 0).alias("ordered"))
+    return rows.select("row_id", F.col("pca")[0].alias("first"), F.abs(F.col("pca")[1]).alias("second"), F.lit(shares[0]).alias("share"))
+
+
+I6_SQL = with_views("""WITH s AS (SELECT avg(Circularity) AS mx, avg(Extent) AS my, var_samp(Circularity) AS a, covar_samp(Circularity, Extent) AS b, var_samp(Extent) AS c FROM particles),
+  l AS (SELECT *, (a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) AS l1 FROM s), v AS (SELECT *, b AS vx, l1 - a AS vy FROM l),
+  u AS (SELECT *, CASE WHEN abs(vx) >= abs(vy) THEN sign(vx) ELSE sign(vy) END / sqrt(vx * vx + vy * vy) AS f FROM v)
+  SELECT row_id, ((Circularity - mx) * vx + (Extent - my) * vy) * f AS first, abs((Circularity - mx) * vy - (Extent - my) * vx) * abs(f) AS second, l1 / (a + c) AS share FROM particles, u""", PARTICLES)
 
 
 def i7(spark, sf_dir):
@@ -200,7 +228,7 @@ def learnable(spark, sf_dir) -> DataFrame:
 
 
 def matrix_inputs(spark, sf_dir) -> DataFrame:
-    return fx.particles(spark, sf_dir).where("experiment = '3mM-1'")
+    return fx.particles(spark, sf_dir)
 
 
 def fitted(spark, sf_dir, kind: str, **params) -> DataFrame:
@@ -222,22 +250,17 @@ def j4(spark, sf_dir):
     return voted.groupBy("predicted").agg(F.count("*").alias("n"), F.avg("confidence").alias("confidence"))
 
 
+def searched(spark, sf_dir, candidates: list[dict]) -> DataFrame:
+    """The search's own table: every candidate with its score, best first."""
+    df = matrix_inputs(spark, sf_dir)
+    found = models.search(df, "type", "row_id", fx.FEATURES, "logistic", candidates, k=2)
+    ordered = all(a[0] >= b[0] for a, b in zip(found, found[1:], strict=False))
+    rows = [(json.dumps(params, sort_keys=True), bool(0.25 <= score <= 1), ordered) for score, params in found]
+    return spark.createDataFrame(rows, "candidate string, above_chance boolean, ordered boolean").crossJoin(df.agg(F.count("*").alias("n")))
+
+
 def j6(spark, sf_dir):
-    draws = models.random_draws({"maxIter": [5, 10], "regParam": [0.0, 0.1]}, 2)
-    df = learnable(spark, sf_dir)
-    scored_ = []
-    folded = sampling.stratified_folds(df, "type", "row_id", 3)
-    for k, params in enumerate(draws):
-        for fold in range(3):
-            train = clusters.with_vector(folded.where(F.col("fold") != fold), ["x0", "x1", "x2", "x3"])
-            test = clusters.with_vector(folded.where(F.col("fold") == fold), ["x0", "x1", "x2", "x3"])
-            m = models.logistic(train, "type", [1, 2], **params)
-            v = models.soft_vote(m.transform(test).withColumnRenamed("probabilities", "p"), ["p"], [1, 2])
-            scored_.append(v.agg(F.count("*").alias("n"), F.avg(stats.right("type", "predicted")).alias("accuracy")).withColumns({"draw": F.lit(k), "fold": F.lit(fold)}))
-    out = scored_[0]
-    for s in scored_[1:]:
-        out = out.unionByName(s)
-    return out.groupBy("draw").agg(F.sum("n").alias("n"), F.count("*").alias("folds"), (F.avg("accuracy") > 0.9).alias("learned"))
+    return searched(spark, sf_dir, models.random_draws({"maxIter": [2, 3], "regParam": [0.1]}, 2))
 
 
 def j7(spark, sf_dir):
@@ -247,8 +270,8 @@ def j7(spark, sf_dir):
 
 
 def j9(spark, sf_dir):
-    """Bundles for two experiments on the whole feature matrix, every row predicted by its group's model."""
-    df = fx.particles(spark, sf_dir).where("experiment IN ('3mM-1', '6mM-4')")
+    """Bundles for every experiment on the whole feature matrix, every row predicted by its group's model."""
+    df = fx.particles(spark, sf_dir)
     bundles = models.train_by_group(df.where("split = 'train'"), "experiment", "type", fx.FEATURES, {"logistic": {"maxIter": 5, "regParam": 0.1}})
     out = models.route_models(df, "experiment", bundles)
     return out.groupBy("experiment", "model").agg(F.count("*").alias("n"), F.round(F.avg(F.aggregate("probabilities", F.lit(0.0), lambda a, x: a + x)), 6).alias("mass"), (F.max("confidence") <= 1.0000001).alias("bounded"))
@@ -266,10 +289,20 @@ def j12(spark, sf_dir):
 
 
 def j13(spark, sf_dir):
-    df = matrix_inputs(spark, sf_dir)
-    bundle = models.train_bundle(df.where("split = 'train'"), "type", fx.FEATURES, {"logistic": {"maxIter": 5, "regParam": 0.1}}, k=10)
-    reports = models.evaluate(models.predict(df.where("split = 'train'"), bundle), models.predict(df.where("split <> 'train'"), bundle), "type", bundle.classes)
-    return reports["confusion"].groupBy("side", "true_class").agg(F.sum("n").alias("n"))
+    """Reports over given predictions, training rows against the others."""
+    p = fx.predictions(spark, sf_dir).withColumnRenamed("enhanced", "predicted")
+    reports = models.evaluate(p.where("split = 'train'"), p.where("split <> 'train'"), "type", [1, 2, 3, 4])
+    accuracy = reports["accuracy"].where("side IS NOT NULL AND type IS NOT NULL").select("side", F.col("type").alias("true_class"), "accuracy", "mean_confidence")
+    return reports["confusion"].join(accuracy, ["side", "true_class"])
+
+
+def a11(spark, sf_dir):
+    """A bundle saved and loaded again gives the predictions it gave before."""
+    df, root = matrix_inputs(spark, sf_dir), f"{shared_folder(spark)}/bundle-{uuid.uuid4().hex}"
+    bundle = models.train_bundle(df.where("split = 'train'"), "type", fx.FEATURES, {"logistic": {"maxIter": 2, "regParam": 0.1}, "forest": {"numTrees": 3, "maxDepth": 3}}, k=10)
+    tables.save_bundle(bundle, root, spark)
+    before, after = (models.predict(df, b).select("row_id", F.col("predicted").alias(f"p_{n}"), F.col("confidence").alias(f"c_{n}")) for b, n in ((bundle, "a"), (tables.load_bundle(spark, root), "b")))
+    return before.join(after, "row_id").agg(F.count("*").alias("n"), F.count_if((F.col("p_a") != F.col("p_b")) | (F.abs(F.col("c_a") - F.col("c_b")) > 1e-9)).alias("n_different"))
 
 
 def j15(spark, sf_dir):
@@ -344,8 +377,9 @@ QUERIES = {
           o AS (SELECT *, row_number() OVER (PARTITION BY experiment ORDER BY taken DESC, {HASH}, row_id) AS o FROM k)
           SELECT experiment, type, count(*) AS n, min(row_id) AS least, max(row_id) AS most FROM o WHERE taken OR o <= target GROUP BY ALL""", PARTICLES)),
     "f3_undersample": Query(f3, "type n# least most", with_views(f"WITH r AS (SELECT row_id, type, row_number() OVER (PARTITION BY type ORDER BY {HASH}, row_id) AS r FROM particles), l AS (SELECT min(n) AS l FROM (SELECT count(*) AS n FROM particles GROUP BY type)) SELECT type, count(*) AS n, min(row_id) AS least, max(row_id) AS most FROM r, l WHERE r <= l GROUP BY type", PARTICLES)),
-    "f4_smote": Query(f4, "label# n# n_synthetic#", "WITH c AS (SELECT CASE WHEN label IN (1, 4) THEN 1 ELSE 0 END AS label, count(*) AS n FROM embeddings GROUP BY 1) SELECT label, (SELECT max(n) FROM c) AS n, (SELECT max(n) FROM c) - n AS n_synthetic FROM c"),
-    "f5_smote_enn": Query(f5, "label# n# n_synthetic#"),
+    "f4_smote": Query(f4, "id label# synthetic first* total*", f"WITH {SMOTE_SQL} SELECT id, label, synthetic, e[1] AS first, list_sum(e) AS total FROM al"),
+    "f5_smote_enn": Query(f5, "id label# synthetic first*", f"""WITH {SMOTE_SQL}, kn AS (SELECT * FROM (SELECT a.id AS i, a.label = b.label AS same, row_number() OVER (PARTITION BY a.id ORDER BY {DISTANCE}, b.id) AS k FROM al a JOIN al b ON a.id <> b.id) WHERE k <= 3)
+          SELECT id, label, synthetic, e[1] AS first FROM al JOIN (SELECT i FROM kn GROUP BY i HAVING bool_and(same)) ON i = id"""),
     "f6_stratified_folds": Query(f6, "type fold n# least", with_views(f"WITH r AS (SELECT row_id, type, CAST((row_number() OVER (PARTITION BY type ORDER BY {HASH}, row_id) - 1) % 5 AS INTEGER) AS fold FROM particles) SELECT type, fold, count(*) AS n, min(row_id) AS least FROM r GROUP BY ALL", PARTICLES)),
     "g_engineered_features": Query(g_rows, "row_id Shape_Complexity* Area_Perimeter_Ratio* Convex_Efficiency* Eccentricity_Robust* Distance_Ratio~ Distance_Interaction* Intensity_Stability~ Comprehensive_Shape* Class4_Discriminator*", with_views(G_ROWS_SQL, PARTICLES)),
     "g_feature_means": Query(g_all, "experiment split " + " ".join(f"{c}~" for c in features.NEW), with_views(G_ALL_SQL, PARTICLES)),
@@ -378,8 +412,12 @@ QUERIES = {
     "i4_dbscan_cores": Query(lambda s, d: i4(s, d).select("id", "core", F.col("cluster").isNull().alias("noise")), "id core noise", f"""WITH {VEC}, p AS (SELECT a.id AS u, b.id AS v FROM vec a JOIN vec b ON a.id <> b.id WHERE {DISTANCE} <= 1.1),
           c AS (SELECT vec.id, count(v) + 1 >= 3 AS core FROM vec LEFT JOIN p ON u = vec.id GROUP BY vec.id)
           SELECT c.id, c.core, NOT c.core AND NOT EXISTS (SELECT 1 FROM p JOIN c k ON k.id = p.v WHERE p.u = c.id AND k.core) AS noise FROM c"""),
+    "i4_dbscan_search": Query(i4_search, "id core noise eps*", f"""WITH {VEC}, mp AS (SELECT greatest(2, count(*) // 20) AS m FROM vec), ep AS (SELECT unnest([0.9, 1.0, 1.1]) AS eps),
+          p AS (SELECT a.id AS u, b.id AS v, {DISTANCE} AS d FROM vec a JOIN vec b ON a.id <> b.id),
+          c AS (SELECT vec.id, count(v) + 1 >= (SELECT m FROM mp) AS core FROM vec LEFT JOIN p ON u = vec.id AND d <= 0.5 GROUP BY vec.id)
+          SELECT c.id, c.core, NOT c.core AND NOT EXISTS (SELECT 1 FROM p JOIN c k ON k.id = p.v WHERE p.u = c.id AND k.core AND d <= 0.5) AS noise, 0.5 AS eps FROM c"""),
     "i5_knn_join": Query(i5, "a_key b_key rank# distance*", f"WITH {VEC}, d AS (SELECT a.id AS a_key, b.id AS b_key, {DISTANCE} AS distance FROM vec a JOIN vec b ON a.id <> b.id), r AS (SELECT *, row_number() OVER (PARTITION BY a_key ORDER BY distance, b_key) AS rank FROM d) SELECT * FROM r WHERE rank <= 3"),
-    "i6_pca": Query(i6, "n# mean_1* mean_2* ordered", "SELECT count(*) AS n, 0.0 AS mean_1, 0.0 AS mean_2, true AS ordered FROM embeddings"),
+    "i6_pca": Query(i6, "row_id first* second* share*", I6_SQL),
     "i7_cluster_features": Query(i7, "id dist_cluster_0* dist_cluster_1* in_cluster_0# dist_class_a* dist_class_b* dist_difference* in_error_cluster#", f"""WITH {VEC}, x AS (SELECT label, unnest(e) AS v, generate_subscripts(e, 1) AS i FROM vec WHERE label < 4), m AS (SELECT label, i, avg(v) AS v FROM x GROUP BY ALL), c AS (SELECT label AS k, list(v ORDER BY i) AS e FROM m GROUP BY label),
           d AS (SELECT a.id, b.k, {DISTANCE} AS d FROM vec a CROSS JOIN c b), w AS (SELECT id, max(d) FILTER (WHERE k = 2) AS c0, max(d) FILTER (WHERE k = 3) AS c1, max(d) FILTER (WHERE k = 0) AS a, max(d) FILTER (WHERE k = 1) AS b FROM d GROUP BY id)
           SELECT id, c0 AS dist_cluster_0, c1 AS dist_cluster_1, (c0 <= c1)::INTEGER AS in_cluster_0, a AS dist_class_a, b AS dist_class_b, a - b AS dist_difference, (c0 <= c1)::INTEGER AS in_error_cluster FROM w"""),
@@ -392,18 +430,21 @@ QUERIES = {
           o AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS s FROM u WHERE cluster >= 0 GROUP BY feature), p AS (SELECT cluster, feature, min(value) AS min, max(value) AS max, avg(value) AS mean, stddev_pop(value) AS std FROM u WHERE cluster >= 0 GROUP BY ALL),
           z AS (SELECT p.*, (mean - m) / (s + 1e-8) AS z FROM p JOIN o USING (feature))
           SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY abs(z) DESC, feature) AS rank FROM z WHERE abs(z) > 0.5) WHERE rank <= 10""", SCORED)),
+    "a11_model_bundle": Query(a11, "n# n_different#", with_views("SELECT count(*) AS n, 0 AS n_different FROM particles", PARTICLES)),
     "j1_boosted_trees": Query(lambda s, d: fitted(s, d, "boosted", maxIter=3, maxDepth=2), "n# mass* learned", FITTED_SQL),
     "j2_random_forest": Query(lambda s, d: fitted(s, d, "forest", numTrees=5, maxDepth=3), "n# mass* learned", FITTED_SQL),
     "j3_logistic": Query(lambda s, d: fitted(s, d, "logistic", maxIter=20), "n# mass* learned", FITTED_SQL),
     "j4_soft_vote": Query(j4, "predicted n# confidence*", with_views("""WITH v AS (SELECT [prob_class_1 * (2.0::DOUBLE / 3) + (CASE original WHEN 1 THEN 0.7::DOUBLE ELSE 0.1::DOUBLE END) * (1.0::DOUBLE / 3), prob_class_2 * (2.0::DOUBLE / 3) + (CASE original WHEN 2 THEN 0.7::DOUBLE ELSE 0.1::DOUBLE END) * (1.0::DOUBLE / 3),
           prob_class_3 * (2.0::DOUBLE / 3) + (CASE original WHEN 3 THEN 0.7::DOUBLE ELSE 0.1::DOUBLE END) * (1.0::DOUBLE / 3), prob_class_4 * (2.0::DOUBLE / 3) + (CASE original WHEN 4 THEN 0.7::DOUBLE ELSE 0.1::DOUBLE END) * (1.0::DOUBLE / 3)] AS p FROM predictions)
           SELECT CAST(list_position(p, list_max(p)) AS INTEGER) AS predicted, count(*) AS n, avg(list_max(p)) AS confidence FROM v GROUP BY 1""", PREDICTIONS)),
-    "j6_random_search": Query(j6, "draw# n# folds# learned", "SELECT unnest([0, 1]) AS draw, (SELECT count(*) FROM embeddings) AS n, 3 AS folds, true AS learned"),
+    "j6_random_search": Query(j6, "candidate above_chance ordered n#", with_views("SELECT unnest(['{\"maxIter\": 2, \"regParam\": 0.1}', '{\"maxIter\": 3, \"regParam\": 0.1}']) AS candidate, true AS above_chance, true AS ordered, (SELECT count(*) FROM particles) AS n", PARTICLES)),
     "j7_gate_models": Query(j7, "model accuracy* kept", with_views("WITH s AS (SELECT source_file AS model, avg((type = original)::INTEGER::DOUBLE) AS accuracy FROM predictions GROUP BY 1) SELECT *, accuracy >= 0.75 OR (SELECT count(*) FROM s WHERE accuracy >= 0.75) < 2 AS kept FROM s", PREDICTIONS)),
-    "j9_train_by_group": Query(j9, "experiment model n# mass* bounded", with_views("SELECT experiment, experiment AS model, count(*) AS n, 1.0 AS mass, true AS bounded FROM particles WHERE experiment IN ('3mM-1', '6mM-4') GROUP BY ALL", PARTICLES)),
+    "j9_train_by_group": Query(j9, "experiment model n# mass* bounded", with_views("SELECT experiment, experiment AS model, count(*) AS n, 1.0 AS mass, true AS bounded FROM particles GROUP BY ALL", PARTICLES)),
     "j10_routes": Query(j10, "experiment model", with_views("SELECT DISTINCT experiment, CASE WHEN experiment IN ('3mM-1', '6mM-4') THEN experiment ELSE 'combined' END AS model FROM particles", PARTICLES)),
-    "j12_feature_importance": Query(j12, "n# mass* ranks# rows#", with_views("SELECT 10 AS n, 1.0 AS mass, 10 AS ranks, count(*) AS rows FROM particles WHERE experiment = '3mM-1'", PARTICLES)),
-    "j13_evaluate": Query(j13, "side true_class n#", with_views("SELECT CASE WHEN split = 'train' THEN 'train' ELSE 'test' END AS side, type AS true_class, count(*) AS n FROM particles WHERE experiment = '3mM-1' GROUP BY ALL", PARTICLES)),
+    "j12_feature_importance": Query(j12, "n# mass* ranks# rows#", with_views("SELECT 10 AS n, 1.0 AS mass, 10 AS ranks, count(*) AS rows FROM particles", PARTICLES)),
+    "j13_evaluate": Query(j13, "side true_class predicted_class n# accuracy* mean_confidence*", with_views("""WITH s AS (SELECT CASE WHEN split = 'train' THEN 'train' ELSE 'test' END AS side, type, enhanced, confidence FROM predictions), l AS (SELECT unnest([1, 2, 3, 4])::INTEGER AS c),
+          a AS (SELECT side, type AS true_class, avg((type = enhanced)::INTEGER::DOUBLE) AS accuracy, avg(confidence) AS mean_confidence FROM s GROUP BY ALL)
+          SELECT a.side, a.true_class, l.c AS predicted_class, count(s.type) AS n, accuracy, mean_confidence FROM a CROSS JOIN l LEFT JOIN s ON s.side = a.side AND s.type = a.true_class AND s.enhanced = l.c GROUP BY ALL""", PREDICTIONS)),
     "j15_prepare_matrix": Query(j15, "split n# Gray_kur* Area* Shape_Complexity* Class4_Discriminator*", with_views(J15_SQL, PARTICLES)),
     "k1_mahalanobis": Query(k1, "row_id mahalanobis* mahalanobis_outlier", with_views("""WITH s AS (SELECT avg(Circularity) AS mx, avg(Extent) AS my, var_samp(Circularity) + 1e-6 AS a, var_samp(Extent) + 1e-6 AS c, covar_samp(Circularity, Extent) AS b FROM particles WHERE split = 'train'),
           d AS (SELECT row_id, ((Circularity - mx) * (Circularity - mx) * c - 2 * (Circularity - mx) * (Extent - my) * b + (Extent - my) * (Extent - my) * a) / (a * c - b * b) AS d2 FROM particles, s WHERE split = 'test')
@@ -432,15 +473,7 @@ def c12(spark, sf_dir):
 
 
 def j5(spark, sf_dir):
-    """A grid of two regularisations over three folds, scored by balanced accuracy."""
-    df, out = sampling.stratified_folds(learnable(spark, sf_dir), "type", "row_id", 3), None
-    for k, params in enumerate(models.grid({"maxIter": [10], "regParam": [0.0, 0.1]})):
-        for fold in range(3):
-            train, test = (clusters.with_vector(df.where(cond), ["x0", "x1", "x2", "x3"]) for cond in (F.col("fold") != fold, F.col("fold") == fold))
-            voted = models.soft_vote(models.logistic(train, "type", [1, 2], **params).transform(test).withColumnRenamed("probabilities", "p"), ["p"], [1, 2])
-            one = stats.balanced_accuracy(voted, "type", "predicted").crossJoin(test.agg(F.count("*").alias("n"))).withColumns({"candidate": F.lit(k)})
-            out = one if out is None else out.unionByName(one)
-    return out.groupBy("candidate").agg(F.sum("n").alias("n"), (F.avg("balanced_accuracy") > 0.9).alias("learned"))
+    return searched(spark, sf_dir, models.grid({"maxIter": [3], "regParam": [0.0, 0.1]}))
 
 
 def j8(spark, sf_dir):
@@ -459,14 +492,14 @@ def j11(spark, sf_dir):
 
 def j14(spark, sf_dir):
     df = matrix_inputs(spark, sf_dir)
-    done = run_pipeline(df, Config(fx.FEATURES, kinds={"logistic": {"maxIter": 3, "regParam": 0.1}}, selected=10, skip=("balance",)))
+    done = run_pipeline(df, Config(fx.FEATURES, kinds={"logistic": {"maxIter": 3, "regParam": 0.1}}, selected=10))
     return done.summary.crossJoin(done.predictions.agg(F.count("*").alias("n")))
 
 
 QUERIES |= {
     "c12_confidence_filters": Query(c12, "experiment above_08# above_09# uncertain#", with_views("SELECT experiment, count(*) FILTER (WHERE confidence > 0.8::DOUBLE) AS above_08, count(*) FILTER (WHERE confidence > 0.9::DOUBLE) AS above_09, count(*) FILTER (WHERE uncertainty > 0.5) AS uncertain FROM sc GROUP BY experiment", SCORES)),
-    "j5_grid_search": Query(j5, "candidate# n# learned", "SELECT unnest([0, 1]) AS candidate, (SELECT count(*) FROM embeddings) AS n, true AS learned"),
-    "j8_cv_score": Query(j8, "folds# valid* n#", with_views("SELECT 2 AS folds, 1.0 AS valid, count(*) AS n FROM particles WHERE experiment = '3mM-1'", PARTICLES)),
-    "j11_predict": Query(j11, "split n# mass* known confident", with_views("SELECT split, count(*) AS n, 1.0 AS mass, true AS known, true AS confident FROM particles WHERE experiment = '3mM-1' GROUP BY split", PARTICLES)),
-    "j14_run_pipeline": Query(j14, "total# succeeded# skipped# success_rate* n#", with_views("SELECT 4 AS total, 3 AS succeeded, 1 AS skipped, 1.0 AS success_rate, count(*) AS n FROM particles WHERE experiment = '3mM-1'", PARTICLES)),
+    "j5_grid_search": Query(j5, "candidate above_chance ordered n#", with_views("SELECT unnest(['{\"maxIter\": 3, \"regParam\": 0.0}', '{\"maxIter\": 3, \"regParam\": 0.1}']) AS candidate, true AS above_chance, true AS ordered, (SELECT count(*) FROM particles) AS n", PARTICLES)),
+    "j8_cv_score": Query(j8, "folds# valid* n#", with_views("SELECT 2 AS folds, 1.0 AS valid, count(*) AS n FROM particles", PARTICLES)),
+    "j11_predict": Query(j11, "split n# mass* known confident", with_views("SELECT split, count(*) AS n, 1.0 AS mass, true AS known, true AS confident FROM particles GROUP BY split", PARTICLES)),
+    "j14_run_pipeline": Query(j14, "total# succeeded# skipped# success_rate* n#", with_views("SELECT 4 AS total, 4 AS succeeded, 0 AS skipped, 1.0 AS success_rate, count(*) AS n FROM particles", PARTICLES)),
 }
