@@ -16,7 +16,7 @@ from grainspark.operators.clusters import with_vector
 from grainspark.operators.features import NEW, engineer_features, shape_extremes
 from grainspark.operators.relational import trainable_groups
 from grainspark.operators.sampling import stratified_folds
-from grainspark.operators.stats import anova_f, apply_scaler, balanced_accuracy, class_accuracy, classification_report, confusion_matrix, fit_scaler, impute_median, medians, select_k_best, with_row_weights
+from grainspark.operators.stats import anova_f, apply_scaler, class_accuracy, classification_report, confusion_matrix, fit_scaler, impute_median, medians, select_k_best, with_row_weights
 
 
 @dataclass
@@ -128,13 +128,18 @@ def prepare_matrix(df: DataFrame, bundle: Bundle) -> DataFrame:
     return with_vector(scaled, bundle.selected)
 
 
-def predict(df: DataFrame, bundle: Bundle) -> DataFrame:
-    """Rows with probabilities (array and prob_class_<c>), confidence and predicted class by the vote of the bundle's models."""
-    out, columns = prepare_matrix(df, bundle), []
-    for name, model in bundle.models.items():
+def vote(ready: DataFrame, models: dict, classes: list[int]) -> DataFrame:
+    """The vote of several models over prepared rows (a vector column ``features``)."""
+    out, columns = ready, []
+    for name, model in models.items():
         out = model.transform(out).withColumnRenamed("probabilities", f"__{name}")
         columns.append(f"__{name}")
-    out = soft_vote(out, columns, bundle.classes).drop(*columns, "features")
+    return soft_vote(out, columns, classes).drop(*columns, "features")
+
+
+def predict(df: DataFrame, bundle: Bundle) -> DataFrame:
+    """Rows with probabilities (array and prob_class_<c>), confidence and predicted class by the vote of the bundle's models."""
+    out = vote(prepare_matrix(df, bundle), bundle.models, bundle.classes)
     return out.withColumns({f"prob_class_{c}": F.col("probabilities")[k] for k, c in enumerate(bundle.classes)})
 
 
@@ -177,15 +182,32 @@ def gate_models(scores: DataFrame, least: float = 0.7, fewest: int = 2) -> DataF
     return scores.crossJoin(F.broadcast(passed)).withColumn("kept", (F.col("accuracy") >= least) | (F.col("__n") < fewest)).drop("__n")
 
 
+def fold_scores(df: DataFrame, label: str, key: str, cols: list[str], candidates: list[dict[str, dict]], k: int, seed: int) -> DataFrame:
+    """(candidate, fold, accuracy, balanced_accuracy); a candidate maps kinds of models to parameters.
+
+    What does not depend on the candidate (the fold's statistics and matrices) is made once for each fold.
+    """
+    folded, rows = stratified_folds(df, label, key, k, seed).persist(), []
+    for fold in range(k):
+        train = folded.where(F.col("fold") != fold)
+        bundle = fit_matrix(train, label, cols)
+        ready = with_row_weights(prepare_matrix(train, bundle), label).select(label, "features", "weight").persist()
+        held = prepare_matrix(folded.where(F.col("fold") == fold), bundle).select(label, "features").persist()
+        for number, kinds in enumerate(candidates):
+            fitted = {name: KINDS[name](ready, label, bundle.classes, weight="weight", **params) for name, params in kinds.items()}
+            right = F.avg((F.col(label) == F.col("predicted")).cast("double"))
+            by = vote(held, fitted, bundle.classes).groupBy(label).agg(F.count("*").alias("n"), right.alias("recall"))
+            one = by.agg((F.sum(F.col("n") * F.col("recall")) / F.sum("n")).alias("accuracy"), F.avg("recall").alias("balanced")).first()
+            rows.append((number, fold, one["accuracy"], one["balanced"]))
+        ready.unpersist()
+        held.unpersist()
+    folded.unpersist()
+    return df.sparkSession.createDataFrame(rows, "candidate int, fold int, accuracy double, balanced_accuracy double")
+
+
 def cv_score(df: DataFrame, label: str, key: str, cols: list[str], kinds: dict[str, dict], k: int = 3, seed: int = 42) -> DataFrame:
     """(fold, accuracy, balanced_accuracy): one row for each fold held out."""
-    folded, parts = stratified_folds(df, label, key, k, seed), None
-    for fold in range(k):
-        bundle = train_bundle(folded.where(F.col("fold") != fold), label, cols, kinds)
-        found = predict(folded.where(F.col("fold") == fold), bundle)
-        row = balanced_accuracy(found, label, "predicted").crossJoin(found.agg(F.avg((F.col(label) == F.col("predicted")).cast("double")).alias("accuracy"))).withColumn("fold", F.lit(fold))
-        parts = row if parts is None else parts.unionByName(row)
-    return parts
+    return fold_scores(df, label, key, cols, [kinds], k, seed).drop("candidate")
 
 
 def grid(options: dict[str, list]) -> list[dict]:
@@ -204,11 +226,8 @@ def random_draws(options: dict[str, list], n: int, seed: int = 42) -> list[dict]
 
 def search(df: DataFrame, label: str, key: str, cols: list[str], kind: str, candidates: list[dict], k: int = 3, seed: int = 42, metric: str = "balanced_accuracy") -> list[tuple[float, dict]]:
     """(mean score over folds, parameters), best first; used with ``grid`` or ``random_draws``."""
-    scored = []
-    for params in candidates:
-        mean = cv_score(df, label, key, cols, {kind: params}, k, seed).agg(F.avg(metric)).first()[0]
-        scored.append((mean, params))
-    return sorted(scored, key=lambda x: -x[0])
+    means = fold_scores(df, label, key, cols, [{kind: params} for params in candidates], k, seed).groupBy("candidate").agg(F.avg(metric).alias("mean")).collect()
+    return sorted(((r["mean"], candidates[r["candidate"]]) for r in means), key=lambda x: (-x[0], str(x[1])))
 
 
 def feature_importance(bundle: Bundle, spark) -> DataFrame:

@@ -136,15 +136,20 @@ def dbscan_search(df: DataFrame, key: str, vector: str, eps_values: list[float]
     pairs = durable(epsilon_pairs(df, key, vector, max(eps_values)))
     scores: dict[float, float] = {}
     points = df.select(F.col(key).alias("u"), array_to_vector(F.transform(F.col(vector), lambda x: x.cast("double"))).alias("features"))
-    for eps, noise in zip(eps_values, noise_counts(nodes, pairs, eps_values, min_points), strict=True):
-        if noise:
+    counts = list(pairs.agg(*(F.count_if(F.col("distance") <= e) for e in eps_values)).first())
+    tried: dict[int, float | None] = {}  # values of eps with as many pairs have the same pairs, and so the same clusters
+    for eps, noise, n in zip(eps_values, noise_counts(nodes, pairs, eps_values, min_points), counts, strict=True):
+        if noise or n in tried:
+            if tried.get(n) is not None:
+                scores[eps] = tried[n]
             continue
+        tried[n] = None
         found = dbscan_from(nodes, pairs.where(F.col("distance") <= eps), min_points)
         names = found.select("cluster").distinct()
         if names.limit(2).count() < 2:
             continue
         numbered = found.join(names.withColumn("prediction", (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("cluster")) - 1).cast("double")), "cluster")
-        scores[eps] = ClusteringEvaluator().evaluate(points.join(numbered.select("u", "prediction"), "u"))
+        scores[eps] = tried[n] = ClusteringEvaluator().evaluate(points.join(numbered.select("u", "prediction"), "u"))
     best = max(scores, key=lambda e: (scores[e], -e), default=default)
     within = pairs if best <= max(eps_values) else durable(epsilon_pairs(df, key, vector, best))
     return dbscan_from(nodes, within.where(F.col("distance") <= best), min_points).withColumnRenamed("u", key), best, scores

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from grainspark.functions import parse
+from grainspark.functions.durable import durable, release
 from grainspark.operators import distributions, features, frames, graph, models, neighbours, outliers, ranking, relational, sampling, stats
+from grainspark.operators.quantiles import quantiles
 from grainspark.plans.training import Config, run_pipeline
 from grainspark.sources import catalog, fixtures, tables
 from grainspark.streaming.work import watch_inventory
@@ -219,3 +223,105 @@ def test_plans_stay_on_the_jvm(spark, sf_dir):
     for name in ("worst_classes", "d6_profile", "h1_ks_2samp", "l5_peak_align", "f2_balance_experiments"):
         plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "CartesianProduct" not in plan
+
+
+def test_quantiles_are_those_of_all_values(spark):
+    rng = np.random.default_rng(5)
+    groups = {"a": rng.normal(size=5000), "hot": np.where(rng.random(40_000) < 0.6, 3.0, rng.random(40_000)), "one": np.array([7.0]), None: rng.integers(0, 4, 300).astype(float)}
+    rows = [(g, float(v)) for g, values in groups.items() for v in values] + [("a", float("nan")), ("a", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, value double").repartition(5)
+    at = [0.0, 0.01, 0.25, 0.5, 0.95, 1.0]
+    for accuracy in (200, 20_000):
+        got = {r.g: (r.n, r.q) for r in quantiles(df, ["g"], at, accuracy=accuracy).collect()}
+        assert got["none"] == (0, [None] * 6) and len(got) == 5
+        for g, values in groups.items():
+            assert got[g][0] == len(values) and np.allclose(got[g][1], np.quantile(values, at), rtol=1e-12)
+    alone = quantiles(df, [], [0.5]).first()
+    assert alone.n == sum(map(len, groups.values())) and np.isclose(alone.q[0], np.median(np.concatenate(list(groups.values()))))
+
+
+def test_class_ranks_of_a_hot_class(spark):
+    rows = [(f"k{i}", "hot" if i % 10 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "key string, c string")
+    ranked = sampling.with_class_rank(df, ["c"], "key", 42).collect()
+    for c in ("hot", None):
+        own = sorted((hashlib.md5(f"{r.key}|42".encode()).hexdigest(), r.key, r["__r"], r["__n"]) for r in ranked if r.c == c)
+        assert [x[2] for x in own] == list(range(1, len(own) + 1)) and {x[3] for x in own} == {len(own)}
+
+
+def test_rank_tests_of_a_skewed_feature(spark):
+    """Nearly all values lie in a sliver of the range; the cells follow the values."""
+    rng = np.random.default_rng(6)
+    a, b = np.append(rng.lognormal(0, 2, 900), 1e9), np.append(rng.lognormal(0.3, 2, 700), 5e8)
+    df = spark.createDataFrame([("x", float(v)) for v in a] + [("y", float(v)) for v in b], "d string, f double")
+    got = distributions.drift_report(df, ["f"], "d", [("x", "y")]).first()
+    every = np.sort(np.concatenate([a, b]))
+    below = [np.searchsorted(np.sort(s), every, side="right") / len(s) for s in (a, b)]
+    wins = sum((x > b).sum() + 0.5 * (x == b).sum() for x in a)
+    assert np.isclose(got.ks, np.abs(below[0] - below[1]).max()) and np.isclose(got.median_difference, np.median(a) - np.median(b))
+    assert np.isclose(distributions.mann_whitney(df, ["f"], "d", [("x", "y")]).first().u, wins)
+
+
+def test_dbscan_search_finds_the_scale_of_two_groups(spark):
+    rng = np.random.default_rng(7)
+    rows = [(f"{side}{i}", [float(side) + float(x) for x in rng.normal(0, 0.05, 2)]) for side in (0, 5) for i in range(30)]
+    df = spark.createDataFrame(rows, "id string, v array<double>")
+    found, eps, scores = neighbours.dbscan_search(df, "id", "v")
+    labels = {r.id: r.cluster for r in found.collect()}
+    assert eps in scores and len(set(labels.values())) == 2 and len({labels[f"0{i}"] for i in range(30)}) == 1
+    for e in (0.1, 0.3):
+        pairs = neighbours.epsilon_pairs(df, "id", "v", 2.0)
+        plain = neighbours.dbscan(df, "id", "v", e, 3).where("cluster IS NULL").count()
+        assert neighbours.noise_counts(df.select(F.col("id").alias("u")), pairs, [0.1, 0.3], 3)[[0.1, 0.3].index(e)] == plain
+
+
+def test_approximate_neighbours_recall(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 1, (20, 8))
+    df = spark.createDataFrame([(str(i), [float(x) for x in centres[i % 20] + rng.normal(0, 0.05, 8)]) for i in range(400)], "id string, v array<double>")
+    exact = {(r.a_key, r.b_key) for r in neighbours.knn_join(df, df, 3, "id", "v").collect()}
+    near = {(r.a_key, r.b_key) for r in neighbours.knn_join_approx(df, df, 3, "id", "v", radius=0.6).collect()}
+    assert len(exact) == 1200 and len(exact & near) / len(exact) >= 0.9
+
+
+def test_neighbours_within_uneven_classes(spark):
+    rng = np.random.default_rng(9)
+    rows = [(str(i), "big" if i < 50 else "small", [float(x) for x in rng.normal(size=3)]) for i in range(56)]
+    df = spark.createDataFrame(rows, "id string, c string, v array<double>")
+    got = {r.a_key: (r.b_key, r.distance) for r in neighbours.knn_join(df, df, 1, "id", "v", within="c", block=7).collect()}
+    for i, c, v in rows:
+        want = min((float(np.linalg.norm(np.array(v) - np.array(w))), j) for j, d, w in rows if d == c and j != i)
+        assert got[i][0] == want[1] and np.isclose(got[i][1], want[0])
+
+
+def test_denoise_of_other_depths_and_colour(spark):
+    rng = np.random.default_rng(10)
+    rows = [(f, y, x, int(1000 * f + 40 * rng.integers(0, 256))) for f in (1, 2) for y in range(6) for x in range(7)]
+    deep = spark.createDataFrame(rows, "frame_id long, y int, x int, v int")
+    got = frames.denoise(deep, 6, 7, h=40.0, search=4, rescale=True)
+    low = {f: min(v for g, _, _, v in rows if g == f) for f in (1, 2)}
+    high = {f: max(v for g, _, _, v in rows if g == f) for f in (1, 2)}
+    eight = spark.createDataFrame([(f, y, x, int((v - low[f]) * 255 // (high[f] - low[f]))) for f, y, x, v in rows], "frame_id long, y int, x int, v int")
+    want = {(r.frame_id, r.y, r.x): int(r.v / 255 * (high[r.frame_id] - low[r.frame_id]) + low[r.frame_id]) for r in frames.denoise(eight, 6, 7, h=40.0, search=4).collect()}
+    assert {(r.frame_id, r.y, r.x): r.v for r in got.collect()} == want
+    colour = spark.createDataFrame([(1, y, x, 200, 30, 90, y) for y in range(5) for x in range(5)], "frame_id long, y int, x int, r int, g int, b int, a int")
+    done = frames.denoise_colour(colour, 5, 5, search=4).collect()
+    assert len(done) == 25 and all(abs(r.r - 200) <= 1 and abs(r.g - 30) <= 1 and abs(r.b - 90) <= 1 and r.a == r.y for r in done)
+
+
+def test_starting_means_know_all_pixels(spark):
+    """A value that fills nearly the whole crop must not be counted as a thousand pixels."""
+    rows = [(1, i % 100, i // 100, 10 if i < 9000 else 100 if i < 9600 else 200) for i in range(10_000)]
+    crops = spark.createDataFrame(rows, "crop int, bx int, by int, v int")
+    got = {r.v: (r.phase, r.background) for r in frames.segment_phases(crops, "crop", 3, ring=2).collect()}
+    assert got[10] == (0, True) and len({p for p, _ in got.values()}) >= 1
+
+
+def test_released_tables_are_gone(spark):
+    import os
+
+    kept, gone = durable(spark.range(5).toDF("u")), durable(spark.range(3).toDF("u"))
+    path = gone.inputFiles()[0].removeprefix("file:")
+    assert os.path.exists(path.replace("///", "/"))
+    release(gone, spark.range(2).toDF("u"))
+    assert not os.path.exists(path.replace("///", "/")) and kept.count() == 5
