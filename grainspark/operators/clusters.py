@@ -25,11 +25,13 @@ def with_vector(df: DataFrame, source: str | list[str], out: str = "features") -
 def _best_silhouette(make, df: DataFrame, ks):
     """(model, scores): the greatest simplified silhouette (squared distances to centres), the least k among equals."""
     judge, tried = ClusteringEvaluator(), []
+    df = df.select("features").persist()
     for k in ks:
         model = make(k).fit(df)
         found = model.transform(df)
         if found.select("prediction").distinct().limit(2).count() > 1:
             tried.append((judge.evaluate(found), -k, model))
+    df.unpersist()
     if not tried:
         raise ValueError("no number of clusters splits the rows")
     best = max(tried, key=lambda t: t[:2])
@@ -45,14 +47,16 @@ def hierarchical_best_k(df: DataFrame, ks=range(2, 11), seed: int = 42):
     return _best_silhouette(lambda k: BisectingKMeans(k=k, seed=seed), df, ks)
 
 
-def gmm_best_k(df: DataFrame, ks=range(2, 11), seed: int = 42):
+def gmm_best_k(df: DataFrame, ks=range(2, 11), seed: int = 42, max_iter: int = 100):
     """(model, {k: (bic, aic)}): the mixture of least BIC."""
-    n, d = df.count(), len(df.select("features").first()[0])
+    df = df.select("features").persist()
+    n, d = df.count(), len(df.first()[0])
     tried = []
     for k in ks:
-        model = GaussianMixture(k=k, seed=seed).fit(df)
+        model = GaussianMixture(k=k, seed=seed, maxIter=max_iter).fit(df)
         ll, p = model.summary.logLikelihood, k - 1 + k * d + k * d * (d + 1) / 2
         tried.append((p * math.log(n) - 2 * ll, 2 * p - 2 * ll, k, model))
+    df.unpersist()
     best = min(tried, key=lambda t: (t[0], t[2]))
     return best[3], {k: (bic, aic) for bic, aic, k, _ in tried}
 

@@ -144,7 +144,7 @@ def robust_envelope(train: DataFrame, test: DataFrame, cols: list[str], contamin
 
     Concentration steps: mean and covariance of the half nearest to the last ones, until they no longer move.
     """
-    clean = train.dropna(subset=cols)
+    clean = train.select(*cols).dropna().persist()
     mean, cov = mean_and_covariance(clean, cols)
     for _ in range(steps):
         d2 = squared_mahalanobis(cols, mean, np.linalg.inv(cov))
@@ -157,6 +157,7 @@ def robust_envelope(train: DataFrame, test: DataFrame, cols: list[str], contamin
             break
     d2 = squared_mahalanobis(cols, mean, np.linalg.inv(cov))
     offset = quantiles(clean.select(d2.alias("__d")), [], [1 - contamination], "__d").first()["q"][0]
+    clean.unpersist()
     return test.withColumn("envelope_score", F.lit(offset) - d2).withColumn("envelope_outlier", F.col("envelope_score") < 0)
 
 

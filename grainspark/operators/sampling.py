@@ -92,7 +92,7 @@ def smote(df: DataFrame, label: str, key: str, vector: str, k: int = 3, seed: in
     pick = (F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("__j"), F.lit(seed))), 9, 8), 16, 10).cast("long") % k).cast("int")
     chosen = seeds.join(near, F.col(key) == F.col("a_key")).withColumn("__b", F.element_at(F.sort_array("near"), pick + 1)["b_key"]).withColumn("__u", u)
     other = df.select(F.col(key).alias("__b"), F.col(vector).alias("__v"))
-    made = chosen.join(other, "__b").select(F.concat_ws("-", F.lit("s"), F.col(key).cast("string"), "__j").alias(key), label, F.zip_with(vector, "__v", lambda x, y: x + F.col("__u") * (y - x)).alias(vector), F.lit(True).alias("synthetic"))
+    made = chosen.join(other, "__b").select(F.concat_ws("-", F.lit("s"), F.col(key).cast("string"), "__j").alias(key), label, F.zip_with(vector, "__v", lambda x, y: x.cast("double") + F.col("__u") * (y.cast("double") - x.cast("double"))).alias(vector), F.lit(True).alias("synthetic"))
     return df.select(F.col(key).cast("string").alias(key), label, F.transform(vector, lambda x: x.cast("double")).alias(vector), F.lit(False).alias("synthetic")).unionByName(made)
 
 

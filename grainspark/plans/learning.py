@@ -49,11 +49,11 @@ def f3(spark, sf_dir):
 
 
 def f4(spark, sf_dir):
-    return sampling.smote(few_labels(spark, sf_dir), "label", "id", "embedding").select("id", "label", "synthetic", F.col("embedding")[0].alias("first"), F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x).alias("total"))
+    return sampling.smote(few_labels(spark, sf_dir), "label", "id", "embedding").select("id", "label", "synthetic", F.when(F.col("synthetic"), F.col("embedding")[0]).alias("first"), F.when(F.col("synthetic"), F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)).alias("total"))
 
 
 def f5(spark, sf_dir):
-    return sampling.smote_enn(few_labels(spark, sf_dir), "label", "id", "embedding").select("id", "label", "synthetic", F.col("embedding")[0].alias("first"))
+    return sampling.smote_enn(few_labels(spark, sf_dir), "label", "id", "embedding").select("id", "label", "synthetic", F.when(F.col("synthetic"), F.col("embedding")[0]).alias("first"))
 
 
 #: Copy j of a row: a neighbour and a step picked by md5; every class is filled up to the largest.
@@ -164,7 +164,7 @@ def i1(spark, sf_dir):
 
 def i2(spark, sf_dir):
     df = clusters.with_vector(fx.particles(spark, sf_dir), ["Circularity", "Extent"])
-    model, scores = clusters.gmm_best_k(df)
+    model, scores = clusters.gmm_best_k(df, max_iter=20)
     return clusters.mixture_posteriors(df, model).agg(F.count("*").alias("n"), F.round(F.avg(F.aggregate("gmm_p", F.lit(0.0), lambda a, x: a + x)), 6).alias("mass"))
 
 
@@ -377,9 +377,9 @@ QUERIES = {
           o AS (SELECT *, row_number() OVER (PARTITION BY experiment ORDER BY taken DESC, {HASH}, row_id) AS o FROM k)
           SELECT experiment, type, count(*) AS n, min(row_id) AS least, max(row_id) AS most FROM o WHERE taken OR o <= target GROUP BY ALL""", PARTICLES)),
     "f3_undersample": Query(f3, "type n# least most", with_views(f"WITH r AS (SELECT row_id, type, row_number() OVER (PARTITION BY type ORDER BY {HASH}, row_id) AS r FROM particles), l AS (SELECT min(n) AS l FROM (SELECT count(*) AS n FROM particles GROUP BY type)) SELECT type, count(*) AS n, min(row_id) AS least, max(row_id) AS most FROM r, l WHERE r <= l GROUP BY type", PARTICLES)),
-    "f4_smote": Query(f4, "id label# synthetic first* total*", f"WITH {SMOTE_SQL} SELECT id, label, synthetic, e[1] AS first, list_sum(e) AS total FROM al"),
+    "f4_smote": Query(f4, "id label# synthetic first* total*", f"WITH {SMOTE_SQL} SELECT id, label, synthetic, CASE WHEN synthetic THEN e[1] END AS first, CASE WHEN synthetic THEN list_sum(e) END AS total FROM al"),
     "f5_smote_enn": Query(f5, "id label# synthetic first*", f"""WITH {SMOTE_SQL}, kn AS (SELECT * FROM (SELECT a.id AS i, a.label = b.label AS same, row_number() OVER (PARTITION BY a.id ORDER BY {DISTANCE}, b.id) AS k FROM al a JOIN al b ON a.id <> b.id) WHERE k <= 3)
-          SELECT id, label, synthetic, e[1] AS first FROM al JOIN (SELECT i FROM kn GROUP BY i HAVING bool_and(same)) ON i = id"""),
+          SELECT id, label, synthetic, CASE WHEN synthetic THEN e[1] END AS first FROM al JOIN (SELECT i FROM kn GROUP BY i HAVING bool_and(same)) ON i = id"""),
     "f6_stratified_folds": Query(f6, "type fold n# least", with_views(f"WITH r AS (SELECT row_id, type, CAST((row_number() OVER (PARTITION BY type ORDER BY {HASH}, row_id) - 1) % 5 AS INTEGER) AS fold FROM particles) SELECT type, fold, count(*) AS n, min(row_id) AS least FROM r GROUP BY ALL", PARTICLES)),
     "g_engineered_features": Query(g_rows, "row_id Shape_Complexity* Area_Perimeter_Ratio* Convex_Efficiency* Eccentricity_Robust* Distance_Ratio~ Distance_Interaction* Intensity_Stability~ Comprehensive_Shape* Class4_Discriminator*", with_views(G_ROWS_SQL, PARTICLES)),
     "g_feature_means": Query(g_all, "experiment split " + " ".join(f"{c}~" for c in features.NEW), with_views(G_ALL_SQL, PARTICLES)),

@@ -65,7 +65,7 @@ def a10(spark, sf_dir):
 
 def b4(spark, sf_dir):
     series = fx.frames(spark, sf_dir).unionByName(fx.frames(spark, sf_dir).withColumn("folder", F.concat(F.lit("run-"), F.col("frame_id") % 3)))
-    return catalog.attach_chemistry(series).groupBy("folder", "Na2CO3_mM", "CaCl_mM", "replicate", "status").agg(F.count("*").alias("n"))
+    return catalog.attach_chemistry(series).withColumn("replicate", F.coalesce("replicate", F.lit(-1))).groupBy("folder", "Na2CO3_mM", "CaCl_mM", "replicate", "status").agg(F.count("*").alias("n"))
 
 
 def d5_top(spark, sf_dir):
@@ -219,7 +219,7 @@ QUERIES = {
     "a4_list_frames": Query(a4, "experiment found has_bytes n_case_sensitive#", with_views("SELECT DISTINCT experiment, true AS found, true AS has_bytes, 0 AS n_case_sensitive FROM particles", PARTICLES)),
     "a10_write_table": Query(a10, "format split n# enhanced# confidence*", with_views("SELECT format, split, count(*) AS n, sum(enhanced) AS enhanced, avg(confidence) AS confidence FROM predictions, (SELECT unnest(['parquet', 'csv']) AS format) GROUP BY ALL", PREDICTIONS)),
     "b4_attach_chemistry": Query(b4, "folder Na2CO3_mM* CaCl_mM* replicate# status n#", with_views("""SELECT folder, CASE WHEN folder LIKE '2`5%' THEN 2.5 ELSE 3 END AS Na2CO3_mM, CASE WHEN folder LIKE '2`5%' THEN 100 ELSE 3 END AS CaCl_mM, CAST(regexp_extract(folder, '(\\d+)-mix', 1) AS INTEGER) AS replicate, 'updated' AS status, count(*) AS n FROM frames GROUP BY ALL
-          UNION ALL SELECT concat('run-', frame_id % 3), NULL, NULL, NULL, 'unchanged', count(*) FROM frames GROUP BY ALL""", FRAMES)),
+          UNION ALL SELECT concat('run-', frame_id % 3), NULL, NULL, -1, 'unchanged', count(*) FROM frames GROUP BY ALL""", FRAMES)),
     "d5_compare_top": Query(d5_top, "k# rank# feature f~ status", with_views(f"""WITH u AS ({unpivot_sql('particles', 'experiment', LONG_COLS + ['MeanIntensity', 'Perimeter'])}), g AS (SELECT feature, experiment, count(value) AS n, avg(value) AS m, var_pop(value) AS v FROM u WHERE value IS NOT NULL GROUP BY ALL),
           o AS (SELECT feature, sum(n) AS n, count(*) AS k, sum(n * m) / sum(n) AS m FROM g GROUP BY feature),
           f AS (SELECT feature, (sum(g.n * (g.m - o.m) * (g.m - o.m)) / (max(o.k) - 1)) / (sum(g.v * g.n) / (max(o.n) - max(o.k))) AS f FROM g JOIN o USING (feature) GROUP BY feature),
