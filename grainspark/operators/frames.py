@@ -102,7 +102,8 @@ def regional_anomalies(pixels: DataFrame, size: int, sensitivity: str = "medium"
     grid = regions(pixels, size, keys)
     whole = grid.groupBy(*keys).agg(F.avg("mean").alias("__m"), F.stddev_pop("mean").alias("__s"), F.avg("std").alias("__ms"), F.stddev_pop("std").alias("__ss"))
     out = grid.join(whole, keys)
-    flag = (F.abs(F.col("mean") - F.col("__m")) > t * F.col("__s")) | (F.col("std") > F.col("__ms") + t * F.col("__ss"))
+    # The margin keeps exact ties out, whatever the order in which sums were taken.
+    flag = (F.abs(F.col("mean") - F.col("__m")) > t * F.col("__s") + 1e-9) | (F.col("std") > F.col("__ms") + t * F.col("__ss") + 1e-9)
     return out.withColumn("anomaly", flag).drop("__m", "__s", "__ms", "__ss")
 
 

@@ -38,7 +38,7 @@ MATCH_SQL = with_views("""WITH c AS (SELECT frame_id, v, count(*) AS n FROM pixe
   SELECT frame_id, sum(v) AS v, min(v) AS lo, max(v) AS hi, sum(v * (y * 8 + x)) AS moment FROM nw GROUP BY frame_id""", PIXELS)
 
 REGIONS = """rg AS (SELECT frame_id, y // 2 AS ry, x // 2 AS rx, avg(v) AS mean, stddev_pop(v) AS std FROM pixels GROUP BY ALL), rw AS (SELECT frame_id, avg(mean) AS m, stddev_pop(mean) AS s, avg(std) AS ms, stddev_pop(std) AS ss FROM rg GROUP BY frame_id),
-  an AS (SELECT rg.*, abs(mean - m) > 1.5 * s OR std > ms + 1.5 * ss AS anomaly FROM rg JOIN rw USING (frame_id)),
+  an AS (SELECT rg.*, abs(mean - m) > 1.5 * s + 1e-9::DOUBLE OR std > ms + 1.5 * ss + 1e-9::DOUBLE AS anomaly FROM rg JOIN rw USING (frame_id)),
   bd AS (SELECT frame_id, 'vertical' AS direction, rx AS band, avg(anomaly::INTEGER::DOUBLE) AS share FROM an GROUP BY ALL HAVING share >= 0.3 UNION ALL SELECT frame_id, 'horizontal', ry, avg(anomaly::INTEGER::DOUBLE) AS share FROM an GROUP BY ALL HAVING share >= 0.3)"""
 
 
@@ -128,7 +128,7 @@ QUERIES = {
           SELECT frame_id, a AS top_left_mean, bottom_right_std, left_median, left_vs_right, top_vs_bottom, list_stddev_pop([a, b, c, e]) AS corner_std FROM h""", PIXELS)),
     "l12_stage_report": Query(lambda s, d: frames.stage_report(staged(s, d), 2, 8, 8, "high"), "stage frame_id left_vs_right* mean* std* range# streak_share*", with_views(f"""WITH {STATS}, t AS (SELECT 'raw' AS stage, frame_id, y, x, v FROM pixels UNION ALL SELECT 'filtered', frame_id, y, x, v FROM filtered UNION ALL SELECT 'normalised', frame_id, y, x, {CUT.format('CASE WHEN r_peak = peak THEN v ELSE greatest(0, least(255, v + (r_peak - peak))) END')} FROM px),
           rg AS (SELECT stage, frame_id, y // 2 AS ry, x // 2 AS rx, avg(v) AS mean, stddev_pop(v) AS std FROM t GROUP BY ALL), rw AS (SELECT stage, frame_id, avg(mean) AS m, stddev_pop(mean) AS s, avg(std) AS ms, stddev_pop(std) AS ss FROM rg GROUP BY ALL),
-          an AS (SELECT rg.*, abs(mean - m) > 1.5 * s OR std > ms + 1.5 * ss AS anomaly FROM rg JOIN rw USING (stage, frame_id)),
+          an AS (SELECT rg.*, abs(mean - m) > 1.5 * s + 1e-9::DOUBLE OR std > ms + 1.5 * ss + 1e-9::DOUBLE AS anomaly FROM rg JOIN rw USING (stage, frame_id)),
           bd AS (SELECT stage, frame_id, 'vertical' AS direction, rx AS band, avg(anomaly::INTEGER::DOUBLE) AS share FROM an GROUP BY ALL HAVING share >= 0.3 UNION ALL SELECT stage, frame_id, 'horizontal', ry, avg(anomaly::INTEGER::DOUBLE) AS share FROM an GROUP BY ALL HAVING share >= 0.3),
           b AS (SELECT stage, frame_id, 2 * count(*) FILTER (WHERE direction = 'vertical') AS c, 2 * count(*) FILTER (WHERE direction = 'horizontal') AS r FROM bd GROUP BY ALL),
           s AS (SELECT stage, frame_id, avg(v) FILTER (WHERE x < 4) - avg(v) FILTER (WHERE x >= 4) AS left_vs_right, avg(v) AS mean, stddev_pop(v) AS std, max(v) - min(v) AS range FROM t GROUP BY ALL)
