@@ -53,11 +53,13 @@ def below(counts: DataFrame, keys: list[str], cells: int = 32) -> DataFrame:
     return out.withColumns({f"b{s}": F.col(f"o{s}") + F.coalesce(F.sum(f"n{s}").over(inside), F.lit(0)) for s in "ab"}).drop("cell", "oa", "ob")
 
 
-def pairs_long(df: DataFrame, cols: list[str], dataset: str, pairs: list[tuple[str, str]]) -> DataFrame:
-    """(pair, a, feature, value): each row once for each pair of datasets that it takes part in."""
-    entries = [F.when(F.col(dataset).isin(a, b), F.struct(F.lit(f"{a}_vs_{b}").alias("pair"), (F.col(dataset) == a).alias("a"))) for a, b in pairs]
-    tagged = df.select(F.explode(F.filter(F.array(*entries), lambda x: x.isNotNull())).alias("e"), *cols).select("e.pair", "e.a", *cols)
-    return unpivot(tagged, ["pair", "a"], cols)
+def pair_counts(df: DataFrame, cols: list[str], dataset: str, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(pair, feature, value, na, nb): values are counted once for all datasets, then set side by side for each pair."""
+    names = sorted({name for pair in pairs for name in pair})
+    long = unpivot(df.where(F.col(dataset).isin(*names)), [dataset], cols).where("value IS NOT NULL")
+    counts = long.groupBy("feature", "value").agg(*(F.count_if(F.col(dataset) == name).alias(f"__{k}") for k, name in enumerate(names)))
+    sides = [F.struct(F.lit(f"{a}_vs_{b}").alias("pair"), F.col(f"__{names.index(a)}").alias("na"), F.col(f"__{names.index(b)}").alias("nb")) for a, b in pairs]
+    return counts.select("feature", "value", F.explode(F.array(*sides)).alias("e")).select("e.pair", "feature", "value", "e.na", "e.nb").where("na + nb > 0")
 
 
 def ks_from(ranked: DataFrame, keys: list[str]) -> DataFrame:
@@ -108,8 +110,7 @@ def effects_from(ranked: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def ranked_pairs(df: DataFrame, cols: list[str], dataset: str, pairs: list[tuple[str, str]]) -> DataFrame:
-    keys = ["pair", "feature"]
-    return below(value_counts(pairs_long(df, cols, dataset, pairs), keys, F.col("a")), keys)
+    return below(pair_counts(df, cols, dataset, pairs), ["pair", "feature"])
 
 
 def effect_sizes(df: DataFrame, cols: list[str], dataset: str, pairs: list[tuple[str, str]]) -> DataFrame:
