@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainspark.llm import htmlmain, imatch, langid, linededup, mixing, packing, pii, simhash, tiff, toxicity
+from grainspark.llm import htmlmain, imatch, langid, linededup, mixing, packing, pii, shallot, simhash, tiff, toxicity
 from grainspark.llm.common import documents, fold
 
 
@@ -98,7 +98,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "tokens", "domain", *(F.col("posterior")[k].alias(f"p_{d}") for k, d in enumerate(model.domains)), "rate", "copies")
 
 
-#: The SQL of op8: the one operator of this folder whose whole result SQL can express.
+def op11_shallot_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shallot.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", shallot.digest(F.col("centroid")).alias("centroid_sha256"))
+
+
+#: The SQL of op8.
 OP8_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -118,6 +123,34 @@ GROUP BY k.doc_id
 """
 
 
+def _op11_sql(rounds: int = 3) -> str:
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+  found{r} AS MATERIALIZED (
+    SELECT v.vec_id, c.c, CAST(sum((v.x - c.y) * (v.x - c.y)) AS BIGINT) AS d FROM v JOIN c{r} c USING (i) GROUP BY v.vec_id, c.c
+    QUALIFY row_number() OVER (PARTITION BY v.vec_id ORDER BY sum((v.x - c.y) * (v.x - c.y)), c.c) = 1
+  )""")
+        if r < rounds:
+            steps.append(f"""
+  sums{r} AS (SELECT f.c, v.i, sum(v.x) AS s, count(*) AS n FROM found{r} f JOIN v USING (vec_id) GROUP BY f.c, v.i),
+  c{r + 1} AS MATERIALIZED (SELECT c.c, c.i, coalesce(CAST((m.s - ((m.s % m.n) + m.n) % m.n) // m.n AS BIGINT), c.y) AS y FROM c{r} c LEFT JOIN sums{r} m USING (c, i))""")
+    return f"""
+WITH kept AS (
+  SELECT vec_id, embedding FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), v AS MATERIALIZED (
+  SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(floor(64 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x FROM kept
+), starts AS (
+  SELECT vec_id, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c FROM kept
+), c0 AS MATERIALIZED (SELECT s.c, v.i, v.x AS y FROM starts s JOIN v USING (vec_id) WHERE s.c < 16), {",".join(steps)},
+marks AS (SELECT c, sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM found{rounds} JOIN marks USING (c)
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -125,9 +158,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    numbered = (op1_language_id, op2_simhash_pivots, op3_toxicity_fm, op4_tiff_pages, op5_html_main_text, op6_pii_anchors, op7_imatch, op8_line_dedup, op9_packing_gga, op10_mixing)
+    numbered = (op1_language_id, op2_simhash_pivots, op3_toxicity_fm, op4_tiff_pages, op5_html_main_text, op6_pii_anchors, op7_imatch, op8_line_dedup, op9_packing_gga, op10_mixing, op11_shallot_kmeans)
     return {f.__name__: f for f in (*numbered, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": OP8_SQL}
+    return {"op8_line_dedup": OP8_SQL, "op11_shallot_kmeans": _op11_sql()}
