@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainspark.llm import htmlmain, imatch, langid, linededup, mixing, packing, pii, shallot, simhash, tiff, toxicity
+from grainspark.llm import divergence, htmlmain, imatch, langid, linededup, mixing, packing, pii, shallot, simhash, tiff, toxicity
 from grainspark.llm.common import documents, fold
 
 
@@ -103,6 +103,10 @@ def op11_shallot_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", shallot.digest(F.col("centroid")).alias("centroid_sha256"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir)).select("lang", "source", "part", "item", "value", "rank")
+
+
 #: The SQL of op8.
 OP8_SQL = r"""
 WITH lines AS (
@@ -151,6 +155,36 @@ FROM found{rounds} JOIN marks USING (c)
 """
 
 
+OP13_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), per AS MATERIALIZED (
+  SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM (SELECT r, lang, source, unnest(terms) AS term FROM d) GROUP BY ALL
+), kept AS MATERIALIZED (
+  SELECT lang, term, CAST(sum(n) AS BIGINT) AS n FROM per GROUP BY lang, term HAVING sum(docs) >= 10
+), v AS (SELECT lang, count(*) AS v, CAST(sum(n) AS BIGINT) AS n FROM kept GROUP BY lang),
+sizes AS (SELECT per.lang, per.source, CAST(sum(per.n) AS BIGINT) AS n FROM per JOIN kept USING (lang, term) GROUP BY per.lang, per.source),
+g AS MATERIALIZED (SELECT lang, source, coalesce(sizes.n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN sizes USING (lang, source)),
+p AS MATERIALIZED (
+  SELECT g.lang, g.source, kept.term, coalesce(per.n, 0) AS c, 1 + 1000000000 * (coalesce(per.n, 0) + 2) // (g.n + 2 * v.v) AS p,
+         1 + 1000000000 * (kept.n + 2) // (v.n + 2 * v.v) AS q
+  FROM g JOIN v USING (lang) JOIN kept USING (lang) LEFT JOIN per ON per.lang = g.lang AND per.source = g.source AND per.term = kept.term
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS BIGINT) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pair.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM p WHERE c > 0 AND p > q
+)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -158,9 +192,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    numbered = (op1_language_id, op2_simhash_pivots, op3_toxicity_fm, op4_tiff_pages, op5_html_main_text, op6_pii_anchors, op7_imatch, op8_line_dedup, op9_packing_gga, op10_mixing, op11_shallot_kmeans)
+    numbered = (op1_language_id, op2_simhash_pivots, op3_toxicity_fm, op4_tiff_pages, op5_html_main_text, op6_pii_anchors, op7_imatch, op8_line_dedup, op9_packing_gga, op10_mixing, op11_shallot_kmeans, op13_source_divergence)
     return {f.__name__: f for f in (*numbered, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": OP8_SQL, "op11_shallot_kmeans": _op11_sql()}
+    return {"op8_line_dedup": OP8_SQL, "op11_shallot_kmeans": _op11_sql(), "op13_source_divergence": OP13_SQL}
