@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainspark.llm import divergence, htmlmain, imatch, langid, linededup, mixing, packing, pii, shallot, simhash, tiff, toxicity
+from grainspark.llm import divergence, htmlmain, imatch, langid, licences, linededup, mixing, packing, pii, shallot, simhash, tiff, toxicity
 from grainspark.llm.common import documents, fold
 
 
@@ -103,6 +103,22 @@ def op11_shallot_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", shallot.digest(F.col("centroid")).alias("centroid_sha256"))
 
 
+def op12_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    base, spans = F.col("base"), F.col("spans")
+    starts = F.transform(base, lambda s: s["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        licences.labels(base).alias("base_labels"),
+        licences.labels(base, spans).alias("labels"),
+        licences.score(base, spans).alias("score"),
+    )
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(documents(spark, sf_dir)).select("lang", "source", "part", "item", "value", "rank")
 
@@ -155,6 +171,38 @@ FROM found{rounds} JOIN marks USING (c)
 """
 
 
+def _op12_sql() -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    listed = lambda xs: ", ".join(map(quote, xs))
+    rules = ", ".join(f"({r.no}, {quote(r.keyword)}, {quote(r.pattern)}, {quote(r.label)}, {r.tier}, {r.weight}::DOUBLE)" for r in licences.RULES)
+    return rf"""
+WITH rules(no, keyword, pattern, label, tier, weight) AS (VALUES {rules}),
+d AS MATERIALIZED (
+  SELECT doc_id, trim(regexp_replace(translate(coalesce(text, ''), '{licences.UPPER}', '{licences.LOWER}'), '{licences.BETWEEN}', ' ', 'g')) AS joined FROM documents
+), w AS MATERIALIZED (
+  SELECT doc_id, words, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM (SELECT doc_id, string_split(joined, ' ') AS words FROM d WHERE joined <> '')
+), hits AS MATERIALIZED (
+  SELECT doc_id, i, array_to_string(words[i:i + {licences.WINDOW - 1}], ' ') || ' ' AS text,
+         CASE WHEN word IN ({listed(licences.GRANTS)}) AND words[i + 1] IN ({listed(licences.LINKS)}) THEN '{licences.GRANTED}' ELSE word END AS keyword
+  FROM w WHERE word IN (SELECT keyword FROM rules) OR word IN ({listed(licences.GRANTS)})
+), found AS MATERIALIZED (
+  SELECT doc_id, i - 1 AS s, i - 1 + length(m) - length(replace(m, ' ', '')) AS e, tier, no, label, weight
+  FROM (SELECT hits.*, rules.*, regexp_extract(text, pattern, 0) AS m FROM hits JOIN rules USING (keyword)) WHERE m <> ''
+), kept AS (
+  SELECT * FROM found a WHERE tier = 0 OR NOT EXISTS (
+    SELECT 1 FROM found b WHERE b.doc_id = a.doc_id AND b.tier >= a.tier AND b.s <= a.s AND b.e >= a.e AND b.no <> a.no
+      AND (b.s < a.s OR b.e > a.e OR b.tier > a.tier OR b.no < a.no))
+), sums AS (
+  SELECT doc_id, count(*) FILTER (WHERE tier = 0) AS n_base, min(s) FILTER (WHERE tier = 0) AS first_word, max(s) FILTER (WHERE tier = 0) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE tier = 0) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(weight) AS score
+  FROM kept GROUP BY doc_id
+)
+SELECT doc_id, CASE WHEN joined = '' THEN 0 ELSE length(joined) - length(replace(joined, ' ', '')) + 1 END AS n_words, coalesce(n_base, 0) AS n_base,
+       first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM d LEFT JOIN sums USING (doc_id)
+"""
+
+
 OP13_SQL = r"""
 WITH d AS MATERIALIZED (
   SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
@@ -192,9 +240,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    numbered = (op1_language_id, op2_simhash_pivots, op3_toxicity_fm, op4_tiff_pages, op5_html_main_text, op6_pii_anchors, op7_imatch, op8_line_dedup, op9_packing_gga, op10_mixing, op11_shallot_kmeans, op13_source_divergence)
+    numbered = (op1_language_id, op2_simhash_pivots, op3_toxicity_fm, op4_tiff_pages, op5_html_main_text, op6_pii_anchors, op7_imatch, op8_line_dedup, op9_packing_gga, op10_mixing, op11_shallot_kmeans, op12_licence_scan, op13_source_divergence)
     return {f.__name__: f for f in (*numbered, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": OP8_SQL, "op11_shallot_kmeans": _op11_sql(), "op13_source_divergence": OP13_SQL}
+    return {"op8_line_dedup": OP8_SQL, "op11_shallot_kmeans": _op11_sql(), "op12_licence_scan": _op12_sql(), "op13_source_divergence": OP13_SQL}
