@@ -3,7 +3,8 @@
 A text becomes its words (A-Z lower-cased, runs of digits, letters and non-ASCII characters) with one space between
 them. One regular expression of all gate phrases decides whether any rule can match; only then are words looked at.
 Each word that is the keyword of rules opens a window of ``WINDOW`` words, on which just the rules of that keyword are
-tried, from the window's beginning; a match is an interval of words. Intervals are sorted, and one pass drops those that
+tried, from the window's beginning (where a grant leads to a name, the name's first word is the keyword); a match, which
+ends with a word, is an interval of words. Intervals are sorted, and one pass drops those that
 lie inside an interval of the same or a higher tier (of equal intervals the higher tier, then the earlier rule stays),
 so the work is linear in the matches but for their sort. Base phrases are matched the same way and are never dropped.
 
@@ -115,10 +116,11 @@ SIGNATURES = [
     ("wtfpl", "you", "you just do what the fuck you want to"),
     ("beerware", "beer", "beer ware licen[sc]e revision 42"),
 ]
-# The beginnings of a grant, and addresses of licence texts.
+# What leads to a licence's name (a grant, or a tag of the source file), and addresses of licence texts.
 GRANTS = ("licensed", "licenced", "released", "distributed", "available", "provided", "published", "governed", "covered", "redistributed")
 LINKS = ("under", "by")
-GRANT = f"(?:{'|'.join(GRANTS)}) (?:{'|'.join(LINKS)}) (?:an? |the )?(?:terms (?:and conditions )?of (?:the |an? )?)?"
+LEADS = (*GRANTS, "spdx")
+LEAD = f"(?:(?:{'|'.join(GRANTS)}) (?:{'|'.join(LINKS)}) (?:an? |the )?(?:terms (?:and conditions )?of (?:the |an? )?)?|spdx licen[sc]e identifier )"
 ADDRESSES = [
     ("apache-2.0", "apache", "apache org licen[sc]es licen[sc]e 2 0"),
     ("mit", "opensource", "opensource org licen[sc]es? mit"),
@@ -162,8 +164,8 @@ class Rule:
     weight: float
 
 
-#: Keyword of rules that begin with a grant: its two first words.
-GRANTED = "(grant)"
+#: Mark before the keyword of rules that begin with a lead: that keyword is the word behind the lead.
+LED, LEAD_WORDS = "+", 12
 
 
 def _versioned(label: str, name: str, versions: str) -> list[tuple[str, str]]:
@@ -192,7 +194,7 @@ def all_rules() -> list[Rule]:
     for label, pattern, words in names:
         mention = label == "public-domain"
         found += [(w, pattern, label, 1 if mention else 2, 0.4 if mention else 0.7) for w in words]
-        found += [(GRANTED, GRANT + pattern, label, 3, 0.95), ("spdx", f"spdx licen[sc]e identifier {pattern}", label, 3, 0.95)]
+        found += [(LED + w, LEAD + pattern, label, 3, 0.95) for w in words]
     found += [(k, p, label, 4, 1.0) for label, k, p in SIGNATURES]
     found += [(k, p, label, 2, 0.9) for label, k, p in ADDRESSES]
     found += [(k, p, label, 3 if label == "proprietary" else 1, 0.6 if label == "proprietary" else 0.3) for label, k, p in NOTICES]
@@ -214,7 +216,7 @@ def words_of(text: Column) -> Column:
 
 def gate(rules: list[Rule]) -> str:
     """A regular expression that any text with a match of ``rules`` has (a version may stick to a word); for other rules than RULES, any keyword."""
-    phrases = GATES if rules is RULES else sorted({k for r in rules for k in (GRANTS if r.keyword == GRANTED else (r.keyword,))})
+    phrases = GATES if rules is RULES else sorted({r.keyword.removeprefix(LED) for r in rules})
     return f"(?<![^ ])(?:{'|'.join(phrases)})(?:v?[0-9]+)?(?![^ ])"
 
 
@@ -224,25 +226,30 @@ def matches(words: Column, rules: list[Rule]) -> Column:
     for r in rules:
         by.setdefault(r.keyword, []).append({k: v for k, v in asdict(r).items() if k != "keyword"})
     table = F.from_json(F.lit(json.dumps([{"keyword": k, "rules": own} for k, own in by.items()])), f"array<struct<keyword:string,rules:array<{_RULE}>>>")
-    keys = [k for k in by if k != GRANTED]
+    plain = [k for k in by if not k.startswith(LED)]
+
+    def spaces(text: Column) -> Column:
+        return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
+
+    def following(at: Column, n: int) -> Column:
+        return F.concat(F.array_join(F.slice(words, (at + 1).cast("int"), F.lit(n)), " "), F.lit(" "))
 
     def hit(word: Column, at: Column) -> Column:
-        granted = word.isin(*GRANTS) & F.coalesce(F.get(words, at + 1).isin(*LINKS), F.lit(False)) if GRANTED in by else F.lit(False)
-        return F.struct(at.cast("long").alias("at"), F.when(granted, F.lit(GRANTED)).when(word.isin(*keys), word).alias("key"))
+        behind = spaces(F.regexp_extract(following(at, LEAD_WORDS), f"^{LEAD}", 0))
+        led = F.when(behind > 0, F.concat(F.lit(LED), F.get(words, at + behind)))
+        return F.struct(at.cast("long").alias("at"), F.when(word.isin(*LEADS), led).when(word.isin(*plain), word).alias("key"))
 
     def tried(h: Column) -> Column:
-        window = F.concat(F.array_join(F.slice(words, (h["at"] + 1).cast("int"), F.lit(WINDOW)), " "), F.lit(" "))
         rules_here = F.get(F.filter(table, lambda g: g["keyword"] == h["key"]), F.lit(0))["rules"]
 
         def span(r: Column, text: Column) -> Column:
             found = F.call_function("regexp_extract", text, r["pattern"], F.lit(0))
-            size = F.length(found) - F.length(F.replace(found, F.lit(" "), F.lit("")))  # a match ends with a space
-            return F.struct(h["at"].alias("start"), (-h["at"] - size).cast("long").alias("minus_end"), (-r["tier"]).alias("minus_tier"), r["no"].alias("no"), r["label"].alias("label"), r["weight"].alias("weight"))
+            return F.struct(h["at"].alias("start"), (-h["at"] - spaces(found)).cast("long").alias("minus_end"), (-r["tier"]).alias("minus_tier"), r["no"].alias("no"), r["label"].alias("label"), r["weight"].alias("weight"))
 
-        every = F.flatten(F.transform(F.array(window), lambda text: F.transform(rules_here, lambda r: span(r, text))))  # the window is joined once
+        every = F.flatten(F.transform(F.array(following(h["at"], WINDOW)), lambda text: F.transform(rules_here, lambda r: span(r, text))))  # the window is joined once
         return F.filter(every, lambda s: s["minus_end"] < -s["start"])
 
-    hits = F.filter(F.transform(words, hit), lambda h: h["key"].isNotNull())
+    hits = F.filter(F.transform(words, hit), lambda h: h["key"].isin(*by))
     return F.flatten(F.transform(hits, tried))
 
 

@@ -181,10 +181,13 @@ d AS MATERIALIZED (
   SELECT doc_id, trim(regexp_replace(translate(coalesce(text, ''), '{licences.UPPER}', '{licences.LOWER}'), '{licences.BETWEEN}', ' ', 'g')) AS joined FROM documents
 ), w AS MATERIALIZED (
   SELECT doc_id, words, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM (SELECT doc_id, string_split(joined, ' ') AS words FROM d WHERE joined <> '')
-), hits AS MATERIALIZED (
-  SELECT doc_id, i, array_to_string(words[i:i + {licences.WINDOW - 1}], ' ') || ' ' AS text,
-         CASE WHEN word IN ({listed(licences.GRANTS)}) AND words[i + 1] IN ({listed(licences.LINKS)}) THEN '{licences.GRANTED}' ELSE word END AS keyword
-  FROM w WHERE word IN (SELECT keyword FROM rules) OR word IN ({listed(licences.GRANTS)})
+), windows AS (
+  SELECT doc_id, i, word, words, array_to_string(words[i:i + {licences.WINDOW - 1}], ' ') || ' ' AS text
+  FROM w WHERE word IN (SELECT keyword FROM rules) OR word IN ({listed(licences.LEADS)})
+), leads AS (SELECT *, regexp_extract(text, '^{licences.LEAD}', 0) AS l FROM windows),
+hits AS MATERIALIZED (
+  SELECT doc_id, i, text, CASE WHEN word NOT IN ({listed(licences.LEADS)}) THEN word WHEN l <> '' THEN '{licences.LED}' || words[i + length(l) - length(replace(l, ' ', ''))] END AS keyword
+  FROM leads
 ), found AS MATERIALIZED (
   SELECT doc_id, i - 1 AS s, i - 1 + length(m) - length(replace(m, ' ', '')) AS e, tier, no, label, weight
   FROM (SELECT hits.*, rules.*, regexp_extract(text, pattern, 0) AS m FROM hits JOIN rules USING (keyword)) WHERE m <> ''
