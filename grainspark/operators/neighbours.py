@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainspark.functions.durable import durable
+from grainspark.operators import pivots
 from grainspark.operators.graph import least_labels
 
 
@@ -18,57 +16,31 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-def knn_join(a: DataFrame, b: DataFrame, k: int, key: str, vector: str, within: str | None = None, block: int = 2048, keep_self: bool = False) -> DataFrame:
-    """(a_key, b_key, rank, distance): the exact k nearest rows of ``b`` for each row of ``a``; ties by key.
+def knn_join(a: DataFrame, b: DataFrame, k: int, key: str, vector: str, within: str | None = None, keep_self: bool = False, exact: bool = True, probe: float = 0.6) -> DataFrame:
+    """(a_key, b_key, rank, distance): the k nearest rows of ``b`` (inside ``within`` where given) for each row of ``a``; ties by key.
 
-    Both sides are dealt into blocks of about ``block`` rows by a hash of the key (inside ``within`` where given). A
-    task compares one block of ``a`` with one of ``b`` and keeps k rows of each query, so that memory is bounded and
-    what is shuffled afterwards is k rows for each query and block. The work is quadratic by nature; see
-    ``knn_join_approx`` for large classes.
+    Exact by a pivot index (see ``pivots``): a query compares itself with the points of its own cell, then of those
+    cells that its k-th distance reaches. How much that saves depends on the data: little where all rows are about
+    equally far from each other. With ``exact=False`` a query looks at the nearest cells that hold a share ``probe`` of
+    its group's points and at no others; measure the recall on your data.
+
+    Rows with a null group or a vector that is null, empty or not finite have no neighbours and are none; vectors of
+    different lengths are never neighbours.
     """
-    group = F.col(within).cast("string") if within else F.lit("all")
-    sizes = [df.groupBy(group.alias("__s")).agg(F.ceil(F.count("*") / block).cast("int").alias(n)) for df, n in ((a, "__na"), (b, "__nb"))]
-    blocks = sizes[0].join(sizes[1], "__s")  # groups of one side alone have no pairs
-
-    def dealt(df: DataFrame, own: str, n: str, other: str, m: str) -> DataFrame:
-        rows = df.select(group.alias("g"), F.col(key).cast("string").alias("key"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v")).join(blocks, F.col("g") == F.col("__s"))
-        placed = rows.withColumn(own, F.pmod(F.xxhash64("key"), F.col(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(m) - 1)))
-        return placed.select("g", "i", "j", "key", "v")
-
-    left, right = dealt(a, "i", "__na", "j", "__nb"), dealt(b, "j", "__nb", "i", "__na")
-
-    def nearest(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"a_key": [], "b_key": [], "d2": []}).astype({"a_key": str, "b_key": str, "d2": float})
-        if not len(x) or not len(y):
-            return none
-        y = y.sort_values("key", kind="stable")
-        vx, vy = np.stack(x["v"].to_list()), np.stack(y["v"].to_list())
-        kx, ky = x["key"].to_numpy(), y["key"].to_numpy()
-        out = []
-        for at in range(0, len(vx), 256):
-            d2 = np.zeros((len(vx[at : at + 256]), len(vy)))
-            for c in range(vx.shape[1]):
-                d2 += (vx[at : at + 256, c, None] - vy[None, :, c]) ** 2
-            if not keep_self:
-                d2[kx[at : at + 256, None] == ky[None, :]] = np.inf
-            for i, row in enumerate(d2):
-                order = np.argsort(row, kind="stable")[:k]
-                order = order[np.isfinite(row[order])]
-                out.append(pd.DataFrame({"a_key": kx[at + i], "b_key": ky[order], "d2": row[order]}))
-        return pd.concat(out) if out else none
-
-    cells = left.groupBy("g", "i", "j").cogroup(right.groupBy("g", "i", "j")).applyInPandas(nearest, "a_key string, b_key string, d2 double")
-    w = Window.partitionBy("a_key").orderBy("d2", "b_key")
-    return cells.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("a_key", "b_key", "rank", F.sqrt("d2").alias("distance"))
-
-
-def knn_join_approx(a: DataFrame, b: DataFrame, k: int, key: str, vector: str, radius: float, tables: int = 4, seed: int = 42) -> DataFrame:
-    """Candidates within ``radius`` from random projections, ranked by true distance; measure its recall against ``knn_join``."""
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=radius / 2, numHashTables=tables, seed=seed)
-    va, vb = (x.select(F.col(key).cast("string").alias("key"), array_to_vector(F.transform(F.col(vector), lambda e: e.cast("double"))).alias("features")) for x in (a, b))
-    pairs = model.fit(vb).approxSimilarityJoin(va, vb, radius, "distance").select(F.col("datasetA.key").alias("a_key"), F.col("datasetB.key").alias("b_key"), "distance").where("a_key <> b_key")
-    w = Window.partitionBy("a_key").orderBy("distance", "b_key")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    found = knn_candidates(a, b, k, key, vector, within, exact, probe).where("keys IS NOT NULL")
+    best = found.groupBy("g", "vid").agg(F.slice(F.array_sort(F.collect_list(F.struct("d2", "keys"))), 1, k + 1).alias("best"))
+    flat = F.flatten(F.transform("best", lambda p: F.transform(p["keys"], lambda x: F.struct(p["d2"].alias("d2"), x.alias("key")))))
+    rows = pivots.points(a, key, vector, within).select("g", "vid", F.col("key").alias("a_key")).join(best, ["g", "vid"])
+    own = F.filter(F.array_sort(flat), lambda x: F.lit(keep_self) | (x["key"] != F.col("a_key")))
+    ranked = rows.select("a_key", F.posexplode(F.slice(own, 1, k)).alias("rank", "x"))
+    return ranked.select("a_key", F.col("x.key").alias("b_key"), (F.col("rank") + 1).alias("rank"), F.sqrt("x.d2").alias("distance"))
+
+
+def knn_candidates(a: DataFrame, b: DataFrame, k: int, key: str, vector: str, within: str | None = None, exact: bool = True, probe: float = 0.6) -> DataFrame:
+    """What ``knn_join`` chooses from: (g, vid, d2, keys, compared), one more neighbour than k as a row may meet itself."""
+    stored = durable(pivots.distinct_points(pivots.points(b, key, vector, within), k + 1))
+    queries = stored.select("g", "vid", "v") if a is b else durable(pivots.points(a, key, vector, within).groupBy("g", "vid").agg(F.first("v").alias("v")))
+    return pivots.nearest(pivots.PivotIndex(stored, "keys array<string>"), queries, k + 1, None if exact else probe)
 
 
 def epsilon_pairs(df: DataFrame, key: str, vector: str, eps: float, axes: tuple[int, ...] = (0, 1)) -> DataFrame:
