@@ -1,22 +1,24 @@
-"""Nearest neighbours, exact and approximate, and density clustering over vector columns."""
+"""Nearest neighbours, exact and approximate, and pairs within a distance, over vector columns."""
 
 from __future__ import annotations
 
-from pyspark.ml.evaluation import ClusteringEvaluator
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainspark.functions.durable import durable
 from grainspark.operators import pivots
-from grainspark.operators.graph import least_labels
+from grainspark.operators.density import dbscan, dbscan_search  # noqa: F401  part of what this module offers
 
 
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-def knn_join(a: DataFrame, b: DataFrame, k: int, key: str, vector: str, within: str | None = None, keep_self: bool = False, exact: bool = True, probe: float = 0.6) -> DataFrame:
+def knn_join(a: DataFrame, b: DataFrame, k: int, key: str, vector: str, within: str | None = None, block: int = pivots.BLOCK, keep_self: bool = False, exact: bool = True, probe: float = 0.6) -> DataFrame:
     """(a_key, b_key, rank, distance): the k nearest rows of ``b`` (inside ``within`` where given) for each row of ``a``; ties by key.
 
     Exact by a pivot index (see ``pivots``): a query compares itself with the points of its own cell, then of those
@@ -27,7 +29,7 @@ def knn_join(a: DataFrame, b: DataFrame, k: int, key: str, vector: str, within:
     Rows with a null group or a vector that is null, empty or not finite have no neighbours and are none; vectors of
     different lengths are never neighbours.
     """
-    found = knn_candidates(a, b, k, key, vector, within, exact, probe).where("keys IS NOT NULL")
+    found = knn_candidates(a, b, k, key, vector, within, exact, probe, block).where("keys IS NOT NULL")
     best = found.groupBy("g", "vid").agg(F.slice(F.array_sort(F.collect_list(F.struct("d2", "keys"))), 1, k + 1).alias("best"))
     flat = F.flatten(F.transform("best", lambda p: F.transform(p["keys"], lambda x: F.struct(p["d2"].alias("d2"), x.alias("key")))))
     rows = pivots.points(a, key, vector, within).select("g", "vid", F.col("key").alias("a_key")).join(best, ["g", "vid"])
@@ -36,52 +38,43 @@ def knn_join(a: DataFrame, b: DataFrame, k: int, key: str, vector: str, within:
     return ranked.select("a_key", F.col("x.key").alias("b_key"), (F.col("rank") + 1).alias("rank"), F.sqrt("x.d2").alias("distance"))
 
 
-def knn_candidates(a: DataFrame, b: DataFrame, k: int, key: str, vector: str, within: str | None = None, exact: bool = True, probe: float = 0.6) -> DataFrame:
+def knn_candidates(a: DataFrame, b: DataFrame, k: int, key: str, vector: str, within: str | None = None, exact: bool = True, probe: float = 0.6, block: int = pivots.BLOCK) -> DataFrame:
     """What ``knn_join`` chooses from: (g, vid, d2, keys, compared), one more neighbour than k as a row may meet itself."""
     stored = durable(pivots.distinct_points(pivots.points(b, key, vector, within), k + 1))
     queries = stored.select("g", "vid", "v") if a is b else durable(pivots.points(a, key, vector, within).groupBy("g", "vid").agg(F.first("v").alias("v")))
-    return pivots.nearest(pivots.PivotIndex(stored, "keys array<string>"), queries, k + 1, None if exact else probe)
+    return pivots.nearest(pivots.PivotIndex(stored, "keys array<string>", block), queries, k + 1, None if exact else probe)
 
 
-def epsilon_pairs(df: DataFrame, key: str, vector: str, eps: float, axes: tuple[int, ...] = (0, 1)) -> DataFrame:
-    """(u, v, distance) for u < v within ``eps``: rows meet in cells of a grid over some coordinates, eps wide, joined on the cell."""
-    base = df.select(F.col(key).alias("k"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v"))
+def knn_join_approx(a: DataFrame, b: DataFrame, k: int, key: str, vector: str, radius: float, tables: int = 4, seed: int = 42) -> DataFrame:
+    """Candidates within ``radius`` from random projections, ranked by true distance; measure its recall against ``knn_join``."""
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=radius / 2, numHashTables=tables, seed=seed)
+    va, vb = (x.select(F.col(key).cast("string").alias("key"), array_to_vector(F.transform(F.col(vector), lambda e: e.cast("double"))).alias("features")) for x in (a, b))
+    pairs = model.fit(vb).approxSimilarityJoin(va, vb, radius, "distance").select(F.col("datasetA.key").alias("a_key"), F.col("datasetB.key").alias("b_key"), "distance").where("a_key <> b_key")
+    w = Window.partitionBy("a_key").orderBy("distance", "b_key")
+    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
-    def cell(axis: int) -> Column:
-        return F.coalesce(F.floor(F.get(base["v"], F.lit(axis)) / eps).cast("long"), F.lit(0).cast("long"))
 
-    a = base.select(F.col("k").alias("u"), F.col("v").alias("a"), *(cell(c).alias(f"c{c}") for c in axes))
-    b = base.select(F.col("k").alias("w"), F.col("v").alias("b"), *(cell(c).alias(f"c{c}") for c in axes))
-    for c in axes:
-        b = b.withColumn(f"c{c}", F.explode(F.array(F.col(f"c{c}") - 1, F.col(f"c{c}"), F.col(f"c{c}") + 1)))
-    d = F.sqrt(squared_distance(F.col("a"), F.col("b")))
-    return a.join(b, [f"c{c}" for c in axes]).where("u < w").select("u", F.col("w").alias("v"), d.alias("distance")).where(F.col("distance") <= eps)
+def epsilon_pairs(df: DataFrame, key: str, vector: str, eps: float) -> DataFrame:
+    """(u, v, distance) for u < v within ``eps``, by the pivot index; the result has a row for each pair, however many there are."""
+    rows = pivots.points(df, key, vector)
+    stored = durable(rows.groupBy("g", "vid").agg(F.first("v").alias("v")))
+    index = pivots.PivotIndex(stored)
+    names = "a string, b string, d2 double"
 
+    def kernel(x: pa.Table, y: pa.Table) -> pa.Table:
+        found = list(pivots.close_pairs(pivots.matrix(x, "v"), pivots.numbers(x, "r"), pivots.numbers(x, "t2"), pivots.matrix(y, "v"), pivots.numbers(y, "r")))
+        i, j, d2 = (np.concatenate(f) for f in zip(*found, strict=True))
+        return pa.table({"a": x["vid"].take(pa.array(i)), "b": y["vid"].take(pa.array(j)), "d2": pa.array(d2)})
 
-def both_ways(pairs: DataFrame) -> DataFrame:
-    return pairs.select("u", "v", "distance").union(pairs.select("v", "u", "distance"))
+    pairs = index.search(durable(index.visits(stored.withColumn("t2", F.lit((eps * pivots.WIDER) ** 2)), "all")), kernel, names)
+    own = rows.select("vid", F.col("key").alias("k"))
+    both = pairs.join(own.select(F.col("vid").alias("a"), F.col("k").alias("u")), "a").join(own.select(F.col("vid").alias("b"), F.col("k").alias("v")), "b")
+    kind = df.schema[key].dataType
+    return both.select(F.col("u").cast(kind).alias("u"), F.col("v").cast(kind).alias("v"), F.sqrt("d2").alias("distance")).where((F.col("u") < F.col("v")) & (F.col("distance") <= eps))
 
 
-def dbscan_from(nodes: DataFrame, pairs: DataFrame, min_points: int) -> DataFrame:
-    """(u, core, cluster) of ``nodes`` (u) from all their pairs (u, v, distance) within eps; see ``dbscan``."""
-    both = both_ways(pairs)
-    degree = both.groupBy("u").agg((F.count("*") + 1).alias("n"))
-    marked = nodes.join(degree, "u", "left").select("u", (F.coalesce("n", F.lit(1)) >= min_points).alias("core"))
-    cores = marked.where("core").select(F.col("u").alias("node"))
-    links = pairs.join(cores.withColumnRenamed("node", "u"), "u", "left_semi").join(cores.withColumnRenamed("node", "v"), "v", "left_semi").select("u", "v")
-    labels = least_labels(cores, links)
-    touching = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min_by("label", F.struct("distance", "v")).alias("border"))
-    out = marked.join(labels.select(F.col("node").alias("u"), "label"), "u", "left").join(touching, "u", "left")
-    return out.select("u", "core", F.coalesce("label", "border").alias("cluster"))
-
-
-def dbscan(df: DataFrame, key: str, vector: str, eps: float, min_points: int) -> DataFrame:
-    """(key, core, cluster): cores have min_points rows within eps, themselves included; clusters are named by their least core.
-
-    A border row joins the cluster of its nearest core (ties: the least key); others are noise, cluster null.
-    """
-    pairs = durable(epsilon_pairs(df, key, vector, eps))
-    return dbscan_from(df.select(F.col(key).alias("u")), pairs, min_points).withColumnRenamed("u", key)
+def both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.select("u", "v", "distance").union(pairs.select("v", "u", "distance"))
 
 
 def noise_counts(nodes: DataFrame, pairs: DataFrame, eps_values: list[float], min_points: int) -> list[int]:
@@ -93,35 +86,3 @@ def noise_counts(nodes: DataFrame, pairs: DataFrame, eps_values: list[float], mi
     alone = min_points <= 1  # then every row is a core
     row = marked.agg(*(F.count_if(F.lit(not alone) & ~(F.coalesce(F.get("core", F.lit(k)), F.lit(False)) | F.coalesce(F.get("near", F.lit(k)), F.lit(False)))) for k in range(len(eps_values)))).first()
     return list(row)
-
-
-def dbscan_search(df: DataFrame, key: str, vector: str, eps_values: list[float] | None = None, min_points: int | None = None, default: float = 0.5) -> tuple[DataFrame, float, dict[float, float]]:
-    """(result as of ``dbscan``, eps, scores): the eps of greatest silhouette among those without noise and with several clusters.
-
-    Defaults: 20 values from 0.1 to 2, at least a twentieth of the rows (two at least) for a core. All pairs within the
-    greatest eps are found once, so this is for tables whose neighbourhoods are small, such as wrongly classified rows.
-    The silhouette is the simplified one (squared distances to cluster means). Without a valid eps it is ``default``.
-    """
-    eps_values = eps_values or [round(0.1 + 0.1 * k, 10) for k in range(20)]
-    min_points = min_points or max(2, df.count() // 20)
-    nodes = df.select(F.col(key).alias("u"))
-    pairs = durable(epsilon_pairs(df, key, vector, max(eps_values)))
-    scores: dict[float, float] = {}
-    points = df.select(F.col(key).alias("u"), array_to_vector(F.transform(F.col(vector), lambda x: x.cast("double"))).alias("features"))
-    counts = list(pairs.agg(*(F.count_if(F.col("distance") <= e) for e in eps_values)).first())
-    tried: dict[int, float | None] = {}  # values of eps with as many pairs have the same pairs, and so the same clusters
-    for eps, noise, n in zip(eps_values, noise_counts(nodes, pairs, eps_values, min_points), counts, strict=True):
-        if noise or n in tried:
-            if tried.get(n) is not None:
-                scores[eps] = tried[n]
-            continue
-        tried[n] = None
-        found = dbscan_from(nodes, pairs.where(F.col("distance") <= eps), min_points)
-        names = found.select("cluster").distinct()
-        if names.limit(2).count() < 2:
-            continue
-        numbered = found.join(names.withColumn("prediction", (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("cluster")) - 1).cast("double")), "cluster")
-        scores[eps] = tried[n] = ClusteringEvaluator().evaluate(points.join(numbered.select("u", "prediction"), "u"))
-    best = max(scores, key=lambda e: (scores[e], -e), default=default)
-    within = pairs if best <= max(eps_values) else durable(epsilon_pairs(df, key, vector, best))
-    return dbscan_from(nodes, within.where(F.col("distance") <= best), min_points).withColumnRenamed("u", key), best, scores

@@ -161,9 +161,12 @@ def robust_envelope(train: DataFrame, test: DataFrame, cols: list[str], contamin
     return test.withColumn("envelope_score", F.lit(offset) - d2).withColumn("envelope_outlier", F.col("envelope_score") < 0)
 
 
-def lof(train: DataFrame, test: DataFrame, key: str, vector: str, k: int = 20) -> DataFrame:
-    """(key, lof, lof_outlier): the local outlier factor of test rows among training rows; above 1.5 is an outlier."""
-    near = knn_join(train, train, k, key, vector)
+def lof(train: DataFrame, test: DataFrame, key: str, vector: str, k: int = 20, exact: bool = True) -> DataFrame:
+    """(key, lof, lof_outlier): the local outlier factor of test rows among training rows; above 1.5 is an outlier.
+
+    With ``exact=False`` neighbours come from the cells nearest to a row (see ``knn_join``).
+    """
+    near = knn_join(train, train, k, key, vector, exact=exact)
     kdist = near.groupBy(F.col("a_key").alias("b_key")).agg(F.max("distance").alias("kdist"))
 
     def density(pairs: DataFrame) -> DataFrame:
@@ -171,7 +174,7 @@ def lof(train: DataFrame, test: DataFrame, key: str, vector: str, k: int = 20) -
         return reach.groupBy("a_key").agg((1 / (F.avg("reach") + 1e-10)).alias("lrd"))
 
     own = density(near).select(F.col("a_key").alias("b_key"), F.col("lrd").alias("b_lrd"))
-    found = knn_join(test, train, k, key, vector)
+    found = knn_join(test, train, k, key, vector, exact=exact)
     ratio = found.join(own, "b_key").groupBy("a_key").agg(F.avg("b_lrd").alias("around")).join(density(found), "a_key")
     return ratio.select(F.col("a_key").alias(key), (F.col("around") / F.col("lrd")).alias("lof")).withColumn("lof_outlier", F.col("lof") > 1.5)
 

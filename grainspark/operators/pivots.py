@@ -78,7 +78,7 @@ def _facts(distinct: DataFrame) -> DataFrame:
     """(g, n, pivots) for each group of points."""
     sizes = distinct.groupBy("g").agg(F.count("*").alias("n"))
     edge = F.lit(float(1 << 40)) * SAMPLE / F.col("n")
-    picked = distinct.join(sizes, "g").where(F.pmod(F.xxhash64("vid"), F.lit(1 << 40)) < edge).select("g", "n", "vid", "v")
+    picked = distinct.select("g", "vid", "v").join(sizes, "g").where(F.pmod(F.xxhash64("vid"), F.lit(1 << 40)) < edge)
 
     def choose(table: pa.Table) -> pa.Table:
         table = table.sort_by("vid")
@@ -105,14 +105,15 @@ def _with_group(rows: DataFrame, facts: DataFrame, work, schema: str) -> DataFra
 
 
 def _arrow(schema: str) -> pa.Schema:
-    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
     return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
 
 
 class PivotIndex:
     """``rows``: (g, cell, r, vid, v, ...) of all points; ``facts``: (g, n, pivots, cells) with a row for each group."""
 
-    def __init__(self, distinct: DataFrame, carry: str = ""):
+    def __init__(self, distinct: DataFrame, carry: str = "", block: int = BLOCK):
+        self.block = block
         facts = durable(_facts(distinct))
         extra = [c.split()[0] for c in carry.split(", ")] if carry else []
 
@@ -174,9 +175,8 @@ class PivotIndex:
         return _with_group(queries, self.facts, choose, "g string, cell int, r double, t2 double, vid string, v array<double>" + (f", {carry}" if carry else ""))
 
     def search(self, visits: DataFrame, kernel, schema: str) -> DataFrame:
-        """``kernel(queries, rows)`` on blocks of the queries that visit a cell and of the cell's rows, each pair of blocks once."""
-        visits = durable(visits)
-        count = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+        """``kernel(queries, rows)`` on blocks of the queries that visit a cell and of the cell's rows, each pair of blocks once; store ``visits`` before."""
+        count = lambda n: F.ceil(F.col(n) / self.block).cast("int")
         asked = visits.groupBy("g", "cell").agg(F.count("*").alias("asked"))
         split = self.cells.join(asked, ["g", "cell"]).select("g", "cell", count("n").alias("subs"), count("asked").alias("parts"))
         left = visits.join(split, ["g", "cell"]).withColumn("part", F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int")).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
@@ -242,10 +242,10 @@ def nearest(index: PivotIndex, queries: DataFrame, wanted: int, probe: float | N
         rows = pa.table({"g": a["g"].take(pa.array(i)), "vid": a["vid"].take(pa.array(i)), "d2": pa.array(np.concatenate(d2)), "keys": b["keys"].take(pa.array(j)), "compared": pa.array(np.zeros(len(i), np.int64))}, schema=_arrow(_FOUND))
         return pa.concat_tables([rows, pa.table({"g": [a["g"][0].as_py()], "vid": [None], "d2": [None], "keys": [None], "compared": [compared]}, schema=_arrow(_FOUND))])
 
-    near = durable(index.search(index.visits(queries, "own", wanted), kernel, _FOUND))
+    near = durable(index.search(durable(index.visits(queries, "own", wanted)), kernel, _FOUND))
     # The bound of the own cell's visit holds too, but a query with so many points in its cell knows better.
     kth = near.where("keys IS NOT NULL").groupBy("g", "vid").agg(F.sort_array(F.collect_list("d2")).alias("d")).select("g", "vid", F.get("d", F.lit(wanted - 1)).alias("t2"))
     again = queries.join(kth.where("t2 IS NOT NULL"), ["g", "vid"], "left").select("g", "vid", "v", F.coalesce("t2", F.lit(float("inf"))).alias("t2"))
-    far = index.search(index.visits(again, "rest", wanted, probe), kernel, _FOUND)
+    far = index.search(durable(index.visits(again, "rest", wanted, probe)), kernel, _FOUND)
     return near.union(far)
 

@@ -72,9 +72,11 @@ def balance_experiments(df: DataFrame, experiment: str, label: str, key: str, se
     return ranked.where(F.col("__taken") | (have + F.col("__r") <= F.col("__target"))).drop("__size", "__target", "__r", "__n", "__taken")
 
 
-def smote(df: DataFrame, label: str, key: str, vector: str, k: int = 3, seed: int = 42) -> DataFrame:
+def smote(df: DataFrame, label: str, key: str, vector: str, k: int = 3, seed: int = 42, exact: bool = True) -> DataFrame:
     """(key, label, vector, synthetic): every class filled up to the largest with points between same-class neighbours.
 
+    With ``exact=False`` neighbours come from the cells nearest to a row (see ``knn_join``).
+
     Copy j of a row uses a neighbour and a step that its key, j and the seed pick. A class of k rows or fewer is an
     error, as its neighbours would not exist.
     """
@@ -87,7 +89,7 @@ def smote(df: DataFrame, label: str, key: str, vector: str, k: int = 3, seed: in
     base = with_class_rank(df.select(key, label, vector), [label], key, seed, size="__size").drop("__size").join(lacking, label)
     copies = F.expr("lack div n") + (F.col("__r") <= F.col("lack") % F.col("n")).cast("int")
     seeds = base.where(copies > 0).withColumn("__j", F.explode(F.sequence(F.lit(1), copies)))
-    near = knn_join(df, df, k, key, vector, within=label).groupBy("a_key").agg(F.collect_list(F.struct("rank", "b_key")).alias("near"))
+    near = knn_join(df, df, k, key, vector, within=label, exact=exact).groupBy("a_key").agg(F.collect_list(F.struct("rank", "b_key")).alias("near"))
     u = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("__j"), F.lit(seed))), 1, 8), 16, 10).cast("double") / float(1 << 32)
     pick = (F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("__j"), F.lit(seed))), 9, 8), 16, 10).cast("long") % k).cast("int")
     chosen = seeds.join(near, F.col(key) == F.col("a_key")).withColumn("__b", F.element_at(F.sort_array("near"), pick + 1)["b_key"]).withColumn("__u", u)
@@ -96,10 +98,10 @@ def smote(df: DataFrame, label: str, key: str, vector: str, k: int = 3, seed: in
     return df.select(F.col(key).cast("string").alias(key), label, F.transform(vector, lambda x: x.cast("double")).alias(vector), F.lit(False).alias("synthetic")).unionByName(made)
 
 
-def smote_enn(df: DataFrame, label: str, key: str, vector: str, k: int = 3, seed: int = 42) -> DataFrame:
+def smote_enn(df: DataFrame, label: str, key: str, vector: str, k: int = 3, seed: int = 42, exact: bool = True) -> DataFrame:
     """SMOTE, then only rows all of whose k neighbours share their label."""
-    filled = smote(df, label, key, vector, k, seed)
-    near = knn_join(filled, filled, k, key, vector)
+    filled = smote(df, label, key, vector, k, seed, exact)
+    near = knn_join(filled, filled, k, key, vector, exact=exact)
     labels = filled.select(F.col(key).alias("b_key"), F.col(label).alias("b_label"))
     own = filled.select(F.col(key).alias("a_key"), F.col(label).alias("a_label"))
     agree = near.join(labels, "b_key").join(own, "a_key").groupBy("a_key").agg(F.bool_and(F.col("a_label") == F.col("b_label")).alias("agree"))

@@ -185,6 +185,37 @@ def i4_search(spark, sf_dir):
     return found.select("id", "core", F.col("cluster").isNull().alias("noise"), F.lit(eps).alias("eps"))
 
 
+def i4_sweep(spark, sf_dir):
+    """All 20 values of eps over suppliers: five groups of nations far apart, balances along each."""
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    df = rows.select(F.col("s_suppkey").cast("string").alias("id"), F.array(3.0 * (F.col("s_nationkey") % 5), F.col("s_acctbal").cast("double") / 10000).alias("v"))
+    found, eps, scores = neighbours.dbscan_search(df, "id", "v")
+    return found.select("id", "core", "cluster", F.lit(eps).alias("eps"), F.lit(len(scores)).alias("valid"))
+
+
+I4_SWEEP_SQL = """
+WITH RECURSIVE vec AS MATERIALIZED (SELECT CAST(s_suppkey AS VARCHAR) AS id, 3.0::DOUBLE * (s_nationkey % 5) AS x, CAST(s_acctbal AS DOUBLE) / 10000 AS y FROM supplier),
+  mp AS (SELECT greatest(2, count(*) // 20) AS m FROM vec), ep AS (SELECT unnest([round(0.1::DOUBLE + 0.1::DOUBLE * k, 10) for k in range(20)]) AS eps),
+  d AS MATERIALIZED (SELECT a.id AS u, b.id AS v, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM vec a CROSS JOIN vec b),
+  core AS MATERIALIZED (SELECT eps, u AS id FROM ep JOIN d ON sqrt(d2) <= eps GROUP BY eps, u HAVING count(*) >= (SELECT m FROM mp)),
+  near AS MATERIALIZED (SELECT c.eps, d.u, d.v, d.d2 FROM core c JOIN d ON d.v = c.id AND sqrt(d.d2) <= c.eps),
+  edges AS MATERIALIZED (SELECT n.eps, n.u, n.v FROM near n JOIN core c ON c.eps = n.eps AND c.id = n.u),
+  reach AS (SELECT eps, u, v FROM edges UNION SELECT r.eps, r.u, e.v FROM reach r JOIN edges e ON e.eps = r.eps AND e.u = r.v),
+  lab AS MATERIALIZED (SELECT eps, u AS id, min(v) AS cluster FROM reach GROUP BY ALL),
+  own AS (SELECT eps, u AS id, v AS node FROM near QUALIFY row_number() OVER (PARTITION BY eps, u ORDER BY d2, v) = 1),
+  placed AS MATERIALIZED (SELECT ep.eps, vec.id, c.id IS NOT NULL AS core, coalesce(l.cluster, b.cluster) AS cluster
+    FROM ep CROSS JOIN vec LEFT JOIN core c ON c.eps = ep.eps AND c.id = vec.id LEFT JOIN lab l ON l.eps = ep.eps AND l.id = vec.id
+    LEFT JOIN own o ON o.eps = ep.eps AND o.id = vec.id LEFT JOIN lab b ON b.eps = o.eps AND b.id = o.node),
+  valid AS (SELECT eps FROM placed GROUP BY eps HAVING count(*) = count(cluster) AND count(DISTINCT cluster) > 1),
+  sizes AS (SELECT eps, cluster, count(*) AS n FROM placed WHERE eps IN (SELECT eps FROM valid) GROUP BY ALL),
+  sums AS (SELECT a.eps, a.id, a.cluster AS own, b.cluster AS other, sum(d.d2) AS s FROM placed a JOIN placed b ON a.eps = b.eps JOIN d ON d.u = a.id AND d.v = b.id WHERE a.eps IN (SELECT eps FROM valid) GROUP BY ALL),
+  sil AS (SELECT s.eps, s.id, max(CASE WHEN own = other THEN CASE WHEN n > 1 THEN s / (n - 1) ELSE 0 END END) AS a, min(CASE WHEN own <> other THEN s / n END) AS b, max(CASE WHEN own = other THEN n END) AS n
+    FROM sums s JOIN sizes z ON z.eps = s.eps AND z.cluster = s.other GROUP BY ALL),
+  score AS (SELECT eps, round(avg(CASE WHEN n = 1 OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 9) AS s FROM sil GROUP BY eps),
+  best AS (SELECT coalesce((SELECT eps FROM score ORDER BY s DESC, eps LIMIT 1), 0.5) AS eps, (SELECT count(*) FROM valid) AS n)
+SELECT p.id, p.core, p.cluster, p.eps, best.n AS valid FROM placed p JOIN best ON p.eps = best.eps"""
+
+
 def i5(spark, sf_dir):
     df = vectors(spark, sf_dir)
     return neighbours.knn_join(df, df, 3, "id", "embedding")
@@ -416,6 +447,7 @@ QUERIES = {
           p AS (SELECT a.id AS u, b.id AS v, {DISTANCE} AS d FROM vec a JOIN vec b ON a.id <> b.id),
           c AS (SELECT vec.id, count(v) + 1 >= (SELECT m FROM mp) AS core FROM vec LEFT JOIN p ON u = vec.id AND d <= 0.5 GROUP BY vec.id)
           SELECT c.id, c.core, NOT c.core AND NOT EXISTS (SELECT 1 FROM p JOIN c k ON k.id = p.v WHERE p.u = c.id AND k.core AND d <= 0.5) AS noise, 0.5 AS eps FROM c"""),
+    "i4_dbscan_sweep": Query(i4_sweep, "id core cluster eps* valid#", I4_SWEEP_SQL),
     "i5_knn_join": Query(i5, "a_key b_key rank# distance*", f"WITH {VEC}, d AS (SELECT a.id AS a_key, b.id AS b_key, {DISTANCE} AS distance FROM vec a JOIN vec b ON a.id <> b.id), r AS (SELECT *, row_number() OVER (PARTITION BY a_key ORDER BY distance, b_key) AS rank FROM d) SELECT * FROM r WHERE rank <= 3"),
     "i6_pca": Query(i6, "row_id first* second* share*", I6_SQL),
     "i7_cluster_features": Query(i7, "id dist_cluster_0* dist_cluster_1* in_cluster_0# dist_class_a* dist_class_b* dist_difference* in_error_cluster#", f"""WITH {VEC}, x AS (SELECT label, unnest(e) AS v, generate_subscripts(e, 1) AS i FROM vec WHERE label < 4), m AS (SELECT label, i, avg(v) AS v FROM x GROUP BY ALL), c AS (SELECT label AS k, list(v ORDER BY i) AS e FROM m GROUP BY label),
