@@ -3,9 +3,11 @@
 A page is cut into tags and text, and its text into blocks (runs between block-level tags). Each block passes points
 for its length and commas to its ancestors, less with distance; an ancestor's points are discounted by its link
 density. The best container is kept with those siblings that score well or read like prose; menus, headers, footers,
-sidebars, notices, adverts, forms, comments and the like never take part. Names of states (has-sidebar, nav-open) and
-names beside one that names content (post comments-open) cut nothing, and where no text is left the page is read again
-without the words that always cut. Headings just before kept siblings stay. Lists of links are dropped as menus, but
+sidebars, notices, adverts, forms, comments and the like never take part. Names of states (has-sidebar, nav-open) cut
+nothing. Where one class names content and another a side part in a longer name (content sidebar-right), the element
+goes unless it holds at least half of the page's prose; a class that is just the side part's word (comment text, menu
+main) always cuts. Where no text is left, paragraphs of prose in a part named as a sidebar or masthead are taken after
+all; adverts, comments, menus and notices never are. Headings just before kept siblings stay. Lists of links are dropped as menus, but
 not inside a part marked as content (article, main, a class such as content), where they are references. Blocks come
 out in page order.
 
@@ -35,11 +37,14 @@ CLOSES_P = set("address article aside blockquote center details dialog dir div d
 CLOSES_SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 OUTSIDE = set("nav footer aside form button dialog menu head fieldset".split())
 OUTSIDE_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar tablist".split())
-#: Words of class and id that mark parts which are never main text, whatever else they say, or unless they also name content.
+#: Words of class and id that mark parts which are never main text, those of them that a second reading lifts, and words that mark such parts unless they also name content.
 NEVER = set("ad ads advert adverts advertisement sponsor sponsored promo comment comments commentlist disqus respond reply replies cookie cookies consent gdpr sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs footer popup modal newsletter subscribe signup paywall skyscraper pagination pager masthead".split())
+SIDE = set("sidebar sidebars masthead".split())
 OFTEN = set("banner notice notices alert widget widgets related recommended share sharing social toolbar header topbar tags promoted teaser outbrain taboola shoutbox login disclaimer".split())
 #: Names of a state of the page or its content, not of a part.
-STATE = re.compile(r"(?:has|no|with|without|is|not)[-_]\S*|\S*[-_](?:open|opened|closed)", re.I)
+STATE = re.compile(r"(?:has|no|with|without)[-_]\S*|\S*[-_](?:open|opened|closed|layout)", re.I)
+#: Characters of a block that is prose, and of such blocks that a second reading must find.
+PROSE, LEAST_PROSE = 80, 200
 HEADINGS = {f"h{k}" for k in range(1, 7)}
 CONTENT = set("article content entry post story body main text hentry page blog".split())
 #: Those of them that also name what is round the whole page.
@@ -54,9 +59,10 @@ class Page:
     """The elements of a page (parents before children) and its text blocks."""
 
     def __init__(self, html: str, strict: bool = True):
-        self.strict = strict  # whether words of NEVER cut an element
+        self.never = NEVER if strict else NEVER - SIDE
         self.parent, self.tag, self.out, self.link, self.weight = [-1], [""], [False], [False], [0.0]
         self.article, self.content = [False], [False]  # inside an article or main element; so, or inside one named as content
+        self.doubt = [False]  # named as content and as a side part
         self.blocks: list[list] = []  # [element, text parts, characters in links]
         self._read(html)
 
@@ -64,19 +70,21 @@ class Page:
         up = stack[-1]
         weight = {"article": 30.0, "main": 25.0, "section": 3.0, "div": 5.0, "blockquote": 3.0, "pre": 3.0, "td": 3.0}.get(tag, -5.0 if tag in ("ul", "ol", "dl", "form", "address") else 0.0)
         out = self.out[up] or tag in OUTSIDE or tag == "header" and not self.article[up]
-        content_name = False
+        content_name = doubt = False
         if attributes and not out:
             seen = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
             words = {w.lower() for k in ("class", "id") if k in seen for w in _WORDS.findall(seen[k])}
             if tag not in ("body", "html"):
                 names = [x for k in ("class", "id") if k in seen for x in seen[k].split() if not STATE.fullmatch(x)]
                 content = tag == "main" or any(_words(x) <= CONTENT for x in names if _words(x))
-                never = any(_words(x) & NEVER for x in names) and not content
-                out = self.strict and never or bool(words & OFTEN and not words & CONTENT) or seen.get("role", "").lower() in OUTSIDE_ROLES
+                sides = [x for x in names if _words(x) & self.never]
+                doubt = bool(sides) and content and not any(x.lower() in self.never for x in sides)
+                out = bool(sides) and not doubt or bool(words & OFTEN and not words & CONTENT) or seen.get("role", "").lower() in OUTSIDE_ROLES
                 out = out or "hidden" in seen or seen.get("aria-hidden") == "true" or "display:none" in seen.get("style", "").replace(" ", "").lower()
             content_name = bool(words & CONTENT - WHOLE) and not out and tag not in ("body", "html") or seen.get("role") == "main" or seen.get("itemprop") == "articleBody"
             weight += 25.0 * bool(words & CONTENT) + 25.0 * (seen.get("role") == "main" or seen.get("itemprop") == "articleBody")
         self.parent.append(up)
+        self.doubt.append(doubt and not out)
         self.tag.append(tag)
         self.out.append(out)
         self.link.append(self.link[up] or tag == "a")
@@ -165,12 +173,36 @@ class Page:
 
 def main_blocks(html: str | None) -> list[str]:
     """The main text's blocks, white space inside each made one space."""
-    return (_main_blocks(html, True) or _main_blocks(html, False)) if html else []
+    if not html:
+        return []
+    found = _main_blocks(html, True)
+    if found:
+        return found
+    again = _main_blocks(html, False)
+    return again if sum(len(x) for x in again if len(x) >= PROSE) >= LEAST_PROSE else []
+
+
+def _without_doubtful(page: Page, blocks: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+    """The blocks but for those in doubtful elements that hold less than half of the page's prose."""
+    if not any(page.doubt):
+        return blocks
+    prose = [0] * len(page.parent)
+    for node, text, links in blocks:
+        if len(text) >= PROSE and links < 0.5 * len(text):
+            prose[node] += len(text)
+    for i in range(len(prose) - 1, 0, -1):
+        prose[page.parent[i]] += prose[i]
+    gone = [False] * len(prose)
+    for i in range(1, len(prose)):
+        gone[i] = gone[page.parent[i]] or page.doubt[i] and 2 * prose[i] < max(prose[0], 1)
+        page.out[i] = page.out[i] or gone[i]
+    return [b for b in blocks if not gone[b[0]]]
 
 
 def _main_blocks(html: str, strict: bool) -> list[str]:
     page = Page(html, strict)
     blocks = [(node, text, min(linked, len(text))) for node, parts, linked in page.blocks if (text := " ".join("".join(parts).split()))]
+    blocks = _without_doubtful(page, blocks)
     if not blocks:
         return []
     n = len(page.parent)

@@ -50,3 +50,31 @@ def test_pages_without_article_elements(sf_dir):
 
     for (html,) in duckdb.sql(f"SELECT html FROM '{sf_dir}/pages.parquet'").fetchall():
         assert htmlmain.main_blocks(re.sub(r"(</?)(article|main)\b", r"\1div", html)) == htmlmain.main_blocks(html)
+
+
+ASIDE = "<p>" + "A reader writes something, as readers do, and it is no part of the text. " * 3 + "</p>"
+
+
+@pytest.mark.parametrize("part", [
+    "<div class='comment text'>{}</div>", "<section class='comments post'>{}</section>", "<ul class='menu main'><li>Home</li><li>About us, a reader writes</li></ul>",
+    "<div class='is-sponsored'>{}</div>", "<div class='entry comment-list'>{}</div>", "<div class='post sidebar-left'>{}</div>", "<div id='respond' class='content'>{}</div>",
+])
+@pytest.mark.parametrize("page", ["<article>{0}{1}</article>", "<body><div class='content'>{0}{1}</div></body>", "<body><main><div>{0}</div>{1}</main></body>", "<body><table><tr><td>{0}{1}</td></tr></table></body>"])
+def test_side_parts_that_also_name_content_go(part, page):
+    found = " ".join(htmlmain.main_blocks(page.format(PROSE, part.format(ASIDE))))
+    assert "reads like the prose" in found and "reader writes" not in found and "Home" not in found
+
+
+@pytest.mark.parametrize("html", [
+    "<body><div class='sidebar'><p>Recent posts, and links.</p></div></body>", "<body><div class='cookie-notice'>" + ASIDE + "</div></body>", "<body><div class='comments'>" + ASIDE * 3 + "</div></body>",
+    "<body><div class='advert'>" + PROSE + "</div><div id='sidebar'>Archive</div></body>", "<body><ul class='menu'><li>" + ASIDE + "</li></ul></body>",
+])
+def test_pages_of_side_parts_alone_are_empty(html):
+    assert htmlmain.main_blocks(html) == []
+
+
+@pytest.mark.parametrize("tag", ["div class='content sidebar-right'", "div class='main-wrap sidebar-layout content'", "main class='comment-page'", "article class='post nav-style'"])
+def test_the_part_with_the_prose_stays_in_doubt(tag):
+    html = f"<body><div class='intro'><p>Short words.</p></div><{tag}>{PROSE}<div class='comment'>{ASIDE}</div></{tag.split()[0]}></body>"
+    found = " ".join(htmlmain.main_blocks(html))
+    assert "reads like the prose" in found and "reader writes" not in found
