@@ -8,9 +8,12 @@ posterior share one rate. Totals of tokens and of unrounded domain mass are ther
 posterior before the iteration; each step is one small aggregation on the executors, and only the vector of domain
 residuals comes to the driver. The residuals of all steps are then replayed over the documents' unrounded posteriors.
 
+Rows draw their copies each for itself: rows without an id, or of one id with different texts, do not go or stay
+together; rows equal in id and text do.
+
 Steps end when every posterior meets the optimality test: with rates in units of the start rate and g the sum of p times
 the relative residuals, |min(rate, g)| is at most the tolerance (so g is about 0 where the rate is positive, and not
-below 0 where it is 0). Where ``max_steps`` comes first, a warning gives the value reached, which ``Steps.gap`` keeps.
+below 0 where it is 0). Where ``max_steps`` comes first, a warning gives the value reached; the result carries it.
 
 Edge cases: null and empty texts have no tokens and take rate 1; without labels there is one domain and every rate is
 the share asked for; a target for a domain that was never learned is ignored and the others are rescaled; repeated
@@ -34,8 +37,8 @@ from grainspark.llm.selected import among, choose, chosen_rows, term_cells
 
 GRID = 1000
 TYPES_A_TASK = 20_000
-#: As ``total_tokens``: the mixture has as many tokens as the documents have; scarce domains get rates above 1.
-INPUT = "input"
+#: As ``total_tokens``: as many tokens as the documents have, scarce domains getting rates above 1; or the greatest size at which no domain must be repeated.
+INPUT, UNREPEATED = "input", "unrepeated"
 
 
 @dataclass
@@ -175,14 +178,15 @@ def fit_rates(types: DataFrame, domains: int, targets: np.ndarray, max_steps: in
     return steps
 
 
-def mix(docs: DataFrame, model: DomainModel, weights: dict[str, float], total_tokens: float | str | None = None, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Add tokens, domain (the likeliest), posterior (thousandths by domain), rate and copies to the documents.
+def mix(docs: DataFrame, model: DomainModel, weights: dict[str, float], total_tokens: float | str = INPUT, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Add tokens, domain (the likeliest), posterior (thousandths by domain), rate, copies and gap to the documents.
 
-    ``total_tokens`` is the size of the mixture; by default it is the greatest at which no domain must be repeated,
-    so a scarce domain makes it small; with ``INPUT`` it is the documents' own size.
-    ``copies`` is the rate rounded down or up by a hash of the id, so that its expectation is the rate.
+    ``total_tokens`` is the size of the mixture: a number, by default the documents' own size (``INPUT``), or
+    ``UNREPEATED``, which a scarce domain makes small.
+    ``copies`` is the rate rounded down or up by a hash of id and text (and of the row's place in its partition if the
+    id is null), so that its expectation is the rate. ``gap`` is the optimality test's value, the same for all rows.
     """
-    new = ("tokens", "domain", "posterior", "rate", "copies")
+    new = ("tokens", "domain", "posterior", "rate", "copies", "gap")
     kept = [c for c in docs.columns if c not in new]
     domains = model.domains
 
@@ -206,7 +210,7 @@ def mix(docs: DataFrame, model: DomainModel, weights: dict[str, float], total_to
     natural = np.zeros(len(domains))
     for r in types.select(F.posexplode("mass").alias("d", "v")).groupBy("d").agg(F.sum("v").alias("v")).collect():
         natural[r["d"]] = r["v"]
-    if total_tokens is None:
+    if total_tokens == UNREPEATED:
         wanted = (share > 0) & (natural > 0)
         total_tokens = float((natural[wanted] / share[wanted]).min(initial=np.inf)) if wanted.any() else float(natural.sum())
     elif total_tokens == INPUT:
@@ -222,9 +226,11 @@ def mix(docs: DataFrame, model: DomainModel, weights: dict[str, float], total_to
             grid, tokens, p = model.posteriors(hasher, texts)
             rate = np.where(tokens > 0, steps.rates(p), 1.0)
             copies = np.floor(rate).astype(np.int32) + (u.to_numpy() < np.modf(rate)[0])
-            return None, [tokens.astype(np.int64), [domains[k] for k in grid.argmax(1)], grid.tolist(), rate, copies.astype(np.int32)]
+            gap = np.full(len(rate), steps.gap if np.isfinite(steps.gap) else 0.0)
+            return None, [tokens.astype(np.int64), [domains[k] for k in grid.argmax(1)], grid.tolist(), rate, copies.astype(np.int32), gap]
 
         return run
 
-    u = F.pmod(F.xxhash64(F.lit("copies"), named(id_col)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    return map_texts(docs, text, kept, "tokens long, domain string, posterior array<int>, rate double, copies int", rated, (u,))
+    place = F.when(named(id_col).isNull(), F.monotonically_increasing_id())
+    u = F.pmod(F.xxhash64(F.lit("copies"), named(id_col), named(text), place), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return map_texts(docs, text, kept, "tokens long, domain string, posterior array<int>, rate double, copies int, gap double", rated, (u,))

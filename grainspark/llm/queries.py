@@ -95,7 +95,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = mixing.train(docs, labels, domain_of_labels())
     mixed = mixing.mix(docs.select("doc_id", "text"), model, TARGETS)
-    return mixed.select("doc_id", "tokens", "domain", *(F.col("posterior")[k].alias(f"p_{d}") for k, d in enumerate(model.domains)), "rate", "copies")
+    return mixed.select("doc_id", "tokens", "domain", *(F.col("posterior")[k].alias(f"p_{d}") for k, d in enumerate(model.domains)), "rate", "copies", "gap")
 
 
 def op11_shallot_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:

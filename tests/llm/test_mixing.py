@@ -18,10 +18,20 @@ def test_a_scarce_domain_does_not_empty_the_mixture(spark):
     shares = {"a": 0.8, "b": 0.19, "c": 0.01}
     whole = mixing.mix(docs, scarce_model(), shares, mixing.INPUT).toPandas()
     assert (whole.rate > 0.5).all() and (whole.copies >= 0).all()
-    small = mixing.mix(docs, scarce_model(), shares).toPandas()
+    assert mixing.mix(docs, scarce_model(), shares).toPandas().equals(whole)
+    small = mixing.mix(docs, scarce_model(), shares, mixing.UNREPEATED).toPandas()
     assert (small.rate > 0).all()
 
 
+def test_rows_without_ids_draw_each_for_itself(spark):
+    rows = [(None, f"word number {i}") for i in range(300)] + [(7, f"other {i}") for i in range(300)] + [(None, "one and the same")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = mixing.mix(docs, mixing.DomainModel(["all"]), {"all": 1.0}, 1080.0).toPandas()  # 2,700 tokens come in
+    assert np.allclose(got.rate, 1080 / 2700, rtol=1e-3) and set(got.copies) == {0, 1}
+    for part in (got[got.text.str.startswith("word")], got[got.doc_id == 7], got[got.text == "one and the same"]):
+        assert 80 < part.copies.sum() < 160
+
+
 def test_input_size_is_kept_with_rates_above_one(spark):
     p = np.array([[990, 10], [5, 995]])
     types = spark.createDataFrame([([990, 10], 9900.0), ([5, 995], 100.0)], "p array<int>, tokens double")
