@@ -66,7 +66,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     model = mixing.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), domain_of_labels())
     base = docs.select("doc_id", "text", F.struct(*(named(c) for c in docs.columns)).alias("document"))
-    mixed = mixing.mix(base, model, TARGETS, mixing.INPUT).where("copies > 0")
+    mixed = mixing.mix(base, model, TARGETS).where("copies > 0")
     return mixed.select("document", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("document.*")
 
 
