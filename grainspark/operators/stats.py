@@ -6,6 +6,8 @@ is meant: ``pop`` divides by n, ``samp`` by n - 1.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -248,22 +250,56 @@ def box_stats(df: DataFrame, column: str, by: list[str]) -> DataFrame:
     return joined.groupBy(*by, "q1", "median", "q3").agg(F.min(F.when(inside, x)).alias("whisker_low"), F.max(F.when(inside, x)).alias("whisker_high"), F.count_if(~inside).alias("n_outliers"))
 
 
-def kde(df: DataFrame, column: str, by: list[str], points: int = 100, cells: int = 2000) -> DataFrame:
-    """(by, k, x, density): a Gaussian estimate at evenly spaced points, for groups of more than 5 values.
+def kde(df: DataFrame, column: str, by: list[str], points: int = 100, cells: int | None = None) -> DataFrame:
+    """(by, k, x, density): a Gaussian estimate at evenly spaced points, for groups of more than 5 values and some spread.
 
-    Scott's bandwidth, n^(-1/5) times the sample deviation. Values are first counted in ``cells`` fine cells (or left
-    as they are where there are fewer distinct ones), so the work is points x cells for each group, whatever its size.
+    Scott's bandwidth h, n^(-1/5) times the sample deviation. Every value counts at every point: tasks sum grid x values
+    in batches and send on one vector of sums for each group, which one aggregation adds. Missing values (null, NaN) do
+    not count; a null key is a group.
+
+    ``cells`` makes it an approximation for very large groups: values are first counted in so many equal cells of the
+    group's range and taken at the middle of theirs, which moves each by half a cell's width w at most and the density
+    by 0.121 w / h^2 at most (the steepest slope of the Gaussian is 0.242 / h^2).
     """
     x = F.col(column).cast("double")
-    stats = df.groupBy(*by).agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.stddev_samp(x).alias("sd")).where("n > 5 AND sd > 0")
-    values = df.where(x.isNotNull()).join(stats, by)
-    cell = F.col("lo") + (F.floor((x - F.col("lo")) / (F.col("hi") - F.col("lo")) * cells)) * (F.col("hi") - F.col("lo")) / cells
-    counted = values.groupBy(*by, "n", "lo", "hi", "sd", cell.alias("v")).agg(F.count("*").alias("c"))
-    k = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k")
-    grid = counted.select("*", k).withColumn("x", F.col("lo") + F.col("k") * (F.col("hi") - F.col("lo")) / (points - 1))
-    h = F.pow(F.col("n").cast("double"), F.lit(-0.2)) * F.col("sd")
-    z = (F.col("x") - F.col("v")) / h
-    return grid.groupBy(*by, "k", "x").agg((F.sum(F.col("c") * F.exp(-0.5 * z * z)) / F.max(F.col("n") * h * 2.5066282746310002)).alias("density"))
+    clean = df.where(x.isNotNull() & ~F.isnan(x)).select(*by, x.alias("__v"))
+    stats = clean.groupBy(*by).agg(F.count("*").alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"), F.stddev_samp("__v").alias("sd")).where("n > 5 AND sd > 0")
+    stats = stats.withColumn("__g", F.md5(F.to_json(F.struct(*by), {"ignoreNullFields": "false"}))).withColumn("__h", F.pow(F.col("n").cast("double"), F.lit(-0.2)) * F.col("sd"))
+    values = join_groups(clean, stats, by).select("__g", "lo", "hi", "__h", "__v", F.lit(1).cast("long").alias("__w"))
+    if cells:
+        width = (F.col("hi") - F.col("lo")) / cells
+        cell = F.least(F.floor((F.col("__v") - F.col("lo")) / width), F.lit(cells - 1))
+        values = values.groupBy("__g", "lo", "hi", "__h", (F.col("lo") + (cell + 0.5) * width).alias("__v")).agg(F.count("*").alias("__w"))
+
+    def sums(batches):
+        held: dict[str, np.ndarray] = {}
+
+        def drain():
+            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([x.tolist() for x in held.values()], pa.list_(pa.float64()))], names=["g", "sums"])
+            held.clear()
+            return out
+
+        for batch in batches:
+            group = batch.column(0).dictionary_encode()
+            lo, hi, h, v, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(1, 6))
+            codes = group.indices.to_numpy()
+            order = np.argsort(codes, kind="stable")
+            edges = np.searchsorted(codes[order], np.arange(len(group.dictionary) + 1))
+            for g, name in enumerate(group.dictionary.to_pylist()):
+                own = order[edges[g] : edges[g + 1]]
+                first = own[0]
+                grid = lo[first] + np.arange(points) * (hi[first] - lo[first]) / max(points - 1, 1)
+                total = held.setdefault(name, np.zeros(points))
+                for at in range(0, len(own), 1024):
+                    z = (grid[:, None] - v[own[at : at + 1024]]) / h[first]
+                    total += np.exp(-0.5 * z * z) @ w[own[at : at + 1024]]
+            if len(held) > 4096:
+                yield drain()
+        yield drain()
+
+    parts = values.mapInArrow(sums, "g string, sums array<double>").select("g", F.posexplode("sums").alias("k", "s")).groupBy("g", "k").agg(F.sum("s").alias("s"))
+    place = F.col("lo") + F.col("k") * (F.col("hi") - F.col("lo")) / max(points - 1, 1)
+    return parts.join(stats, F.col("g") == F.col("__g")).select(*by, "k", place.alias("x"), (F.col("s") / (F.col("n") * F.col("__h") * 2.5066282746310002)).alias("density"))
 
 
 def f1_by_class(df: DataFrame, true: str, models: list[str], dataset: str) -> DataFrame:

@@ -149,7 +149,7 @@ QUERIES = {
     "l19_crop_stats": Query(lambda s, d: frames.crop_stats(crops(s, d), "crop", 1), "crop# median* border_mean* border_std*", with_views(f"WITH {CROPS}, m AS (SELECT *, max(bx) OVER (PARTITION BY crop) AS w, max(\"by\") OVER (PARTITION BY crop) AS h FROM cr) SELECT crop, quantile_cont(v::DOUBLE, 0.5) AS median, avg(v) FILTER (WHERE bx < 1 OR \"by\" < 1 OR bx > w - 1 OR \"by\" > h - 1) AS border_mean, stddev_pop(v) FILTER (WHERE bx < 1 OR \"by\" < 1 OR bx > w - 1 OR \"by\" > h - 1) AS border_std FROM m GROUP BY crop", PIXELS)),
     "l20_segment_phases": Query(l20, "crop# n_values# phases_ok has_background", with_views(f"WITH {CROPS} SELECT crop, count(DISTINCT v) AS n_values, true AS phases_ok, true AS has_background FROM cr GROUP BY crop", PIXELS)),
     "l21_largest_object": Query(l21, "crop# n# moment#", L21_SQL),
-    "l22_histogram_comparison": Query(lambda s, d: frames.histogram_comparison(staged(s, d).where("stage <> 'normalised'")), "stage v n# peak# std*", with_views(f"WITH t AS (SELECT 'raw' AS stage, v FROM pixels UNION ALL SELECT 'filtered', v FROM filtered), b AS (SELECT stage, {EDGE} AS bin, count(*) AS n FROM t GROUP BY ALL), p AS (SELECT stage, floor(arg_max(bin, n * 1000 - bin) * 255 / 256.0::DOUBLE) AS peak FROM b GROUP BY stage), s AS (SELECT stage, stddev_pop(v) AS std FROM t GROUP BY stage) SELECT stage, v, count(*) AS n, max(peak) AS peak, max(std) AS std FROM t JOIN p USING (stage) JOIN s USING (stage) GROUP BY ALL", PIXELS)),
+    "l22_histogram_comparison": Query(lambda s, d: frames.histogram_comparison(staged(s, d)), "stage v# n# peak# std*", with_views(f"WITH {STATS}, t AS (SELECT 'raw' AS stage, v FROM pixels UNION ALL SELECT 'filtered', v FROM filtered UNION ALL SELECT 'normalised', {CUT.format('CASE WHEN r_peak = peak THEN v ELSE greatest(0, least(255, v + (r_peak - peak))) END')} FROM px), b3 AS (SELECT stage, {EDGE} AS bin, count(*) AS n FROM t GROUP BY ALL), p3 AS (SELECT stage, floor(arg_max(bin, n * 1000 - bin) * 255 / 256.0::DOUBLE) AS peak FROM b3 GROUP BY stage), s3 AS (SELECT stage, stddev_pop(v) AS std FROM t GROUP BY stage) SELECT stage, v, count(*) AS n, max(p3.peak) AS peak, max(std) AS std FROM t JOIN p3 USING (stage) JOIN s3 USING (stage) GROUP BY ALL", PIXELS)),
     "l23_frame_info": Query(lambda s, d: frames.frame_info(fx.pixels(s, d), info_files(s, d).where("frame_id % 9 <> 4")), "frame_id width# height# length# error", """WITH f AS (SELECT doc_id AS frame_id, n_chars AS length FROM documents WHERE doc_id % 9 <> 4)
           SELECT coalesce(e.vec_id, f.frame_id) AS frame_id, CASE WHEN e.vec_id IS NOT NULL THEN 8 END AS width, CASE WHEN e.vec_id IS NOT NULL THEN 8 END AS height, length, CASE WHEN e.vec_id IS NULL THEN 'unreadable' WHEN length IS NULL THEN 'no file' END AS error FROM embeddings e FULL JOIN f ON f.frame_id = e.vec_id"""),
 }

@@ -397,11 +397,10 @@ QUERIES = {
           SELECT type, q1, median, q3, min(Area) FILTER (WHERE i) AS whisker_low, max(Area) FILTER (WHERE i) AS whisker_high, count(*) FILTER (WHERE NOT i) AS n_outliers FROM j GROUP BY ALL""", PARTICLES),
     ),
     "d21_kde": Query(
-        lambda s, d: stats.kde(fx.particles(s, d), "Perimeter", ["experiment"], points=40, cells=200), "experiment k# x* density*",
+        lambda s, d: stats.kde(fx.particles(s, d), "Perimeter", ["experiment"]), "experiment k# x* density*",
         with_views("""WITH s AS (SELECT experiment, count(Perimeter) AS n, min(Perimeter) AS lo, max(Perimeter) AS hi, stddev_samp(Perimeter) AS sd FROM particles GROUP BY experiment HAVING count(Perimeter) > 5 AND stddev_samp(Perimeter) > 0),
-          c AS (SELECT experiment, n, lo, hi, sd, lo + floor((Perimeter - lo) / (hi - lo) * 200) * (hi - lo) / 200 AS v, count(*) AS c FROM particles JOIN s USING (experiment) GROUP BY ALL),
-          g AS (SELECT *, lo + k * (hi - lo) / 39 AS x, pow(n, -0.2::DOUBLE) * sd AS h FROM c, (SELECT unnest(range(40)) AS k))
-          SELECT experiment, k, x, sum(c * exp(-0.5 * ((x - v) / h) * ((x - v) / h))) / max(n * h * 2.5066282746310002) AS density FROM g GROUP BY experiment, k, x""", PARTICLES),
+          g AS (SELECT experiment, n, lo, hi, pow(n, -0.2::DOUBLE) * sd AS h, k, lo + k * (hi - lo) / 99 AS x FROM s, (SELECT unnest(range(100)) AS k))
+          SELECT experiment, k, x, sum(exp(-0.5 * ((x - Perimeter) / h) * ((x - Perimeter) / h))) / max(n * h * 2.5066282746310002) AS density FROM g JOIN particles USING (experiment) GROUP BY experiment, k, x""", PARTICLES),
     ),
     "d24_run_report": Query(
         lambda s, d: stats.run_report(fx.table(s, d, "orders").selectExpr("o_orderkey AS step", "CASE o_orderstatus WHEN 'F' THEN 'ok' WHEN 'O' THEN 'skipped' ELSE 'failed' END AS status")), "total# succeeded# skipped# success_rate*",

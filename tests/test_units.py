@@ -325,3 +325,20 @@ def test_released_tables_are_gone(spark):
     assert os.path.exists(path.replace("///", "/"))
     release(gone, spark.range(2).toDF("u"))
     assert not os.path.exists(path.replace("///", "/")) and kept.count() == 5
+
+
+def test_density_counts_every_value(spark):
+    rng = np.random.default_rng(12)
+    values = {"a": [*rng.normal(5, 2, 300), 5.0, 5.0], None: [*rng.exponential(1, 40)], "few": [1.0] * 5, "flat": [2.0] * 9}
+    rows = [(g, float(v)) for g, vs in values.items() for v in vs] + [("a", None), ("a", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    got = {(r.g, r.k): (r.x, r.density) for r in stats.kde(df, "v", ["g"], points=21).collect()}
+    near = {(r.g, r.k): r.density for r in stats.kde(df, "v", ["g"], points=21, cells=500).collect()}
+    assert {g for g, _ in got} == {"a", None} and got.keys() == near.keys()
+    for g in ("a", None):
+        v = np.array(values[g])
+        h = len(v) ** -0.2 * v.std(ddof=1)
+        for k, x in enumerate(np.linspace(v.min(), v.max(), 21)):
+            want = np.exp(-0.5 * ((x - v) / h) ** 2).sum() / (len(v) * h * np.sqrt(2 * np.pi))
+            assert np.isclose(got[g, k][0], x) and np.isclose(got[g, k][1], want, rtol=1e-12)
+            assert abs(near[g, k] - want) <= 0.121 * (v.max() - v.min()) / 500 / h**2
