@@ -275,7 +275,7 @@ def kde(df: DataFrame, column: str, by: list[str], points: int = 100, cells: int
         held: dict[str, np.ndarray] = {}
 
         def drain():
-            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([x.tolist() for x in held.values()], pa.list_(pa.float64()))], names=["g", "sums"])
+            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([x.tolist() for x in held.values()], pa.list_(pa.float64()))], names=["__g", "sums"])
             held.clear()
             return out
 
@@ -297,9 +297,9 @@ def kde(df: DataFrame, column: str, by: list[str], points: int = 100, cells: int
                 yield drain()
         yield drain()
 
-    parts = values.mapInArrow(sums, "g string, sums array<double>").select("g", F.posexplode("sums").alias("k", "s")).groupBy("g", "k").agg(F.sum("s").alias("s"))
+    parts = values.mapInArrow(sums, "__g string, sums array<double>").select("__g", F.posexplode("sums").alias("k", "__s")).groupBy("__g", "k").agg(F.sum("__s").alias("__s"))
     place = F.col("lo") + F.col("k") * (F.col("hi") - F.col("lo")) / max(points - 1, 1)
-    return parts.join(stats, F.col("g") == F.col("__g")).select(*by, "k", place.alias("x"), (F.col("s") / (F.col("n") * F.col("__h") * 2.5066282746310002)).alias("density"))
+    return parts.join(stats, "__g").select(*by, "k", place.alias("x"), (F.col("__s") / (F.col("n") * F.col("__h") * 2.5066282746310002)).alias("density"))
 
 
 def f1_by_class(df: DataFrame, true: str, models: list[str], dataset: str) -> DataFrame:
