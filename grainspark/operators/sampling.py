@@ -1,15 +1,23 @@
 """Splits, balancing and resampling, decided by hashes of a stable row key.
 
-A row's place is the order of md5(key|seed) within its class, so results do not depend on partitions or retries.
+A row's place is the order of md5(key|seed) within its class, so results do not depend on partitions or retries. Where
+only the first k rows of a class are wanted, the k-th hash is found by counting prefixes level by level, and one filter
+on the hash takes the rows: no row is sorted, ranked or joined (``ClassHashes``).
 """
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grainspark.functions.durable import durable, release
 from grainspark.operators.neighbours import knn_join
 
+#: Hexadecimal digits that one level of a selection looks at.
+DIGITS = 3
+
 
 def hash_order(key: str, seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
@@ -31,10 +39,67 @@ def with_class_rank(df: DataFrame, label: list[str], key: str, seed: int, rank:
     return joined.withColumn(rank, inside + F.col("__before")).drop("__h", "__b", "__o", "__before", *(f"__k{i}" for i in range(len(label))))
 
 
+class ClassHashes:
+    """Rows of ``df`` by class and hash, to take the first rows of each class in hash order.
+
+    Two passes over the rows: one counts them by class and first digits; one picks the rows whose digits are those of a
+    class's last wanted row, a 4,096th part of the class, and only their hashes are looked at further. The driver holds
+    one entry for each class. Null classes are classes. Rows that share a key are taken together, or left if not all fit.
+    """
+
+    def __init__(self, df: DataFrame, label: list[str], key: str, seed: int):
+        self.hash = hash_order(key, seed)
+        self.rows = df.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(label)), self.hash.alias("hash"))
+        keys = [f"k{i}" for i in range(len(label))]
+        name = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+        self.counts = durable(self.rows.groupBy(*keys, F.substring("hash", 1, DIGITS).alias("digits")).agg(F.count("*").alias("n")).withColumn("name", name))
+        found = self.counts.groupBy("name", *keys).agg(F.sum("n").alias("n")).collect()  # one for each class
+        self.sizes = {r["name"]: r["n"] for r in found}
+        self.values = {r["name"]: tuple(r[k] for k in keys) for r in found}
+        self.label = label
+
+    def pick(self, values: dict, columns: list[str] | None = None) -> Column:
+        """The value of each row's class; null for a class without one."""
+        out = F.lit(None)
+        for name, v in values.items():
+            own = F.lit(True)
+            for c, x in zip(columns or self.label, self.values[name], strict=True):
+                own = own & F.col(c).eqNullSafe(F.lit(x))
+            out = F.when(own, F.lit(v)).otherwise(out)
+        return out
+
+    def first(self, wanted: dict[str, int]) -> Column:
+        """True for the first ``wanted`` rows of each class (by ``sizes``' names), as a condition on the table's columns."""
+        below = {name: "" if wanted.get(name, 0) <= 0 else "g" for name in self.sizes}  # "g" is above every digit
+        left = {name: k for name, k in wanted.items() if 0 < k < self.sizes[name]}
+        prefix = dict.fromkeys(left, "")
+        keys = [f"k{i}" for i in range(len(self.label))]
+        counts, rows, narrow = self.counts, self.rows, None
+        while left:
+            so_far = F.sum("n").over(Window.partitionBy(*keys).orderBy("digits"))  # 4,096 counts a class
+            asked = counts.withColumn("wanted", self.pick(left, keys)).where("wanted IS NOT NULL").withColumn("end", so_far)
+            for r in asked.where((F.col("end") >= F.col("wanted")) & (F.col("end") - F.col("n") < F.col("wanted"))).collect():  # one for each class
+                name, digits, rest = r["name"], prefix[r["name"]] + r["digits"], r["wanted"] - (r["end"] - r["n"])
+                prefix[name], left[name] = digits, rest
+                if rest == r["n"] or len(digits) >= 32:
+                    below[name] = digits + ("g" if rest == r["n"] else "")
+                    del left[name], prefix[name]
+            if left:
+                at = len(next(iter(prefix.values())))
+                before, narrow = narrow, durable(rows.where(F.substring("hash", 1, at) == self.pick(prefix, keys)))
+                rows = narrow
+                name = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+                counts = narrow.groupBy(*keys, F.substring("hash", at + 1, DIGITS).alias("digits")).agg(F.count("*").alias("n")).withColumn("name", name)
+                release(*([before] if before is not None else []))
+        release(*([narrow] if narrow is not None else []))
+        return F.coalesce(self.hash < self.pick({c: b for c, b in below.items() if b}), F.lit(False))
+
+
 def stratified_split(df: DataFrame, label: str, key: str, fraction: float = 0.2, seed: int = 42) -> DataFrame:
     """``part``: test for round(fraction x rows) of each class, else train."""
-    ranked = with_class_rank(df, [label], key, seed)
-    return ranked.withColumn("part", F.when(F.col("__r") <= F.round(F.col("__n") * fraction), "test").otherwise("train")).drop("__r", "__n")
+    found = ClassHashes(df, [label], key, seed)
+    wanted = {name: int(Decimal(repr(n * fraction)).quantize(Decimal(1), ROUND_HALF_UP)) for name, n in found.sizes.items()}
+    return df.withColumn("part", F.when(found.first(wanted), "test").otherwise("train"))
 
 
 def stratified_split_approx(df: DataFrame, label: str, key: str, fraction: float = 0.2, seed: int = 42) -> DataFrame:
@@ -49,27 +114,34 @@ def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int
 
 def undersample(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
     """As many rows of each class as the smallest one has."""
-    least = df.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n").alias("__least"))
-    ranked = with_class_rank(df, [label], key, seed)
-    return ranked.crossJoin(F.broadcast(least)).where("__r <= __least").drop("__r", "__n", "__least")
+    found = ClassHashes(df, [label], key, seed)
+    least = min(found.sizes.values(), default=0)
+    return df.where(found.first(dict.fromkeys(found.sizes, least)))
 
 
 def balance_experiments(df: DataFrame, experiment: str, label: str, key: str, seed: int = 42) -> DataFrame:
     """Experiments above the median size are cut to it, class by class in proportion, then topped up from what is left.
 
     Each class keeps min(rows, max(1, floor(target x rows / experiment rows))); the top-up takes the rows first in
-    hash order among those not yet taken.
+    hash order among those not yet taken. Rows without an experiment go.
     """
-    sizes = df.groupBy(experiment).agg(F.count("*").alias("__size"))
-    target = sizes.agg(F.floor(F.percentile("__size", 0.5)).cast("long").alias("__target"))
-    marked = df.join(sizes.crossJoin(target), experiment)
-    marked = with_class_rank(marked, [experiment, label], key, seed)
-    quota = F.least(F.col("__n"), F.greatest(F.lit(1), F.floor(F.col("__target") * F.col("__n") / F.col("__size"))))
-    marked = marked.withColumn("__taken", (F.col("__size") <= F.col("__target")) | (F.col("__r") <= quota))
+    df = df.where(F.col(experiment).isNotNull())
+    found = ClassHashes(df, [experiment, label], key, seed)
+    sizes: dict[object, int] = {}
+    for name, n in found.sizes.items():
+        sizes[found.values[name][0]] = sizes.get(found.values[name][0], 0) + n
+    ordered = sorted(sizes.values())
+    target = (ordered[(len(ordered) - 1) // 2] + ordered[len(ordered) // 2]) // 2 if ordered else 0
+    wanted, have = {}, dict.fromkeys(sizes, 0)
+    for name, n in found.sizes.items():
+        own = found.values[name][0]
+        wanted[name] = n if sizes[own] <= target else min(n, max(1, target * n // sizes[own]))
+        have[own] += wanted[name]
+    taken = found.first(wanted)
     # Among rows not taken the place in the experiment's hash order decides; what the taken ones leave is open.
-    ranked = with_class_rank(marked.drop("__r", "__n"), [experiment, "__taken"], key, seed)
-    have = F.when(F.col("__taken"), F.col("__n")).otherwise(F.col("__size") - F.col("__n"))
-    return ranked.where(F.col("__taken") | (have + F.col("__r") <= F.col("__target"))).drop("__size", "__target", "__r", "__n", "__taken")
+    open_ = ClassHashes(df.where(~taken), [experiment], key, seed)
+    more = open_.first({name: max(0, target - have[values[0]]) for name, values in open_.values.items()})
+    return df.where(taken | more)
 
 
 def smote(df: DataFrame, label: str, key: str, vector: str, k: int = 3, seed: int = 42, exact: bool = True) -> DataFrame:
@@ -80,14 +152,16 @@ def smote(df: DataFrame, label: str, key: str, vector: str, k: int = 3, seed: in
     Copy j of a row uses a neighbour and a step that its key, j and the seed pick. A class of k rows or fewer is an
     error, as its neighbours would not exist.
     """
-    sizes = df.groupBy(label).agg(F.count("*").alias("n"))
-    small = sizes.where(F.col("n") <= k).limit(1).collect()
+    sizes = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}  # one for each class
+    small = [c for c, n in sizes.items() if n <= k]
     if small:
-        raise ValueError(f"class {small[0][0]} has no {k} neighbours")
-    top = sizes.agg(F.max("n").alias("top"))
-    lacking = sizes.crossJoin(top).select(label, "n", (F.col("top") - F.col("n")).alias("lack"))
-    base = with_class_rank(df.select(key, label, vector), [label], key, seed, size="__size").drop("__size").join(lacking, label)
-    copies = F.expr("lack div n") + (F.col("__r") <= F.col("lack") % F.col("n")).cast("int")
+        raise ValueError(f"class {small[0]} has no {k} neighbours")
+    hashes = ClassHashes(df, [label], key, seed)
+    top = max(hashes.sizes.values(), default=0)
+    whole = {name: (top - n) // n for name, n in hashes.sizes.items()}
+    more = hashes.first({name: (top - n) % n for name, n in hashes.sizes.items()})
+    copies = F.coalesce(hashes.pick(whole), F.lit(0)) + more.cast("int")
+    base = df.select(key, label, vector)
     seeds = base.where(copies > 0).withColumn("__j", F.explode(F.sequence(F.lit(1), copies)))
     near = knn_join(df, df, k, key, vector, within=label, exact=exact).groupBy("a_key").agg(F.collect_list(F.struct("rank", "b_key")).alias("near"))
     u = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("__j"), F.lit(seed))), 1, 8), 16, 10).cast("double") / float(1 << 32)

@@ -342,3 +342,29 @@ def test_density_counts_every_value(spark):
             want = np.exp(-0.5 * ((x - v) / h) ** 2).sum() / (len(v) * h * np.sqrt(2 * np.pi))
             assert np.isclose(got[g, k][0], x) and np.isclose(got[g, k][1], want, rtol=1e-12)
             assert abs(near[g, k] - want) <= 0.121 * (v.max() - v.min()) / 500 / h**2
+
+
+def test_first_rows_of_classes_are_those_of_a_sort(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    rows = [(None if i % 50 == 0 else "big" if i % 3 else "small", bool(i % 2), f"k{i}") for i in range(2000)] + [("twins", True, "same")] * 4
+    df = spark.createDataFrame(rows, "c string, d boolean, k string").repartition(5)
+    found = sampling.ClassHashes(df, ["c", "d"], "k", 7)
+    assert found.sizes == {n: sum((c, d) == v for c, d, _ in rows) for n, v in found.values.items()} and len(found.sizes) == 6
+    wanted = {n: int(rng.integers(0, k + 1)) for n, k in found.sizes.items()} | {n: 2 for n, v in found.values.items() if v[0] == "twins"}
+    monkeypatch.setattr(sampling, "DIGITS", 1)
+    for digits in (1, 3):
+        monkeypatch.setattr(sampling, "DIGITS", digits)
+        got = {}
+        for r in df.where(sampling.ClassHashes(df, ["c", "d"], "k", 7).first(wanted)).collect():
+            got.setdefault((r.c, r.d), set()).add(r.k)
+        for name, v in found.values.items():
+            keys = sorted((k for c, d, k in rows if (c, d) == v), key=lambda k: hashlib.md5(f"{k}|7".encode()).hexdigest())
+            want = set(keys[: wanted[name]]) if v[0] != "twins" else set()  # rows of one key do not all fit, and stay out together
+            assert got.get(v, set()) == want
+
+
+def test_splits_need_no_window_over_rows(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("c"), F.col("id").alias("k"))
+    for out in (sampling.stratified_split(df, "c", "k"), sampling.undersample(df, "c", "k")):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Join" not in plan and "Sort" not in plan
