@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from grainspark.functions.durable import durable, release
 from grainspark.operators import pivots
-from grainspark.operators.graph import components
+from grainspark.operators.graph import components, merge_level
 
 #: Links that one task contracts for all levels; with more of them each level is contracted by joins.
 ONE_TASK = 1 << 20
@@ -29,22 +29,6 @@ ONE_TASK = 1 << 20
 HELD = 1 << 20
 
 
-def merge_level(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """For each of ``n`` nodes the least node of its component under the links (u, v)."""
-    root = np.arange(n)
-    while len(u):
-        new = root.copy()
-        np.minimum.at(new, u, np.minimum(u, v))
-        np.minimum.at(new, v, np.minimum(u, v))
-        while (new != new[new]).any():
-            new = new[new]
-        root = new[root]
-        u, v = new[u], new[v]
-        open_ = u != v
-        u, v = u[open_], v[open_]
-    return root
-
-
 def forest(u: np.ndarray, v: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links (u, v, level) that connect the same nodes at every level, one fewer than there are nodes at most."""
     nodes, both = np.unique(np.concatenate([u, v]), return_inverse=True)

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainspark.operators.graph import least_labels
+from grainspark.functions.durable import durable, release
+from grainspark.operators.graph import components, merge_level
 
 METHODS = ("histogram_matching", "min_max", "z_score", "peak_align", "peak_spread_align")
 THRESHOLDS = {"low": 3.0, "medium": 2.0, "high": 1.5}
@@ -354,26 +356,65 @@ def segment_phases(crops: DataFrame, key: str = "crop", phases: int = 3, ring: i
     return counts.groupBy(key).applyInPandas(run, f"`{key}` {kind}, v int, phase int, background boolean")
 
 
-def _objects(mask: DataFrame, key: str) -> DataFrame:
-    """(key, y, x, object): 4-connected objects of mask pixels, named by their least pixel."""
-    node = F.concat_ws(":", F.col(key), F.lpad("y", 9, "0"), F.lpad("x", 9, "0"))
-    pixels = mask.select(key, "y", "x", node.alias("node"))
-    step = pixels.select(key, F.explode(F.array(F.struct("y", (F.col("x") + 1).alias("x")), F.struct((F.col("y") + 1).alias("y"), "x"))).alias("p"), F.col("node").alias("u"))
-    edges = step.select(key, "p.y", "p.x", "u").join(pixels.withColumnRenamed("node", "v"), [key, "y", "x"]).select("u", "v")
-    return pixels.join(least_labels(pixels.select("node"), edges).withColumnRenamed("label", "object"), "node").drop("node")
+def tile_runs(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(y, x0, x1, first y, first x) of the longest runs of the pixels in the given runs, with their object's least pixel.
 
-
-def largest_object(mask: DataFrame, height: int, width: int, key: str = "crop", fill_below: int = 64) -> DataFrame:
+    Objects are 4-connected. Runs of neighbouring rows meet by two searches in the sorted ends; no pixel is a node.
+    """
+    low, left, width = y.min(), x0.min(), int(x1.max() - x0.min()) + 2  # a column more, so that rows do not touch
+    change = np.zeros((int(y.max() - low) + 1) * width + 1, np.int64)
+    np.add.at(change, (y - low) * width + x0 - left, 1)
+    np.add.at(change, (y - low) * width + x1 - left + 1, -1)
+    on = np.cumsum(change) > 0
+    edge = np.diff(on.astype(np.int8), prepend=np.int8(0))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+    below_from, below_to = np.searchsorted(end, start + width), np.searchsorted(start, end + width, side="right")
+    many = np.maximum(below_to - below_from, 0)
+    upper = np.repeat(np.arange(len(start)), many)
+    lower = np.repeat(below_from - np.cumsum(many) + many, many) + np.arange(many.sum())
+    least = merge_level(len(start), upper, lower)
+    return start // width + low, start % width + left, end % width + left, start[least] // width + low, start[least] % width + left
+
+
+def _objects(runs: DataFrame, key: str, tile: int) -> DataFrame:
+    """(key, y, x0, x1, object): runs of pixels with their 4-connected object, named by its least pixel.
+
+    Objects are found inside tiles of ``tile`` x ``tile`` pixels; only runs at tile borders are linked by joins.
+    """
+    kind = runs.schema[key].dataType.simpleString()
+
+    def label(table: pa.Table) -> pa.Table:
+        y, x0, x1 = (table[c].to_numpy().astype(np.int64) for c in ("y", "x0", "x1"))
+        found = tile_runs(y, x0, x1)
+        return pa.table({key: table[key].take(pa.array(np.zeros(len(found[0]), np.int64))), **{c: pa.array(f.astype(np.int32)) for c, f in zip(("y", "x0", "x1", "ny", "nx"), found, strict=True)}})
+
+    dealt = runs.select(key, "y", "x0", "x1").withColumns({"__ty": F.floor(F.col("y") / tile), "__tx": F.floor(F.col("x0") / tile)})
+    node = F.concat_ws(":", F.col(key).cast("string"), F.lpad("ny", 9, "0"), F.lpad("nx", 9, "0"))
+    placed = durable(dealt.groupBy(key, "__ty", "__tx").applyInArrow(label, f"`{key}` {kind}, y int, x0 int, x1 int, ny int, nx int").select(key, "y", "x0", "x1", node.alias("node")))
+    side = placed.where((F.col("x1") + 1) % tile == 0).select(key, "y", (F.col("x1") + 1).alias("x0"), F.col("node").alias("u")).join(placed.where(F.col("x0") % tile == 0).select(key, "y", "x0", F.col("node").alias("v")), [key, "y", "x0"])
+    column = F.floor(F.col("x0") / tile).alias("tx")
+    above = placed.where((F.col("y") + 1) % tile == 0).select(key, (F.col("y") + 1).alias("y"), column, F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("node").alias("u"))
+    under = placed.where(F.col("y") % tile == 0).select(key, "y", column, "x0", "x1", F.col("node").alias("v"))
+    meet = above.join(under, [key, "y", "tx"]).where((F.col("a0") <= F.col("x1")) & (F.col("x0") <= F.col("a1")))  # half a tile's width of runs on either side at most
+    edges = side.select("u", "v").union(meet.select("u", "v"))
+    roots = components(edges)
+    names = roots.join(roots.groupBy("root").agg(F.min("node").alias("object")), "root").select("node", "object")
+    return placed.join(names, "node", "left").select(key, "y", "x0", "x1", F.coalesce("object", "node").alias("object"))
+
+
+def largest_object(mask: DataFrame, height: int, width: int, key: str = "crop", fill_below: int = 64, tile: int = 512) -> DataFrame:
     """(key, y, x): the largest 4-connected object after small holes are filled; ties go to the object of the least pixel.
 
     ``mask`` has a row for every pixel with boolean ``on``. A hole is a background object of fewer pixels than
     ``fill_below``, at the edge or not.
     """
-    holes = _objects(mask.where("NOT on"), key)
-    small = holes.groupBy(key, "object").agg(F.count("*").alias("n")).where(F.col("n") < fill_below)
-    filled = mask.where("on").select(key, "y", "x").unionByName(holes.join(small, [key, "object"], "left_semi").select(key, "y", "x"))
-    objects = _objects(filled, key)
-    size = objects.groupBy(key, "object").agg(F.count("*").alias("n"))
-    first = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "object"))
-    best = size.withColumn("__r", first).where("__r = 1").select(key, "object")
-    return objects.join(best, [key, "object"], "left_semi").select(key, "y", "x")
+    runs = mask.select(key, "y", F.col("x").alias("x0"), F.col("x").alias("x1"), "on")
+    size = F.sum(F.col("x1") - F.col("x0") + 1)
+    holes = durable(_objects(runs.where("NOT on"), key, tile))
+    small = holes.groupBy(key, "object").agg(size.alias("n")).where(F.col("n") < fill_below)
+    filled = runs.where("on").drop("on").unionByName(holes.join(small, [key, "object"], "left_semi").select(key, "y", "x0", "x1"))
+    objects = durable(_objects(filled, key, tile))
+    release(holes)
+    order = F.struct((-F.col("n")).alias("n"), F.col("object"))
+    best = objects.groupBy(key, "object").agg(size.alias("n")).groupBy(key).agg(F.min(order)["object"].alias("object"))
+    return objects.join(best, [key, "object"], "left_semi").select(key, "y", F.explode(F.sequence("x0", "x1")).alias("x"))

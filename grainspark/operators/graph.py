@@ -1,7 +1,8 @@
-"""Connected components of an edge table by random-priority contraction, all in joins and aggregations."""
+"""Connected components: of an edge table by random-priority contraction, all in joins and aggregations; of a task's arrays."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,3 +53,19 @@ def least_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     roots = components(edges)
     rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     return rooted.join(rooted.groupBy("root").agg(F.min("node").alias("label")), "root").select("node", "label")
+
+
+def merge_level(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For each of ``n`` nodes the least node of its component under the links (u, v)."""
+    root = np.arange(n)
+    while len(u):
+        new = root.copy()
+        np.minimum.at(new, u, np.minimum(u, v))
+        np.minimum.at(new, v, np.minimum(u, v))
+        while (new != new[new]).any():
+            new = new[new]
+        root = new[root]
+        u, v = new[u], new[v]
+        open_ = u != v
+        u, v = u[open_], v[open_]
+    return root

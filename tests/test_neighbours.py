@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from grainspark.operators import density, neighbours, outliers, sampling
+from grainspark.operators import density, graph, neighbours, outliers, sampling
 from grainspark.operators import pivots as index
 
 
@@ -159,4 +159,4 @@ def test_forest_connects_the_same_nodes_at_each_level():
     a, b, c = density.forest(u, v, k)
     assert len(a) < 60
     for level in range(5):
-        assert (density.merge_level(60, u[k <= level], v[k <= level]) == density.merge_level(60, a[c <= level], b[c <= level])).all()
+        assert (graph.merge_level(60, u[k <= level], v[k <= level]) == graph.merge_level(60, a[c <= level], b[c <= level])).all()

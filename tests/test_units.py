@@ -368,3 +368,44 @@ def test_splits_need_no_window_over_rows(spark):
     for out in (sampling.stratified_split(df, "c", "k"), sampling.undersample(df, "c", "k")):
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert "Window" not in plan and "Join" not in plan and "Sort" not in plan
+
+
+def flood(pixels):
+    """Least pixel of each pixel's 4-connected object."""
+    out = {}
+    for p in sorted(pixels):
+        todo = [p] if p not in out else []
+        while todo:
+            y, x = todo.pop()
+            if (y, x) in pixels and (y, x) not in out:
+                out[y, x] = p
+                todo += [(y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)]
+    return out
+
+
+@pytest.mark.parametrize("tile", [3, 8, 512])
+def test_objects_from_runs_in_tiles(spark, tile):
+    rng = np.random.default_rng(14)
+    shapes = {k: {(y, x) for y in range(17) for x in range(19) if rng.random() < share} for k, share in enumerate((0.35, 0.6, 0.85, 0.02))}
+    rows = [(k, y, x, (y, x) in s) for k, s in shapes.items() for y in range(17) for x in range(19)]
+    mask = spark.createDataFrame(rows, "crop long, y int, x int, on boolean").repartition(4)
+    got = {}
+    for r in frames.largest_object(mask, 17, 19, fill_below=4, tile=tile).collect():
+        got.setdefault(r.crop, set()).add((r.y, r.x))
+    for k, s in shapes.items():
+        holes = flood({(y, x) for y in range(17) for x in range(19)} - s)
+        sizes = {}
+        for o in holes.values():
+            sizes[o] = sizes.get(o, 0) + 1
+        objects = flood(s | {p for p, o in holes.items() if sizes[o] < 4})
+        count = {}
+        for o in objects.values():
+            count[o] = count.get(o, 0) + 1
+        best = min(count, key=lambda o: (-count[o], o))
+        assert got[k] == {p for p, o in objects.items() if o == best}
+
+
+def test_runs_meet_without_pixels_as_nodes():
+    y, x0, x1 = np.array([0, 0, 1, 2, 2]), np.array([5, 0, 2, 4, 0]), np.array([9, 2, 5, 4, 0])
+    found = frames.tile_runs(y, x0, x1)
+    assert [tuple(map(int, r)) for r in zip(*found, strict=True)] == [(0, 0, 2, 0, 0), (0, 5, 9, 0, 0), (1, 2, 5, 0, 0), (2, 0, 0, 2, 0), (2, 4, 4, 0, 0)]
