@@ -31,8 +31,8 @@ from grainspark.llm.simhash import grouped, majority, shingle_hashes
 from grainspark.operators.graph import components
 
 BANDS, ROWS = 20, 5
-#: Members of a block in the second pass.
-BLOCK = 512
+#: Members of a block in the second pass, and members that are compared with one copy of their hub's set in the first.
+BLOCK, SLOT = 512, 4096
 _RANDOM = np.random.default_rng(17)
 _FACTOR = _RANDOM.integers(1 << 63, size=(BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _RANDOM.integers(1 << 63, size=(BANDS * ROWS, 1), dtype=np.uint64)
@@ -87,23 +87,35 @@ def candidates(nodes: DataFrame) -> DataFrame:
 
 
 def hub_links(parts: DataFrame, found: DataFrame, least: float) -> DataFrame:
-    """(u, v): the least node of each group with those of its nodes that are alike."""
+    """(u, v): the least node of each group with those of its nodes that are alike.
+
+    The pairs of a hub are dealt over slots of about ``SLOT``; in a slot the hub's set of shingles comes first and its
+    members' sets follow in a stream, so each set is moved once a slot and a task holds the hub's set and one batch.
+    """
     pairs = durable(parts.where("hub <> node").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct())
+    slots = pairs.groupBy("u").agg(F.ceil(F.count("*") / SLOT).cast("int").alias("slots"))
     sets = found.select("node", "shingles")
-    both = pairs.join(sets.toDF("v", "b"), "v").join(sets.toDF("u", "a"), "u")
+    hubs = slots.join(sets.withColumnRenamed("node", "u"), "u").select("u", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.lit(None).cast("long").alias("v"), "shingles")
+    dealt = pairs.join(slots, "u").select("u", F.pmod(F.xxhash64("v"), F.col("slots")).cast("int").alias("slot"), "v")
+    members = dealt.join(sets.withColumnRenamed("node", "v"), "v").select("u", "slot", "v", "shingles")
+    stream = hubs.union(members).repartition("u", "slot").sortWithinPartitions("u", "slot", F.asc_nulls_first("v"))
 
     def run(batches):
-        last, own = None, set()
+        hub, own = None, set()
         for batch in batches:
-            us, keep = batch.column("u").to_pylist(), []
-            for k, (u, a, b) in enumerate(zip(us, batch.column("a"), batch.column("b"), strict=True)):
-                if u != last:
-                    last, own = u, set(np.frombuffer(a.as_py(), np.uint64).tolist())
-                if similarity(own, set(np.frombuffer(b.as_py(), np.uint64).tolist())) >= least:
+            keep = []
+            for k, (u, v, s) in enumerate(zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), batch.column("shingles"), strict=True)):
+                now = set(np.frombuffer(s.as_py(), np.uint64).tolist())
+                if v is None:
+                    hub, own = u, now
+                elif u != hub:
+                    raise RuntimeError("a member came before its hub")
+                elif similarity(own, now) >= least:
                     keep.append(k)
-            yield pa.RecordBatch.from_arrays([c.take(pa.array(keep, pa.int64())) for c in batch.columns[:2]], names=["u", "v"])
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("u").take(at), batch.column("v").take(at)], names=["u", "v"])
 
-    out = durable(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"))
+    out = durable(stream.mapInArrow(run, "u long, v long"))
     release(pairs)
     return out
 

@@ -94,3 +94,13 @@ def test_null_ids_and_repeated_rows(spark):
     rows = [(None, a), (None, b), (None, b), (3, c), (3, c), (3, d), (None, c), (9, d + " x")]
     out = corpus_pipeline.near_dedup(spark, frame(spark, rows), "").collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in out) == sorted([(True, 0, a), (True, 0, b), (False, 3, c), (False, 3, d)])
+
+
+def test_a_hub_of_very_many_members(spark, monkeypatch):
+    """One template, each copy with words of its own: a hub's set goes to each slot once, whatever their number."""
+    monkeypatch.setattr(nearcopies, "SLOT", 100)
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = [(k, " ".join([*base, f"own{k}"])) for k in range(3000)] + [(3000 + k, " ".join(f"x{k}y{j}" for j in range(60))) for k in range(50)]
+    kept = corpus_pipeline.near_dedup(spark, frame(spark, rows), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, *range(3000, 3050)]

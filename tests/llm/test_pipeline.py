@@ -147,3 +147,15 @@ def test_mixture_keeps_columns(spark, sf_dir):
     mixed = corpus_pipeline.mix_sources(spark, docs, sf_dir)
     assert mixed.columns == docs.columns and mixed.join(docs, "doc_id", "left_anti").count() == 0
     assert mixed.groupBy("doc_id").count().where(F.col("count") > 5).count() == 0
+
+
+def test_run_leaves_only_its_result(spark, sf_dir):
+    from grainspark.functions.durable import shared_folder
+
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = lambda: {s.getPath().getName() for s in files.listStatus(path)} if files.exists(path) else set()
+    before = names()
+    out = corpus_pipeline.run(spark, sf_dir)
+    left = names() - before
+    assert out.count() > 0 and len(left) == 1 and {n.split("-")[0] for n in left} == {"pipeline"}
