@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainspark.functions.durable import delete_folder, shared_folder
+from grainspark.functions.durable import delete_folder, shared_folder, temporary
 from grainspark.llm import langid, linededup, mixing, nearcopies, packing
 from grainspark.llm.common import documents, fresh, named
 from grainspark.llm.queries import TARGETS, domain_of_labels
@@ -89,12 +89,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``. Tables between stages lie in the cluster's shared checkpoint folder until the next one is written."""
+    """All stages over ``documents``. Tables inside and between stages lie in the cluster's shared checkpoint folder until the next stage is written."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{folder}/{name}")
+        with temporary(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(f"{folder}/{name}")
         docs = spark.read.schema(out.schema).parquet(f"{folder}/{name}")
         if before:
             delete_folder(spark, before)

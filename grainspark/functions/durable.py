@@ -5,9 +5,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables made inside ``temporary`` blocks, the innermost last.
+_MADE: list[list[str]] = []
 _NAME = re.compile(r"^(.*/table-[0-9a-f]{32})/")
 
 
@@ -29,6 +33,8 @@ def durable(df: DataFrame) -> DataFrame:
     every round. ``release`` deletes such a table; what a result still reads stays in the folder.
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    if _MADE:
+        _MADE[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -43,3 +49,16 @@ def release(*tables: DataFrame) -> None:
     for df in tables:
         for folder in {m[1] for f in df.inputFiles() if (m := _NAME.match(f))}:
             delete_folder(df.sparkSession, folder)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``durable`` makes inside are deleted at the end, so write what is to stay before."""
+    made: list[str] = []
+    _MADE.append(made)
+    try:
+        yield
+    finally:
+        _MADE.remove(made)
+        for path in made:
+            delete_folder(spark, path)
