@@ -6,7 +6,8 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainspark.operators.neighbours import knn_join
@@ -75,16 +76,94 @@ def _path_norm(n: float) -> float:
     return 0.0 if n <= 1 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else 1.0
 
 
+def _tree_hashes(h: np.ndarray, trees: int, seed: int) -> np.ndarray:
+    """rows x trees numbers, one random order of the rows for each tree."""
+    with np.errstate(over="ignore"):
+        x = h.view(np.uint64)[:, None] ^ (np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))[None]
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(32))) >> np.uint64(1)
+
+
+def tree_samples(train: DataFrame, cols: list[str], key: str, trees: int, psi: int, seed: int = 42) -> DataFrame:
+    """(tree, k, cols): for each tree the ``psi`` complete rows that come first in an order of its own.
+
+    One pass: a task keeps the psi least hashes of each tree and sends on those rows alone, so what is shuffled is
+    trees x psi rows a task, whatever the table. Rows with a null key have no place in the order and are not sampled.
+    """
+    base = train.select(F.col(key).cast("string").alias("k"), *(F.col(c).cast("double").alias(c) for c in cols)).dropna()
+    rows = base.select(F.xxhash64("k", F.lit(seed)).alias("__h"), "k", *cols)
+    schema = "tree int, place long, k string, " + ", ".join(f"`{c}` double" for c in cols)
+
+    def keep(batches):
+        held, place, tree = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)  # rows, and what has them by tree
+        most = np.full(trees, np.iinfo(np.uint64).max)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            order = _tree_hashes(np.ascontiguousarray(batch.column(0).to_numpy()), trees, seed)
+            at, t = np.nonzero(order < most[None])
+            if not len(at):
+                continue
+            new = pa.table(batch.select(list(range(1, batch.num_columns))).take(pa.array(at)))
+            held = new if held is None else pa.concat_tables([held, new])
+            place, tree = np.concatenate([place, order[at, t]]), np.concatenate([tree, t])
+            if len(tree) > 4 * trees * psi or batch.num_rows > trees * psi:
+                order = np.lexsort((place, tree))
+                first = order[np.arange(len(order)) - np.searchsorted(tree[order], tree[order]) < psi]
+                held, place, tree = held.take(pa.array(first)).combine_chunks(), place[first], tree[first]
+                full = np.bincount(tree, minlength=trees) == psi
+                most[full] = np.array([place[tree == k].max() for k in np.flatnonzero(full)], np.uint64)
+        if held is not None:
+            order = np.lexsort((place, tree))
+            first = order[np.arange(len(order)) - np.searchsorted(tree[order], tree[order]) < psi]
+            out = held.take(pa.array(first)).combine_chunks()
+            columns = [pa.array(tree[first].astype(np.int32)), pa.array(place[first].astype(np.int64)), *(c.combine_chunks() for c in out.columns)]
+            yield from pa.table(columns, names=["tree", "place", *out.column_names]).to_batches()
+
+    best = F.row_number().over(Window.partitionBy("tree").orderBy("place", "k"))
+    return rows.mapInArrow(keep, schema).withColumn("__r", best).where(F.col("__r") <= psi).drop("place", "__r")
+
+
+#: A forest: tree -> node -> (feature, cut, length); feature -1 is a leaf, node k's children are 2k + 1 (below the cut) and 2k + 2.
+Forest = dict[int, dict[int, tuple[int, float, float]]]
+
+
+def path_lengths(df: DataFrame, cols: list[str], forest: Forest, name: str = "path_length") -> DataFrame:
+    """Add the mean depth at which the trees isolate a row; missing values count as 0."""
+
+    def lengths(x: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(x))
+        for tree in forest.values():
+            todo = [(0, np.arange(len(x)))]
+            while todo:
+                node, at = todo.pop()
+                if not len(at):
+                    continue
+                f, cut, length = tree.get(node, (-1, 0.0, 0.0))
+                if f < 0:
+                    total[at] += length
+                else:
+                    left = x[at, f] < cut
+                    todo += [(2 * node + 1, at[left]), (2 * node + 2, at[~left])]
+        return total / max(1, len(forest))
+
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), f"`{name}` double"])
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(**{name: lengths(np.nan_to_num(pdf[cols].to_numpy(float)))})
+
+    return df.mapInPandas(run, schema)
+
+
 def isolation_forest(train: DataFrame, test: DataFrame, cols: list[str], key: str, trees: int = 50, psi: int = 256, contamination: float = 0.1, seed: int = 42) -> DataFrame:
     """Add ``iforest_score`` (offset minus anomaly: negative is an outlier) and ``iforest_outlier``.
 
-    Each tree grows in one group of about ``psi`` hash-sampled rows; all trees together are trees x 2 psi nodes. The
-    offset is the training quantile of the scores at ``contamination``.
+    Each tree grows in one group of the ``psi`` rows of ``tree_samples``; all trees together are trees x 2 psi nodes.
+    The offset is the training quantile of the scores at ``contamination``.
     """
-    n = train.count()
-    share = min(1.0, psi / max(n, 1))
-    numbered = train.select(F.col(key).cast("string").alias("k"), *cols).dropna().withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    sample = numbered.where(F.pmod(F.xxhash64("k", "tree", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = tree_samples(train, cols, key, trees, psi, seed)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k", kind="stable")
@@ -101,6 +180,9 @@ def isolation_forest(train: DataFrame, test: DataFrame, cols: list[str], key: st
             f = int(random.choice(usable))
             cut = float(random.uniform(low[f], high[f]))
             left = x[at, f] < cut
+            if left.all() or not left.any():  # a cut at the very edge of the range
+                cut = float(high[f])
+                left = x[at, f] < cut
             rows.append((tree, node, f, cut, 0.0))
             todo += [(2 * node + 1, at[left], depth + 1), (2 * node + 2, at[~left], depth + 1)]
         return pd.DataFrame(rows, columns=["tree", "node", "f", "cut", "length"])
@@ -109,55 +191,104 @@ def isolation_forest(train: DataFrame, test: DataFrame, cols: list[str], key: st
     forest = {t: {r.node: (r.f, r.cut, r.length) for r in g.itertuples()} for t, g in nodes.groupby("tree")}
     norm = _path_norm(psi)
 
-    def lengths(x: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(x))
-        for tree in forest.values():
-            todo = [(0, np.arange(len(x)))]
-            while todo:
-                node, at = todo.pop()
-                if not len(at):
-                    continue
-                f, cut, length = tree.get(node, (-1, 0.0, 0.0))
-                if f < 0:
-                    total[at] += length
-                else:
-                    left = x[at, f] < cut
-                    todo += [(2 * node + 1, at[left]), (2 * node + 2, at[~left])]
-        return total / max(1, len(forest))
-
     def score(df: DataFrame) -> DataFrame:
-        schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), "iforest_raw double"])
-
-        def run(batches):
-            for pdf in batches:
-                yield pdf.assign(iforest_raw=-np.power(2.0, -lengths(np.nan_to_num(pdf[cols].to_numpy(float))) / norm))
-
-        return df.mapInPandas(run, schema)
+        return path_lengths(df, cols, forest, "iforest_raw").withColumn("iforest_raw", -F.pow(F.lit(2.0), -F.col("iforest_raw") / norm))
 
     offset = quantiles(score(train.select(*cols)), [], [contamination], "iforest_raw").first()["q"][0]
     out = score(test).withColumn("iforest_score", F.col("iforest_raw") - F.lit(offset)).drop("iforest_raw")
     return out.withColumn("iforest_outlier", F.col("iforest_score") < 0)
 
 
-def robust_envelope(train: DataFrame, test: DataFrame, cols: list[str], contamination: float = 0.1, steps: int = 10) -> DataFrame:
-    """Add ``envelope_score`` (negative is an outlier) and ``envelope_outlier``.
-
-    Concentration steps: mean and covariance of the half nearest to the last ones, until they no longer move.
+def _sums(clean: DataFrame, cols: list[str], means: np.ndarray, inverses: np.ndarray, limits: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each chain (n, mean, covariance) of the rows within its limit, from one pass with a vector of sums for each task."""
+    m, d = means.shape
+
+    def run(batches):
+        total = np.zeros((m, 1 + d + d * d))
+        for batch in batches:
+            x = np.stack([np.asarray(c, float) for c in batch.columns], 1) if batch.num_rows else np.zeros((0, d))
+            for k in range(m):
+                off = x - means[k]
+                if limits is not None:
+                    off = off[np.einsum("ij,jk,ik->i", off, inverses[k], off) <= limits[k]]
+                total[k] += np.concatenate([[len(off)], off.sum(0), (off.T @ off).ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+    parts = clean.select(*(F.col(c).cast("double") for c in cols)).mapInArrow(run, "sums array<double>")
+    found = parts.select(F.posexplode("sums").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()  # m x (1 + d + d^2) numbers
+    total = np.zeros(m * (1 + d + d * d))
+    for r in found:
+        total[r["i"]] = r["v"]
+    total = total.reshape(m, -1)
+    n = np.maximum(total[:, 0], 1)
+    shift, square = total[:, 1 : 1 + d] / n[:, None], (total[:, 1 + d :] / n[:, None]).reshape(m, d, d)
+    return total[:, 0], means + shift, square - shift[:, :, None] * shift[:, None, :]
+
+
+def _limits(clean: DataFrame, cols: list[str], means: np.ndarray, inverses: np.ndarray, share: float, accuracy: int) -> np.ndarray:
+    """For each chain the squared distance that ``share`` of the rows do not exceed: one aggregation for all chains."""
+
+    def run(batches):
+        for batch in batches:
+            x = np.stack([np.asarray(c, float) for c in batch.columns], 1) if batch.num_rows else np.zeros((0, len(cols)))
+            d2 = [np.einsum("ij,jk,ik->i", x - m, v, x - m) for m, v in zip(means, inverses, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in d2], names=[f"d{k}" for k in range(len(d2))])
+
+    far = clean.select(*(F.col(c).cast("double") for c in cols)).mapInArrow(run, ", ".join(f"d{k} double" for k in range(len(means))))
+    return np.array(far.agg(*(F.percentile_approx(f"d{k}", share, accuracy) for k in range(len(means)))).first(), float)
+
+
+def robust_covariance(train: DataFrame, cols: list[str], starts: int = 10, steps: int = 30, kept: int = 3, key: str | None = None, ridge: float = 1e-6, seed: int = 42, accuracy: int = 100_000) -> tuple[np.ndarray, np.ndarray, float]:
+    """(mean, covariance, determinant of the concentrated half's covariance) by concentration steps from several starts.
+
+    Every chain starts at the mean and covariance of d + 1 rows of its own (``tree_samples``; one of all rows), takes
+    two steps, and the ``kept`` chains of least determinant go on until none moves. A step takes the h = (n + d + 1) div 2
+    rows nearest to the last mean and covariance; all chains advance in the same two passes, one for the h-th distance
+    (a sketch of relative rank error 1 / ``accuracy``, exact for fewer rows) and one for sums. The covariance is made
+    consistent for Gaussian data by the median of the squared distances over that of chi-square.
     """
-    clean = train.select(*cols).dropna().persist()
-    mean, cov = mean_and_covariance(clean, cols)
-    for _ in range(steps):
-        d2 = squared_mahalanobis(cols, mean, np.linalg.inv(cov))
-        half = clean.withColumn("__d", d2)
-        limit = quantiles(half, [], [0.5], "__d").first()["q"][0]
-        new_mean, new_cov = mean_and_covariance(half.where(F.col("__d") <= limit), cols)
-        still = np.allclose(new_mean, mean, rtol=1e-9) and np.allclose(new_cov, cov, rtol=1e-9)
-        mean, cov = new_mean, new_cov
-        if still:
+    clean = train.select(*([key] if key else []), *cols).dropna(subset=cols).persist()
+    n, d = clean.count(), len(cols)
+    if n <= d + 1:
+        clean.unpersist()
+        raise ValueError(f"{n} complete rows are too few for {d} columns")
+    share = min(1.0, ((n + d + 1) // 2) / n)
+    marked = clean if key else clean.withColumn("__k", F.concat_ws("|", *cols))
+    rows = tree_samples(marked, cols, key or "__k", starts, d + 1, seed).toPandas()  # starts x (d + 1) rows
+    flat = lambda c: c + ridge * np.eye(d)
+    first = [(g[cols].to_numpy(float).mean(0), np.cov(g[cols].to_numpy(float).T, bias=True).reshape(d, d)) for _, g in rows.groupby("tree") if len(g) > 1]
+    zero = np.zeros((1, d))
+    _, mean, cov = _sums(clean, cols, zero, zero, None)
+    first.append((mean[0], cov[0]))
+    means, covs = (np.array(x) for x in zip(*first, strict=True))
+    dets = np.full(len(means), np.inf)
+    for step in range(steps):
+        inverses = np.array([np.linalg.pinv(flat(c)) for c in covs])
+        limits = _limits(clean, cols, means, inverses, share, accuracy)
+        _, new_means, new_covs = _sums(clean, cols, means, inverses, limits)
+        still = all(np.allclose(a, b, rtol=1e-9, atol=1e-12) for a, b in ((means, new_means), (covs, new_covs)))
+        means, covs = new_means, new_covs
+        dets = np.array([np.linalg.det(flat(c)) for c in covs])
+        if step == 1:
+            best = np.argsort(dets, kind="stable")[:kept]
+            means, covs, dets = means[best], covs[best], dets[best]
+        elif still:
             break
-    d2 = squared_mahalanobis(cols, mean, np.linalg.inv(cov))
-    offset = quantiles(clean.select(d2.alias("__d")), [], [1 - contamination], "__d").first()["q"][0]
+    best = int(np.argmin(dets))
+    mean, cov, det = means[best], flat(covs[best]), float(dets[best])
+    middle = _limits(clean, cols, means[best : best + 1], np.linalg.inv(cov)[None], 0.5, accuracy)[0]
     clean.unpersist()
+    return mean, cov * (middle / chi2_quantile(0.5, d) if middle > 0 else 1.0), det
+
+
+def robust_envelope(train: DataFrame, test: DataFrame, cols: list[str], contamination: float = 0.1, steps: int = 30, starts: int = 10, key: str | None = None) -> DataFrame:
+    """Add ``envelope_score`` (negative is an outlier) and ``envelope_outlier``; see ``robust_covariance``.
+
+    The offset is the training quantile of the squared distances at 1 - ``contamination``.
+    """
+    mean, cov, _ = robust_covariance(train, cols, starts, steps, key=key)
+    d2 = squared_mahalanobis(cols, mean, np.linalg.inv(cov))
+    offset = quantiles(train.select(*cols).dropna().select(d2.alias("__d")), [], [1 - contamination], "__d").first()["q"][0]
     return test.withColumn("envelope_score", F.lit(offset) - d2).withColumn("envelope_outlier", F.col("envelope_score") < 0)
 
 

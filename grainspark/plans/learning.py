@@ -367,6 +367,10 @@ def k3(spark, sf_dir):
     return out.groupBy("split").agg(F.count("*").alias("n"), (F.abs(F.avg(F.col("iforest_outlier").cast("double")) - 0.1) < 0.05).alias("near_contamination"))
 
 
+#: Two small trees over Circularity and dis, for the path lengths by SQL.
+TWO_TREES = {0: {0: (0, 0.7, 0.0), 1: (-1, 0.0, 1.5), 2: (1, 40.0, 0.0), 5: (-1, 0.0, 3.25), 6: (-1, 0.0, 2.0)}, 1: {0: (1, 90.0, 0.0), 1: (0, 0.85, 0.0), 3: (-1, 0.0, 2.75), 4: (-1, 0.0, 4.0), 2: (-1, 0.0, 1.0)}}
+
+
 def k4(spark, sf_dir):
     df = fx.particles(spark, sf_dir)
     out = outliers.robust_envelope(df.where("split = 'train'"), df, ["Circularity", "Extent", "dis"])
@@ -485,6 +489,7 @@ QUERIES = {
           SELECT feature, avg((value < lo OR value > hi)::INTEGER::DOUBLE) AS outside_range, avg((value < q1 OR value > q99)::INTEGER::DOUBLE) AS outside_01_99, avg((value < q5 OR value > q95)::INTEGER::DOUBLE) AS outside_05_95, avg((abs((value - m) / sd) > 2)::INTEGER::DOUBLE) AS beyond_2_sd, avg((abs((value - m) / sd) > 3)::INTEGER::DOUBLE) AS beyond_3_sd
           FROM u JOIN s USING (feature) WHERE split = 'val' AND value IS NOT NULL GROUP BY feature""", PARTICLES)),
     "k3_isolation_forest": Query(k3, "split n# near_contamination", with_views("SELECT split, count(*) AS n, true AS near_contamination FROM particles GROUP BY split", PARTICLES)),
+    "k3_path_lengths": Query(lambda s, d: outliers.path_lengths(fx.particles(s, d).select("row_id", "Circularity", "dis"), ["Circularity", "dis"], TWO_TREES), "row_id path_length*", with_views("""SELECT row_id, ((CASE WHEN Circularity < 0.7 THEN 1.5 WHEN dis < 40 THEN 3.25 ELSE 2.0 END) + (CASE WHEN dis < 90 THEN CASE WHEN Circularity < 0.85 THEN 2.75 ELSE 4.0 END ELSE 1.0 END)) / 2 AS path_length FROM particles""", PARTICLES)),
     "k4_robust_envelope": Query(k4, "split n# near_contamination", with_views("SELECT split, count(*) AS n, true AS near_contamination FROM particles GROUP BY split", PARTICLES)),
     "k5_lof": Query(k5, "id lof* lof_outlier", f"""WITH {VEC}, tr AS (SELECT * FROM vec WHERE label < 5), te AS (SELECT * FROM vec WHERE label >= 5),
           nn AS (SELECT * FROM (SELECT a.id AS a, b.id AS b, {DISTANCE} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {DISTANCE}, b.id) AS r FROM tr a JOIN tr b ON a.id <> b.id) WHERE r <= 5),

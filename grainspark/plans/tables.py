@@ -13,6 +13,7 @@ from grainspark.plans.base import Query
 from grainspark.plans.sqlviews import BOXES, FILES, FRAMES, PARTICLES, PIXELS, PREDICTIONS, SERIES, with_views
 from grainspark.sources import catalog, tables
 from grainspark.sources import fixtures as fx
+from grainspark.streaming import work
 
 LONG_COLS = ["Area", "Circularity", "Gray_kur", "dis"]
 PAIRS = [("train", "test"), ("train", "val"), ("test", "val")]
@@ -77,6 +78,16 @@ def a5(spark, sf_dir):
     return catalog.work_counts(catalog.pending_work(fx.files(spark, sf_dir), done_files(spark, sf_dir)))
 
 
+def a5_stream(spark, sf_dir):
+    """The inventory comes as files of a stream, in two calls; the second takes only what the first has not seen."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows = fx.files(spark, sf_dir).select("path", F.col("mtime").cast("long").alias("mtime"), "doc_id")
+    for half in range(2):
+        rows.where(F.col("doc_id") % 2 == half).drop("doc_id").write.mode("append").parquet(f"{folder}/inventory")
+        work.run_pending(spark, f"{folder}/inventory", "path string, mtime long", done_files(spark, sf_dir), f"{folder}/sink", f"{folder}/state", files_per_batch=4).awaitTermination()
+    return work.finished(spark, f"{folder}/sink").select("path", F.col("done_mtime").alias("mtime"), "reason")
+
+
 def a6(spark, sf_dir):
     return catalog.build_series(fx.frames(spark, sf_dir).drop("ts"))[0]
 
@@ -227,6 +238,8 @@ QUERIES = {
           SELECT k, rank, feature, f, CASE WHEN feature IN ('Area', 'Circularity', 'dis', 'Perimeter') THEN 'orig' ELSE 'NEW' END AS status FROM r, (SELECT unnest([2, 4]) AS k) WHERE rank <= k""", PARTICLES)),
     "a5_pending_work": Query(a5, "reason n#", with_views(f"""WITH {DONE_SQL} SELECT reason, count(*) AS n FROM (
           SELECT CASE WHEN done_mtime IS NULL THEN 'new' WHEN mtime > done_mtime THEN 'newer' WHEN done_mode <> 'gray' THEN 'mode' ELSE 'skipped' END AS reason FROM files LEFT JOIN done USING (path)) GROUP BY reason""", FILES)),
+    "a5_pending_stream": Query(a5_stream, "path mtime# reason", with_views(f"""WITH {DONE_SQL} SELECT * FROM (
+          SELECT files.path, mtime, CASE WHEN done_mtime IS NULL THEN 'new' WHEN mtime > done_mtime THEN 'newer' WHEN done_mode <> 'gray' THEN 'mode' END AS reason FROM files LEFT JOIN done USING (path)) WHERE reason IS NOT NULL""", FILES)),
     "a6_build_series": Query(a6, "folder frame_id ts idx# rel_s*", with_views("SELECT folder, frame_id, ts, row_number() OVER (PARTITION BY folder ORDER BY ts, filename) - 1 AS idx, date_diff('microsecond', min(ts) OVER (PARTITION BY folder), ts) / 1e6 AS rel_s FROM frames", FRAMES)),
     "a7_series_metadata": Query(
         lambda s, d: catalog.series_metadata(fx.frames(s, d)),

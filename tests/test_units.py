@@ -16,7 +16,7 @@ from grainspark.operators import distributions, features, frames, graph, models,
 from grainspark.operators.quantiles import quantiles
 from grainspark.plans.training import Config, run_pipeline
 from grainspark.sources import catalog, fixtures, tables
-from grainspark.streaming.work import watch_inventory
+from grainspark.streaming.work import finished, run_pending, watch_inventory
 
 
 def one(df, column):
@@ -409,3 +409,67 @@ def test_runs_meet_without_pixels_as_nodes():
     y, x0, x1 = np.array([0, 0, 1, 2, 2]), np.array([5, 0, 2, 4, 0]), np.array([9, 2, 5, 4, 0])
     found = frames.tile_runs(y, x0, x1)
     assert [tuple(map(int, r)) for r in zip(*found, strict=True)] == [(0, 0, 2, 0, 0), (0, 5, 9, 0, 0), (1, 2, 5, 0, 0), (2, 0, 0, 2, 0), (2, 4, 4, 0, 0)]
+
+
+def test_a_replayed_batch_does_its_work_once(spark, tmp_path):
+    before = spark.createDataFrame([("old", 5, "gray"), ("stale", 1, "gray")], "path string, done_mtime long, done_mode string")
+    place = [str(tmp_path / n) for n in ("in", "sink", "state")]
+
+    def arrive(rows):
+        spark.createDataFrame(rows, "path string, mtime long").coalesce(1).write.mode("append").parquet(place[0])
+
+    def work():
+        run_pending(spark, place[0], "path string, mtime long", before, place[1], place[2], files_per_batch=1).awaitTermination(120)
+        return sorted((r.path, r.done_mtime, r.reason, r.batch) for r in finished(spark, place[1]).collect())
+
+    arrive([("old", 5), ("stale", 2), ("a", 1)])
+    first = work()
+    assert first == [("a", 1, "new", 0), ("stale", 2, "newer", 0)] and work() == first
+    arrive([("a", 1), ("stale", 3), ("b", 1)])
+    second = work()
+    assert second == sorted([*first, ("b", 1, "new", 1), ("stale", 3, "newer", 1)])
+    (tmp_path / "state" / "commits" / "1").unlink()  # the second batch ended without being committed
+    for c in (tmp_path / "state" / "commits").glob(".1*"):
+        c.unlink()
+    assert work() == second
+
+
+def test_samples_of_trees_are_the_least_hashes(spark):
+    rows = [(f"k{i}", float(i), float(-i)) for i in range(700)] + [("none", None, 1.0)]
+    df = spark.createDataFrame(rows, "k string, a double, b double").repartition(6)
+    got = {}
+    for r in outliers.tree_samples(df, ["a", "b"], "k", 5, 40, 3).collect():
+        got.setdefault(r.tree, set()).add(r.k)
+    h = {r.k: r.h for r in df.select("k", F.xxhash64("k", F.lit(3)).alias("h")).collect()}
+    keys = [k for k, *_ in rows[:-1]]
+    order = outliers._tree_hashes(np.array([h[k] for k in keys], np.int64), 5, 3)
+    assert got == {t: {keys[i] for i in np.argsort(order[:, t])[:40]} for t in range(5)}
+    few = outliers.tree_samples(df.where("a < 7"), ["a", "b"], "k", 3, 40).groupBy("tree").count().collect()
+    assert {(r.tree, r["count"]) for r in few} == {(0, 7), (1, 7), (2, 7)}
+    assert outliers.tree_samples(df.where("false"), ["a", "b"], "k", 3, 40).collect() == []
+
+
+def test_robust_covariance_finds_the_least_determinant(spark):
+    from itertools import combinations
+
+    rng = np.random.default_rng(15)
+    x = np.concatenate([rng.normal(0, 1, (9, 2)), rng.normal(8, 0.5, (3, 2))])
+    df = spark.createDataFrame([(f"k{i}", float(a), float(b)) for i, (a, b) in enumerate(x)], "k string, a double, b double").repartition(3)
+    h = (12 + 2 + 1) // 2
+    best = min(float(np.linalg.det(np.cov(x[list(c)].T, bias=True) + 1e-6 * np.eye(2))) for c in combinations(range(12), h))
+    mean, cov, det = outliers.robust_covariance(df, ["a", "b"], starts=40, kept=40, key="k")
+    assert np.isclose(det, best, rtol=1e-6) and np.abs(mean).max() < 1.5 and (np.linalg.eigvalsh(cov) > 0).all()
+
+
+def test_robust_covariance_resists_planted_outliers(spark):
+    rng = np.random.default_rng(16)
+    true = np.array([[2.0, 0.8], [0.8, 1.0]])
+    x = np.concatenate([rng.multivariate_normal([1, -1], true, 1400), rng.normal(12, 0.3, (600, 2))])  # 30 of 100
+    df = spark.createDataFrame([(f"k{i}", float(a), float(b)) for i, (a, b) in enumerate(x)], "k string, a double, b double").repartition(4)
+    mean, cov, _ = outliers.robust_covariance(df, ["a", "b"], key="k")
+    assert np.allclose(mean, [1, -1], atol=0.25) and np.linalg.det(cov) < 6 * np.linalg.det(true)
+    out = outliers.robust_envelope(df, df, ["a", "b"], contamination=0.3, key="k")
+    flagged = {r.k for r in out.where("envelope_outlier").collect()}
+    assert len(flagged & {f"k{i}" for i in range(1400, 2000)}) > 590
+    with pytest.raises(ValueError):
+        outliers.robust_covariance(df.limit(3), ["a", "b"], key="k")
