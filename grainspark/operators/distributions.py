@@ -38,10 +38,19 @@ def value_counts(long: DataFrame, keys: list[str], side: Column) -> DataFrame:
     return long.where("value IS NOT NULL").groupBy(*keys, "value").agg(F.count_if(side).alias("na"), F.count_if(~side).alias("nb")).where("na + nb > 0")
 
 
-def below(counts: DataFrame, keys: list[str], cells: int = 32) -> DataFrame:
-    """Add ``ba`` and ``bb`` (rows of each side at smaller values) and the totals ``ta`` and ``tb``; ``counts`` is stored first."""
+#: Distinct values that one cell of a running sum holds about.
+CELL_VALUES = 200_000
+
+
+def below(counts: DataFrame, keys: list[str], cells: int | None = None) -> DataFrame:
+    """Add ``ba`` and ``bb`` (rows of each side at smaller values) and the totals ``ta`` and ``tb``; ``counts`` is stored first.
+
+    There are as many cells as keep a cell of the largest key near CELL_VALUES distinct values, unless ``cells`` gives
+    their number.
+    """
     counts = durable(counts)
-    marks = F.percentile_approx("value", [i / cells for i in range(1, cells)], 1000)
+    cells = cells or max(4, -(-(counts.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) // CELL_VALUES))
+    marks = F.percentile_approx("value", [i / cells for i in range(1, cells)], max(1000, 10 * cells))
     ends = counts.groupBy(*keys).agg(marks.alias("marks"), F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
     at = F.size(F.filter("marks", lambda m: m < F.col("value")))
     placed = counts.join(ends, keys).withColumn("cell", at).drop("marks")

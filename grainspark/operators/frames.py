@@ -189,7 +189,7 @@ def histogram_comparison(staged: DataFrame) -> DataFrame:
     """(stage, v, n, peak, std): unit-bin counts of each stage beside its peak and deviation."""
     counts = value_counts(staged, ["stage"])
     stats = histogram_peak(staged, ["stage"]).join(staged.groupBy("stage").agg(F.stddev_pop("v").alias("std")), "stage")
-    return counts.join(F.broadcast(stats), "stage")
+    return counts.join(stats, "stage")
 
 
 def frame_info(pixels: DataFrame, files: DataFrame) -> DataFrame:
@@ -328,30 +328,52 @@ def crop_stats(crops: DataFrame, key: str = "crop", ring: int = 10) -> DataFrame
     return marked.groupBy(key).agg(F.percentile(v, 0.5).alias("median"), F.avg(F.when(edge, v)).alias("border_mean"), F.stddev_pop(F.when(edge, v)).alias("border_std"))
 
 
+def best_cuts(v: np.ndarray, n: np.ndarray, groups: int) -> np.ndarray:
+    """The group of each of some ascending values, counted ``n`` times, that gives the least sum of squares within groups.
+
+    Exact, by dynamic programming over the last group's first value; of equal sums (to 6 places) the earliest cuts win,
+    the last cut first.
+    """
+    count, total, square = (np.concatenate([[0.0], np.cumsum(x)]) for x in (n, n * v, n * v * v))
+
+    def within(first: np.ndarray, end: int) -> np.ndarray:
+        rows = count[end] - count[first]
+        return square[end] - square[first] - (total[end] - total[first]) ** 2 / rows
+
+    best = [np.array([0.0] + [within(np.array([0]), e)[0] for e in range(1, len(v) + 1)])]
+    start = []
+    for g in range(1, groups):
+        cost, place = np.full(len(v) + 1, np.inf), np.zeros(len(v) + 1, int)
+        for end in range(g + 1, len(v) + 1):
+            first = np.arange(g, end)
+            every = np.round(best[-1][first] + within(first, end), 6)
+            place[end] = first[every.argmin()]
+            cost[end] = (best[-1][first] + within(first, end))[every.argmin()]
+        best.append(cost)
+        start.append(place)
+    out, end = np.zeros(len(v), int), len(v)
+    for g in range(groups - 1, 0, -1):
+        out[start[g - 1][end] : end] = g
+        end = start[g - 1][end]
+    return out
+
+
 def segment_phases(crops: DataFrame, key: str = "crop", phases: int = 3, ring: int = 10) -> DataFrame:
-    """(key, v, phase, background): one-dimensional k-means on each crop's value counts, phases in order of their means.
+    """(key, v, phase, background): the best one-dimensional k-means of each crop's values, phases in order of their means.
 
-    ``background`` marks the phase nearest to the border mean. A group is at most 256 rows.
+    ``background`` marks the phase nearest to the border mean (the darker one of two). A crop with fewer values than
+    phases has a phase for each. A group is at most 256 rows.
     """
     counts = crops.groupBy(key, "v").agg(F.count("*").alias("n")).join(crop_stats(crops, key, ring).select(key, "border_mean"), key)
     kind = dict(crops.dtypes)[key]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("v", kind="stable")
         v, n = pdf["v"].to_numpy(float), pdf["n"].to_numpy(float)
-        k = min(phases, len(v))
-        order = np.argsort(v)
-        ends = np.cumsum(n[order])
-        # Starting means: the values that hold evenly spaced ranks of all pixels.
-        means = np.unique(v[order][np.searchsorted(ends, (np.arange(k) + 0.5) / k * ends[-1])])
-        for _ in range(100):
-            at = np.abs(v[:, None] - means[None, :]).argmin(1)
-            new = np.array([np.average(v[at == j], weights=n[at == j]) if (at == j).any() else means[j] for j in range(len(means))])
-            if np.allclose(new, means):
-                break
-            means = new
-        rank = np.argsort(np.argsort(means))[at]
-        back = rank[np.abs(means[at] - pdf["border_mean"].iloc[0]).argmin()]
-        return pd.DataFrame({key: pdf[key], "v": pdf["v"], "phase": rank.astype(np.int32), "background": rank == back})
+        phase = best_cuts(v, n, min(phases, len(v)))
+        means = np.array([np.average(v[phase == p], weights=n[phase == p]) for p in range(phase.max() + 1)])
+        back = np.round(np.abs(means - pdf["border_mean"].iloc[0]), 6).argmin()
+        return pd.DataFrame({key: pdf[key], "v": pdf["v"], "phase": phase.astype(np.int32), "background": phase == back})
 
     return counts.groupBy(key).applyInPandas(run, f"`{key}` {kind}, v int, phase int, background boolean")
 

@@ -168,7 +168,7 @@ def routes(groups: DataFrame, group: str, available: list[str], generic: str = "
 
 def route_models(df: DataFrame, group: str, bundles: dict[str, Bundle], generic: str = "combined") -> DataFrame:
     """Predictions of each row by its group's model; one filtered transform for each model, then a union."""
-    routed = df.join(F.broadcast(routes(df, group, list(bundles), generic)), group)
+    routed = df.join(routes(df, group, list(bundles), generic), group)
     parts = [predict(routed.where(F.col("model") == name), b) for name, b in bundles.items()]
     out = parts[0]
     for p in parts[1:]:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from grainspark.functions.durable import durable
+
 
 def join_groups(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on keys that may be null (a null key is a group); without keys each row of ``left`` meets the one row of ``right``."""
@@ -18,13 +20,15 @@ def join_groups(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return left.join(own, on or F.lit(True), how).drop(*(f"__k{i}" for i in range(len(keys))))
 
 
-def quantiles(long: DataFrame, keys: list[str], at: list[float], value: str = "value", accuracy: int = 20_000) -> DataFrame:
+def quantiles(long: DataFrame, keys: list[str], at: list[float], value: str = "value", accuracy: int = 20_000, stored: bool = False) -> DataFrame:
     """(keys, n, q): for each group the number of its values and an array of quantiles, linear between neighbours.
 
     Missing values (null, NaN) do not count; a group without values has n = 0 and null quantiles. Null keys are a group.
+    Keys and values are written once, so that what they come from is computed once, unless ``long`` is ``stored`` already.
     """
     v = F.col(value).cast("double")
     base = long.select(*keys, F.when(~F.isnan(v), v).alias("__v"))
+    base = base if stored else durable(base)
     # The sketch errs by 1 / accuracy of the rows, and interpolation needs a rank on either side; small groups are taken whole.
     slack = 3.0 / accuracy
     marks = [max(0.0, q - slack) for q in at] + [min(1.0, q + slack) for q in at]

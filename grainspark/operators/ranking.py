@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from grainspark.functions.durable import durable
 
+#: Rows that one range of a rank holds about.
+RANGE_ROWS = 1_000_000
+
 
 def top_predictions(df: DataFrame, confidence: str, key: str, n: int) -> DataFrame:
     """The ``n`` most confident rows, ties by key; each task keeps n rows at most."""
@@ -26,13 +29,19 @@ def global_rank(df: DataFrame, order: list[Column], parts: int) -> DataFrame:
     return dealt.withColumn("__in", inside).join(F.broadcast(before), "__part").withColumn("rank", F.col("__in") + F.col("__before")).drop("__in", "__part", "__before")
 
 
-def rank_predictions(df: DataFrame, confidence: str, key: str, by: str, parts: int = 64) -> DataFrame:
+def range_count(df: DataFrame, rows: int) -> int:
+    """Ranges for ``rows`` rows: as many as bound a range by RANGE_ROWS, and no fewer than the session's shuffle partitions."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // RANGE_ROWS))
+
+
+def rank_predictions(df: DataFrame, confidence: str, key: str, by: str, parts: int | None = None) -> DataFrame:
     """``confidence_rank`` within ``by``: greatest confidence first, ties by key.
 
     All rows are ranked by (by, confidence, key) in ranges, and a data set starts after the rows of those before it, so
-    no data set is sorted in one task.
+    no data set is sorted in one task. The number of ranges grows with the rows, unless ``parts`` gives it.
     """
-    sizes = df.groupBy(by).agg(F.count("*").alias("__n"))
+    sizes = durable(df.groupBy(by).agg(F.count("*").alias("__n")))
+    parts = parts or range_count(df, sizes.agg(F.sum("__n")).first()[0] or 0)
     w = Window.partitionBy(F.lit(1)).orderBy(F.asc_nulls_first("__by")).rowsBetween(Window.unboundedPreceding, -1)
     earlier = sizes.withColumnRenamed(by, "__by").withColumn("__earlier", F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__n")
     ranked = global_rank(df, [F.asc_nulls_first(by), F.desc(confidence), F.col(key)], parts)

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grainspark.functions.durable import durable
 from grainspark.operators.quantiles import join_groups, quantiles
 
 
@@ -96,8 +97,8 @@ def compare_top(scores: DataFrame, known: list[str], ks: tuple[int, ...] = (15,
 def profile(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
     """min, max, mean, std (pop) and the 1st, 5th, 95th and 99th percentile of each feature."""
     by = by or []
-    long = unpivot(df, by, cols)
-    marks = quantiles(long, [*by, "feature"], [0.01, 0.05, 0.95, 0.99])
+    long = durable(unpivot(df, by, cols))
+    marks = quantiles(long, [*by, "feature"], [0.01, 0.05, 0.95, 0.99], stored=True)
     out = long.groupBy(*by, "feature").agg(F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
     joined = join_groups(out, marks.drop("n"), [*by, "feature"])
     return joined.select(*by, "feature", "min", "max", "mean", "std", *(F.col("q")[k].alias(f"q{n}") for k, n in enumerate(("01", "05", "95", "99"))))

@@ -148,6 +148,14 @@ QUERIES = {
     "l18_denoise_colour": Query(l18_colour, "frame_id n# a# tint#", with_views("SELECT frame_id, count(*) AS n, sum(255 - v) AS a, 0 AS tint FROM pixels GROUP BY frame_id", PIXELS)),
     "l19_crop_stats": Query(lambda s, d: frames.crop_stats(crops(s, d), "crop", 1), "crop# median* border_mean* border_std*", with_views(f"WITH {CROPS}, m AS (SELECT *, max(bx) OVER (PARTITION BY crop) AS w, max(\"by\") OVER (PARTITION BY crop) AS h FROM cr) SELECT crop, quantile_cont(v::DOUBLE, 0.5) AS median, avg(v) FILTER (WHERE bx < 1 OR \"by\" < 1 OR bx > w - 1 OR \"by\" > h - 1) AS border_mean, stddev_pop(v) FILTER (WHERE bx < 1 OR \"by\" < 1 OR bx > w - 1 OR \"by\" > h - 1) AS border_std FROM m GROUP BY crop", PIXELS)),
     "l20_segment_phases": Query(l20, "crop# n_values# phases_ok has_background", with_views(f"WITH {CROPS} SELECT crop, count(DISTINCT v) AS n_values, true AS phases_ok, true AS has_background FROM cr GROUP BY crop", PIXELS)),
+    "l20_phases": Query(lambda s, d: frames.segment_phases(crops(s, d), "crop", 3, ring=2), "crop# v# phase# background", with_views(f"""WITH {CROPS}, e AS (SELECT *, max(bx) OVER (PARTITION BY crop) AS w, max("by") OVER (PARTITION BY crop) AS h FROM cr),
+          bm AS (SELECT crop, avg(v) FILTER (WHERE bx < 2 OR "by" < 2 OR bx > w - 2 OR "by" > h - 2) AS border FROM e GROUP BY crop),
+          q AS (SELECT crop, v, n, row_number() OVER o AS i, sum(n) OVER o AS cn, sum(n * v) OVER o AS cs, sum(n * v * v) OVER o AS cq, count(*) OVER (PARTITION BY crop) AS m FROM (SELECT crop, v, count(*) AS n FROM cr GROUP BY ALL) WINDOW o AS (PARTITION BY crop ORDER BY v)),
+          cut AS (SELECT a.crop, a.i AS c1, b.i AS c2 FROM q a JOIN q b ON a.crop = b.crop AND a.i < b.i JOIN q z ON z.crop = a.crop AND z.i = z.m AND b.i < z.i
+            QUALIFY row_number() OVER (PARTITION BY a.crop ORDER BY round(CAST(z.cq AS DOUBLE) - CAST(a.cs * a.cs AS DOUBLE) / a.cn - CAST((b.cs - a.cs) * (b.cs - a.cs) AS DOUBLE) / (b.cn - a.cn) - CAST((z.cs - b.cs) * (z.cs - b.cs) AS DOUBLE) / (z.cn - b.cn), 6), b.i, a.i) = 1),
+          ph AS (SELECT q.crop, q.v, q.n, CASE WHEN q.m < 3 THEN q.i - 1 WHEN q.i <= c1 THEN 0 WHEN q.i <= c2 THEN 1 ELSE 2 END AS phase FROM q LEFT JOIN cut USING (crop)),
+          bk AS (SELECT crop, phase AS back FROM (SELECT crop, phase, sum(n * v) / sum(n)::DOUBLE AS mean FROM ph GROUP BY ALL) JOIN bm USING (crop) QUALIFY row_number() OVER (PARTITION BY crop ORDER BY round(abs(mean - border), 6), phase) = 1)
+          SELECT ph.crop, v, phase, phase = back AS background FROM ph JOIN bk USING (crop)""", PIXELS)),
     "l21_largest_object": Query(l21, "crop# n# moment#", L21_SQL),
     "l22_histogram_comparison": Query(lambda s, d: frames.histogram_comparison(staged(s, d)), "stage v# n# peak# std*", with_views(f"WITH {STATS}, t AS (SELECT 'raw' AS stage, v FROM pixels UNION ALL SELECT 'filtered', v FROM filtered UNION ALL SELECT 'normalised', {CUT.format('CASE WHEN r_peak = peak THEN v ELSE greatest(0, least(255, v + (r_peak - peak))) END')} FROM px), b3 AS (SELECT stage, {EDGE} AS bin, count(*) AS n FROM t GROUP BY ALL), p3 AS (SELECT stage, floor(arg_max(bin, n * 1000 - bin) * 255 / 256.0::DOUBLE) AS peak FROM b3 GROUP BY stage), s3 AS (SELECT stage, stddev_pop(v) AS std FROM t GROUP BY stage) SELECT stage, v, count(*) AS n, max(p3.peak) AS peak, max(std) AS std FROM t JOIN p3 USING (stage) JOIN s3 USING (stage) GROUP BY ALL", PIXELS)),
     "l23_frame_info": Query(lambda s, d: frames.frame_info(fx.pixels(s, d), info_files(s, d).where("frame_id % 9 <> 4")), "frame_id width# height# length# error", """WITH f AS (SELECT doc_id AS frame_id, n_chars AS length FROM documents WHERE doc_id % 9 <> 4)
