@@ -148,7 +148,7 @@ QUERIES = {
     "l18_denoise_colour": Query(l18_colour, "frame_id n# a# tint#", with_views("SELECT frame_id, count(*) AS n, sum(255 - v) AS a, 0 AS tint FROM pixels GROUP BY frame_id", PIXELS)),
     "l19_crop_stats": Query(lambda s, d: frames.crop_stats(crops(s, d), "crop", 1), "crop# median* border_mean* border_std*", with_views(f"WITH {CROPS}, m AS (SELECT *, max(bx) OVER (PARTITION BY crop) AS w, max(\"by\") OVER (PARTITION BY crop) AS h FROM cr) SELECT crop, quantile_cont(v::DOUBLE, 0.5) AS median, avg(v) FILTER (WHERE bx < 1 OR \"by\" < 1 OR bx > w - 1 OR \"by\" > h - 1) AS border_mean, stddev_pop(v) FILTER (WHERE bx < 1 OR \"by\" < 1 OR bx > w - 1 OR \"by\" > h - 1) AS border_std FROM m GROUP BY crop", PIXELS)),
     "l20_segment_phases": Query(l20, "crop# n_values# phases_ok has_background", with_views(f"WITH {CROPS} SELECT crop, count(DISTINCT v) AS n_values, true AS phases_ok, true AS has_background FROM cr GROUP BY crop", PIXELS)),
-    "l20_phases": Query(lambda s, d: frames.segment_phases(crops(s, d), "crop", 3, ring=2), "crop# v# phase# background", with_views(f"""WITH {CROPS}, e AS (SELECT *, max(bx) OVER (PARTITION BY crop) AS w, max("by") OVER (PARTITION BY crop) AS h FROM cr),
+    "l20_phases": Query(lambda s, d: frames.segment_phases(crops(s, d), "crop", 3, ring=2, exact=True), "crop# v# phase# background", with_views(f"""WITH {CROPS}, e AS (SELECT *, max(bx) OVER (PARTITION BY crop) AS w, max("by") OVER (PARTITION BY crop) AS h FROM cr),
           bm AS (SELECT crop, avg(v) FILTER (WHERE bx < 2 OR "by" < 2 OR bx > w - 2 OR "by" > h - 2) AS border FROM e GROUP BY crop),
           q AS (SELECT crop, v, n, row_number() OVER o AS i, sum(n) OVER o AS cn, sum(n * v) OVER o AS cs, sum(n * v * v) OVER o AS cq, count(*) OVER (PARTITION BY crop) AS m FROM (SELECT crop, v, count(*) AS n FROM cr GROUP BY ALL) WINDOW o AS (PARTITION BY crop ORDER BY v)),
           cut AS (SELECT a.crop, a.i AS c1, b.i AS c2 FROM q a JOIN q b ON a.crop = b.crop AND a.i < b.i JOIN q z ON z.crop = a.crop AND z.i = z.m AND b.i < z.i

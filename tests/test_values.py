@@ -88,7 +88,7 @@ def test_phases_of_planted_levels(spark):
     levels = {(y, x): (200 if 3 <= y < 6 and 3 <= x < 8 else 90 if x >= 9 else 20) + int(rng.integers(-3, 4)) for y in range(12) for x in range(14)}
     rows = [(k, y, x, v) for k in (1, 2) for (y, x), v in levels.items()]
     df = spark.createDataFrame(rows, "crop long, by int, bx int, v int")
-    got = {(r.crop, r.v): (r.phase, r.background) for r in frames.segment_phases(df, ring=1).collect()}
+    got = {(r.crop, r.v): (r.phase, r.background) for r in frames.segment_phases(df, ring=1, exact=True).collect()}
     assert set(got) == {(k, v) for k in (1, 2) for v in levels.values()}
     for (_, v), (phase, background) in got.items():
         assert phase == (v > 50) + (v > 150)
