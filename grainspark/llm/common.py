@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,6 +32,15 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH
             spark.conf.set(key, str(most))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive tasks, and what they hold counts for their executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def fresh(columns: list[str], *names: str) -> list[str]:
     """The names, with underscores put before them until they clash neither with the columns nor with each other."""
     taken, out = {c.lower() for c in columns}, []

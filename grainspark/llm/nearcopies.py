@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainspark.functions.durable import durable, release
-from grainspark.llm.common import fresh, map_texts, named
+from grainspark.llm.common import fresh, give_back, map_texts, named
 from grainspark.llm.simhash import grouped, majority, shingle_hashes
 from grainspark.operators.graph import components
 
@@ -38,8 +38,13 @@ _FACTOR = _RANDOM.integers(1 << 63, size=(BANDS * ROWS, 1), dtype=np.uint64) * n
 _SHIFT = _RANDOM.integers(1 << 63, size=(BANDS * ROWS, 1), dtype=np.uint64)
 
 
-def similarity(a: set, b: set) -> float:
-    return len(a & b) / len(a | b) if a or b else 1.0
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets as ascending distinct hashes; no Python object is made for a hash."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    at = np.searchsorted(a, b)
+    common = int(np.count_nonzero(a[np.minimum(at, len(a) - 1)] == b))
+    return common / (len(a) + len(b) - common)
 
 
 def shingle_set(h: np.ndarray) -> np.ndarray:
@@ -101,11 +106,11 @@ def hub_links(parts: DataFrame, found: DataFrame, least: float) -> DataFrame:
     stream = hubs.union(members).repartition("u", "slot").sortWithinPartitions("u", "slot", F.asc_nulls_first("v"))
 
     def run(batches):
-        hub, own = None, set()
+        hub, own = None, np.zeros(0, np.uint64)
         for batch in batches:
             keep = []
             for k, (u, v, s) in enumerate(zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), batch.column("shingles"), strict=True)):
-                now = set(np.frombuffer(s.as_py(), np.uint64).tolist())
+                now = np.frombuffer(s.as_py(), np.uint64)
                 if v is None:
                     hub, own = u, now
                 elif u != hub:
@@ -114,6 +119,7 @@ def hub_links(parts: DataFrame, found: DataFrame, least: float) -> DataFrame:
                     keep.append(k)
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("u").take(at), batch.column("v").take(at)], names=["u", "v"])
+        give_back()
 
     out = durable(stream.mapInArrow(run, "u long, v long"))
     release(pairs)
@@ -137,7 +143,7 @@ def block_links(parts: DataFrame, roots: DataFrame, found: DataFrame, least: flo
 
         def own(k):
             if k not in sets:
-                sets[k] = set(np.frombuffer(pdf["shingles"].iat[k], np.uint64).tolist())
+                sets[k] = np.frombuffer(pdf["shingles"].iat[k], np.uint64)
             return sets[k]
 
         for k in range(len(pdf) - 1):
@@ -152,6 +158,7 @@ def block_links(parts: DataFrame, roots: DataFrame, found: DataFrame, least: flo
                     us.append(node[k])
                     vs.append(node[m])
                     root = np.where(root == root[m], root[k], root)
+        give_back()
         return pd.DataFrame({"u": np.array(us, np.int64), "v": np.array(vs, np.int64)})
 
     return durable(cells.groupBy("group", "i", "j").applyInPandas(compare, "u long, v long"))
@@ -161,11 +168,16 @@ def grouped_rows(docs: DataFrame, text: str = "text", width: int = 5, least: flo
     """The documents as a stored table with a number of the row, (row, group) for each of them, and the name of the number's column."""
     row, node, fp, keys = fresh(docs.columns, "row", "node", "fp", "keys")
 
-    def run(texts):
-        return None, list(zip(*(node_and_keys(t, width) for t in texts), strict=True)) or [[], [], []]
+    def start():
+        give_back()  # of the stages before, which ran in the same workers
+
+        def run(texts):
+            return None, list(zip(*(node_and_keys(t, width) for t in texts), strict=True)) or [[], [], []]
+
+        return run
 
     marked = docs.withColumn(row, F.monotonically_increasing_id())
-    rows = durable(map_texts(marked, text, marked.columns, f"`{node}` long, `{fp}` long, `{keys}` array<long>", lambda: run))
+    rows = durable(map_texts(marked, text, marked.columns, f"`{node}` long, `{fp}` long, `{keys}` array<long>", start))
     plain = rows.select(named(row).alias("row"), named(node).alias("node"), named(fp).alias("fp"), named(keys).alias("keys"))
     near = grouped(plain.select(F.col("row").alias("doc_id"), "fp")).select(F.col("doc_id").alias("row"), F.xxhash64(F.lit("component"), "component_id").alias("near"))
     one = F.min(F.struct("row", "keys", "near")).alias("one")
