@@ -42,14 +42,15 @@ def with_class_rank(df: DataFrame, label: list[str], key: str, seed: int, rank:
 class ClassHashes:
     """Rows of ``df`` by class and hash, to take the first rows of each class in hash order.
 
-    Two passes over the rows: one counts them by class and first digits; one picks the rows whose digits are those of a
-    class's last wanted row, a 4,096th part of the class, and only their hashes are looked at further. The driver holds
+    Classes and hashes are stored once. One pass counts them by class and first digits; one picks the rows whose digits are
+    those of a class's last wanted row, a 4,096th part of the class, and only their hashes are looked at further. The driver holds
     one entry for each class. Null classes are classes. Rows that share a key are taken together, or left if not all fit.
     """
 
-    def __init__(self, df: DataFrame, label: list[str], key: str, seed: int):
+    def __init__(self, df: DataFrame, label: list[str], key: str, seed: int, rows: DataFrame | None = None):
+        """``rows`` (k0, k1, ..., hash) may stand for what would be read of ``df``: the stored table of another selection, filtered."""
         self.hash = hash_order(key, seed)
-        self.rows = df.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(label)), self.hash.alias("hash"))
+        self.rows = durable(df.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(label)), self.hash.alias("hash"))) if rows is None else rows
         keys = [f"k{i}" for i in range(len(label))]
         name = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
         self.counts = durable(self.rows.groupBy(*keys, F.substring("hash", 1, DIGITS).alias("digits")).agg(F.count("*").alias("n")).withColumn("name", name))
@@ -70,6 +71,14 @@ class ClassHashes:
 
     def first(self, wanted: dict[str, int]) -> Column:
         """True for the first ``wanted`` rows of each class (by ``sizes``' names), as a condition on the table's columns."""
+        return self.condition(self.ends(wanted))
+
+    def condition(self, below: dict[str, str], columns: list[str] | None = None, hash_: Column | None = None) -> Column:
+        """Hashes below their class's end, on the table's columns or on those of ``rows``."""
+        return F.coalesce((self.hash if hash_ is None else hash_) < self.pick({c: b for c, b in below.items() if b}, columns), F.lit(False))
+
+    def ends(self, wanted: dict[str, int]) -> dict[str, str]:
+        """For each class what the hashes of its first ``wanted`` rows are below, and no others."""
         below = {name: "" if wanted.get(name, 0) <= 0 else "g" for name in self.sizes}  # "g" is above every digit
         left = {name: k for name, k in wanted.items() if 0 < k < self.sizes[name]}
         prefix = dict.fromkeys(left, "")
@@ -92,7 +101,7 @@ class ClassHashes:
                 counts = narrow.groupBy(*keys, F.substring("hash", at + 1, DIGITS).alias("digits")).agg(F.count("*").alias("n")).withColumn("name", name)
                 release(*([before] if before is not None else []))
         release(*([narrow] if narrow is not None else []))
-        return F.coalesce(self.hash < self.pick({c: b for c, b in below.items() if b}), F.lit(False))
+        return below
 
 
 def stratified_split(df: DataFrame, label: str, key: str, fraction: float = 0.2, seed: int = 42) -> DataFrame:
@@ -137,9 +146,11 @@ def balance_experiments(df: DataFrame, experiment: str, label: str, key: str, se
         own = found.values[name][0]
         wanted[name] = n if sizes[own] <= target else min(n, max(1, target * n // sizes[own]))
         have[own] += wanted[name]
-    taken = found.first(wanted)
+    ends = found.ends(wanted)
+    taken = found.condition(ends)
     # Among rows not taken the place in the experiment's hash order decides; what the taken ones leave is open.
-    open_ = ClassHashes(df.where(~taken), [experiment], key, seed)
+    left = found.rows.where(~found.condition(ends, ["k0", "k1"], F.col("hash"))).select("k0", "hash")
+    open_ = ClassHashes(df, [experiment], key, seed, left)
     more = open_.first({name: max(0, target - have[values[0]]) for name, values in open_.values.items()})
     return df.where(taken | more)
 
