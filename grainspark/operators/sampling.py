@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from grainspark.functions.durable import durable, release
 from grainspark.operators.neighbours import knn_join
 
-#: Hexadecimal digits that one level of a selection looks at.
-DIGITS = 3
+#: Hexadecimal digits that one level of a selection looks at, and rows of a class that the last level takes whole.
+DIGITS, LAST = 3, 100_000
 
 
 def hash_order(key: str, seed: int) -> Column:
@@ -83,13 +83,14 @@ class ClassHashes:
         left = {name: k for name, k in wanted.items() if 0 < k < self.sizes[name]}
         prefix = dict.fromkeys(left, "")
         keys = [f"k{i}" for i in range(len(self.label))]
-        counts, rows, narrow = self.counts, self.rows, None
+        counts, rows, narrow, most = self.counts, self.rows, None, 0
         while left:
             so_far = F.sum("n").over(Window.partitionBy(*keys).orderBy("digits"))  # 4,096 counts a class
             asked = counts.withColumn("wanted", self.pick(left, keys)).where("wanted IS NOT NULL").withColumn("end", so_far)
             for r in asked.where((F.col("end") >= F.col("wanted")) & (F.col("end") - F.col("n") < F.col("wanted"))).collect():  # one for each class
                 name, digits, rest = r["name"], prefix[r["name"]] + r["digits"], r["wanted"] - (r["end"] - r["n"])
                 prefix[name], left[name] = digits, rest
+                most = max(most, r["n"])
                 if rest == r["n"] or len(digits) >= 32:
                     below[name] = digits + ("g" if rest == r["n"] else "")
                     del left[name], prefix[name]
@@ -98,7 +99,9 @@ class ClassHashes:
                 before, narrow = narrow, durable(rows.where(F.substring("hash", 1, at) == self.pick(prefix, keys)))
                 rows = narrow
                 name = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
-                counts = narrow.groupBy(*keys, F.substring("hash", at + 1, DIGITS).alias("digits")).agg(F.count("*").alias("n")).withColumn("name", name)
+                wide = DIGITS if most > LAST else 32
+                most = 0
+                counts = narrow.groupBy(*keys, F.substring("hash", at + 1, wide).alias("digits")).agg(F.count("*").alias("n")).withColumn("name", name)
                 release(*([before] if before is not None else []))
         release(*([narrow] if narrow is not None else []))
         return below

@@ -351,9 +351,9 @@ def test_first_rows_of_classes_are_those_of_a_sort(spark, monkeypatch):
     found = sampling.ClassHashes(df, ["c", "d"], "k", 7)
     assert found.sizes == {n: sum((c, d) == v for c, d, _ in rows) for n, v in found.values.items()} and len(found.sizes) == 6
     wanted = {n: int(rng.integers(0, k + 1)) for n, k in found.sizes.items()} | {n: 2 for n, v in found.values.items() if v[0] == "twins"}
-    monkeypatch.setattr(sampling, "DIGITS", 1)
-    for digits in (1, 3):
+    for digits, last in ((1, 0), (3, 100_000)):
         monkeypatch.setattr(sampling, "DIGITS", digits)
+        monkeypatch.setattr(sampling, "LAST", last)
         got = {}
         for r in df.where(sampling.ClassHashes(df, ["c", "d"], "k", 7).first(wanted)).collect():
             got.setdefault((r.c, r.d), set()).add(r.k)
