@@ -473,3 +473,11 @@ def test_robust_covariance_resists_planted_outliers(spark):
     assert len(flagged & {f"k{i}" for i in range(1400, 2000)}) > 590
     with pytest.raises(ValueError):
         outliers.robust_covariance(df.limit(3), ["a", "b"], key="k")
+
+
+def test_running_sums_keep_to_one_set_of_cells(spark):
+    """A sketch's marks change with the order its parts arrive in, so the plan, which needs them twice, must not compute them."""
+    df = spark.range(1000).select(F.lit("x").alias("k"), F.col("id").cast("double").alias("value"), F.lit(1).cast("long").alias("na"), F.lit(2).cast("long").alias("nb"))
+    found = distributions.below(df, ["k"])
+    assert "percentile_approx" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["value"], r["ba"], r["bb"]) for r in found.collect()) == [(float(v), v, 2 * v) for v in range(1000)]
