@@ -160,3 +160,35 @@ def test_forest_connects_the_same_nodes_at_each_level():
     assert len(a) < 60
     for level in range(5):
         assert (graph.merge_level(60, u[k <= level], v[k <= level]) == graph.merge_level(60, a[c <= level], b[c <= level])).all()
+
+
+def test_lists_of_cells_to_visit_stay_small(spark, monkeypatch):
+    """Where no cell can be left out, a task makes rows x cells visits, each with its vector: neither may be many."""
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(str(i), rng.normal(size=8).tolist()) for i in range(4000)], "id string, v array<double>")
+    stored = index.durable(index.distinct_points(index.points(df, "id", "v"), 4))
+    found = index.PivotIndex(stored, "keys array<string>")
+    pivots = len(found.facts.first()["pivots"])
+    assert pivots <= 32
+    monkeypatch.setattr(index, "DEALT", 40_000)
+    visits = found.visits(stored.select("g", "vid", "v", F.lit(1e9).alias("t2")), "all")
+    sizes = [r["n"] for r in visits.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 4000 * pivots
+    slots = index._with_group(stored.select("g", "vid", "v"), found.facts, lambda a, _: index.pa.table({"g": a["g"].slice(0, 1), "n": [a.num_rows]}), "g string, n long")
+    assert max(r["n"] for r in slots.collect()) * pivots < 80_000
+
+
+def test_pairs_by_products_are_those_of_exact_sums():
+    rng = np.random.default_rng(8)
+    for scale, shift in ((1.0, 0.0), (1e-3, 1e6)):
+        q, b = (rng.integers(-3, 4, (n, 5)) * scale + shift for n in (90, 200))
+        centre = np.full(5, shift)
+        far = lambda x: np.sqrt(((x - centre) ** 2).sum(1))
+        with np.errstate(over="ignore", invalid="ignore"):
+            d2 = sum((q[:, None, c] - b[None, :, c]) ** 2 for c in range(5))
+            t2 = np.sort(d2, 1)[:, 6]
+            whole, few = ([p for x in index.close_pairs(q, far(q), t2, b, far(b), k) for p in zip(*x, strict=True)] for k in (None, 3))
+        want = {(i, j): d2[i, j] for i in range(90) for j in np.flatnonzero(d2[i] <= t2[i])}
+        assert {(i, j): d for i, j, d in whole} == want
+        nearest = {(i, j) for i in range(90) for j in np.flatnonzero(d2[i] <= np.sort(d2[i])[2])}
+        assert nearest <= {(i, j) for i, j, _ in few}
