@@ -481,3 +481,16 @@ def test_running_sums_keep_to_one_set_of_cells(spark):
     found = distributions.below(df, ["k"])
     assert "percentile_approx" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r["value"], r["ba"], r["bb"]) for r in found.collect()) == [(float(v), v, 2 * v) for v in range(1000)]
+
+
+def test_fitting_leaves_no_tables(spark, sf_dir):
+    """The tables of a fit's passes go once it is done."""
+    from pathlib import Path
+
+    from grainspark.functions.durable import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    df = fixtures.particles(spark, sf_dir).where("l_orderkey % 50 = 0")
+    before = set(folder.glob("table-*"))
+    models.fit_matrix(df, "type", ["Area", "Circularity"], 3)
+    assert set(folder.glob("table-*")) == before
