@@ -46,6 +46,26 @@ def frame_statistics(pixels: DataFrame, keys: list[str] | None = None) -> DataFr
     return base.join(histogram_peak(pixels, keys), keys)
 
 
+def ordered_deviation(pixels: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``std`` (pop) by Welford's update in the order of the pixels.
+
+    What partial sums give depends, in the last bit, on how they are merged, and cutting to whole numbers makes that a
+    grey level where a value falls on one. Here a frame's pixels meet in one row, which frames of ordinary size allow.
+    """
+    seen = F.filter(F.array_sort(F.collect_list(F.struct("y", "x", "v"))), lambda p: p["v"].isNotNull())
+
+    def state(n: Column, mean: Column, square: Column) -> Column:
+        return F.struct(n.alias("n"), mean.alias("mean"), square.alias("square"))
+
+    def step(a: Column, p: Column) -> Column:
+        x, n = p["v"].cast("double"), a["n"] + 1.0
+        mean = a["mean"] + (x - a["mean"]) / n
+        return state(n, mean, a["square"] + (x - mean) * (x - a["mean"]))
+
+    std = F.aggregate(seen, state(F.lit(0.0), F.lit(0.0), F.lit(0.0)), step, lambda a: F.sqrt(F.try_divide(a["square"], a["n"])))
+    return pixels.groupBy(*(keys or ["frame_id"])).agg(std.alias("std"))
+
+
 def _clip(c: Column, top: int = 255) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(float(top)), c))
 
@@ -69,16 +89,21 @@ def matched(counts: DataFrame, reference: DataFrame) -> DataFrame:
     return joined.select("frame_id", "v", F.when(a.isNull(), b["v"].cast("double")).when(b.isNull(), a["v"].cast("double")).otherwise(line).alias("new"))
 
 
-def normalise_frames(pixels: DataFrame, reference_id: int, method: str) -> DataFrame:
-    """All frames brought to the reference frame: (frame_id, y, x, v)."""
+def normalise_frames(pixels: DataFrame, reference_id: int, method: str, ordered: bool = False) -> DataFrame:
+    """All frames brought to the reference frame: (frame_id, y, x, v). ``ordered`` takes deviations by ``ordered_deviation``."""
     if method not in METHODS:
         raise ValueError(f"unknown method {method}; known: {', '.join(METHODS)}")
     of_reference = pixels.where(F.col("frame_id") == reference_id)
     if method == "histogram_matching":
         table = matched(value_counts(pixels, ["frame_id"]), value_counts(of_reference, []))
         return pixels.join(table, ["frame_id", "v"]).select("frame_id", "y", "x", F.col("new").cast("int").alias("v"))
-    ref = frame_statistics(of_reference).select(*(F.col(c).alias(f"r_{c}") for c in ("min", "max", "mean", "std", "peak")))
-    joined = pixels.join(frame_statistics(pixels), "frame_id").crossJoin(F.broadcast(ref))
+
+    def statistics(of: DataFrame) -> DataFrame:
+        found = frame_statistics(of)
+        return found.drop("std").join(ordered_deviation(of), "frame_id") if ordered else found
+
+    ref = statistics(of_reference).select(*(F.col(c).alias(f"r_{c}") for c in ("min", "max", "mean", "std", "peak")))
+    joined = pixels.join(statistics(pixels), "frame_id").crossJoin(F.broadcast(ref))
     v, std = F.col("v").cast("double"), F.col("std")
     shift = F.col("r_peak") - F.col("peak")
     if method == "min_max":

@@ -21,7 +21,7 @@ CUT = "CAST(trunc({}) AS INTEGER)"
 
 def normalised(method: str):
     def run(spark, sf_dir) -> DataFrame:
-        out = frames.normalise_frames(fx.pixels(spark, sf_dir), 0, method)
+        out = frames.normalise_frames(fx.pixels(spark, sf_dir), 0, method, ordered=method in ("z_score", "peak_spread_align"))
         return out.groupBy("frame_id").agg(F.sum("v").alias("v"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum(F.col("v") * (F.col("y") * 8 + F.col("x"))).alias("moment"))
 
     return run
