@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
-from grainspark.operators import frames
+from grainspark.operators import distributions, frames
+from grainspark.plans import learning
 
 #: A frame whose deviation differs in the last bit by the formula of the update, and with it a grey level.
 FRAME = [207, 73, 121, 172, 138, 123, 171, 150, 144, 167, 127, 120, 171, 140, 112, 172, 112, 123, 153, 128, 112, 112, 117, 101, 103, 105, 66, 59, 140, 125, 171, 143, 83, 119, 128, 125, 148, 164, 123, 98, 63, 137, 93, 135, 152, 140, 108, 68, 137, 126, 141, 111, 140, 99, 124, 138, 147, 122, 89, 77, 132, 138, 83, 145]
@@ -49,3 +51,32 @@ def test_ordered_deviation_of_odd_frames(spark):
     rows = [(0, 0, 0, 5), (1, 0, 0, None), (2, 0, 1, 3), (2, 0, 0, None), (2, 1, 0, 9)]
     got = {r.frame_id: r.std for r in frames.ordered_deviation(spark.createDataFrame(rows, "frame_id long, y int, x int, v int")).collect()}
     assert got == {0: 0.0, 1: None, 2: 3.0}
+
+
+def test_running_sums_with_marks_that_differ_whenever_they_are_computed(spark, monkeypatch):
+    """As a sketch's marks do where its parts arrive in another order, on several executors."""
+    monkeypatch.setattr(distributions.F, "percentile_approx", lambda c, at, accuracy: F.array(F.max(c) * F.rand(), F.max(c) * F.rand()))
+    counts = spark.range(0, 3000, 1, 7).selectExpr("id % 2 AS g", "double(id div 2) AS value", "id % 3 AS na", "id % 5 AS nb")
+    got = {(r.g, r.value): (r.ba, r.bb, r.ta, r.tb) for r in distributions.below(counts, ["g"]).collect()}
+    for g in (0, 1):
+        own = range(g, 3000, 2)
+        ba = bb = 0
+        for i in own:
+            assert got[g, float(i // 2)] == (ba, bb, sum(k % 3 for k in own), sum(k % 5 for k in own))
+            ba, bb = ba + i % 3, bb + i % 5
+
+
+def test_what_asks_for_means_alone_counts_no_values(spark, sf_dir, monkeypatch):
+    def never(*args):
+        raise AssertionError("values are counted")
+
+    monkeypatch.setattr(distributions, "below", never)
+    for name in ("d22_effect_pivot", "d23_feature_problem_rank", "e2_top_effects"):
+        assert learning.QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_effects_without_tests_have_the_rows_of_those_with_tests(spark):
+    rows = [(k % 3 if k % 7 else None, k % 2 if k % 5 else None, float(k) if k % 11 else None) for k in range(60)]
+    df = spark.createDataFrame(rows, "t int, p int, x double")
+    both = [sorted(tuple(r) for r in distributions.error_feature_effects(df, ["x"], "t", "p", tests).drop("mw_p").collect()) for tests in (True, False)]
+    assert both[0] == both[1]
