@@ -80,3 +80,33 @@ def test_effects_without_tests_have_the_rows_of_those_with_tests(spark):
     df = spark.createDataFrame(rows, "t int, p int, x double")
     both = [sorted(tuple(r) for r in distributions.error_feature_effects(df, ["x"], "t", "p", tests).drop("mw_p").collect()) for tests in (True, False)]
     assert both[0] == both[1]
+
+
+def test_predictions_are_joined_where_row_ids_repeat(spark, sf_dir, tmp_path):
+    assert learning.has_row_keys(spark, sf_dir)
+    for name in ("lineitem", "orders", "part", "supplier", "nation"):
+        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        (table.union(table.limit(1)) if name == "lineitem" else table).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert not learning.has_row_keys(spark, str(tmp_path))
+    one, twice = (learning.scored(spark, d).groupBy("row_id").count().groupBy("count").count().collect() for d in (sf_dir, str(tmp_path)))
+    assert {r[0] for r in one} == {1} and {r[0]: r[1] for r in twice}[4] == 1
+
+
+def test_confusions_read_their_table_once(spark):
+    rows = [(k % 3 if k % 7 else None, k % 2 if k % 5 else None, float(k)) for k in range(60)]
+    df = spark.createDataFrame(rows, "t int, p int, x double").where("x >= 0")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    got = {(r.true_class, r.predicted_class): (r.mean_confused, r.n, r.mean_right) for r in distributions.confusion_feature_effects(df.mapInArrow(count, df.schema), ["x"], "t", "p").collect()}
+    assert seen.value == 60
+
+    def mean(t, p):
+        own = [x for a, b, x in rows if (a, b) == (t, p)]
+        return sum(own) / len(own), len(own)
+
+    assert got == {(t, p): (*mean(t, p), mean(t, t)[0]) for t, p in ((0, 1), (1, 0))}
