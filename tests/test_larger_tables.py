@@ -7,8 +7,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from grainspark.operators import distributions, frames
-from grainspark.plans import learning
+from grainspark.functions.durable import durable
+from grainspark.operators import distributions, frames, ranking
+from grainspark.plans import learning, tables
 
 #: A frame whose deviation differs in the last bit by the formula of the update, and with it a grey level.
 FRAME = [207, 73, 121, 172, 138, 123, 171, 150, 144, 167, 127, 120, 171, 140, 112, 172, 112, 123, 153, 128, 112, 112, 117, 101, 103, 105, 66, 59, 140, 125, 171, 143, 83, 119, 128, 125, 148, 164, 123, 98, 63, 137, 93, 135, 152, 140, 108, 68, 137, 126, 141, 111, 140, 99, 124, 138, 147, 122, 89, 77, 132, 138, 83, 145]
@@ -110,3 +111,10 @@ def test_confusions_read_their_table_once(spark):
         return sum(own) / len(own), len(own)
 
     assert got == {(t, p): (*mean(t, p), mean(t, t)[0]) for t, p in ((0, 1), (1, 0))}
+
+
+def test_ranks_of_predictions_store_what_is_returned_only(spark, sf_dir, monkeypatch):
+    stored = []
+    monkeypatch.setattr(ranking, "durable", lambda df: stored.append(set(df.columns)) or durable(df))
+    assert tables.QUERIES["e1_rank_predictions"](spark, sf_dir).count() == 6000
+    assert {"experiment", "row_id", "confidence", "__part"} in stored and max(map(len, stored)) == 4
