@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from grainspark.functions.durable import durable
-from grainspark.operators import distributions, frames, ranking
+from grainspark.operators import clusters, distributions, frames, models, outliers, quantiles, ranking, stats
 from grainspark.plans import learning, tables
 
 #: A frame whose deviation differs in the last bit by the formula of the update, and with it a grey level.
@@ -118,3 +119,37 @@ def test_ranks_of_predictions_store_what_is_returned_only(spark, sf_dir, monkeyp
     monkeypatch.setattr(ranking, "durable", lambda df: stored.append(set(df.columns)) or durable(df))
     assert tables.QUERIES["e1_rank_predictions"](spark, sf_dir).count() == 6000
     assert {"experiment", "row_id", "confidence", "__part"} in stored and max(map(len, stored)) == 4
+
+
+@pytest.fixture
+def stored_tables(monkeypatch):
+    """The columns of each table that is stored by the modules named."""
+    found = []
+
+    def keep(df):
+        found.append(df.columns)
+        return durable(df)
+
+    for module in (models, quantiles, stats):
+        monkeypatch.setattr(module, "durable", keep)
+    return found
+
+
+def test_distances_of_counted_rows_are_selected_exactly(spark):
+    rng = np.random.default_rng(7)
+    x, n = rng.normal(size=(500, 2)), rng.integers(1, 50, 500)
+    counted = spark.createDataFrame([(*map(float, v), int(k)) for v, k in zip(x, n, strict=True)], "a double, b double, __n long").repartition(3)
+    means, inverses = np.array([[0.0, 0.0], [1.0, -1.0]]), np.array([np.eye(2), [[2.0, 0.5], [0.5, 1.0]]])
+    for rank in (1, int(n.sum()) // 2, int(n.sum())):
+        got = outliers._limits(counted, ["a", "b"], means, inverses, rank)
+        for k in range(2):
+            d2 = outliers._squared(x, means[k], inverses[k])
+            assert got[k] == np.sort(np.repeat(d2, n))[rank - 1]
+
+
+def test_concentration_steps_read_equal_rows_once(spark, monkeypatch):
+    seen, sums = [], outliers._sums
+    monkeypatch.setattr(outliers, "_sums", lambda counted, *a: seen.append((counted.count(), counted.rdd.getNumPartitions())) or sums(counted, *a))
+    df = spark.range(4000).selectExpr("id % 10 * 1.0D AS a", "id % 7 * id % 3 * 1.0D AS b").repartition(8)
+    outliers.robust_covariance(df, ["a", "b"])
+    assert set(seen) == {(df.distinct().count(), 1)}
