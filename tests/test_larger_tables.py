@@ -153,3 +153,12 @@ def test_concentration_steps_read_equal_rows_once(spark, monkeypatch):
     df = spark.range(4000).selectExpr("id % 10 * 1.0D AS a", "id % 7 * id % 3 * 1.0D AS b").repartition(8)
     outliers.robust_covariance(df, ["a", "b"])
     assert set(seen) == {(df.distinct().count(), 1)}
+
+
+def test_mixtures_read_equal_rows_once_in_few_tasks(spark, monkeypatch):
+    seen, fit = [], clusters.GaussianMixture.fit
+    monkeypatch.setattr(clusters.GaussianMixture, "fit", lambda self, df: seen.append((df.count(), df.rdd.getNumPartitions())) or fit(self, df))
+    df = clusters.with_vector(spark.range(2000).selectExpr("id % 20 * 1.0D AS a", "id % 20 % 3 * 1.0D AS b").repartition(8), ["a", "b"])
+    model, _ = clusters.gmm_best_k(df, [2], max_iter=3)
+    assert seen == [(20, 1)]
+    assert sum(model.weights) == pytest.approx(1.0)
