@@ -162,3 +162,9 @@ def test_mixtures_read_equal_rows_once_in_few_tasks(spark, monkeypatch):
     model, _ = clusters.gmm_best_k(df, [2], max_iter=3)
     assert seen == [(20, 1)]
     assert sum(model.weights) == pytest.approx(1.0)
+
+
+def test_sketches_of_quantiles_are_stored(spark, stored_tables):
+    df = spark.range(300).selectExpr("id % 3 AS g", "cast(id AS double) AS value", "'wide' AS more")
+    stats.box_stats(df, "value", ["g"])
+    assert stored_tables == [["g", "value"], ["g", "n", "__m"], ["g", "q1", "median", "q3"]]
