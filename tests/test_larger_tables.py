@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grainspark.functions.durable import durable
-from grainspark.operators import clusters, distributions, frames, models, outliers, quantiles, ranking, stats
+from grainspark.operators import clusters, distributions, frames, outliers, quantiles, ranking, stats
 from grainspark.plans import learning, tables
 
 #: A frame whose deviation differs in the last bit by the formula of the update, and with it a grey level.
@@ -130,7 +130,7 @@ def stored_tables(monkeypatch):
         found.append(df.columns)
         return durable(df)
 
-    for module in (models, quantiles, stats):
+    for module in (quantiles, stats):
         monkeypatch.setattr(module, "durable", keep)
     return found
 
@@ -168,3 +168,8 @@ def test_sketches_of_quantiles_are_stored(spark, stored_tables):
     df = spark.range(300).selectExpr("id % 3 AS g", "cast(id AS double) AS value", "'wide' AS more")
     stats.box_stats(df, "value", ["g"])
     assert stored_tables == [["g", "value"], ["g", "n", "__m"], ["g", "q1", "median", "q3"]]
+
+
+@pytest.mark.parametrize("query", [learning.i6, learning.k3, learning.k4])
+def test_queries_of_many_passes_join_the_particle_tables_once(spark, query):
+    assert not [f for f in query(spark, "/root/testdata/sf0.001").inputFiles() if "lineitem" in f]
