@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grainspark.functions.durable import durable
-from grainspark.operators import clusters, distributions, frames, outliers, quantiles, ranking, stats
+from grainspark.operators import clusters, distributions, frames, models, outliers, quantiles, ranking, sampling, stats
 from grainspark.plans import learning, tables
 
 #: A frame whose deviation differs in the last bit by the formula of the update, and with it a grey level.
@@ -173,3 +173,30 @@ def test_sketches_of_quantiles_are_stored(spark, stored_tables):
 @pytest.mark.parametrize("query", [learning.i6, learning.k3, learning.k4])
 def test_queries_of_many_passes_join_the_particle_tables_once(spark, query):
     assert not [f for f in query(spark, "/root/testdata/sf0.001").inputFiles() if "lineitem" in f]
+
+
+@pytest.fixture
+def particle_reads(monkeypatch):
+    """What each table stored and each result of a model query reads, as often as it is stored."""
+    found = []
+
+    def keep(df):
+        found.append((df.columns, [f for f in df.inputFiles() if "lineitem" in f]))
+        return durable(df)
+
+    for module in (models, learning):
+        monkeypatch.setattr(module, "durable", keep)
+    return found
+
+
+def test_folds_deal_neither_keys_nor_hashes_as_text(spark):
+    df = spark.range(50).selectExpr("concat('key-', id) AS key", "id % 2 AS c", "id * 1.0D AS x")
+    plan = sampling.stratified_folds(df, "c", "key", 3).drop("key")._jdf.queryExecution().optimizedPlan().toString()
+    window = plan.split("Window [row_number()")[1].splitlines()[1]  # what the window's rows consist of
+    assert "__h" in window and "key#" not in window.split("[")[1].split("]")[0]
+
+
+def test_searches_store_one_table_of_rows_and_a_matrix_for_each_fold(spark, particle_reads):
+    learning.j6(spark, "/root/testdata/sf0.001")
+    assert sum("features" in columns for columns, _ in particle_reads) == 2
+    assert sum("Area" in columns for columns, _ in particle_reads) == 1
