@@ -189,6 +189,14 @@ def particle_reads(monkeypatch):
     return found
 
 
+@pytest.mark.parametrize("query", [learning.j12, learning.a11])
+def test_fits_and_their_results_join_the_particle_tables_once(spark, particle_reads, query):
+    out = query(spark, "/root/testdata/sf0.001")
+    assert [bool(lines) for _, lines in particle_reads].count(True) == 1
+    assert not [f for f in out.inputFiles() if "lineitem" in f]
+    assert not any("row_id" in columns for columns, _ in particle_reads)
+
+
 def test_folds_deal_neither_keys_nor_hashes_as_text(spark):
     df = spark.range(50).selectExpr("concat('key-', id) AS key", "id % 2 AS c", "id * 1.0D AS x")
     plan = sampling.stratified_folds(df, "c", "key", 3).drop("key")._jdf.queryExecution().optimizedPlan().toString()
