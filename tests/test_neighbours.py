@@ -192,3 +192,40 @@ def test_pairs_by_products_are_those_of_exact_sums():
         assert {(i, j): d for i, j, d in whole} == want
         nearest = {(i, j) for i in range(90) for j in np.flatnonzero(d2[i] <= np.sort(d2[i])[2])}
         assert nearest <= {(i, j) for i, j, _ in few}
+
+
+def test_a_vector_is_dealt_once_for_a_bundle_of_cells(spark):
+    """Where no cell can be left out, what is dealt is queries x bundles, and every query still meets every row."""
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(str(i), rng.normal(size=8).tolist()) for i in range(4000)], "id string, v array<double>")
+    stored = index.durable(index.distinct_points(index.points(df, "id", "v"), 4))
+    found = index.PivotIndex(stored, "keys array<string>")
+    errands = index.durable(found.errands(stored.select("g", "vid", "v", F.lit(1e9).alias("t2")), "all"))
+    assert errands.count() == 4000
+    names = "queries long, met long"
+
+    def kernel(a, b):
+        met = sum(len(i) for i, _, _ in index.meetings(a, b, index.numbers(a, "t2")))
+        return index.pa.table({"queries": [a.num_rows], "met": [met]})
+
+    dealt, met = found.search(errands, kernel, names).agg(F.sum("queries"), F.sum("met")).first()
+    assert dealt == 4000 * 4 and met == 4000**2
+
+
+def test_points_for_resampling_are_made_once(spark, monkeypatch):
+    seen, smote = spark.sparkContext.accumulator(0), sampling.smote
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    def counted(*args):
+        made = smote(*args)
+        return made.mapInArrow(count, made.schema)
+
+    monkeypatch.setattr(sampling, "smote", counted)
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(f"r{i}", i % 7 == 0, rng.normal(3 * (i % 7 == 0), 1, 3).tolist()) for i in range(70)], "id string, label boolean, v array<double>")
+    assert 0 < sampling.smote_enn(df, "label", "id", "v").count() <= 120
+    assert seen.value == 120
