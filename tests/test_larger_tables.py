@@ -208,3 +208,33 @@ def test_searches_store_one_table_of_rows_and_a_matrix_for_each_fold(spark, part
     learning.j6(spark, "/root/testdata/sf0.001")
     assert sum("features" in columns for columns, _ in particle_reads) == 2
     assert sum("Area" in columns for columns, _ in particle_reads) == 1
+
+
+@pytest.mark.parametrize("query", [learning.j5, learning.j6, learning.j8])
+def test_rows_of_folds_are_stored_once_and_not_dealt(spark, monkeypatch, query):
+    """Nor are the particle tables joined again for the count, and a matrix is stored by columns."""
+    kinds, reads = [], []
+
+    def keep(df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        kinds.extend(t for c, t in df.dtypes if c == "features")
+        reads.append(any("lineitem" in f for f in df.inputFiles()))
+        assert "Window" not in plan
+        return durable(df)
+
+    monkeypatch.setattr(models, "durable", keep)
+    out = query(spark, "/root/testdata/sf0.001")
+    assert reads.count(True) == 1 and not [f for f in out.inputFiles() if "lineitem" in f]
+    assert len(kinds) == 2 and all(t.startswith("struct<") for t in kinds)
+
+
+@pytest.mark.parametrize("k", [2, 3, 5])
+def test_folds_by_stretches_of_the_hash_order(spark, monkeypatch, k):
+    monkeypatch.setattr(sampling, "LAST", 10)
+    df = spark.range(1, 400, 1, 5).selectExpr("id AS key", "CASE WHEN id % 9 = 0 THEN NULL ELSE id % 3 % 2 END AS c").union(spark.createDataFrame([(1000, 7)], "key long, c long"))
+    found = sampling.ClassHashes(df, ["c"], "key", 42)
+    rows = df.withColumn("fold", sampling.hash_folds(found, k, sampling.hash_order("key", 42))).withColumn("h", sampling.hash_order("key", 42)).collect()
+    for c in (None, 0, 1, 7):
+        own = sorted((r.h, r.fold) for r in rows if r.c == c)
+        n = len(own)
+        assert [fold for _, fold in own] == [next(f for f in range(k) if (n * (f + 1)) // k > i) for i in range(n)]
